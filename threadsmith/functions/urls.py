@@ -26,7 +26,8 @@ def domain(url) -> Column:
 
 def _run_pattern(n: int) -> str:
     # group 1: text before the n-th digit run; group 2: text after it
-    return rf"(?s)^((?:{NON_DIGIT}*{DIGIT}+){{{n - 1}}}{NON_DIGIT}*){DIGIT}+(.*)$"
+    # possessive runs: a digit run is never split in two by backtracking
+    return rf"(?s)^((?:{NON_DIGIT}*{DIGIT}++){{{n - 1}}}{NON_DIGIT}*){DIGIT}++(.*)$"
 
 
 def page_link(link, page_no, n: int = PAGE_DIGIT_RUN) -> Column:

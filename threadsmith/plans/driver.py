@@ -591,3 +591,40 @@ def state_upsert(spark, sf):
     the state from later orders (one row per customer)."""
     o = table(spark, sf, "orders")
     return ST.upsert_state(_order_state(o, False), _order_state(o, True))
+
+
+# --- HTML extraction over pages ---------------------------------------------
+def _extracted(spark, sf):
+    from ..operators import extract as X
+    p = table(spark, sf, "pages").select(F.col("page_id").alias("topic_id"), F.lit(1).alias("page_no"),
+                                         "url", "html")
+    return X.extract(p, X.TEST_LAYOUT_ROWS)
+
+
+def _q_unescape(x: str) -> str:
+    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        x = f"replace({x}, '{ent}', '{ch}')"
+    return x
+
+
+@query("page_title", f"""SELECT CAST(page_id AS VARCHAR) AS topic_id,
+  {q_trim(_q_unescape("regexp_extract(html, '(?s)<article><h1>(.*?)</h1>', 1)"))} AS title,
+  CAST(1 AS INTEGER) AS total_pages FROM pages""")
+def page_title(spark, sf):
+    """X3-X5 (header of each page: title, page count) from the parse job."""
+    from ..operators import extract as X
+    topics, _, _ = X.split(_extracted(spark, sf))
+    return topics.select("topic_id", "title", "total_pages")
+
+
+@query("post_explode")
+def post_explode(spark, sf):
+    """Every page parsed into posts (``article > p``) with
+    position, author, text and feature counts (rows-only check)."""
+    from ..operators import extract as X
+    _, posts, _ = X.split(_extracted(spark, sf))
+    return posts.select("topic_id", "page_no", "pos", "post_author",
+                        F.length("content_text").cast("long").alias("n_chars"),
+                        F.size("paragraphs").cast("long").alias("n_paragraphs"),
+                        F.col("n_links").cast("long").alias("n_links"),
+                        "content_has_blockquote")
