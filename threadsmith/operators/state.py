@@ -41,9 +41,9 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def latest_version(spark: SparkSession, base: str) -> int | None:
+def latest_version(spark: SparkSession, base: str, at_most: int | None = None) -> int | None:
     """Largest committed ``version=N`` folder under ``base`` (a listing, no
-    data is read)."""
+    data is read), optionally not above ``at_most``."""
     fs, p = _fs(spark, base)
     if not fs.exists(p):
         return None
@@ -54,13 +54,16 @@ def latest_version(spark: SparkSession, base: str) -> int | None:
             ok = fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))
             if ok:
                 v = int(name.split("=", 1)[1])
+                if at_most is not None and v > at_most:
+                    continue
                 best = v if best is None or v > best else best
     return best
 
 
-def read_state(spark: SparkSession, base: str) -> DataFrame:
-    """S5 (+S6 when missing): the latest state version."""
-    v = latest_version(spark, base)
+def read_state(spark: SparkSession, base: str, at_most: int | None = None) -> DataFrame:
+    """S5 (+S6 when missing): the latest state version (not above
+    ``at_most`` when given, so a replayed batch reads what it read first)."""
+    v = latest_version(spark, base, at_most)
     if v is None:
         return empty_state(spark)
     return spark.read.schema(STATE_SCHEMA).parquet(f"{base.rstrip('/')}/version={v}")

@@ -628,3 +628,13 @@ def post_explode(spark, sf):
                         F.size("paragraphs").cast("long").alias("n_paragraphs"),
                         F.col("n_links").cast("long").alias("n_links"),
                         "content_has_blockquote")
+
+
+# --- streaming ----------------------------------------------------------------
+@query("stream_ingest", """SELECT user_id, count(*) AS n_posts, max(ts) AS last_ts FROM events GROUP BY user_id""")
+def stream_ingest(spark, sf):
+    """Events arrive through a file stream (availableNow); each
+    micro-batch stores its new rows once and updates the per-topic state;
+    the result is the final state."""
+    from ..streaming.ingest import event_ingest
+    return event_ingest(spark, sf, "events.parquet")
