@@ -1,10 +1,11 @@
 """Ordered duplicate removal among the candidate posts of a topic.
 
-Works on a narrow projection (keys and order only) and returns a verdict per
-``(topic_id, page_no, pos)``; the caller joins it back once.  Every step is an
-aggregate (partial aggregation before the shuffle) or a join on keys that
-include the post position, so one hot topic or one hot text never lands in a
-single task.
+Works on a narrow projection (topic, order key, 100-char text key, content
+hash, image flag), written once to the shared checkpoint folder, and returns
+a verdict per ``(topic_id, page_no, pos)``; the caller joins it back once.
+Every step is a hash aggregate on a ``long`` order key (partial aggregation
+before the shuffle) or a join on keys that include the order key, so one hot
+topic or one hot text never lands in a single task.
 
 Semantics:
 * text posts, documented intent: a post is a duplicate when its key
@@ -12,8 +13,9 @@ Semantics:
 * text posts, as coded: before the second kept post ``p1`` exists the key is
   compared with the first kept post ``k0``; after it, only with ``p1``;
 * image posts: a duplicate when its content equals an earlier kept image
-  post.  As coded with image resizing on, kept image posts were rewritten
-  before the comparison, so none is ever found.
+  post (compared by SHA-256 of the content).  As coded with image resizing
+  on, kept image posts were rewritten before the comparison, so none is
+  ever found.
 """
 
 from __future__ import annotations
@@ -23,51 +25,59 @@ from pyspark.sql import functions as F
 
 from ..config import CurationConfig
 from ..functions.text import dedup_key
-from .ordering import first_per_key
+from ..session import materialize
+from .ordering import ORD_SHIFT, order_key
 
 K = ["topic_id"]
-O = ["page_no", "pos"]
 
 
 def _narrow(cands: DataFrame, cfg: CurationConfig) -> DataFrame:
     return cands.select(
-        *K, *O,
+        *K, order_key("page_no", "pos").alias("ord"),
         F.coalesce(F.col("img_post"), F.lit(False)).alias("img"),
         F.coalesce(dedup_key("content_text", cfg.dedup_prefix), F.lit("")).alias("tkey"),
-        F.sha2(F.coalesce(F.col("content_html"), F.lit("")), 256).alias("ikey"),
+        F.when(F.col("img_post"), F.sha2(F.coalesce(F.col("content_html"), F.lit("")), 256)).alias("ikey"),
     )
 
 
-def _ord(prefix: str = "") -> F.Column:
-    return F.struct(F.col(prefix + "page_no").alias("page_no"), F.col(prefix + "pos").alias("pos"))
+def _firsts(df: DataFrame, key: str, flag: str) -> DataFrame:
+    return df.groupBy(*K, key).agg(F.min("ord").alias("ord")).withColumn(flag, F.lit(True))
 
 
 def duplicate_verdicts(cands: DataFrame, cfg: CurationConfig) -> DataFrame:
     """``cands`` = posts that passed every other rule (columns topic_id,
     page_no, pos, img_post, content_text, content_html).  Returns
     ``(topic_id, page_no, pos, is_dup)`` for every candidate."""
-    n = _narrow(cands, cfg)
-    imgs = first_per_key(n.filter("img"), K + ["ikey"], O, "img_first")
-    texts = n.filter(~F.col("img")).withColumn("img_first", F.lit(None).cast("boolean"))
-    n = imgs.unionByName(texts)
+    n = materialize(_narrow(cands, cfg), "dedup-keys")
+    imgs = n.filter("img")
+    ifirst = _firsts(imgs, "ikey", "img_first")
+    n = n.join(ifirst, K + ["ikey", "ord"], "left").withColumn(
+        "img_first", F.when(F.col("img"), F.coalesce("img_first", F.lit(False))))
     if not cfg.dedup_as_coded:
         pool = n.filter(~F.col("img") | F.col("img_first"))
-        pool = first_per_key(pool.select(*K, *O, "tkey"), K + ["tkey"], O, "t_first")
-        out = n.join(pool.select(*K, *O, "t_first"), K + O, "left").select(
-            *K, *O,
-            F.when(F.col("img"), ~F.col("img_first")).otherwise(~F.col("t_first")).alias("is_dup"))
-        return out
+        tfirst = _firsts(pool, "tkey", "t_first")
+        out = n.join(tfirst, K + ["tkey", "ord"], "left").select(
+            *K, "ord", F.when(F.col("img"), ~F.col("img_first"))
+            .otherwise(~F.coalesce("t_first", F.lit(False))).alias("is_dup"))
+        return _unord(out)
     # --- as coded ---------------------------------------------------------
     img_ok = F.lit(True) if cfg.resize_images else F.col("img_first")
-    first = n.groupBy(*K).agg(F.min(F.struct(*O, "tkey")).alias("f"))
-    n1 = n.join(first, K)
-    after_first = _ord() > F.struct(F.col("f.page_no").alias("page_no"), F.col("f.pos").alias("pos"))
-    elig = after_first & ((~F.col("img") & (F.col("tkey") != F.col("f.tkey"))) | (F.col("img") & img_ok))
-    p1 = n1.filter(elig).groupBy(*K).agg(F.min(F.struct(*O, "tkey")).alias("p"))
+    first = n.groupBy(*K).agg(F.min("ord").alias("f_ord"))
+    k0 = n.join(first, K).filter(F.col("ord") == F.col("f_ord")).select(*K, "f_ord", F.col("tkey").alias("k0"))
+    n1 = n.join(k0, K)
+    after_first = F.col("ord") > F.col("f_ord")
+    elig = after_first & ((~F.col("img") & (F.col("tkey") != F.col("k0"))) | (F.col("img") & img_ok))
+    p1 = n1.filter(elig).groupBy(*K).agg(F.min("ord").alias("p_ord"))
+    p1 = p1.join(n.select(*K, F.col("ord").alias("p_ord"), F.col("tkey").alias("k1")), K + ["p_ord"])
     n2 = n1.join(p1, K, "left")
-    p1_ord = F.struct(F.col("p.page_no").alias("page_no"), F.col("p.pos").alias("pos"))
-    before_p1 = F.col("p").isNull() | (_ord() < p1_ord)
-    text_dup = after_first & ((before_p1 & (F.col("tkey") == F.col("f.tkey")))
-                              | (F.col("p").isNotNull() & (_ord() > p1_ord) & (F.col("tkey") == F.col("p.tkey"))))
+    before_p1 = F.col("p_ord").isNull() | (F.col("ord") < F.col("p_ord"))
+    text_dup = after_first & ((before_p1 & (F.col("tkey") == F.col("k0")))
+                              | (F.col("p_ord").isNotNull() & (F.col("ord") > F.col("p_ord"))
+                                 & (F.col("tkey") == F.col("k1"))))
     img_dup = after_first & ~img_ok
-    return n2.select(*K, *O, F.when(F.col("img"), img_dup).otherwise(text_dup).alias("is_dup"))
+    return _unord(n2.select(*K, "ord", F.when(F.col("img"), img_dup).otherwise(text_dup).alias("is_dup")))
+
+
+def _unord(df: DataFrame) -> DataFrame:
+    return df.select(*K, F.shiftright("ord", ORD_SHIFT).cast("int").alias("page_no"),
+                     F.col("ord").bitwiseAND((1 << ORD_SHIFT) - 1).cast("int").alias("pos"), "is_dup")

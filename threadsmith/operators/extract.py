@@ -219,9 +219,7 @@ def split(extracted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` under the shared checkpoint folder and read it back: the
-    parse runs once, and lineage is cut (survives executor loss)."""
-    from ..session import scratch_path
-    path = scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    """Write the parse result once to the shared checkpoint folder (the
+    parse runs once; lineage is cut)."""
+    from ..session import materialize as _m
+    return _m(df, name)

@@ -12,6 +12,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PAGE_BLOCK = 1024  # pages per block in the hierarchical prefix sum
+ORD_SHIFT = 20     # order key = page_no << 20 | pos (positions per page < 2**20)
+
+
+def order_key(page: str = "page_no", pos: str = "pos"):
+    """(page, position) as one sortable ``long`` (hash-aggregatable)."""
+    return F.shiftleft(F.col(page).cast("long"), ORD_SHIFT) + F.col(pos).cast("long")
 
 
 def rank_in_topic(df: DataFrame, topic: str = "topic_id", page: str = "page_no",

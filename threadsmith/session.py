@@ -71,3 +71,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     intermediate tables, stream sinks and checkpoints)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str):
+    """Write ``df`` under the shared checkpoint folder and read it back.
+
+    Used where one intermediate result feeds several branches of a plan: it
+    is computed once, later stages read a compact parquet table, and the
+    lineage is cut (a lost executor does not recompute upstream stages)."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
