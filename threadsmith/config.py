@@ -52,6 +52,7 @@ class CurationConfig:
     dedup_as_coded: bool = False
     identifier_rescues_short: bool = False
     resume_as_coded: bool = True
+    replace_video_frames: bool = False      # dead code in the original tool
     # thresholds
     min_chars: int = SHORT_POST_CHARS
     image_min_images: int = IMAGE_POST_MIN_IMAGES

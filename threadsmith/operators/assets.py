@@ -66,31 +66,89 @@ def rewrite_sources(images, cfg: CurationConfig):
         "src", asset_local_path(cfg.asset_folder, asset_name(clean_asset_url(i["src"])))))
 
 
-def fullsize_sources(posts: DataFrame, targets: DataFrame, cfg: CurationConfig) -> DataFrame:
-    """U16 + J5: image posts shown at full size.  Width/height are dropped;
-    site A takes ``alt`` as source when it names a stored file, else the
-    looked-up full-size source, else keeps its own; site B takes ``alt``;
-    the archive only drops the size.  The lookup is an exploded left join
-    on ``alt``, regrouped by post (groups are one post's images)."""
+def html_attr(v):
+    """Attribute value as the parser serialises it (``html.escape``)."""
+    v = F.replace(v, F.lit("&"), F.lit("&amp;"))
+    for ch, ent in (("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        v = F.replace(v, F.lit(ch), F.lit(ent))
+    return v
+
+
+def _attr(name, value):
+    return F.concat(F.lit(f' {name}="'), html_attr(value), F.lit('"'))
+
+
+EDIT = "struct<i:int,old_tag:string,img:struct<src:string,alt:string,width:string,height:string,hosted:boolean,tag:string>>"
+
+
+def apply_image_edits(posts: DataFrame, edits: DataFrame) -> DataFrame:
+    """Apply ``edits(topic_id, page_no, pos, i, old_tag, img)`` (image ``i``
+    of the post becomes ``img``) to ``content_html`` (a JVM-side fold of
+    string replaces) and to the ``images`` array.  A post's images are a
+    bounded group."""
+    key = ["topic_id", "page_no", "pos"]
+    g = edits.groupBy(*key).agg(F.collect_list(F.struct("i", "old_tag", "img")).alias("_e"))
+    out = posts.join(g, key, "left")
+    e = F.coalesce(F.col("_e"), F.array().cast(f"array<{EDIT}>"))
+    html = F.aggregate(e, F.col("content_html"), lambda acc, x: F.replace(acc, x["old_tag"], x["img"]["tag"]))
+    imgs = F.transform("images", lambda im, idx: F.coalesce(
+        F.get(F.transform(F.filter(e, lambda x: x["i"] == idx), lambda x: x["img"]), 0), im))
+    return out.withColumn("content_html", html).withColumn("images", imgs).drop("_e")
+
+
+def _image(src, alt, width, height, hosted, tag):
+    return F.struct(src.alias("src"), alt.alias("alt"), width.alias("width"), height.alias("height"),
+                    hosted.alias("hosted"), tag.alias("tag"))
+
+
+def fullsize_edits(posts: DataFrame, targets: DataFrame) -> DataFrame:
+    """U16 + J5: hosted images of image posts at full size.  Width/height
+    are dropped (a missing width stops before the height: an emoticon); site
+    A takes ``alt`` as source when it names a stored file, else the
+    full-size source looked up on the image page (left join on ``alt``),
+    else keeps its own; site B takes ``alt``; the archive only drops the
+    size."""
     key = ["topic_id", "page_no", "pos"]
-    e = posts.select(*key, "domain", F.posexplode_outer("images").alias("i", "img"))
-    e = e.join(targets.select(F.col("page_url").alias("_alt"), "full_src"),
+    e = posts.filter("is_image").select(*key, "domain", F.posexplode("images").alias("i", "img")) \
+        .filter(F.col("img.hosted"))
+    e = e.join(targets.select(F.col("page_url").alias("_alt"), "full_src").dropDuplicates(["_alt"]),
                F.col("img.alt") == F.col("_alt"), "left")
-    alt = F.col("img.alt")
-    src_a = F.when(alt.contains(FULLSIZE_MARKER), alt).otherwise(F.coalesce(F.col("full_src"), F.col("img.src")))
-    new_src = (F.when(F.col("domain") == SITE_A, src_a)
-               .when(F.col("domain") == SITE_B, alt)
-               .otherwise(F.col("img.src")))
-    new_img = F.struct(new_src.alias("src"), alt.alias("alt"),
-                       F.lit(None).cast("string").alias("width"),
-                       # a missing width stops the removal before the height
-                       F.when(F.col("img.width").isNull(), F.col("img.height")).cast("string").alias("height"),
-                       F.col("img.hosted").alias("hosted"))
-    g = e.filter(F.col("img").isNotNull()).groupBy(*key).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("i"), new_img.alias("img")))).alias("_l"))
-    g = g.select(*key, F.transform("_l", lambda x: x["img"]).alias("images_full"))
-    return posts.join(g, key, "left")
+    alt, src = F.col("img.alt"), F.col("img.src")
+    src_a = F.when(alt.contains(FULLSIZE_MARKER), alt).otherwise(F.coalesce(F.col("full_src"), src))
+    new_src = F.when(F.col("domain") == SITE_A, src_a).when(F.col("domain") == SITE_B, alt).otherwise(src)
+    has_w = F.col("img.width").isNotNull()
+    t = F.col("img.tag")
+    t = F.when(has_w, F.replace(t, _attr("width", F.col("img.width")), F.lit(""))).otherwise(t)
+    t = F.when(has_w & F.col("img.height").isNotNull(),
+               F.replace(t, _attr("height", F.col("img.height")), F.lit(""))).otherwise(t)
+    t = F.when(src.isNotNull() & new_src.isNotNull(),
+               F.replace(t, _attr("src", src), _attr("src", new_src))).otherwise(t)
+    height = F.when(has_w, F.lit(None).cast("string")).otherwise(F.col("img.height"))
+    img = _image(new_src, alt, F.lit(None).cast("string"), height, F.col("img.hosted"), t)
+    return e.select(*key, F.col("i").cast("int").alias("i"), F.col("img.tag").alias("old_tag"), img.alias("img"))
+
+
+def localize_edits(posts: DataFrame, stored: DataFrame, cfg: CurationConfig) -> DataFrame:
+    """U15 + P12: images whose asset is cached or was stored now point to
+    the local asset folder; the others keep their source (fetch failed).
+    ``stored(url, file_name)``."""
+    key = ["topic_id", "page_no", "pos"]
+    e = posts.select(*key, F.posexplode("images").alias("i", "img")).filter(F.col("img.src").isNotNull())
+    e = e.withColumn("url", clean_asset_url(F.col("img.src")))
+    e = e.join(stored.select("url", F.col("file_name").alias("stored_name")).dropDuplicates(["url"]), "url")
+    local = asset_local_path(cfg.asset_folder, F.col("stored_name"))
+    t = F.replace(F.col("img.tag"), _attr("src", F.col("img.src")), _attr("src", local))
+    img = _image(local, F.col("img.alt"), F.col("img.width"), F.col("img.height"), F.col("img.hosted"), t)
+    return e.select(*key, F.col("i").cast("int").alias("i"), F.col("img.tag").alias("old_tag"), img.alias("img"))
+
+
+def image_refs(posts: DataFrame) -> DataFrame:
+    """Image sources of story posts as asset references."""
+    e = posts.select("topic_id", "page_no", "pos", F.explode("images").alias("img")) \
+        .filter(F.col("img.src").isNotNull())
+    return e.withColumn("url", clean_asset_url(F.col("img.src"))).withColumn("file_name", asset_name("url"))
 
 
 __all__ = ["asset_refs", "inventory", "missing_assets", "oldest_snapshot", "resolve_missing",
-           "rewrite_sources", "fullsize_sources", "ARCHIVE_HOST"]
+           "rewrite_sources", "fullsize_edits", "localize_edits", "apply_image_edits", "image_refs",
+           "ARCHIVE_HOST"]

@@ -25,7 +25,8 @@ from ..sources.profiles import profile_dict
 
 IMAGE = StructType([StructField("src", StringType()), StructField("alt", StringType()),
                     StructField("width", StringType()), StructField("height", StringType()),
-                    StructField("hosted", BooleanType())])
+                    StructField("hosted", BooleanType()), StructField("tag", StringType())])
+FRAME = StructType([StructField("span_html", StringType()), StructField("src", StringType())])
 EXTRACTED = StructType([
     StructField("kind", StringType()),          # topic | post | quarantine
     StructField("topic_id", StringType()),
@@ -48,6 +49,7 @@ EXTRACTED = StructType([
     StructField("post_has_blockquote", BooleanType()),
     StructField("content_has_blockquote", BooleanType()),
     StructField("images", ArrayType(IMAGE)),
+    StructField("frames", ArrayType(FRAME)),
     StructField("reason", StringType()),
 ])
 ARCHIVE_WRAPPER = '<div class="txt-msg text-enrichi-forum">'
@@ -154,14 +156,17 @@ def _post_row(base, pos, post, dom, prof):
     cp, cbq, cn, cl, hosted = _scope_features(c, hosted_sel)
     hosted_ids = {id(h) for h in hosted}
     imgs = [dict(src=i.attrs.get("src"), alt=i.attrs.get("alt"), width=i.attrs.get("width"),
-                 height=i.attrs.get("height"), hosted=id(i) in hosted_ids) for i in H.select(c, "img")]
+                 height=i.attrs.get("height"), hosted=id(i) in hosted_ids, tag=i.html())
+            for i in H.select(c, "img")]
+    frames = [dict(span_html=sp.html(), src=fr.attrs.get("src"))
+              for fr, sp in zip(H.select(c, ".embed-youtube > iframe"), H.select(c, ".embed-youtube"))]
     html = ARCHIVE_WRAPPER + "".join(n.html() for n in c.children if not isinstance(n, str)) + "</div>" \
         if isinstance(c, _Wrapper) else c.html()
     return dict(base, kind="post", pos=pos, post_author=a.text().strip() if a is not None else None,
                 post_text=post.text(), content_text=c.text(), content_html=html,
                 post_paragraphs=pp, paragraphs=cp, n_hosted=pn, content_n_hosted=cn,
                 n_post_links=pl, n_links=cl, post_has_blockquote=pbq, content_has_blockquote=cbq,
-                images=imgs)
+                images=imgs, frames=frames)
 
 
 def _extract_page(row, profiles):
@@ -206,6 +211,34 @@ def extract(pages: DataFrame, profile_rows=None) -> DataFrame:
     return src.mapInArrow(run, EXTRACTED)
 
 
+def replace_video_frames(content_html="content_html", frames="frames"):
+    """X11: each embedded video frame (i-th frame with i-th embed span)
+    becomes a paragraph holding a plain link to the watch page (U6 + U9),
+    folded over the frames array on the JVM."""
+    from ..functions.urls import strip_archive, video_watch_url
+
+    def step(acc, f):
+        url = video_watch_url(strip_archive(f["src"]))
+        return F.replace(acc, f["span_html"], F.concat(F.lit('<p><a href="'), url, F.lit('">'), url, F.lit("</a></p>")))
+    return F.aggregate(F.coalesce(F.col(frames), F.array().cast(f"array<{FRAME.simpleString()}>")),
+                       F.col(content_html), step)
+
+
+def image_targets(image_pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """Crawled image-host pages -> ``(page_url, full_src)``; null when
+    the page has no full-size image node."""
+    from ..sources.profiles import IMAGE_PAGE_SELECTOR
+
+    @F.pandas_udf(StringType())
+    def full_src(h):
+        def one(doc):
+            n = H.select_one(H.parse(doc), IMAGE_PAGE_SELECTOR)
+            return None if n is None else n.attrs.get("src")
+        return h.map(one)
+
+    return image_pages.select(F.col(url).alias("page_url"), full_src(html).alias("full_src"))
+
+
 def split(extracted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(topics, posts, quarantine) views of one extraction result.  Write the
     result once (``materialize``) when more than one of them is used."""

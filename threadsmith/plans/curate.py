@@ -24,6 +24,7 @@ from ..config import ARCHIVE_HOST, CurationConfig
 from ..functions.slug import slugify
 from ..functions.urls import domain as domain_of
 from ..functions.urls import topic_key as topic_key_of
+from ..operators import assets as A
 from ..operators import extract as X
 from ..operators import render as R
 from ..operators import select as SEL
@@ -59,15 +60,28 @@ def prepare_pages(pages: DataFrame, state: DataFrame, cfg: CurationConfig) -> Da
     return p
 
 
+@dataclass
+class AssetInputs:
+    """Inputs of the asset stage (fetching itself happens outside Spark)."""
+    manifest: DataFrame          # cached assets: file_name, url, status, final_url
+    fetch_status: DataFrame      # url, status, final_url, fetch_error
+    snapshots: DataFrame         # url, archive_url, snapshot_ts, status
+
+
 def run(spark: SparkSession, pages: DataFrame, cfg: CurationConfig, state: DataFrame | None = None,
-        run_id: str = "run-0", profile_rows=None) -> RunOutputs:
-    """One batch run.  ``pages(topic_id, link, page_no, html[, status])``."""
+        run_id: str = "run-0", profile_rows=None, image_targets: DataFrame | None = None,
+        assets: AssetInputs | None = None) -> RunOutputs:
+    """One batch run.  ``pages(topic_id, link, page_no, html[, status])``;
+    ``image_targets(page_url, full_src)`` from ``extract.image_targets``."""
     state = state if state is not None else ST.empty_state(spark)
     p = prepare_pages(pages, state, cfg)
     links = p.groupBy("topic_id").agg(F.min("link").alias("link"), F.first("topic_key").alias("topic_key"))
     ext = X.materialize(spark, X.extract(p, profile_rows), "extract")
     topics, posts, quarantine = X.split(ext)
     topics = topics.join(links, "topic_id")
+    if cfg.replace_video_frames:
+        posts = posts.withColumn("content_html", F.when(F.col("domain") == ARCHIVE_HOST, X.replace_video_frames())
+                                 .otherwise(F.col("content_html")))
     # resume: the post cursor of topics that use state (not the archive)
     st = state.join(topics.select("topic_id", "topic_key", "domain"), "topic_key") \
         .filter(F.lit(cfg.use_state) & (F.col("domain") != ARCHIVE_HOST)) \
@@ -75,6 +89,20 @@ def run(spark: SparkSession, pages: DataFrame, cfg: CurationConfig, state: DataF
     posts = ST.resume_filter(posts, st, cfg) if cfg.use_state else posts
     selected = SEL.select_story_posts(posts, topics, cfg)
     kept = SEL.story_posts(selected)
+    if cfg.resize_images and image_targets is not None:          # U16 + J5
+        kept = A.apply_image_edits(kept, A.fullsize_edits(kept, image_targets))
+    if cfg.download_images and assets is not None:                # A6, J3, J4, U15
+        refs = A.image_refs(kept)
+        inv = A.inventory(refs)
+        fetched = A.resolve_missing(A.missing_assets(inv, assets.manifest), assets.fetch_status, assets.snapshots)
+        names = assets.manifest.select("file_name").unionByName(fetched.select("file_name")).distinct() \
+            .withColumn("_ok", F.lit(True))
+        stored = refs.select("url", "file_name").distinct() \
+            .join(fetched.select("url", F.col("file_name").alias("_f")), "url", "left") \
+            .join(names, "file_name", "left") \
+            .select("url", F.coalesce("_f", F.when(F.col("_ok"), F.col("file_name"))).alias("file_name")) \
+            .filter(F.col("file_name").isNotNull())
+        kept = A.apply_image_edits(kept, A.localize_edits(kept, stored, cfg))
     counters = SEL.topic_counters(selected, cfg)
     rejects = selected.filter(~F.col("kept")).select("topic_id", "page_no", "pos", "reject_reason")
     # With state on, a topic without new posts keeps story and state
