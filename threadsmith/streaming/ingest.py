@@ -7,8 +7,10 @@ batch curation with the stored state and commits:
 
 * outputs into folders named by the batch id, written with overwrite, so a
   batch replayed after a failure replaces its own partial output (T3);
-* re-delivered rows are dropped by an anti join with the keys already
-  stored (T3);
+* re-delivered rows are dropped by a streaming ``dropDuplicates`` on their
+  key: the seen keys live in the state store (RocksDB, spread over the
+  shuffle partitions) and are committed with each batch, so the cost of a
+  batch does not grow with the history (T3);
 * the state as a new version ``batch_id + 1`` (readers switch to a version
   only once it has ``_SUCCESS``).
 
@@ -45,20 +47,11 @@ def run_available(stream: DataFrame, handler: Callable[[DataFrame, int], None],
     q.awaitTermination()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    fs, p = ST._fs(spark, path)
-    return fs.exists(p)
-
-
-def new_rows(spark: SparkSession, batch: DataFrame, store: str, keys: list[str], batch_id: int) -> DataFrame:
-    """Rows of the batch whose keys no earlier batch stored (and one row
-    per key inside the batch).  The batch's own folder is ignored, so a
-    replay after a failure recomputes the same rows."""
-    b = batch.dropDuplicates(keys)
-    if _exists(spark, store):
-        seen = spark.read.parquet(store).filter(F.col("batch_id") < batch_id).select(*keys)
-        b = b.join(seen, keys, "left_anti")
-    return b
+def enable_rocksdb(spark: SparkSession) -> None:
+    """Keep streaming state in RocksDB (on local disk of each executor,
+    checkpointed to the shared folder) instead of the JVM heap."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def page_ingest(spark: SparkSession, landing: str, schema: StructType, base: str,
@@ -68,9 +61,7 @@ def page_ingest(spark: SparkSession, landing: str, schema: StructType, base: str
     from ..plans import curate
     checkpoint = checkpoint or f"{base}/_checkpoint"
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.withColumn("page_hash", F.sha2(F.col("html"), 256))
-        pages = new_rows(spark, batch, f"{base}/pages_seen", ["topic_id", "page_no", "page_hash"], batch_id)
+    def handle(pages: DataFrame, batch_id: int) -> None:
         state = ST.read_state(spark, f"{base}/state", at_most=batch_id)
         out = curate.run(spark, pages, cfg, state=state, run_id=f"batch-{batch_id}", profile_rows=profile_rows)
         tag = f"batch_id={batch_id}"
@@ -78,9 +69,11 @@ def page_ingest(spark: SparkSession, landing: str, schema: StructType, base: str
         out.story_posts.drop("images").write.mode("overwrite").parquet(f"{base}/story_posts/{tag}")
         out.metrics.write.mode("overwrite").parquet(f"{base}/metrics/{tag}")
         ST.write_state(out.state, f"{base}/state", batch_id + 1)
-        pages.select("topic_id", "page_no", "page_hash").write.mode("overwrite").parquet(f"{base}/pages_seen/{tag}")
 
-    run_available(file_stream(spark, landing, schema), handle, checkpoint)
+    enable_rocksdb(spark)
+    stream = file_stream(spark, landing, schema).withColumn("page_hash", F.sha2(F.col("html"), 256)) \
+        .dropDuplicates(["topic_id", "page_no", "page_hash"])
+    run_available(stream, handle, checkpoint)
     return base
 
 
@@ -96,16 +89,16 @@ def merge_counts(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def event_ingest(spark: SparkSession, landing: str, glob: str | None, base: str | None = None,
                  key: str = "user_id", id_col: str = "event_id", ts_col: str = "ts",
                  max_files: int | None = None) -> DataFrame:
-    """Posts arriving as events (topic = ``key``): store new rows once, keep a
-    per-topic counter state (posts, last post time) across batches; returns
+    """Posts arriving as events (topic = ``key``): each row is stored once
+    (streaming dedup on ``id_col``), and a per-topic counter state (posts,
+    last post time) is carried across batches as versioned tables; returns
     the final state."""
     base = base or scratch_path(spark, "event-ingest")
     sample = spark.read.parquet(landing if not glob else f"{landing.rstrip('/')}/{glob}")
     schema = sample.schema
     store, state = f"{base}/store", f"{base}/state"
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        fresh = new_rows(spark, batch, store, [id_col], batch_id)
+    def handle(fresh: DataFrame, batch_id: int) -> None:
         fresh.write.mode("overwrite").parquet(f"{store}/batch_id={batch_id}")
         fresh = spark.read.parquet(f"{store}/batch_id={batch_id}")
         agg = fresh.groupBy(key).agg(F.count(F.lit(1)).alias("n_posts"), F.max(ts_col).alias("last_ts"))
@@ -114,6 +107,8 @@ def event_ingest(spark: SparkSession, landing: str, glob: str | None, base: str
             spark.createDataFrame([], agg.schema)
         merge_counts(old, agg, key).write.mode("overwrite").parquet(f"{state}/version={batch_id + 1}")
 
-    run_available(file_stream(spark, landing, schema, glob, max_files), handle, f"{base}/_checkpoint")
+    enable_rocksdb(spark)
+    stream = file_stream(spark, landing, schema, glob, max_files).dropDuplicates([id_col])
+    run_available(stream, handle, f"{base}/_checkpoint")
     v = ST.latest_version(spark, state)
     return spark.read.parquet(f"{state}/version={v}")
