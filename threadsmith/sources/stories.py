@@ -45,14 +45,15 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
     metrics.write.mode("append").parquet(path)
 
 
-def read_story_files(spark: SparkSession, folder: str | None = None, named: list[str] | None = None) -> DataFrame:
+def read_story_files(spark: SparkSession, folder: str | None = None, named: list[str] | None = None,
+                     glob: str = "*.html") -> DataFrame:
     """S4 + G2: stored story documents (``*.html`` of a folder) plus the
     documents named by the user, as ``(path, html, n_bytes)``."""
     frames = []
     if folder:
-        frames.append(spark.read.option("pathGlobFilter", "*.html").option("wholetext", True).text(folder))
+        frames.append(spark.read.option("pathGlobFilter", glob).text(folder, wholetext=True))
     if named:
-        frames.append(spark.read.option("wholetext", True).text(named))
+        frames.append(spark.read.text(named, wholetext=True))
     if not frames:
         return spark.createDataFrame([], "path string, html string, n_bytes long")
     out = None
