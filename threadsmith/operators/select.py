@@ -111,7 +111,12 @@ def select_story_posts(posts: DataFrame, topics: DataFrame, cfg: CurationConfig)
             .withColumn("is_image", F.lit(False))
     cands = c.filter(F.col("pre_reason").isNull())
     v = duplicate_verdicts(cands, cfg)
-    out = c.join(v, ["topic_id", "page_no", "pos"], "left").withColumn(
+    # Both sides hash-partitioned by (topic, page): fine-grained (a page holds
+    # a bounded number of posts, so a hot topic spreads out), and rendering,
+    # which groups by (topic, page), reuses this partitioning instead of
+    # shuffling the post rows a second time.
+    page_part = ["topic_id", "page_no"]
+    out = c.repartition(*page_part).join(v.repartition(*page_part), ["topic_id", "page_no", "pos"], "left").withColumn(
         "reject_reason",
         F.coalesce(F.col("pre_reason"), F.when(F.col("is_dup"), F.lit(REASON_DUP))))
     out = out.withColumn("kept", F.col("reject_reason").isNull())

@@ -19,6 +19,9 @@ SESSION_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # a join may reuse a hash partitioning on a subset of its keys, e.g. posts
+    # partitioned by (topic, page) joined on (topic, page, pos)
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.ui.enabled": "false",
 }
 
