@@ -12,6 +12,7 @@ descendant, ``>``, ``+``, ``~`` and ``:last-child``, ``:last-of-type``,
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from html import escape
 from html.parser import HTMLParser
 
@@ -143,8 +144,9 @@ def _compound(text: str):
     return parts
 
 
+@lru_cache(maxsize=256)
 def compile_selector(sel: str):
-    """'a > b c' -> [(None, a), ('>', b), (' ', c)] (left to right)."""
+    """'a > b c' -> ((None, a), ('>', b), (' ', c)) (left to right; cached)."""
     steps, comb = [], None
     # attribute values may contain spaces: protect them first
     protected = re.sub(r"\[[^\]]*\]", lambda m: m.group(0).replace(" ", "\x00"), sel.strip())
@@ -155,9 +157,9 @@ def compile_selector(sel: str):
         elif ws:
             comb = comb or " "
         elif simple:
-            steps.append((comb if steps else None, _compound(simple.replace("\x00", " "))))
+            steps.append((comb if steps else None, tuple(_compound(simple.replace("\x00", " ")))))
             comb = None
-    return steps
+    return tuple(steps)
 
 
 def _siblings(n: Node):
