@@ -31,13 +31,16 @@ from .ordering import ORD_SHIFT, order_key
 K = ["topic_id"]
 
 
+def key_columns(cfg: CurationConfig) -> list:
+    """Order key, image flag, text key and image-content key of a post."""
+    return [order_key("page_no", "pos").alias("ord"),
+            F.coalesce(F.col("img_post"), F.lit(False)).alias("img"),
+            F.coalesce(dedup_key("content_text", cfg.dedup_prefix), F.lit("")).alias("tkey"),
+            F.when(F.col("img_post"), F.sha2(F.coalesce(F.col("content_html"), F.lit("")), 256)).alias("ikey")]
+
+
 def _narrow(cands: DataFrame, cfg: CurationConfig) -> DataFrame:
-    return cands.select(
-        *K, order_key("page_no", "pos").alias("ord"),
-        F.coalesce(F.col("img_post"), F.lit(False)).alias("img"),
-        F.coalesce(dedup_key("content_text", cfg.dedup_prefix), F.lit("")).alias("tkey"),
-        F.when(F.col("img_post"), F.sha2(F.coalesce(F.col("content_html"), F.lit("")), 256)).alias("ikey"),
-    )
+    return cands.select(*K, *key_columns(cfg))
 
 
 def _firsts(df: DataFrame, key: str, flag: str) -> DataFrame:
@@ -48,7 +51,14 @@ def duplicate_verdicts(cands: DataFrame, cfg: CurationConfig) -> DataFrame:
     """``cands`` = posts that passed every other rule (columns topic_id,
     page_no, pos, img_post, content_text, content_html).  Returns
     ``(topic_id, page_no, pos, is_dup)`` for every candidate."""
-    n = materialize(_narrow(cands, cfg), "dedup-keys")
+    return verdicts_from_keys(materialize(_narrow(cands, cfg), "dedup-keys"), cfg)
+
+
+def verdicts_from_keys(n: DataFrame, cfg: CurationConfig) -> DataFrame:
+    """Duplicate verdicts from the narrow key table ``(topic_id, ord, img,
+    tkey, ikey)`` of the candidates (read several times: pass a written
+    table)."""
+    n = n.select(*K, "ord", "img", "tkey", "ikey")
     imgs = n.filter("img")
     ifirst = _firsts(imgs, "ikey", "img_first")
     n = n.join(ifirst, K + ["ikey", "ord"], "left").withColumn(

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from ..config import ARCHIVE_HOST, SITE_B, CurationConfig
 from ..functions.text import author_root, has_identifier, is_short, ws_trim
-from .dedup import duplicate_verdicts
+from ..session import materialize
+from .dedup import verdicts_from_keys
 
 REASON_AUTHOR = "author"
 REASON_QUOTE = "quote"
@@ -79,51 +80,68 @@ def image_post(paragraphs, n_hosted, has_blockquote, text, dom, n_links,
 
 
 def classify(posts: DataFrame, topics: DataFrame, cfg: CurationConfig) -> DataFrame:
-    """Adds ``is_author``, ``img_post`` (post scope), ``pre_reason`` (first
-    rule that rejects the post before the duplicate test)."""
-    t = topics.select("topic_id", "topic_author", author_set("topic_author", cfg.extra_authors).alias("authors"),
-                      *(["domain"] if "domain" in topics.columns and "domain" not in posts.columns else []))
-    p = posts.join(t, "topic_id")
-    dom = F.col("domain") if "domain" in p.columns else F.lit("")
-    p = p.withColumn("is_author", author_match("post_author", "authors", cfg.match_author_root))
-    author_ok = F.col("is_author") | (dom == ARCHIVE_HOST)
+    """Narrow per-post verdict inputs: ``topic_id, page_no, pos, is_author,
+    img_post`` (post scope), ``content_img`` (content scope), ``pre_reason``
+    (first rule that rejects the post before the duplicate test) and the
+    dedup keys.  Text columns are reduced to flags/keys in the scan, so the
+    join with the topic table moves narrow rows only."""
+    dom = F.col("domain") if "domain" in posts.columns else F.lit("")
     img = image_post("post_paragraphs", "n_hosted", "post_has_blockquote", "post_text", dom,
                      "n_post_links", cfg)
-    p = p.withColumn("img_post", img)
-    short = is_short("post_text", cfg.min_chars) & ~F.col("img_post")
+    short = is_short("post_text", cfg.min_chars)
     if cfg.identifier_rescues_short:
         short = short & ~has_identifier(F.get("post_paragraphs", 0), cfg.identifiers,
                                         cfg.identifier_window, "post_has_blockquote")
+    content_img = image_post("paragraphs", "content_n_hosted", "content_has_blockquote", "content_text",
+                             dom, "n_links", cfg)
+    nar = posts.select("topic_id", "page_no", "pos", "post_author", dom.alias("_dom"),
+                       img.alias("img_post"), short.alias("_short"), content_img.alias("content_img"),
+                       F.coalesce(F.col("content_has_blockquote"), F.lit(False)).alias("_quote"),
+                       *key_columns_for(cfg))
+    t = topics.select("topic_id", author_set("topic_author", cfg.extra_authors).alias("authors"))
+    p = nar.join(t, "topic_id")
+    p = p.withColumn("is_author", author_match("post_author", "authors", cfg.match_author_root))
+    author_ok = F.col("is_author") | (F.col("_dom") == ARCHIVE_HOST)
     reason = F.when(~author_ok, F.lit(REASON_AUTHOR))
     if not cfg.all_posts:
-        reason = reason.when(F.coalesce(F.col("content_has_blockquote"), F.lit(False)), F.lit(REASON_QUOTE)) \
-            .when(short, F.lit(REASON_SHORT))
-    return p.withColumn("pre_reason", reason)
+        reason = reason.when(F.col("_quote"), F.lit(REASON_QUOTE)) \
+            .when(F.col("_short") & ~F.col("img_post"), F.lit(REASON_SHORT))
+    return p.select("topic_id", "page_no", "pos", "is_author", "img_post", "content_img",
+                    reason.alias("pre_reason"), "ord", "tkey", "ikey")
+
+
+def key_columns_for(cfg: CurationConfig) -> list:
+    from .dedup import key_columns
+    k = key_columns(cfg)
+    return [k[0], k[2], k[3]]          # ord, tkey, ikey (the image flag is img_post)
 
 
 def select_story_posts(posts: DataFrame, topics: DataFrame, cfg: CurationConfig) -> DataFrame:
-    """Every post with its ``reject_reason`` (null = kept), ``kept``
-    and ``is_image`` (content scope, false in all-posts mode)."""
-    c = classify(posts, topics, cfg)
+    """Every post with ``is_author``, ``reject_reason`` (null =
+    kept), ``kept`` and ``is_image`` (content scope, false in all-posts
+    mode).
+
+    Plan: the narrow classification is written once (it feeds the dedup and
+    the verdict); the post rows themselves are shuffled once, by (topic,
+    page) — fine-grained, so a hot topic spreads out — and rendering, which
+    groups by (topic, page), reuses that partitioning."""
+    nc = materialize(classify(posts, topics, cfg), "classified")
     if cfg.all_posts:
-        out = c.withColumn("reject_reason", F.col("pre_reason"))
-        return out.withColumn("kept", F.col("reject_reason").isNull()) \
-            .withColumn("is_image", F.lit(False))
-    cands = c.filter(F.col("pre_reason").isNull())
-    v = duplicate_verdicts(cands, cfg)
-    # Both sides hash-partitioned by (topic, page): fine-grained (a page holds
-    # a bounded number of posts, so a hot topic spreads out), and rendering,
-    # which groups by (topic, page), reuses this partitioning instead of
-    # shuffling the post rows a second time.
+        verdict = nc.select("topic_id", "page_no", "pos", "is_author", "img_post",
+                            F.col("pre_reason").alias("reject_reason"), F.lit(False).alias("is_image"))
+    else:
+        keys = nc.filter(F.col("pre_reason").isNull()).select(
+            "topic_id", "ord", F.col("img_post").alias("img"), "tkey", "ikey")
+        v = verdicts_from_keys(keys, cfg)
+        verdict = nc.join(v, ["topic_id", "page_no", "pos"], "left").select(
+            "topic_id", "page_no", "pos", "is_author", "img_post",
+            F.coalesce(F.col("pre_reason"), F.when(F.col("is_dup"), F.lit(REASON_DUP))).alias("reject_reason"),
+            "content_img")
+        verdict = verdict.withColumn("is_image", F.col("reject_reason").isNull() & F.col("content_img")) \
+            .drop("content_img")
     page_part = ["topic_id", "page_no"]
-    out = c.repartition(*page_part).join(v.repartition(*page_part), ["topic_id", "page_no", "pos"], "left").withColumn(
-        "reject_reason",
-        F.coalesce(F.col("pre_reason"), F.when(F.col("is_dup"), F.lit(REASON_DUP))))
-    out = out.withColumn("kept", F.col("reject_reason").isNull())
-    dom = F.col("domain") if "domain" in out.columns else F.lit("")
-    content_img = image_post("paragraphs", "content_n_hosted", "content_has_blockquote", "content_text",
-                             dom, "n_links", cfg)
-    return out.withColumn("is_image", F.col("kept") & content_img)
+    out = posts.repartition(*page_part).join(verdict.repartition(*page_part), ["topic_id", "page_no", "pos"])
+    return out.withColumn("kept", F.col("reject_reason").isNull())
 
 
 def story_posts(selected: DataFrame) -> DataFrame:
