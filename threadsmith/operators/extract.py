@@ -187,16 +187,22 @@ def _extract_page(row, profiles):
         yield _post_row(base, pos, post, dom, prof)
 
 
-def extract(pages: DataFrame, profile_rows=None) -> DataFrame:
+def extract(pages: DataFrame, profile_rows=None, spread: bool | None = None) -> DataFrame:
     """``pages(topic_id, page_no, html[, domain | link])`` -> EXTRACTED rows.
 
     One Python pass per page; the profile dictionary (a few dozen strings) is
-    shipped with the function."""
+    shipped with the function.  The parse is CPU-bound: when the input has
+    fewer partitions than the cluster has cores (``spread=None``), pages are
+    first spread round-robin over ``defaultParallelism`` partitions; large
+    inputs already scan as many partitions and skip that shuffle."""
     profiles = profile_dict(profile_rows)
     cols = pages.columns
     dom = F.col("domain") if "domain" in cols else domain_of(F.col("link") if "link" in cols else F.col("url"))
     src = pages.select(F.col("topic_id").cast("string").alias("topic_id"),
                        F.col("page_no").cast("int").alias("page_no"), dom.alias("domain"), "html")
+    par = pages.sparkSession.sparkContext.defaultParallelism
+    if spread or (spread is None and src.rdd.getNumPartitions() < par):
+        src = src.repartition(par)
     arrow_schema = to_arrow_schema(EXTRACTED)
     names = [f.name for f in EXTRACTED.fields]
 
