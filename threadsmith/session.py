@@ -69,11 +69,37 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+_SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh directory under the shared checkpoint folder (for written
     intermediate tables, stream sinks and checkpoints)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.append(path)
+    return path
+
+
+def scratch_mark() -> int:
+    """Position in the scratch registry (see ``release_scratch``)."""
+    return len(_SCRATCH)
+
+
+def release_scratch(spark: SparkSession, since: int) -> int:
+    """Delete the intermediate tables written after ``scratch_mark()``
+    returned ``since``.  Call it once the outputs that read them are written,
+    e.g. at the end of a stream micro-batch.  Returns the folders removed."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while len(_SCRATCH) > since:
+        p = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        fs = p.getFileSystem(conf)
+        if fs.exists(p):
+            fs.delete(p, True)
+            n += 1
+    return n
 
 
 def materialize(df, name: str):

@@ -27,7 +27,7 @@ from pyspark.sql.types import StructType
 
 from ..config import CurationConfig
 from ..operators import state as ST
-from ..session import scratch_path
+from ..session import release_scratch, scratch_mark, scratch_path
 
 
 def file_stream(spark: SparkSession, landing: str, schema: StructType, glob: str | None = None,
@@ -62,6 +62,7 @@ def page_ingest(spark: SparkSession, landing: str, schema: StructType, base: str
     checkpoint = checkpoint or f"{base}/_checkpoint"
 
     def handle(pages: DataFrame, batch_id: int) -> None:
+        mark = scratch_mark()
         state = ST.read_state(spark, f"{base}/state", at_most=batch_id)
         out = curate.run(spark, pages, cfg, state=state, run_id=f"batch-{batch_id}", profile_rows=profile_rows)
         tag = f"batch_id={batch_id}"
@@ -69,6 +70,7 @@ def page_ingest(spark: SparkSession, landing: str, schema: StructType, base: str
         out.story_posts.drop("images").write.mode("overwrite").parquet(f"{base}/story_posts/{tag}")
         out.metrics.write.mode("overwrite").parquet(f"{base}/metrics/{tag}")
         ST.write_state(out.state, f"{base}/state", batch_id + 1)
+        release_scratch(spark, mark)    # the batch's intermediate tables
 
     enable_rocksdb(spark)
     stream = file_stream(spark, landing, schema).withColumn("page_hash", F.sha2(F.col("html"), 256)) \
