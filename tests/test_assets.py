@@ -63,3 +63,12 @@ def test_oldest_snapshot(spark):
         "url string, archive_url string, snapshot_ts string, status int")
     got = {r.url: (r.archive_url, r.accepted) for r in A.oldest_snapshot(snaps).collect()}
     assert got == {"u1": ("a1", False), "u2": ("b1", True)}
+
+
+def test_no_resize_keeps_size(spark):
+    pages = pages_df(spark, [(1, page(P1 + [IMAGE_POST], 1))])
+    targets = spark.createDataFrame([], "page_url string, full_src string")
+    out = curate.run(spark, pages, CurationConfig(use_state=False, resize_images=False), image_targets=targets)
+    img_post = [r for r in out.story_posts.collect() if r.is_image][0]
+    assert [(i.width, i.height) for i in img_post.images][:2] == [("68", "51"), ("68", "51")]
+    assert 'width="68"' in img_post.content_html

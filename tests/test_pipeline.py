@@ -94,3 +94,13 @@ def test_unsupported_and_status(spark):
     q = [(r.topic_id, r.reason) for r in out.quarantine.collect()]
     assert q == [("t9", "unsupported_domain")]
     assert out.story_posts.count() == 0
+
+
+def test_extra_author_and_exact_match(spark):
+    posts = P1[:1] + [post("ProlEtendard", f"<p>Chapitre 2</p><p>{LONG}</p>"),
+                      post("pogo99", f"<p>Chapitre 3</p><p>{LONG}</p>")]
+    df = pages_df(spark, [(1, page(posts, 1))])
+    kept = lambda cfg: sorted(r.pos for r in curate.run(spark, df, cfg).story_posts.collect())
+    assert kept(CurationConfig(use_state=False)) == [0, 2]                       # root match pogo
+    assert kept(CurationConfig(use_state=False, extra_authors=("ProlEtendard",))) == [0, 1, 2]
+    assert kept(CurationConfig(use_state=False, match_author_root=False)) == [0]  # exact only
