@@ -147,3 +147,9 @@ def test_version_numbers(spark):
     new = spark.createDataFrame([("s1", 10), ("s2", 11), ("s2", 12), ("s2", 13), ("s3", 14)], "slug string, link_no long")
     got = {r.link_no: r.version for r in version_numbers(new, used).collect()}
     assert got == {10: 2, 11: 1, 12: 3, 13: 4, 14: 0}
+
+
+def test_cursor_all_posts_mode(spark):
+    df = spark.createDataFrame([(1, 1, 0, True), (1, 2, 3, True)], "topic_id long, page_no int, pos int, kept boolean")
+    got = [(r.total_pages, r.post_cursor) for r in ST.cursor_advance(df, CurationConfig(all_posts=True)).collect()]
+    assert got == [(2, 0)]

@@ -103,6 +103,9 @@ def cursor_advance(selected: DataFrame, cfg: CurationConfig, key: str = "topic_i
     cur = F.when(F.col("_lk.page_no") == F.col("total_pages"), F.col("_lk.pos")).otherwise(F.lit(none))
     if cfg.resume_as_coded:
         cur = F.coalesce(cur, F.lit(0))
+        if cfg.all_posts:
+            # as coded, all-posts mode never marks a page as having added a post
+            cur = F.lit(0)
     return agg.select(key, F.col("total_pages").cast("int"), cur.cast("int").alias("post_cursor"))
 
 
