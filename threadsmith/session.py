@@ -23,6 +23,8 @@ SESSION_DEFAULTS = {
     # partitioned by (topic, page) joined on (topic, page, pos)
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.ui.enabled": "false",
+    # Arrow batches into the parse: pages can be large, keep a batch bounded
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 
