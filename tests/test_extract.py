@@ -72,3 +72,9 @@ def test_bad_pager_quarantined(spark):
     page = A_PAGE.replace("<span>»</span>", "<span>x</span>")
     topics, posts, q = run(spark, [("a", "https://www.jeuxvideo.com/forums/42-51-1-1-0-1-0-t.htm", 1, page)])
     assert topics.count() == 0 and [r.reason for r in q.collect()] == ["bad_pager"]
+
+
+def test_deep_nesting_is_handled():
+    deep = "<div>" * 5000 + "<p>x</p>" + "</div>" * 5000
+    r = H.parse(deep)
+    assert r.text() == "x" and len(H.select(r, "div > p")) == 1 and r.html().count("<div>") == 5000

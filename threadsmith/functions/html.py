@@ -31,36 +31,42 @@ class Node:
         self.children = []
         self.parent = parent
 
-    # -- content -----------------------------------------------------------
+    # -- content (iterative: deep nesting must not hit the recursion limit) --
     def text(self) -> str:
         out: list[str] = []
-        self._text(out)
-        return "".join(out)
-
-    def _text(self, out):
-        for c in self.children:
-            if isinstance(c, str):
+        stack = [iter(self.children)]
+        while stack:
+            c = next(stack[-1], None)
+            if c is None:
+                stack.pop()
+            elif isinstance(c, str):
                 out.append(c)
             elif c.tag not in NO_TEXT:
-                c._text(out)
+                stack.append(iter(c.children))
+        return "".join(out)
 
     def html(self) -> str:
         out: list[str] = []
-        self._html(out)
-        return "".join(out)
-
-    def _html(self, out):
-        attrs = "".join(f' {k}="{escape(v, quote=True)}"' if v is not None else f" {k}"
-                        for k, v in self.attrs.items())
-        out.append(f"<{self.tag}{attrs}>")
-        if self.tag in VOID:
-            return
-        for c in self.children:
+        stack = [(self, None)]
+        while stack:
+            node, it = stack.pop()
+            if it is None:
+                attrs = "".join(f' {k}="{escape(v, quote=True)}"' if v is not None else f" {k}"
+                                for k, v in node.attrs.items())
+                out.append(f"<{node.tag}{attrs}>")
+                if node.tag in VOID:
+                    continue
+                it = iter(node.children)
+            c = next(it, None)
+            if c is None:
+                out.append(f"</{node.tag}>")
+                continue
+            stack.append((node, it))
             if isinstance(c, str):
-                out.append(c if self.tag in NO_TEXT else escape(c, quote=False))
+                out.append(c if node.tag in NO_TEXT else escape(c, quote=False))
             else:
-                c._html(out)
-        out.append(f"</{self.tag}>")
+                stack.append((c, None))
+        return "".join(out)
 
     def elements(self):
         return [c for c in self.children if not isinstance(c, str)]
@@ -82,30 +88,31 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root")
         self.cur = self.root
-
-    def _open_tags(self):
-        n, out = self.cur, []
-        while n is not self.root:
-            out.append(n.tag)
-            n = n.parent
-        return out
+        self.open: dict[str, int] = {}      # tag -> number of open elements
 
     def _close(self, tag):
+        """Close the innermost open ``tag`` and everything opened inside it."""
+        if not self.open.get(tag):
+            return
         n = self.cur
-        while n is not self.root and n.tag != tag:
+        while n is not self.root:
+            self.open[n.tag] -= 1
+            done = n.tag == tag
             n = n.parent
-        if n is not self.root:
-            self.cur = n.parent
+            if done:
+                break
+        self.cur = n
 
     def handle_starttag(self, tag, attrs):
-        if tag in CLOSES_P and "p" in self._open_tags():
+        if tag in CLOSES_P and self.open.get("p"):
             self._close("p")
-        if tag == "li" and "li" in self._open_tags():
+        if tag == "li" and self.open.get("li"):
             self._close("li")
         node = Node(tag, {k: (v if v is not None else "") for k, v in attrs}, self.cur)
         self.cur.children.append(node)
         if tag not in VOID:
             self.cur = node
+            self.open[tag] = self.open.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -113,8 +120,7 @@ class _Builder(HTMLParser):
             self._close(tag)
 
     def handle_endtag(self, tag):
-        if tag in self._open_tags():
-            self._close(tag)
+        self._close(tag)
 
     def handle_data(self, data):
         self.cur.children.append(data)

@@ -210,7 +210,12 @@ def extract(pages: DataFrame, profile_rows=None, spread: bool | None = None) ->
         for b in batches:
             out = []
             for row in b.to_pylist():
-                for r in _extract_page(row, profiles):
+                try:
+                    rows = list(_extract_page(row, profiles))
+                except Exception as e:  # noqa: BLE001 - one bad page must not fail the job
+                    rows = [dict(topic_id=row["topic_id"], page_no=row["page_no"], domain=row["domain"],
+                                 kind="quarantine", reason=f"parse_error: {type(e).__name__}")]
+                for r in rows:
                     out.append({k: r.get(k) for k in names})
             yield pa.RecordBatch.from_pylist(out, schema=arrow_schema)
 
