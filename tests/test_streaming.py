@@ -37,3 +37,13 @@ def test_page_ingest_two_batches(spark, tmp_path):
     from threadsmith.operators.state import read_state
     st = read_state(spark, f"{base}/state").collect()
     assert [(r.total_pages, r.post_cursor) for r in st] == [(3, 0)]
+
+
+def test_stream_equals_batch_on_pages(spark):
+    from threadsmith.operators import extract as X
+    from threadsmith.plans import curate, driver as D
+    batch = curate.run(spark, D._as_crawl(D.table(spark, SF0001, "pages")), D.PAGES_CFG,
+                       profile_rows=X.TEST_LAYOUT_ROWS)
+    b = sorted((r.topic_id, r.page_no, r.pos) for r in batch.story_posts.collect())
+    s = sorted((r.topic_id, r.page_no, r.pos) for r in D.QUERIES["stream_pages"](spark, SF0001).collect())
+    assert b == s and len(b) > 0

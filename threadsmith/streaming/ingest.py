@@ -55,9 +55,11 @@ def enable_rocksdb(spark: SparkSession) -> None:
 
 
 def page_ingest(spark: SparkSession, landing: str, schema: StructType, base: str,
-                cfg: CurationConfig, checkpoint: str | None = None, profile_rows=None) -> str:
-    """Pages landing in ``landing`` -> ``base``/{stories,metrics,
-    state,pages_seen}.  Returns ``base``."""
+                cfg: CurationConfig, checkpoint: str | None = None, profile_rows=None,
+                prepare: Callable[[DataFrame], DataFrame] | None = None, glob: str | None = None) -> str:
+    """Pages landing in ``landing`` -> ``base``/{stories,story_posts,
+    metrics,state}.  ``prepare`` maps the landing rows to
+    ``topic_id, link, page_no, html[, status]``.  Returns ``base``."""
     from ..plans import curate
     checkpoint = checkpoint or f"{base}/_checkpoint"
 
@@ -73,7 +75,10 @@ def page_ingest(spark: SparkSession, landing: str, schema: StructType, base: str
         release_scratch(spark, mark)    # the batch's intermediate tables
 
     enable_rocksdb(spark)
-    stream = file_stream(spark, landing, schema).withColumn("page_hash", F.sha2(F.col("html"), 256)) \
+    stream = file_stream(spark, landing, schema, glob)
+    if prepare is not None:
+        stream = prepare(stream)
+    stream = stream.withColumn("page_hash", F.sha2(F.col("html"), 256)) \
         .dropDuplicates(["topic_id", "page_no", "page_hash"])
     run_available(stream, handle, checkpoint)
     return base
