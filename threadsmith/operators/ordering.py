@@ -43,16 +43,3 @@ def rank_in_topic(df: DataFrame, topic: str = "topic_id", page: str = "page_no",
     ranked = in_page.join(pages, [topic, page]) \
         .select(topic, page, pos, (F.col("_off") + F.col("_r")).cast("long").alias(out))
     return df.join(ranked, [topic, page, pos])
-
-
-def first_per_key(df: DataFrame, keys: list[str], order: list[str], flag: str) -> DataFrame:
-    """Mark the first row (by ``order``) of every ``keys`` group.
-
-    Skew-safe: the minimum is found by a partially aggregated ``groupBy`` and
-    joined back on keys + order columns (so a hot key is spread out by its
-    order values).  Assumes (keys + order) is unique.
-    """
-    o = F.min(F.struct(*order)).alias("_m")
-    firsts = df.groupBy(*keys).agg(o).select(*keys, *[F.col(f"_m.{c}").alias(c) for c in order]) \
-        .withColumn(flag, F.lit(True))
-    return df.join(firsts, keys + order, "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))

@@ -3,7 +3,8 @@ U19, W6, W7, G2, G3).
 
 A story is never assembled in one task: it is rendered as ordered chunk rows
 (one page of posts, or ``blocks_per_part`` blocks), each built from a bounded
-group.  The sink streams the chunks of a story in order into its file.
+group.  ``sources.stories`` appends chunks to the story table and streams
+the chunks of each touched story in order into its document.
 """
 
 from __future__ import annotations
@@ -59,22 +60,6 @@ def story_sizes(blocks: DataFrame, cfg: CurationConfig, key: str = "topic_id") -
                     (F.col("n_bytes") >= cfg.big_story_bytes).alias("is_big"))
 
 
-def with_frame(chunks: DataFrame) -> DataFrame:
-    """Add the document header (chunk -1) and footer (max chunk + 1) rows."""
-    keys = chunks.groupBy("story_key").agg(F.max("chunk_no").alias("_m"))
-    head = keys.select("story_key", F.lit(-1).cast("long").alias("chunk_no"), F.lit(STORY_HEADER).alias("html"))
-    foot = keys.select("story_key", (F.col("_m") + 1).alias("chunk_no"), F.lit(STORY_FOOTER).alias("html"))
-    return chunks.select("story_key", "chunk_no", "html").unionByName(head).unionByName(foot)
-
-
-def write_stories(chunks: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One folder per story, chunks in order.  Rows are streamed by the
-    writer (sorted within the partition), not gathered."""
-    framed = with_frame(chunks)
-    (framed.repartition("story_key").sortWithinPartitions("story_key", "chunk_no")
-     .write.mode(mode).partitionBy("story_key").parquet(path))
-
-
 def version_numbers(new: DataFrame, used: DataFrame, slug: str = "slug",
                     order: str = "link_no") -> DataFrame:
     """Each new story gets the smallest free version N >= 0 of its slug.

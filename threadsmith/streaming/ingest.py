@@ -70,7 +70,7 @@ def page_ingest(spark: SparkSession, landing: str, schema: StructType, base: str
         tag = f"batch_id={batch_id}"
         out.stories.write.mode("overwrite").parquet(f"{base}/stories/{tag}")
         out.story_posts.drop("images").write.mode("overwrite").parquet(f"{base}/story_posts/{tag}")
-        out.metrics.write.mode("overwrite").parquet(f"{base}/metrics/{tag}")
+        out.metrics.write.mode("overwrite").parquet(f"{base}/metrics/{tag}")     # S14, replay-safe
         ST.write_state(out.state, f"{base}/state", batch_id + 1)
         release_scratch(spark, mark)    # the batch's intermediate tables
 
