@@ -116,15 +116,12 @@ def key_columns_for(cfg: CurationConfig) -> list:
     return [k[0], k[2], k[3]]          # ord, tkey, ikey (the image flag is img_post)
 
 
-def select_story_posts(posts: DataFrame, topics: DataFrame, cfg: CurationConfig) -> DataFrame:
-    """Every post with ``is_author``, ``reject_reason`` (null =
-    kept), ``kept`` and ``is_image`` (content scope, false in all-posts
-    mode).
+def selection_verdicts(posts: DataFrame, topics: DataFrame, cfg: CurationConfig) -> DataFrame:
+    """Narrow verdict per post: ``topic_id, page_no, pos, is_author,
+    img_post, reject_reason`` (null = kept), ``kept``, ``is_image``.
 
-    Plan: the narrow classification is written once (it feeds the dedup and
-    the verdict); the post rows themselves are shuffled once, by (topic,
-    page) — fine-grained, so a hot topic spreads out — and rendering, which
-    groups by (topic, page), reuses that partitioning."""
+    The narrow classification is written once (it feeds the dedup and the
+    verdict); counters, cursors and reject lists need nothing else."""
     nc = materialize(classify(posts, topics, cfg), "classified")
     if cfg.all_posts:
         verdict = nc.select("topic_id", "page_no", "pos", "is_author", "img_post",
@@ -139,9 +136,22 @@ def select_story_posts(posts: DataFrame, topics: DataFrame, cfg: CurationConfig)
             "content_img")
         verdict = verdict.withColumn("is_image", F.col("reject_reason").isNull() & F.col("content_img")) \
             .drop("content_img")
+    return verdict.withColumn("kept", F.col("reject_reason").isNull())
+
+
+def attach_verdicts(posts: DataFrame, verdict: DataFrame) -> DataFrame:
+    """Join the verdicts to the post rows.  The post rows are shuffled once,
+    by (topic, page) — fine-grained, so a hot topic spreads out — and
+    rendering, which groups by (topic, page), reuses that partitioning."""
     page_part = ["topic_id", "page_no"]
-    out = posts.repartition(*page_part).join(verdict.repartition(*page_part), ["topic_id", "page_no", "pos"])
-    return out.withColumn("kept", F.col("reject_reason").isNull())
+    return posts.repartition(*page_part).join(verdict.repartition(*page_part), ["topic_id", "page_no", "pos"])
+
+
+def select_story_posts(posts: DataFrame, topics: DataFrame, cfg: CurationConfig) -> DataFrame:
+    """Every post with ``is_author``, ``reject_reason`` (null =
+    kept), ``kept`` and ``is_image`` (content scope, false in all-posts
+    mode)."""
+    return attach_verdicts(posts, selection_verdicts(posts, topics, cfg))
 
 
 def story_posts(selected: DataFrame) -> DataFrame:

@@ -87,8 +87,8 @@ def run(spark: SparkSession, pages: DataFrame, cfg: CurationConfig, state: DataF
         .filter(F.lit(cfg.use_state) & (F.col("domain") != ARCHIVE_HOST)) \
         .select("topic_id", "total_pages", "post_cursor")
     posts = ST.resume_filter(posts, st, cfg) if cfg.use_state else posts
-    selected = SEL.select_story_posts(posts, topics, cfg)
-    kept = SEL.story_posts(selected)
+    verdict = SEL.selection_verdicts(posts, topics, cfg)      # narrow, per post
+    kept = SEL.story_posts(SEL.attach_verdicts(posts, verdict))
     if cfg.resize_images and image_targets is not None:          # U16 + J5
         kept = A.apply_image_edits(kept, A.fullsize_edits(kept, image_targets))
     if cfg.download_images and assets is not None:                # A6, J3, J4, U15
@@ -103,8 +103,8 @@ def run(spark: SparkSession, pages: DataFrame, cfg: CurationConfig, state: DataF
             .select("url", F.coalesce("_f", F.when(F.col("_ok"), F.col("file_name"))).alias("file_name")) \
             .filter(F.col("file_name").isNotNull())
         kept = A.apply_image_edits(kept, A.localize_edits(kept, stored, cfg))
-    counters = SEL.topic_counters(selected, cfg)
-    rejects = selected.filter(~F.col("kept")).select("topic_id", "page_no", "pos", "reject_reason")
+    counters = SEL.topic_counters(verdict, cfg)
+    rejects = verdict.filter(~F.col("kept")).select("topic_id", "page_no", "pos", "reject_reason")
     # With state on, a topic without new posts keeps story and state
     active = counters.filter((F.col("posts_kept") > 0) | F.lit(not cfg.use_state)).select("topic_id")
     chunks = R.render_chunks(kept).withColumn("run_id", F.lit(run_id))
@@ -124,7 +124,7 @@ def run(spark: SparkSession, pages: DataFrame, cfg: CurationConfig, state: DataF
                        F.when(F.col("st_path").isNotNull() & F.lit(cfg.use_state), "append")
                        .otherwise("create").alias("mode"))
     # new state (A4 + S7)
-    cur = ST.cursor_advance(selected, cfg)
+    cur = ST.cursor_advance(verdict, cfg)
     new_state = t.join(cur.select("topic_id", "post_cursor"), "topic_id", "left").filter(
         F.col("domain") != ARCHIVE_HOST).select(
         "topic_key", "title", F.col("link").alias("page_link"), "file_path",

@@ -395,8 +395,11 @@ SELECT topic_id, CAST(count_if(reject_reason IS NULL) AS BIGINT) AS posts_kept,
   CAST(count_if(reject_reason = 'short') AS BIGINT) AS rejected_short
 FROM sel GROUP BY topic_id""")
 def reject_reason_counts(spark, sf):
-    """P10 + A3: per topic kept posts, duplicates and rejections by rule."""
-    return SEL.topic_counters(_conv_selected(spark, sf), CONV_CFG)
+    """P10 + A3: per topic kept posts, duplicates and rejections by rule
+    (from the narrow per-post verdicts)."""
+    posts = _conv(spark, sf)
+    v = SEL.selection_verdicts(posts, SEL.topic_authors(posts, CONV_CFG), CONV_CFG)
+    return SEL.topic_counters(v, CONV_CFG)
 
 
 @query("all_posts", f"WITH {q_conv_selected(4)} SELECT topic_id, page_no, pos, post_author FROM sel WHERE is_author")
@@ -501,7 +504,7 @@ def _resume_inputs(spark, sf):
     cfg = RESUME_CFG
     posts = _conv(spark, sf, cfg)
     topics = SEL.topic_authors(posts, cfg)
-    prev = SEL.select_story_posts(posts.filter(F.col("page_no") <= RESUME_PREV_PAGES), topics, cfg)
+    prev = SEL.selection_verdicts(posts.filter(F.col("page_no") <= RESUME_PREV_PAGES), topics, cfg)
     state = ST.cursor_advance(prev, cfg)
     return posts, topics, state
 
