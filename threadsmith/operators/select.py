@@ -154,6 +154,15 @@ def select_story_posts(posts: DataFrame, topics: DataFrame, cfg: CurationConfig)
     return attach_verdicts(posts, selection_verdicts(posts, topics, cfg))
 
 
+def running_kept(verdict: DataFrame) -> DataFrame:
+    """For each kept post, the number of posts kept before it in its
+    topic (the counter the original's identifier rule reads).  Built with the
+    hierarchical rank, so a hot topic is not one task."""
+    from .ordering import rank_in_topic
+    k = verdict.filter("kept").select("topic_id", "page_no", "pos")
+    return rank_in_topic(k, out="kept_before")
+
+
 def story_posts(selected: DataFrame) -> DataFrame:
     """Only the kept posts."""
     return selected.filter("kept")

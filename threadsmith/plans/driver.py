@@ -402,6 +402,16 @@ def reject_reason_counts(spark, sf):
     return SEL.topic_counters(v, CONV_CFG)
 
 
+@query("running_kept", f"""WITH {q_conv_selected(4)}
+SELECT topic_id, page_no, pos, row_number() OVER (PARTITION BY topic_id ORDER BY turn) - 1 AS kept_before
+FROM sel WHERE reject_reason IS NULL""")
+def running_kept_q(spark, sf):
+    """Running count of kept posts before each kept post of a topic."""
+    posts = _conv(spark, sf)
+    v = SEL.selection_verdicts(posts, SEL.topic_authors(posts, CONV_CFG), CONV_CFG)
+    return SEL.running_kept(v)
+
+
 @query("all_posts", f"WITH {q_conv_selected(4)} SELECT topic_id, page_no, pos, post_author FROM sel WHERE is_author")
 def all_posts(spark, sf):
     """All-posts mode keeps every post of the authors."""
