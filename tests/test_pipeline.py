@@ -104,3 +104,10 @@ def test_extra_author_and_exact_match(spark):
     assert kept(CurationConfig(use_state=False)) == [0, 2]                       # root match pogo
     assert kept(CurationConfig(use_state=False, extra_authors=("ProlEtendard",))) == [0, 1, 2]
     assert kept(CurationConfig(use_state=False, match_author_root=False)) == [0]  # exact only
+
+
+def test_file_versions_skip_existing(spark):
+    df = pages_df(spark, [(1, page(P1, 1))])
+    stems = spark.createDataFrame([("pogo12-mon-histoire-0",), ("pogo12-mon-histoire-2",)], "file_path string")
+    out = curate.run(spark, df, CurationConfig(use_state=False), existing_stems=stems)
+    assert [r.file_path for r in out.touched.collect()] == ["pogo12-mon-histoire-1"]

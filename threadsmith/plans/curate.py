@@ -70,9 +70,11 @@ class AssetInputs:
 
 def run(spark: SparkSession, pages: DataFrame, cfg: CurationConfig, state: DataFrame | None = None,
         run_id: str = "run-0", profile_rows=None, image_targets: DataFrame | None = None,
-        assets: AssetInputs | None = None) -> RunOutputs:
+        assets: AssetInputs | None = None, existing_stems: DataFrame | None = None) -> RunOutputs:
     """One batch run.  ``pages(topic_id, link, page_no, html[, status])``;
-    ``image_targets(page_url, full_src)`` from ``extract.image_targets``."""
+    ``image_targets(page_url, full_src)`` from ``extract.image_targets``;
+    ``existing_stems(file_path)``: story files already in the output folder
+    (their version numbers are taken, as are those recorded in the state)."""
     state = state if state is not None else ST.empty_state(spark)
     p = prepare_pages(pages, state, cfg)
     links = p.groupBy("topic_id").agg(F.min("link").alias("link"), F.first("topic_key").alias("topic_key"))
@@ -112,7 +114,10 @@ def run(spark: SparkSession, pages: DataFrame, cfg: CurationConfig, state: DataF
     t = topics.join(active, "topic_id").join(
         state.select("topic_key", F.col("file_path").alias("st_path")), "topic_key", "left")
     t = t.withColumn("slug", F.concat_ws("-", slugify("topic_author"), slugify("title", title=True, tag=cfg.story_tag)))
-    used = state.select(F.regexp_extract("file_path", r"^(.*)-(\d+)$", 1).alias("slug"),
+    stems = state.select("file_path")
+    if existing_stems is not None:
+        stems = stems.unionByName(existing_stems.select("file_path"))
+    used = stems.select(F.regexp_extract("file_path", r"^(.*)-(\d+)$", 1).alias("slug"),
                         F.regexp_extract("file_path", r"^(.*)-(\d+)$", 2).cast("long").alias("version")) \
         .filter(F.col("slug") != "")
     new_t = t.filter(F.col("st_path").isNull() | F.lit(not cfg.use_state)).select("slug", "topic_id")
