@@ -111,3 +111,15 @@ def test_file_versions_skip_existing(spark):
     stems = spark.createDataFrame([("pogo12-mon-histoire-0",), ("pogo12-mon-histoire-2",)], "file_path string")
     out = curate.run(spark, df, CurationConfig(use_state=False), existing_stems=stems)
     assert [r.file_path for r in out.touched.collect()] == ["pogo12-mon-histoire-1"]
+
+
+def test_ragged_resume_page_modes(spark):
+    first = curate.run(spark, pages_df(spark, [(1, page(P1, 2)), (2, page(P2, 2))]), CurationConfig(), run_id="r1")
+    state = spark.createDataFrame(first.state.collect(), first.state.schema)       # page 2, cursor 2
+    p3 = [post("pogo12", f"<p>Chapitre 5</p><p>{LONG}</p>")]
+    crawl = pages_df(spark, [(1, page(P1, 3)), (2, page(P2, 3)), (3, page(p3, 3))])
+    coded = curate.run(spark, crawl, CurationConfig(), state=state)
+    assert coded.story_posts.count() == 0                     # the 3-post page carries the skip
+    assert [(r.total_pages, r.post_cursor) for r in coded.state.collect()] == [(2, 2)]   # untouched
+    intent = curate.run(spark, crawl, CurationConfig(resume_as_coded=False), state=state)
+    assert sorted((r.page_no, r.pos) for r in intent.story_posts.collect()) == [(3, 0)]
