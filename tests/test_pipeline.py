@@ -123,3 +123,9 @@ def test_ragged_resume_page_modes(spark):
     assert [(r.total_pages, r.post_cursor) for r in coded.state.collect()] == [(2, 2)]   # untouched
     intent = curate.run(spark, crawl, CurationConfig(resume_as_coded=False), state=state)
     assert sorted((r.page_no, r.pos) for r in intent.story_posts.collect()) == [(3, 0)]
+
+
+def test_missing_header_page_quarantined(spark):
+    out = curate.run(spark, pages_df(spark, [(2, page(P2, 2))]), CurationConfig(use_state=False))
+    assert [(r.topic_id, r.reason) for r in out.quarantine.collect()] == [("t1", "header_page_missing")]
+    assert out.story_posts.count() == 0
