@@ -402,6 +402,21 @@ def reject_reason_counts(spark, sf):
     return SEL.topic_counters(v, CONV_CFG)
 
 
+IDENT_CFG = CONV_CFG.with_(identifier_rescues_short=True, identifiers=("chapitre", "partie", "the", "que"))
+
+
+@query("story_posts_identifiers", f"""WITH {q_conv_selected(4).replace(
+    "< 1000 AS short",
+    "< 1000 AND NOT coalesce(regexp_matches(substr(string_split(p.text, chr(10))[1], 1, 200), "
+    "'chapitre|partie|the|que', 'i'), false) AS short")}
+SELECT topic_id, page_no, pos, post_author FROM sel WHERE reject_reason IS NULL""")
+def story_posts_identifiers(spark, sf):
+    """P9 with P5 as documented: a short post whose first paragraph carries
+    an identifier (first 200 chars, any case) is kept."""
+    s = _conv_selected(spark, sf, IDENT_CFG)
+    return SEL.story_posts(s).select("topic_id", "page_no", "pos", "post_author")
+
+
 @query("running_kept", f"""WITH {q_conv_selected(4)}
 SELECT topic_id, page_no, pos, row_number() OVER (PARTITION BY topic_id ORDER BY turn) - 1 AS kept_before
 FROM sel WHERE reject_reason IS NULL""")
