@@ -129,3 +129,23 @@ def test_missing_header_page_quarantined(spark):
     out = curate.run(spark, pages_df(spark, [(2, page(P2, 2))]), CurationConfig(use_state=False))
     assert [(r.topic_id, r.reason) for r in out.quarantine.collect()] == [("t1", "header_page_missing")]
     assert out.story_posts.count() == 0
+
+
+ARCHIVE_LINK = "https://web.archive.org/web/2019/https://blog.example/1/2/3/story/"
+
+
+def arch_post(author, body):
+    return f'<div class="entry-content"><h2>Story</h2><p><a>{author}</a></p><div class="txt-msg text-enrichi-forum">{body}</div></div>'
+
+
+def test_archive_topic_no_author_check_no_state(spark):
+    html = ("<html><head><title>t</title></head><body>"
+            + arch_post("writer", f"<p>Chapitre 1</p><p>{LONG}</p>")
+            + arch_post("someone else", f"<p>Chapitre 2</p><p>{LONG}</p>")
+            + arch_post("writer", "<p>short</p>") + "</body></html>")
+    df = spark.createDataFrame([("a1", ARCHIVE_LINK, 1, 200, html)],
+                               "topic_id string, link string, page_no int, status int, html string")
+    out = curate.run(spark, df, CurationConfig())
+    assert sorted(r.pos for r in out.story_posts.collect()) == [0, 1]          # P2: author not enforced
+    assert out.state.count() == 0                                              # P13: archive keeps no state
+    assert [r.mode for r in out.touched.collect()] == ["create"]
