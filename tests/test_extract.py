@@ -17,6 +17,10 @@ def test_parser_edge_cases():
     assert H.select_one(r, "div").html().startswith("<div><p>a <b>bold</b></p><p>b &amp; c")
     assert H.parse("<ul><li>1<li>2</ul>").text() == "12"
     assert len(H.select(H.parse("<ul><li>1<li>2</ul>"), "ul > li")) == 2
+    nested = H.parse("<ul><li>a<ul><li>b<li>c</ul><li>d</ul>")
+    assert [li.text() for li in H.select(nested, "ul > li")] == ["abc", "b", "c", "d"]
+    t = H.parse("<table><tr><td>1<td>2<tr><td>3</table>")
+    assert [len(H.select(tr, "td")) for tr in H.select(t, "tr")] == [2, 1]
 
 
 A_PAGE = ('<html><head><title>pt</title></head><body><div id="bloc-title-forum"> T </div>'

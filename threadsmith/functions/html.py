@@ -20,6 +20,18 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CLOSES_P = frozenset(("address article aside blockquote details div dl fieldset figcaption figure footer "
                       "form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li").split())
 NO_TEXT = frozenset(("script", "style", "template"))
+# implied end tags: open element -> (start tags that close it, scope boundaries)
+_P_SCOPE = frozenset("table td th caption button html template".split())
+IMPLIED_END = {
+    "p": (CLOSES_P, _P_SCOPE),
+    "li": (frozenset(("li",)), frozenset(("ul", "ol")) | _P_SCOPE),
+    "dt": (frozenset(("dt", "dd")), frozenset(("dl",)) | _P_SCOPE),
+    "dd": (frozenset(("dt", "dd")), frozenset(("dl",)) | _P_SCOPE),
+    "option": (frozenset(("option", "optgroup")), frozenset(("select",))),
+    "td": (frozenset(("td", "th", "tr", "tbody", "thead", "tfoot")), frozenset(("table",))),
+    "th": (frozenset(("td", "th", "tr", "tbody", "thead", "tfoot")), frozenset(("table",))),
+    "tr": (frozenset(("tr", "tbody", "thead", "tfoot")), frozenset(("table",))),
+}
 
 
 class Node:
@@ -103,11 +115,21 @@ class _Builder(HTMLParser):
                 break
         self.cur = n
 
+    def _in_scope(self, tag, boundaries) -> bool:
+        n = self.cur
+        while n is not self.root:
+            if n.tag == tag:
+                return True
+            if n.tag in boundaries:
+                return False
+            n = n.parent
+        return False
+
     def handle_starttag(self, tag, attrs):
-        if tag in CLOSES_P and self.open.get("p"):
-            self._close("p")
-        if tag == "li" and self.open.get("li"):
-            self._close("li")
+        for open_tag in ("td", "th", "tr", "dt", "dd", "li", "option", "p"):
+            closers, scope = IMPLIED_END[open_tag]
+            if tag in closers and self.open.get(open_tag) and self._in_scope(open_tag, scope):
+                self._close(open_tag)
         node = Node(tag, {k: (v if v is not None else "") for k, v in attrs}, self.cur)
         self.cur.children.append(node)
         if tag not in VOID:
