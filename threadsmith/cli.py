@@ -76,9 +76,13 @@ def run_batch(spark, a) -> dict:
         stems = spark.read.parquet(f"{out_dir}/touched").select("file_path")
     out = curate.run(spark, spark.read.parquet(a.pages), cfg, state=state, run_id=f"run-{run_seq}",
                      image_targets=targets, assets=assets, existing_stems=stems)
+    from .operators import render as R
     touched = out.touched.withColumnRenamed("story_key", "topic_id")
-    SS.append_chunks(out.stories, f"{out_dir}/story_table", run_seq)
-    SS.render_files(spark, f"{out_dir}/story_table", f"{out_dir}/stories", touched=out.stories)
+    # kept posts are written once; the story chunks are rendered from them
+    out.story_posts.write.mode("overwrite").parquet(f"{out_dir}/story_posts/run_seq={run_seq}")
+    chunks = R.render_chunks(spark.read.parquet(f"{out_dir}/story_posts/run_seq={run_seq}"))
+    SS.append_chunks(chunks, f"{out_dir}/story_table", run_seq)
+    SS.render_files(spark, f"{out_dir}/story_table", f"{out_dir}/stories", touched=chunks)
     out.touched.write.mode("append").parquet(f"{out_dir}/touched")
     SS.write_metrics(out.metrics, f"{out_dir}/metrics")
     out.rejects.write.mode("append").parquet(f"{out_dir}/rejects/run_seq={run_seq}")

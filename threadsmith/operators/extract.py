@@ -33,6 +33,8 @@ EXTRACTED = StructType([
     StructField("page_no", IntegerType()),
     StructField("pos", IntegerType()),
     StructField("domain", StringType()),
+    StructField("link", StringType()),
+    StructField("topic_key", StringType()),
     StructField("topic_author", StringType()),
     StructField("total_pages", IntegerType()),
     StructField("title", StringType()),
@@ -172,6 +174,7 @@ def _post_row(base, pos, post, dom, prof):
 def _extract_page(row, profiles):
     dom = row["domain"] or ""
     base = dict(topic_id=row["topic_id"], page_no=row["page_no"], domain=dom)
+    head = dict(base, link=row.get("link"), topic_key=row.get("topic_key"))
     prof = profiles.get(dom) or profiles.get("*")
     if prof is None:
         yield dict(base, kind="quarantine", reason="unsupported_domain")
@@ -180,7 +183,7 @@ def _extract_page(row, profiles):
     if row["page_no"] == 1:
         try:
             author, total, title = _header(root, dom, prof)
-            yield dict(base, kind="topic", topic_author=author, total_pages=total, title=title)
+            yield dict(head, kind="topic", topic_author=author, total_pages=total, title=title)
         except ValueError as e:
             yield dict(base, kind="quarantine", reason=str(e))
     for pos, post in enumerate(H.select(root, prof["post"][0])):
@@ -198,8 +201,11 @@ def extract(pages: DataFrame, profile_rows=None, spread: bool | None = None) ->
     profiles = profile_dict(profile_rows)
     cols = pages.columns
     dom = F.col("domain") if "domain" in cols else domain_of(F.col("link") if "link" in cols else F.col("url"))
+    link = F.col("link") if "link" in cols else F.lit(None).cast("string")
+    tkey = F.col("topic_key") if "topic_key" in cols else F.lit(None).cast("string")
     src = pages.select(F.col("topic_id").cast("string").alias("topic_id"),
-                       F.col("page_no").cast("int").alias("page_no"), dom.alias("domain"), "html")
+                       F.col("page_no").cast("int").alias("page_no"), dom.alias("domain"),
+                       link.alias("link"), tkey.alias("topic_key"), "html")
     par = pages.sparkSession.sparkContext.defaultParallelism
     if spread or (spread is None and src.rdd.getNumPartitions() < par):
         src = src.repartition(par)
@@ -254,9 +260,9 @@ def split(extracted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(topics, posts, quarantine) views of one extraction result.  Write the
     result once (``materialize``) when more than one of them is used."""
     topics = extracted.filter(F.col("kind") == "topic").select(
-        "topic_id", "domain", "topic_author", "total_pages", "title")
+        "topic_id", "domain", "link", "topic_key", "topic_author", "total_pages", "title")
     post_cols = [f.name for f in EXTRACTED.fields if f.name not in ("kind", "topic_author", "total_pages",
-                                                                   "title", "reason")]
+                                                                   "title", "reason", "link", "topic_key")]
     posts = extracted.filter(F.col("kind") == "post").select(*post_cols)
     quarantine = extracted.filter(F.col("kind") == "quarantine").select("topic_id", "page_no", "pos", "reason")
     return topics, posts, quarantine

@@ -77,11 +77,10 @@ def run(spark: SparkSession, pages: DataFrame, cfg: CurationConfig, state: DataF
     (their version numbers are taken, as are those recorded in the state)."""
     state = state if state is not None else ST.empty_state(spark)
     p = prepare_pages(pages, state, cfg)
-    links = p.groupBy("topic_id").agg(F.min_by("link", "page_no").alias("link"),
-                                      F.min_by("topic_key", "page_no").alias("topic_key"))
+    # the raw pages are read once, by the parse; everything after reads its
+    # written result (the topic link and key travel with the header row)
     ext = X.materialize(spark, X.extract(p, profile_rows), "extract")
     topics, posts, quarantine = X.split(ext)
-    topics = topics.join(links, "topic_id")
     # posts of a topic whose first page (the header) is missing cannot be judged
     headless = posts.select("topic_id").distinct().join(topics.select("topic_id"), "topic_id", "left_anti")
     quarantine = quarantine.unionByName(headless.select(

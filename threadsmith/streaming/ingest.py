@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..config import CurationConfig
+from ..operators import render as R
 from ..operators import state as ST
 from ..session import release_scratch, scratch_mark, scratch_path
 
@@ -68,8 +69,11 @@ def page_ingest(spark: SparkSession, landing: str, schema: StructType, base: str
         state = ST.read_state(spark, f"{base}/state", at_most=batch_id)
         out = curate.run(spark, pages, cfg, state=state, run_id=f"batch-{batch_id}", profile_rows=profile_rows)
         tag = f"batch_id={batch_id}"
-        out.stories.write.mode("overwrite").parquet(f"{base}/stories/{tag}")
+        # kept posts are written once; the stories are rendered from them
         out.story_posts.drop("images").write.mode("overwrite").parquet(f"{base}/story_posts/{tag}")
+        kept = spark.read.parquet(f"{base}/story_posts/{tag}")
+        R.render_chunks(kept).withColumn("run_id", F.lit(f"batch-{batch_id}")) \
+            .write.mode("overwrite").parquet(f"{base}/stories/{tag}")
         out.metrics.write.mode("overwrite").parquet(f"{base}/metrics/{tag}")     # S14, replay-safe
         ST.write_state(out.state, f"{base}/state", batch_id + 1)
         release_scratch(spark, mark)    # the batch's intermediate tables
