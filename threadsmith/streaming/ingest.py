@@ -99,11 +99,16 @@ def merge_counts(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 def event_ingest(spark: SparkSession, landing: str, glob: str | None, base: str | None = None,
                  key: str = "user_id", id_col: str = "event_id", ts_col: str = "ts",
-                 max_files: int | None = None) -> DataFrame:
+                 max_files: int | None = None, dedup_within: str | None = None) -> DataFrame:
     """Posts arriving as events (topic = ``key``): each row is stored once
     (streaming dedup on ``id_col``), and a per-topic counter state (posts,
     last post time) is carried across batches as versioned tables; returns
-    the final state."""
+    the final state.
+
+    ``dedup_within`` (e.g. ``"1 hour"``) bounds the dedup state with an
+    event-time watermark (``dropDuplicatesWithinWatermark``): a copy arriving
+    later than that after the newest event seen is no longer recognised.
+    Without it the dedup is exact and its state holds every key."""
     base = base or scratch_path(spark, "event-ingest")
     sample = spark.read.parquet(landing if not glob else f"{landing.rstrip('/')}/{glob}")
     schema = sample.schema
@@ -119,7 +124,13 @@ def event_ingest(spark: SparkSession, landing: str, glob: str | None, base: str
         merge_counts(old, agg, key).write.mode("overwrite").parquet(f"{state}/version={batch_id + 1}")
 
     enable_rocksdb(spark)
-    stream = file_stream(spark, landing, schema, glob, max_files).dropDuplicates([id_col])
+    stream = file_stream(spark, landing, schema, glob, max_files)
+    if dedup_within:
+        # watermarks need TIMESTAMP (the test tables carry TIMESTAMP_NTZ)
+        stream = stream.withColumn("_wm", F.col(ts_col).cast("timestamp")).withWatermark("_wm", dedup_within) \
+            .dropDuplicatesWithinWatermark([id_col]).drop("_wm")
+    else:
+        stream = stream.dropDuplicates([id_col])
     run_available(stream, handle, f"{base}/_checkpoint")
     v = ST.latest_version(spark, state)
     return spark.read.parquet(f"{state}/version={v}")
