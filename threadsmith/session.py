@@ -57,17 +57,29 @@ def apply_defaults(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_LOCAL_CKPT: list[str] = []
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; only when it is unset (local runs,
-    tests) a folder of our own is created.
-    """
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not d:
-        d = tempfile.mkdtemp(prefix="threadsmith-ckpt-")
+    A cluster names a shared folder there and it is always used; only when
+    it is unset (local runs, tests) a folder of our own is created, once per
+    process."""
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    if d:
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(d)
+        return d
+    if not _LOCAL_CKPT:
+        _LOCAL_CKPT.append(tempfile.mkdtemp(prefix="threadsmith-ckpt-"))
+    d = _LOCAL_CKPT[0]
+    try:
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    except Exception:  # noqa: BLE001 - some deployments refuse to set core settings at runtime
+        pass
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(d)
     return d
 
 
