@@ -255,6 +255,11 @@ def _match_from(n: Node, steps, i: int) -> bool:
     raise ValueError(comb)
 
 
+def matches(n: Node, steps) -> bool:
+    """Does element ``n`` match the compiled selector ``steps``?"""
+    return _match_from(n, steps, len(steps) - 1)
+
+
 def select(root: Node, sel: str | list) -> list[Node]:
     steps = compile_selector(sel) if isinstance(sel, str) else sel
     return [n for n in root.iter() if _match_from(n, steps, len(steps) - 1)]

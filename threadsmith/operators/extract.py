@@ -127,10 +127,21 @@ def _header(root, dom, prof):
 
 
 def _scope_features(node, hosted_sel):
-    paras = H.select(node, "p")
-    hosted = H.select(node, hosted_sel) if hosted_sel else []
-    return ([p.text() for p in paras], bool(H.select(node, "blockquote")), len(hosted),
-            len(H.select(node, "a")), hosted)
+    """Paragraph texts, blockquote flag, hosted-image count, link count and
+    the hosted image nodes of one scope, in a single walk of the subtree."""
+    steps = H.compile_selector(hosted_sel) if hosted_sel else None
+    paras, hosted, quote, links = [], [], False, 0
+    for n in node.iter():
+        t = n.tag
+        if t == "p":
+            paras.append(n.text())
+        elif t == "blockquote":
+            quote = True
+        elif t == "a":
+            links += 1
+        if steps is not None and H.matches(n, steps):
+            hosted.append(n)
+    return paras, quote, len(hosted), links, hosted
 
 
 def _content(post, dom, prof):
