@@ -66,17 +66,16 @@ def version_numbers(new: DataFrame, used: DataFrame, slug: str = "slug",
 
     With used versions ``u_0 < u_1 < ...`` and gaps ``g_i = u_i - i``, the
     ``r``-th new row (0-based) gets ``r + #{i : g_i <= r}``.  Computed as a
-    merge of used and new rows ordered by (g or r), no pairs are formed.
-    """
+    merge of used and new rows ordered by (g or r): no pairs are formed and
+    ``new`` is read once (its columns travel through the merge)."""
+    extra = [c for c in new.columns if c not in (slug,)]
     u = used.select(slug, "version").distinct()
     u = u.withColumn("_k", (F.col("version") - (F.row_number().over(
         Window.partitionBy(slug).orderBy("version")) - 1)).cast("long")).select(
-        slug, "_k", F.lit(0).alias("_t"), F.lit(None).cast(new.schema[order].dataType).alias(order))
-    n = new.select(slug, order).withColumn(
-        "_k", (F.row_number().over(Window.partitionBy(slug).orderBy(order)) - 1).cast("long")) \
-        .withColumn("_t", F.lit(1))
+        slug, "_k", F.lit(0).alias("_t"), *[F.lit(None).cast(new.schema[c].dataType).alias(c) for c in extra])
+    n = new.withColumn("_k", (F.row_number().over(Window.partitionBy(slug).orderBy(order)) - 1).cast("long")) \
+        .withColumn("_t", F.lit(1)).select(slug, "_k", "_t", *extra)
     m = u.unionByName(n)
     w = Window.partitionBy(slug).orderBy("_k", "_t").rowsBetween(Window.unboundedPreceding, 0)
     m = m.withColumn("_used_le", F.sum(1 - F.col("_t")).over(w))
-    res = m.filter(F.col("_t") == 1).select(slug, order, (F.col("_k") + F.col("_used_le")).alias("version"))
-    return new.join(res, [slug, order])
+    return m.filter(F.col("_t") == 1).select(slug, *extra, (F.col("_k") + F.col("_used_le")).alias("version"))

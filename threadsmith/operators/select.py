@@ -159,7 +159,8 @@ def running_kept(verdict: DataFrame) -> DataFrame:
     topic (the counter the original's identifier rule reads).  Built with the
     hierarchical rank, so a hot topic is not one task."""
     from .ordering import rank_in_topic
-    k = verdict.filter("kept").select("topic_id", "page_no", "pos")
+    # the rank reads its input three times: give it a small written table
+    k = materialize(verdict.filter("kept").select("topic_id", "page_no", "pos"), "kept-keys")
     return rank_in_topic(k, out="kept_before")
 
 
