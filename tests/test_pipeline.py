@@ -52,6 +52,7 @@ def test_first_and_resumed_run(spark):
     out = curate.run(spark, pages_df(spark, [(1, page(P1, 2)), (2, page(P2, 2))]), cfg, run_id="r1")
     kept = sorted((r.page_no, r.pos, r.is_image) for r in out.story_posts.collect())
     assert kept == [(1, 0, False), (2, 0, False), (2, 1, False), (2, 2, True)]
+    assert sorted(r.excerpt for r in out.story_posts.collect() if r.page_no == 2) == ["Chapitre 2", "Chapitre 3", "screen"]
     reasons = {(r.page_no, r.pos): r.reject_reason for r in out.rejects.collect()}
     assert reasons == {(1, 1): "author", (1, 2): "short", (1, 3): "quote", (1, 4): "duplicate"}
     m = out.metrics.first()

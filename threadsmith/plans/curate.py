@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..config import ARCHIVE_HOST, CurationConfig
 from ..functions.slug import slugify
+from ..functions.text import excerpt
 from ..functions.urls import domain as domain_of
 from ..functions.urls import topic_key as topic_key_of
 from ..operators import assets as A
@@ -95,7 +96,8 @@ def run(spark: SparkSession, pages: DataFrame, cfg: CurationConfig, state: DataF
         .select("topic_id", "total_pages", "post_cursor")
     posts = ST.resume_filter(posts, st, cfg) if cfg.use_state else posts
     verdict = SEL.selection_verdicts(posts, topics, cfg)      # narrow, per post
-    kept = SEL.story_posts(SEL.attach_verdicts(posts, verdict))
+    kept = SEL.story_posts(SEL.attach_verdicts(posts, verdict)) \
+        .withColumn("excerpt", excerpt("paragraphs"))              # U12 (the "chapter added" line)
     if cfg.resize_images and image_targets is not None:          # U16 + J5
         kept = A.apply_image_edits(kept, A.fullsize_edits(kept, image_targets))
     if cfg.download_images and assets is not None:                # A6, J3, J4, U15
