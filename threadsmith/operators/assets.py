@@ -111,8 +111,9 @@ def fullsize_edits(posts: DataFrame, targets: DataFrame) -> DataFrame:
     key = ["topic_id", "page_no", "pos"]
     e = posts.filter("is_image").select(*key, "domain", F.posexplode("images").alias("i", "img")) \
         .filter(F.col("img.hosted"))
-    e = e.join(targets.select(F.col("page_url").alias("_alt"), "full_src").dropDuplicates(["_alt"]),
-               F.col("img.alt") == F.col("_alt"), "left")
+    # one full-size source per image page (deterministic: a found source wins)
+    look = targets.groupBy(F.col("page_url").alias("_alt")).agg(F.max("full_src").alias("full_src"))
+    e = e.join(look, F.col("img.alt") == F.col("_alt"), "left")
     alt, src = F.col("img.alt"), F.col("img.src")
     src_a = F.when(alt.contains(FULLSIZE_MARKER), alt).otherwise(F.coalesce(F.col("full_src"), src))
     new_src = F.when(F.col("domain") == SITE_A, src_a).when(F.col("domain") == SITE_B, alt).otherwise(src)
@@ -135,7 +136,7 @@ def localize_edits(posts: DataFrame, stored: DataFrame, cfg: CurationConfig) ->
     key = ["topic_id", "page_no", "pos"]
     e = posts.select(*key, F.posexplode("images").alias("i", "img")).filter(F.col("img.src").isNotNull())
     e = e.withColumn("url", clean_asset_url(F.col("img.src")))
-    e = e.join(stored.select("url", F.col("file_name").alias("stored_name")).dropDuplicates(["url"]), "url")
+    e = e.join(stored.groupBy("url").agg(F.min("file_name").alias("stored_name")), "url")
     local = asset_local_path(cfg.asset_folder, F.col("stored_name"))
     t = F.replace(F.col("img.tag"), _attr("src", F.col("img.src")), _attr("src", local))
     img = _image(local, F.col("img.alt"), F.col("img.width"), F.col("img.height"), F.col("img.hosted"), t)
