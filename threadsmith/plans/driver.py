@@ -630,8 +630,11 @@ def _extracted(spark, sf):
 
 
 def _q_unescape(x: str) -> str:
-    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
-        x = f"replace({x}, '{ent}', '{ch}')"
+    """Entity decoding for the oracle: the legacy entities also decode
+    without ';' (as HTML parsers do); '&amp' goes last so '&amp;lt;' decodes
+    one level only."""
+    for ent, ch in (("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#39;", "''"), ("&amp;?", "&")):
+        x = f"regexp_replace({x}, '{ent}', '{ch}', 'g')"
     return x
 
 
@@ -645,10 +648,25 @@ def page_title(spark, sf):
     return topics.select("topic_id", "title", "total_pages")
 
 
-@query("post_explode")
+_Q_PARTS = """a AS (SELECT page_id, string_split(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<p>')[2:] AS l
+               FROM pages),
+parts AS (SELECT page_id, unnest(l) AS part, unnest(range(len(l))) AS pos FROM a)"""
+
+
+@query("post_explode", f"""WITH {_Q_PARTS}
+SELECT CAST(page_id AS VARCHAR) AS topic_id, CAST(1 AS INTEGER) AS page_no, CAST(pos AS INTEGER) AS pos,
+  CASE WHEN contains(part, '<b>') THEN
+    {q_trim(_q_unescape("regexp_replace(regexp_extract(part, '(?s)<b>(.*?)(?:</b>|$)', 1), '<[^>]*>', '', 'g')"))}
+  END AS post_author,
+  CAST(length({_q_unescape("regexp_replace(part, '<[^>]*>', '', 'g')")}) AS BIGINT) AS n_chars,
+  CAST(0 AS BIGINT) AS n_paragraphs,
+  CAST(len(regexp_extract_all(part, '<a[\s>]', 0)) AS BIGINT) AS n_links,
+  contains(part, '<blockquote') AS content_has_blockquote
+FROM parts""")
 def post_explode(spark, sf):
     """Every page parsed into posts (``article > p``) with
-    position, author, text and feature counts (rows-only check)."""
+    position, author, text length and feature counts (the oracle splits the
+    article markup with regexes; the job parses it into a tree)."""
     from ..operators import extract as X
     _, posts, _ = X.split(_extracted(spark, sf))
     return posts.select("topic_id", "page_no", "pos", "post_author",
