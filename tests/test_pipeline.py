@@ -150,3 +150,10 @@ def test_archive_topic_no_author_check_no_state(spark):
     assert sorted(r.pos for r in out.story_posts.collect()) == [0, 1]          # P2: author not enforced
     assert out.state.count() == 0                                              # P13: archive keeps no state
     assert [r.mode for r in out.touched.collect()] == ["create"]
+
+
+def test_frontier_lists_missing_pages(spark):
+    # header says 3 pages, the crawl delivered pages 1 and 3
+    out = curate.run(spark, pages_df(spark, [(1, page(P1, 3)), (3, page(P2, 3))]), CurationConfig(use_state=False))
+    got = [(r.page_no, r.page_link) for r in out.frontier.collect()]
+    assert got == [(2, LINK.replace("-1-0-1-0", "-2-0-1-0"))]

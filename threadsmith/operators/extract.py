@@ -28,7 +28,7 @@ IMAGE = StructType([StructField("src", StringType()), StructField("alt", StringT
                     StructField("hosted", BooleanType()), StructField("tag", StringType())])
 FRAME = StructType([StructField("span_html", StringType()), StructField("src", StringType())])
 EXTRACTED = StructType([
-    StructField("kind", StringType()),          # topic | post | quarantine
+    StructField("kind", StringType()),          # page | topic | post | quarantine
     StructField("topic_id", StringType()),
     StructField("page_no", IntegerType()),
     StructField("pos", IntegerType()),
@@ -191,6 +191,7 @@ def _extract_page(row, profiles):
         yield dict(base, kind="quarantine", reason="unsupported_domain")
         return
     root = H.parse(row["html"])
+    yield dict(base, kind="page")                  # this page was crawled and parsed
     if row["page_no"] == 1:
         try:
             author, total, title = _header(root, dom, prof)
@@ -267,6 +268,11 @@ def image_targets(image_pages: DataFrame, url: str = "url", html: str = "html")
     return image_pages.select(F.col(url).alias("page_url"), full_src(html).alias("full_src"))
 
 
+def crawled_pages(extracted: DataFrame) -> DataFrame:
+    """``(topic_id, page_no)`` of every page the parse received."""
+    return extracted.filter(F.col("kind") == "page").select("topic_id", "page_no")
+
+
 def split(extracted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(topics, posts, quarantine) views of one extraction result.  Write the
     result once (``materialize``) when more than one of them is used."""

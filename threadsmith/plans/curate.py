@@ -25,6 +25,7 @@ from ..functions.slug import slugify
 from ..functions.text import excerpt
 from ..functions.urls import domain as domain_of
 from ..functions.urls import topic_key as topic_key_of
+from ..functions.urls import topic_page_link
 from ..operators import assets as A
 from ..operators import extract as X
 from ..operators import render as R
@@ -41,6 +42,7 @@ class RunOutputs:
     state: DataFrame         # new full state
     quarantine: DataFrame    # topic_id, page_no, pos, reason
     touched: DataFrame       # story_key, file_path, mode (create|append)
+    frontier: DataFrame      # topic_id, page_no, page_link: pages to crawl that are missing
 
 
 def prepare_pages(pages: DataFrame, state: DataFrame, cfg: CurationConfig) -> DataFrame:
@@ -142,6 +144,15 @@ def run(spark: SparkSession, pages: DataFrame, cfg: CurationConfig, state: DataF
         "topic_key", "title", F.col("link").alias("page_link"), "file_path",
         F.col("total_pages").cast("int"), F.coalesce("post_cursor", F.lit(0)).cast("int").alias("post_cursor"))
     full_state = ST.upsert_state(state, new_state) if cfg.use_state else state
+    # G1 + U2/U3 + U18: pages from the resume page to the header's count that
+    # the crawl did not deliver (the crawler's to-do list)
+    start = topics.join(state.select("topic_key", F.col("total_pages").alias("_sp")), "topic_key", "left") \
+        .withColumn("start_page", F.when(F.lit(cfg.use_state) & (F.col("domain") != ARCHIVE_HOST),
+                                         F.coalesce("_sp", F.lit(1))).otherwise(F.lit(1)))
+    crawled = X.crawled_pages(ext)
+    frontier = ST.frontier(start.select("topic_id", "link", "domain", "start_page", "total_pages")) \
+        .join(crawled, ["topic_id", "page_no"], "left_anti") \
+        .select("topic_id", "page_no", topic_page_link("link", "page_no", "domain", cfg.page_digit_run).alias("page_link"))
     metrics = counters.withColumn("run_date", F.current_date()).withColumn("run_id", F.lit(run_id))
     stories = chunks.join(active.withColumnRenamed("topic_id", "story_key"), "story_key", "left_semi")
-    return RunOutputs(stories, kept, rejects, metrics, full_state, quarantine, touched)
+    return RunOutputs(stories, kept, rejects, metrics, full_state, quarantine, touched, frontier)

@@ -660,7 +660,7 @@ SELECT CAST(page_id AS VARCHAR) AS topic_id, CAST(1 AS INTEGER) AS page_no, CAST
   END AS post_author,
   CAST(length({_q_unescape("regexp_replace(part, '<[^>]*>', '', 'g')")}) AS BIGINT) AS n_chars,
   CAST(0 AS BIGINT) AS n_paragraphs,
-  CAST(len(regexp_extract_all(part, '<a[\s>]', 0)) AS BIGINT) AS n_links,
+  CAST(len(regexp_extract_all(part, '<a[\\s>]', 0)) AS BIGINT) AS n_links,
   contains(part, '<blockquote') AS content_has_blockquote
 FROM parts""")
 def post_explode(spark, sf):
