@@ -61,8 +61,10 @@ def run_batch(spark, a) -> dict:
     from .operators import state as ST
     from .plans import curate
     from .sources import stories as SS
+    from .session import release_scratch, scratch_mark
     cfg = _config(a)
     out_dir = a.out.rstrip("/")
+    mark = scratch_mark()
     prev = ST.latest_version(spark, f"{out_dir}/state")
     run_seq = (prev or 0) + 1
     state = ST.read_state(spark, f"{out_dir}/state") if cfg.use_state else None
@@ -77,7 +79,6 @@ def run_batch(spark, a) -> dict:
     out = curate.run(spark, spark.read.parquet(a.pages), cfg, state=state, run_id=f"run-{run_seq}",
                      image_targets=targets, assets=assets, existing_stems=stems)
     from .operators import render as R
-    touched = out.touched.withColumnRenamed("story_key", "topic_id")
     # kept posts are written once; the story chunks are rendered from them
     out.story_posts.write.mode("overwrite").parquet(f"{out_dir}/story_posts/run_seq={run_seq}")
     chunks = R.render_chunks(spark.read.parquet(f"{out_dir}/story_posts/run_seq={run_seq}"))
@@ -87,9 +88,11 @@ def run_batch(spark, a) -> dict:
     SS.write_metrics(out.metrics, f"{out_dir}/metrics")
     out.rejects.write.mode("append").parquet(f"{out_dir}/rejects/run_seq={run_seq}")
     out.quarantine.write.mode("append").parquet(f"{out_dir}/quarantine/run_seq={run_seq}")
+    out.frontier.write.mode("overwrite").parquet(f"{out_dir}/frontier/run_seq={run_seq}")
     if cfg.use_state:
         ST.write_state(out.state, f"{out_dir}/state", run_seq)
-    return {"run_seq": run_seq, "touched": touched}
+    release_scratch(spark, mark)       # outputs are committed: drop this run's intermediate tables
+    return {"run_seq": run_seq}
 
 
 def main(argv=None, spark=None) -> int:
