@@ -133,9 +133,10 @@ def resume_filter(posts: DataFrame, state: DataFrame, cfg: CurationConfig,
     page; that is computed from per-page maxima, not from a sequential scan.
     """
     st = state.select(key, F.col("total_pages").alias("_sp"), F.col("post_cursor").alias("_sc"))
-    p = posts.join(st, key, "left")
+    p = posts.join(st, key, "left")          # the state is read once
     if cfg.resume_as_coded:
-        pages = posts.groupBy(key, "page_no").agg(F.max("pos").alias("_mx")).join(st, key)
+        pages = p.filter(F.col("_sp").isNotNull()).groupBy(key, "page_no").agg(
+            F.max("pos").alias("_mx"), F.first("_sp").alias("_sp"), F.first("_sc").alias("_sc"))
         ends = pages.filter((F.col("page_no") >= F.col("_sp"))
                             & ((F.col("_mx") > F.col("_sc")) | (F.col("_mx") >= cfg.posts_per_page - 1))) \
             .groupBy(key).agg(F.min("page_no").alias("_end"))

@@ -24,6 +24,7 @@ from ..operators import dedup as D
 from ..operators import render as R
 from ..operators import select as SEL
 from ..operators import state as ST
+from ..session import materialize
 from .adapters import conversation_posts, document_posts, table
 
 # --- parameters of the driver runs (fixed so that results are comparable) --
@@ -530,7 +531,8 @@ def _resume_inputs(spark, sf):
     posts = _conv(spark, sf, cfg)
     topics = SEL.topic_authors(posts, cfg)
     prev = SEL.selection_verdicts(posts.filter(F.col("page_no") <= RESUME_PREV_PAGES), topics, cfg)
-    state = ST.cursor_advance(prev, cfg)
+    # a stored state is a table: write the derived one once (one row per topic)
+    state = materialize(ST.cursor_advance(prev, cfg), "prev-state")
     return posts, topics, state
 
 
