@@ -56,34 +56,39 @@ def duplicate_verdicts(cands: DataFrame, cfg: CurationConfig) -> DataFrame:
 
 def verdicts_from_keys(n: DataFrame, cfg: CurationConfig) -> DataFrame:
     """Duplicate verdicts from the narrow key table ``(topic_id, ord, img,
-    tkey, ikey)`` of the candidates (read several times: pass a written
-    table)."""
+    tkey, ikey)`` of the candidates.  Image and text rows are handled in
+    separate branches (a table partitioned by the image flag is read only
+    where needed); every join key includes the order key."""
     n = n.select(*K, "ord", "img", "tkey", "ikey")
-    imgs = n.filter("img")
+    imgs = n.filter(F.col("img"))
+    texts = n.filter(~F.col("img"))
     ifirst = _firsts(imgs, "ikey", "img_first")
-    n = n.join(ifirst, K + ["ikey", "ord"], "left").withColumn(
-        "img_first", F.when(F.col("img"), F.coalesce("img_first", F.lit(False))))
+    img_v = imgs.join(ifirst, K + ["ikey", "ord"], "left") \
+        .withColumn("img_first", F.coalesce("img_first", F.lit(False)))
     if not cfg.dedup_as_coded:
-        pool = n.filter(~F.col("img") | F.col("img_first"))
+        kept_imgs = img_v.filter("img_first").select(*K, "ord", "tkey")
+        pool = texts.select(*K, "ord", "tkey").unionByName(kept_imgs)
         tfirst = _firsts(pool, "tkey", "t_first")
-        out = n.join(tfirst, K + ["tkey", "ord"], "left").select(
-            *K, "ord", F.when(F.col("img"), ~F.col("img_first"))
-            .otherwise(~F.coalesce("t_first", F.lit(False))).alias("is_dup"))
-        return _unord(out)
+        text_v = texts.join(tfirst, K + ["tkey", "ord"], "left") \
+            .select(*K, "ord", (~F.coalesce("t_first", F.lit(False))).alias("is_dup"))
+        return _unord(text_v.unionByName(img_v.select(*K, "ord", (~F.col("img_first")).alias("is_dup"))))
     # --- as coded ---------------------------------------------------------
+    # k0 = key of the first candidate; p1 = first later candidate kept before
+    # any second comparison (image kept, or text with another key); after p1
+    # texts compare with p1 only.  Each is one partially aggregated min.
     img_ok = F.lit(True) if cfg.resize_images else F.col("img_first")
-    first = n.groupBy(*K).agg(F.min("ord").alias("f_ord"))
-    k0 = n.join(first, K).filter(F.col("ord") == F.col("f_ord")).select(*K, "f_ord", F.col("tkey").alias("k0"))
-    n1 = n.join(k0, K)
-    after_first = F.col("ord") > F.col("f_ord")
-    elig = after_first & ((~F.col("img") & (F.col("tkey") != F.col("k0"))) | (F.col("img") & img_ok))
-    p1 = n1.filter(elig).groupBy(*K).agg(F.min("ord").alias("p_ord"))
-    p1 = p1.join(n.select(*K, F.col("ord").alias("p_ord"), F.col("tkey").alias("k1")), K + ["p_ord"])
+    rows = texts.withColumn("img_first", F.lit(None).cast("boolean")).unionByName(
+        img_v.select(*K, "ord", "img", "tkey", "ikey", "img_first"))
+    first = n.groupBy(*K).agg(F.min(F.struct("ord", "tkey")).alias("f"))
+    n1 = rows.join(first, K)
+    after_first = F.col("ord") > F.col("f.ord")
+    elig = after_first & ((~F.col("img") & (F.col("tkey") != F.col("f.tkey"))) | (F.col("img") & img_ok))
+    p1 = n1.filter(elig).groupBy(*K).agg(F.min(F.struct("ord", "tkey")).alias("p"))
     n2 = n1.join(p1, K, "left")
-    before_p1 = F.col("p_ord").isNull() | (F.col("ord") < F.col("p_ord"))
-    text_dup = after_first & ((before_p1 & (F.col("tkey") == F.col("k0")))
-                              | (F.col("p_ord").isNotNull() & (F.col("ord") > F.col("p_ord"))
-                                 & (F.col("tkey") == F.col("k1"))))
+    before_p1 = F.col("p").isNull() | (F.col("ord") < F.col("p.ord"))
+    text_dup = after_first & ((before_p1 & (F.col("tkey") == F.col("f.tkey")))
+                              | (F.col("p").isNotNull() & (F.col("ord") > F.col("p.ord"))
+                                 & (F.col("tkey") == F.col("p.tkey"))))
     img_dup = after_first & ~img_ok
     return _unord(n2.select(*K, "ord", F.when(F.col("img"), img_dup).otherwise(text_dup).alias("is_dup")))
 

@@ -122,12 +122,15 @@ def selection_verdicts(posts: DataFrame, topics: DataFrame, cfg: CurationConfig)
 
     The narrow classification is written once (it feeds the dedup and the
     verdict); counters, cursors and reject lists need nothing else."""
-    nc = materialize(classify(posts, topics, cfg), "classified")
+    # partitioned by (candidate, image post): the dedup branches read only
+    # the candidate partitions, and the image branch only the (rare) images
+    nc = materialize(classify(posts, topics, cfg).withColumn("cand", F.col("pre_reason").isNull()),
+                     "classified", partition_by=["cand", "img_post"])
     if cfg.all_posts:
         verdict = nc.select("topic_id", "page_no", "pos", "is_author", "img_post",
                             F.col("pre_reason").alias("reject_reason"), F.lit(False).alias("is_image"))
     else:
-        keys = nc.filter(F.col("pre_reason").isNull()).select(
+        keys = nc.filter(F.col("cand")).select(
             "topic_id", "ord", F.col("img_post").alias("img"), "tkey", "ikey")
         v = verdicts_from_keys(keys, cfg)
         verdict = nc.join(v, ["topic_id", "page_no", "pos"], "left").select(

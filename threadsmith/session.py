@@ -116,13 +116,20 @@ def release_scratch(spark: SparkSession, since: int) -> int:
     return n
 
 
-def materialize(df, name: str):
+def materialize(df, name: str, partition_by: list[str] | None = None):
     """Write ``df`` under the shared checkpoint folder and read it back.
 
     Used where one intermediate result feeds several branches of a plan: it
     is computed once, later stages read a compact parquet table, and the
-    lineage is cut (a lost executor does not recompute upstream stages)."""
+    lineage is cut (a lost executor does not recompute upstream stages).
+    ``partition_by`` lets branches that filter on those columns read only
+    their partitions."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    w = df.write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(path)
+    # the writer's schema keeps partition-column types (discovery would read
+    # booleans back as strings)
+    return spark.read.schema(df.schema).parquet(path)
