@@ -3,9 +3,10 @@
 Works on a narrow projection (topic, order key, 100-char text key, content
 hash, image flag), written once to the shared checkpoint folder, and returns
 a verdict per ``(topic_id, page_no, pos)``; the caller joins it back once.
-Every step is a hash aggregate on a ``long`` order key (partial aggregation
-before the shuffle) or a join on keys that include the order key, so one hot
-topic or one hot text never lands in a single task.
+Every step is a partially aggregated minimum (over the ``long`` order key;
+the as-coded per-topic minima carry the text key in a struct) or a join on
+keys that include the order key or the topic alone against a one-row-per-
+topic table, so one hot topic or one hot text never lands in a single task.
 
 Semantics:
 * text posts, documented intent: a post is a duplicate when its key

@@ -681,9 +681,10 @@ def post_explode(spark, sf):
 # --- streaming ----------------------------------------------------------------
 @query("stream_ingest", """SELECT user_id, count(*) AS n_posts, max(ts) AS last_ts FROM events GROUP BY user_id""")
 def stream_ingest(spark, sf):
-    """Events arrive through a file stream (availableNow); each
-    micro-batch stores its new rows once and updates the per-topic state;
-    the result is the final state."""
+    """Events arrive through a file stream (availableNow); each row
+    counts once (streaming dedup in the state store) and a stateful
+    aggregation keeps per-topic counters, emitting the changed topics per
+    micro-batch; the result is the latest state per topic."""
     from ..streaming.ingest import event_ingest
     return event_ingest(spark, sf, "events.parquet")
 
