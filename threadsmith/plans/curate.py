@@ -1,16 +1,19 @@
 """End-to-end curation run: crawled pages -> stories, state, metrics.
 
-Stage plan (shuffles marked):
+Stage plan:
   1. filter pages (status, resume start page) before the parse;
   2. parse once (Python, Arrow batches) and write the result to the shared
-     checkpoint folder (lineage cut, reused by every output);
-  3. selection: topic join (AQE picks broadcast or sort-merge from runtime
-     sizes, skew splits on), duplicate verdicts on a narrow projection
-     (aggregates + joins keyed by post position);
-  4. render: group by (story, page) [shuffle], bounded groups;
-  5. state: per-topic aggregates, full outer join with the stored state,
-     written as a new version;
-  6. metrics: per-topic counters.
+     checkpoint folder: the raw pages are read once, lineage is cut, and
+     every output reads the written result;
+  3. selection on a narrow classification written once (partitioned by
+     candidate / image post): topic join on narrow rows (AQE picks broadcast
+     or sort-merge from runtime sizes, skew splits on), duplicate verdicts by
+     aggregates + joins keyed by post position;
+  4. the post rows are shuffled once, by (topic, page), to meet their
+     verdicts; rendering groups by (story, page) on that same partitioning;
+  5. state: per-topic aggregates, full outer join with the stored state;
+  6. metrics, rejects, quarantine and the crawl frontier (pages still to
+     fetch) from the narrow tables.
 """
 
 from __future__ import annotations
