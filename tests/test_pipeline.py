@@ -157,3 +157,16 @@ def test_frontier_lists_missing_pages(spark):
     out = curate.run(spark, pages_df(spark, [(1, page(P1, 3)), (3, page(P2, 3))]), CurationConfig(use_state=False))
     got = [(r.page_no, r.page_link) for r in out.frontier.collect()]
     assert got == [(2, LINK.replace("-1-0-1-0", "-2-0-1-0"))]
+
+
+def test_dedup_across_runs(spark):
+    r1 = curate.run(spark, pages_df(spark, [(1, page(P1, 2)), (2, page(P2, 2))]), CurationConfig(), run_id="r1")
+    state = spark.createDataFrame(r1.state.collect(), r1.state.schema)
+    keys = spark.createDataFrame(r1.kept_keys.collect(), r1.kept_keys.schema)
+    repeat = P2 + [post("pogo12", f"<p>chapitre 2</p><p>{LONG}</p>")]      # repeats a chapter of run 1
+    crawl = pages_df(spark, [(1, page(P1, 2)), (2, page(repeat, 2))])
+    as_coded = curate.run(spark, crawl, CurationConfig(), state=state, earlier_keys=keys)
+    assert sorted((r.page_no, r.pos) for r in as_coded.story_posts.collect()) == [(2, 3)]   # kept: fresh run
+    across = curate.run(spark, crawl, CurationConfig(dedup_across_runs=True), state=state, earlier_keys=keys)
+    assert across.story_posts.count() == 0
+    assert [r.reject_reason for r in across.rejects.collect() if r.page_no == 2 and r.pos == 3] == ["duplicate"]

@@ -20,7 +20,8 @@ def _config(a) -> CurationConfig:
         extra_authors=tuple(a.authors or ()), identifiers=tuple(a.identifiers or DEFAULT_IDENTIFIERS),
         match_author_root=not a.no_match_author, all_posts=a.all_posts, resize_images=not a.no_resize_images,
         download_images=a.download_images, use_state=not a.no_database, dedup_as_coded=a.dedup_as_coded,
-        identifier_rescues_short=a.identifier_rescues_short, resume_as_coded=not a.resume_intent)
+        identifier_rescues_short=a.identifier_rescues_short, resume_as_coded=not a.resume_intent,
+        dedup_across_runs=a.dedup_across_runs)
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -41,6 +42,7 @@ def _parser() -> argparse.ArgumentParser:
         s.add_argument("--download-images", action="store_true")
         s.add_argument("--no-database", action="store_true")
         s.add_argument("--dedup-as-coded", action="store_true")
+        s.add_argument("--dedup-across-runs", action="store_true")
         s.add_argument("--identifier-rescues-short", action="store_true")
         s.add_argument("--resume-intent", action="store_true")
         s.add_argument("--image-targets", help="parquet of image-host pages: url, html")
@@ -76,8 +78,10 @@ def run_batch(spark, a) -> dict:
     stems = None
     if ST._fs(spark, f"{out_dir}/touched")[0].exists(ST._fs(spark, f"{out_dir}/touched")[1]):
         stems = spark.read.parquet(f"{out_dir}/touched").select("file_path")
+    fs, kk = ST._fs(spark, f"{out_dir}/kept_keys")
+    earlier = spark.read.parquet(f"{out_dir}/kept_keys") if fs.exists(kk) else None
     out = curate.run(spark, spark.read.parquet(a.pages), cfg, state=state, run_id=f"run-{run_seq}",
-                     image_targets=targets, assets=assets, existing_stems=stems)
+                     image_targets=targets, assets=assets, existing_stems=stems, earlier_keys=earlier)
     from .operators import render as R
     # kept posts are written once; the story chunks are rendered from them
     out.story_posts.write.mode("overwrite").parquet(f"{out_dir}/story_posts/run_seq={run_seq}")
@@ -89,6 +93,7 @@ def run_batch(spark, a) -> dict:
     out.rejects.write.mode("append").parquet(f"{out_dir}/rejects/run_seq={run_seq}")
     out.quarantine.write.mode("append").parquet(f"{out_dir}/quarantine/run_seq={run_seq}")
     out.frontier.write.mode("overwrite").parquet(f"{out_dir}/frontier/run_seq={run_seq}")
+    out.kept_keys.write.mode("append").parquet(f"{out_dir}/kept_keys")
     if cfg.use_state:
         ST.write_state(out.state, f"{out_dir}/state", run_seq)
     release_scratch(spark, mark)       # outputs are committed: drop this run's intermediate tables

@@ -50,6 +50,7 @@ class CurationConfig:
     use_state: bool = True                  # False = --no-database
     # semantics switches: documented intent (default) vs. behaviour as coded
     dedup_as_coded: bool = False
+    dedup_across_runs: bool = False         # posts kept by earlier runs count as earlier posts
     identifier_rescues_short: bool = False
     resume_as_coded: bool = True
     replace_video_frames: bool = False      # dead code in the original tool

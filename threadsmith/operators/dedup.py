@@ -55,20 +55,30 @@ def duplicate_verdicts(cands: DataFrame, cfg: CurationConfig) -> DataFrame:
     return verdicts_from_keys(materialize(_narrow(cands, cfg), "dedup-keys"), cfg)
 
 
-def verdicts_from_keys(n: DataFrame, cfg: CurationConfig) -> DataFrame:
+def verdicts_from_keys(n: DataFrame, cfg: CurationConfig, earlier: DataFrame | None = None) -> DataFrame:
     """Duplicate verdicts from the narrow key table ``(topic_id, ord, img,
     tkey, ikey)`` of the candidates.  Image and text rows are handled in
     separate branches (a table partitioned by the image flag is read only
-    where needed); every join key includes the order key."""
+    where needed); every join key includes the order key.
+
+    ``earlier(topic_id, tkey, ikey)``: keys of posts kept by earlier runs
+    (documented intent, across runs).  They enter the first-of-key pools
+    with an order key below every post, so a repeat of them is a duplicate."""
     n = n.select(*K, "ord", "img", "tkey", "ikey")
     imgs = n.filter(F.col("img"))
     texts = n.filter(~F.col("img"))
-    ifirst = _firsts(imgs, "ikey", "img_first")
+    before = F.lit(-1).cast("long")
+    ipool = imgs.select(*K, "ord", "ikey")
+    if earlier is not None:
+        ipool = ipool.unionByName(earlier.filter(F.col("ikey").isNotNull()).select(*K, before.alias("ord"), "ikey"))
+    ifirst = _firsts(ipool, "ikey", "img_first")
     img_v = imgs.join(ifirst, K + ["ikey", "ord"], "left") \
         .withColumn("img_first", F.coalesce("img_first", F.lit(False)))
     if not cfg.dedup_as_coded:
         kept_imgs = img_v.filter("img_first").select(*K, "ord", "tkey")
         pool = texts.select(*K, "ord", "tkey").unionByName(kept_imgs)
+        if earlier is not None:
+            pool = pool.unionByName(earlier.select(*K, before.alias("ord"), "tkey"))
         tfirst = _firsts(pool, "tkey", "t_first")
         text_v = texts.join(tfirst, K + ["tkey", "ord"], "left") \
             .select(*K, "ord", (~F.coalesce("t_first", F.lit(False))).alias("is_dup"))

@@ -116,7 +116,8 @@ def key_columns_for(cfg: CurationConfig) -> list:
     return [k[0], k[2], k[3]]          # ord, tkey, ikey (the image flag is img_post)
 
 
-def selection_verdicts(posts: DataFrame, topics: DataFrame, cfg: CurationConfig) -> DataFrame:
+def selection_verdicts(posts: DataFrame, topics: DataFrame, cfg: CurationConfig,
+                       earlier_keys: DataFrame | None = None) -> DataFrame:
     """Narrow verdict per post: ``topic_id, page_no, pos, is_author,
     img_post, reject_reason`` (null = kept), ``kept``, ``is_image``.
 
@@ -128,20 +129,26 @@ def selection_verdicts(posts: DataFrame, topics: DataFrame, cfg: CurationConfig)
                      "classified", partition_by=["cand", "img_post"])
     if cfg.all_posts:
         verdict = nc.select("topic_id", "page_no", "pos", "is_author", "img_post",
-                            F.col("pre_reason").alias("reject_reason"), F.lit(False).alias("is_image"))
+                            F.col("pre_reason").alias("reject_reason"), F.lit(False).alias("is_image"),
+                            "tkey", "ikey")
     else:
         keys = nc.filter(F.col("cand")).select(
             "topic_id", "ord", F.col("img_post").alias("img"), "tkey", "ikey")
-        v = verdicts_from_keys(keys, cfg)
+        v = verdicts_from_keys(keys, cfg, earlier_keys)
         verdict = nc.join(v, ["topic_id", "page_no", "pos"], "left").select(
             "topic_id", "page_no", "pos", "is_author", "img_post",
             F.coalesce(F.col("pre_reason"), F.when(F.col("is_dup"), F.lit(REASON_DUP))).alias("reject_reason"),
-            "content_img")
+            "content_img", "tkey", "ikey")
         verdict = verdict.withColumn("is_image", F.col("reject_reason").isNull() & F.col("content_img")) \
             .drop("content_img")
     return verdict.withColumn("kept", F.col("reject_reason").isNull())
 
 
+def kept_keys(verdict_keys: DataFrame) -> DataFrame:
+    """Dedup keys of the kept posts, to store for later runs."""
+    return verdict_keys.filter("kept").select("topic_id", "tkey", F.when(F.col("img_post"), F.col("ikey")).alias("ikey"))
+
+
 def attach_verdicts(posts: DataFrame, verdict: DataFrame) -> DataFrame:
     """Join the verdicts to the post rows.  The post rows are shuffled once,
     by (topic, page) — fine-grained, so a hot topic spreads out — and

@@ -46,6 +46,7 @@ class RunOutputs:
     quarantine: DataFrame    # topic_id, page_no, pos, reason
     touched: DataFrame       # story_key, file_path, mode (create|append)
     frontier: DataFrame      # topic_id, page_no, page_link: pages to crawl that are missing
+    kept_keys: DataFrame     # topic_key, tkey, ikey: dedup keys of this run's kept posts
 
 
 def prepare_pages(pages: DataFrame, state: DataFrame, cfg: CurationConfig) -> DataFrame:
@@ -76,11 +77,14 @@ class AssetInputs:
 
 def run(spark: SparkSession, pages: DataFrame, cfg: CurationConfig, state: DataFrame | None = None,
         run_id: str = "run-0", profile_rows=None, image_targets: DataFrame | None = None,
-        assets: AssetInputs | None = None, existing_stems: DataFrame | None = None) -> RunOutputs:
+        assets: AssetInputs | None = None, existing_stems: DataFrame | None = None,
+        earlier_keys: DataFrame | None = None) -> RunOutputs:
     """One batch run.  ``pages(topic_id, link, page_no, html[, status])``;
     ``image_targets(page_url, full_src)`` from ``extract.image_targets``;
     ``existing_stems(file_path)``: story files already in the output folder
-    (their version numbers are taken, as are those recorded in the state)."""
+    (their version numbers are taken, as are those recorded in the state);
+    ``earlier_keys(topic_key, tkey, ikey)``: dedup keys kept by earlier runs
+    (used when ``cfg.dedup_across_runs``)."""
     state = state if state is not None else ST.empty_state(spark)
     p = prepare_pages(pages, state, cfg)
     # the raw pages are read once, by the parse; everything after reads its
@@ -100,7 +104,11 @@ def run(spark: SparkSession, pages: DataFrame, cfg: CurationConfig, state: DataF
         .filter(F.lit(cfg.use_state) & (F.col("domain") != ARCHIVE_HOST)) \
         .select("topic_id", "total_pages", "post_cursor")
     posts = ST.resume_filter(posts, st, cfg) if cfg.use_state else posts
-    verdict = SEL.selection_verdicts(posts, topics, cfg)      # narrow, per post
+    earlier = None
+    if cfg.dedup_across_runs and earlier_keys is not None:
+        earlier = earlier_keys.join(topics.select("topic_id", "topic_key"), "topic_key") \
+            .select("topic_id", "tkey", "ikey")
+    verdict = SEL.selection_verdicts(posts, topics, cfg, earlier)      # narrow, per post
     kept = SEL.story_posts(SEL.attach_verdicts(posts, verdict)) \
         .withColumn("excerpt", excerpt("paragraphs"))              # U12 (the "chapter added" line)
     if cfg.resize_images and image_targets is not None:          # U16 + J5
@@ -158,4 +166,6 @@ def run(spark: SparkSession, pages: DataFrame, cfg: CurationConfig, state: DataF
         .select("topic_id", "page_no", topic_page_link("link", "page_no", "domain", cfg.page_digit_run).alias("page_link"))
     metrics = counters.withColumn("run_date", F.current_date()).withColumn("run_id", F.lit(run_id))
     stories = chunks.join(active.withColumnRenamed("topic_id", "story_key"), "story_key", "left_semi")
-    return RunOutputs(stories, kept, rejects, metrics, full_state, quarantine, touched, frontier)
+    keys = SEL.kept_keys(verdict).join(topics.select("topic_id", "topic_key"), "topic_id") \
+        .select("topic_key", "tkey", "ikey")
+    return RunOutputs(stories, kept, rejects, metrics, full_state, quarantine, touched, frontier, keys)

@@ -67,7 +67,11 @@ def page_ingest(spark: SparkSession, landing: str, schema: StructType, base: str
     def handle(pages: DataFrame, batch_id: int) -> None:
         mark = scratch_mark()
         state = ST.read_state(spark, f"{base}/state", at_most=batch_id)
-        out = curate.run(spark, pages, cfg, state=state, run_id=f"batch-{batch_id}", profile_rows=profile_rows)
+        earlier = None
+        if cfg.dedup_across_runs and ST._fs(spark, f"{base}/kept_keys")[0].exists(ST._fs(spark, f"{base}/kept_keys")[1]):
+            earlier = spark.read.parquet(f"{base}/kept_keys").filter(F.col("batch_id") < batch_id)
+        out = curate.run(spark, pages, cfg, state=state, run_id=f"batch-{batch_id}", profile_rows=profile_rows,
+                         earlier_keys=earlier)
         tag = f"batch_id={batch_id}"
         # kept posts are written once; the stories are rendered from them
         out.story_posts.drop("images").write.mode("overwrite").parquet(f"{base}/story_posts/{tag}")
@@ -75,6 +79,7 @@ def page_ingest(spark: SparkSession, landing: str, schema: StructType, base: str
         R.render_chunks(kept).withColumn("run_id", F.lit(f"batch-{batch_id}")) \
             .write.mode("overwrite").parquet(f"{base}/stories/{tag}")
         out.metrics.write.mode("overwrite").parquet(f"{base}/metrics/{tag}")     # S14, replay-safe
+        out.kept_keys.write.mode("overwrite").parquet(f"{base}/kept_keys/{tag}")
         ST.write_state(out.state, f"{base}/state", batch_id + 1)
         release_scratch(spark, mark)    # the batch's intermediate tables
 
