@@ -170,3 +170,26 @@ def test_dedup_across_runs(spark):
     across = curate.run(spark, crawl, CurationConfig(dedup_across_runs=True), state=state, earlier_keys=keys)
     assert across.story_posts.count() == 0
     assert [r.reject_reason for r in across.rejects.collect() if r.page_no == 2 and r.pos == 3] == ["duplicate"]
+
+
+def test_batch_equals_incremental_with_cross_run_dedup(spark):
+    import random
+    rnd = random.Random(5)
+    texts = [f"<p>Chapitre {i}</p><p>{LONG}</p>" for i in range(6)] + ["<p>merci</p>"]
+    pages = []
+    for pg in range(1, 4):                                    # full pages: 20 posts each
+        posts = [post(rnd.choice(["pogo12", "pogo77", "other"]), rnd.choice(texts)) for _ in range(20)]
+        pages.append((pg, posts))
+    cfg = CurationConfig(dedup_across_runs=True, resume_as_coded=False)
+    full = [(pg, page(ps, 3)) for pg, ps in pages]
+    batch = curate.run(spark, pages_df(spark, full), cfg)
+    expected = sorted((r.page_no, r.pos) for r in batch.story_posts.collect())
+    for k in (1, 2):
+        first = [(pg, page(ps, k)) for pg, ps in pages[:k]]
+        r1 = curate.run(spark, pages_df(spark, first), cfg, run_id="r1")
+        st = spark.createDataFrame(r1.state.collect(), r1.state.schema)
+        keys = spark.createDataFrame(r1.kept_keys.collect(), r1.kept_keys.schema)
+        r2 = curate.run(spark, pages_df(spark, full), cfg, state=st, earlier_keys=keys, run_id="r2")
+        got = sorted([(r.page_no, r.pos) for r in r1.story_posts.collect()]
+                     + [(r.page_no, r.pos) for r in r2.story_posts.collect()])
+        assert got == expected, k
