@@ -82,3 +82,12 @@ def test_deep_nesting_is_handled():
     deep = "<div>" * 5000 + "<p>x</p>" + "</div>" * 5000
     r = H.parse(deep)
     assert r.text() == "x" and len(H.select(r, "div > p")) == 1 and r.html().count("<div>") == 5000
+
+
+def test_hosted_count_matches_parse(spark):
+    from threadsmith.operators.select import hosted_count
+    from tests.test_assets import IMAGE_POST
+    from tests.test_pipeline import page
+    _, posts, _ = run(spark, [("a", "https://www.jeuxvideo.com/forums/42-51-1-1-0-1-0-t.htm", 1, page([IMAGE_POST], 1))])
+    r = posts.select("content_n_hosted", hosted_count("images").alias("n")).first()
+    assert r.content_n_hosted == r.n == 3

@@ -58,6 +58,11 @@ def author_match(post_author, authors, match_root: bool = True) -> Column:
     return F.coalesce(res, F.lit(False))
 
 
+def hosted_count(images) -> Column:
+    """Number of hosted images of a post (array of image structs)."""
+    return F.size(F.filter(F.coalesce(_c(images), F.array()), lambda i: F.coalesce(i["hosted"], F.lit(False))))
+
+
 def image_post(paragraphs, n_hosted, has_blockquote, text, dom, n_links,
                cfg: CurationConfig) -> Column:
     """P7, closed form of the order-dependent fold::
@@ -92,7 +97,8 @@ def classify(posts: DataFrame, topics: DataFrame, cfg: CurationConfig) -> DataFr
     if cfg.identifier_rescues_short:
         short = short & ~has_identifier(F.get("post_paragraphs", 0), cfg.identifiers,
                                         cfg.identifier_window, "post_has_blockquote")
-    content_img = image_post("paragraphs", "content_n_hosted", "content_has_blockquote", "content_text",
+    n_hosted_content = hosted_count("images") if "images" in posts.columns else F.col("content_n_hosted")
+    content_img = image_post("paragraphs", n_hosted_content, "content_has_blockquote", "content_text",
                              dom, "n_links", cfg)
     nar = posts.select("topic_id", "page_no", "pos", "post_author", dom.alias("_dom"),
                        img.alias("img_post"), short.alias("_short"), content_img.alias("content_img"),
