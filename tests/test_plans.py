@@ -42,6 +42,8 @@ def test_no_topic_sized_window(spark):
         for part in _windows(df):
             keys = [k.split("#")[0].strip() for k in part.split(",") if k.strip()]
             assert keys not in (["topic_id"], ["lang"], ["conv_id"]), (name, part)
+    for part in _windows(D.QUERIES["slug_version"](spark, SF0001)):
+        assert "slug" not in part, part          # W6: no window partitioned by the slug
 
 
 def test_pushdown_and_pruning(spark):

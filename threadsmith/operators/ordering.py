@@ -43,3 +43,26 @@ def rank_in_topic(df: DataFrame, topic: str = "topic_id", page: str = "page_no",
     ranked = in_page.join(pages, [topic, page]) \
         .select(topic, page, pos, (F.col("_off") + F.col("_r")).cast("long").alias(out))
     return df.join(ranked, [topic, page, pos])
+
+
+def sorted_positions(df: DataFrame, by: list[str], parts: int | None = None) -> DataFrame:
+    """Dense 0-based position of every row in the global order ``by``.
+
+    The rows are range-partitioned on ``by`` (a hot key spans many
+    partitions), positions inside a partition come from the sort, and
+    partition offsets from a prefix sum over the per-partition counts (one
+    row per partition).  The assignment is written once (range bounds are
+    sampled per execution).  Adds ``_pos`` (long) and ``_pid`` (int)."""
+    from ..session import materialize
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    s = df.repartitionByRange(parts, *by).sortWithinPartitions(*by) \
+        .withColumn("_pid", F.spark_partition_id()) \
+        .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("long"), 33))
+    # range bounds are sampled per execution: write the assignment once so
+    # counts and positions come from the same partitioning
+    s = materialize(s, "sorted")
+    counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(
+        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_pid", "_off")
+    return s.join(F.broadcast(offsets), "_pid").withColumn("_pos", F.col("_off") + F.col("_local")) \
+        .drop("_off", "_local")

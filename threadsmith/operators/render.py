@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import STORY_FOOTER, STORY_HEADER, CurationConfig
 from ..functions.text import quote_norm
-from .ordering import rank_in_topic
+from .ordering import rank_in_topic, sorted_positions
 
 
 def ordered_concat(order_cols: list[str], value: str) -> Column:
@@ -65,17 +65,34 @@ def version_numbers(new: DataFrame, used: DataFrame, slug: str = "slug",
     """Each new story gets the smallest free version N >= 0 of its slug.
 
     With used versions ``u_0 < u_1 < ...`` and gaps ``g_i = u_i - i``, the
-    ``r``-th new row (0-based) gets ``r + #{i : g_i <= r}``.  Computed as a
-    merge of used and new rows ordered by (g or r): no pairs are formed and
-    ``new`` is read once (its columns travel through the merge)."""
-    extra = [c for c in new.columns if c not in (slug,)]
-    u = used.select(slug, "version").distinct()
-    u = u.withColumn("_k", (F.col("version") - (F.row_number().over(
-        Window.partitionBy(slug).orderBy("version")) - 1)).cast("long")).select(
-        slug, "_k", F.lit(0).alias("_t"), *[F.lit(None).cast(new.schema[c].dataType).alias(c) for c in extra])
-    n = new.withColumn("_k", (F.row_number().over(Window.partitionBy(slug).orderBy(order)) - 1).cast("long")) \
-        .withColumn("_t", F.lit(1)).select(slug, "_k", "_t", *extra)
-    m = u.unionByName(n)
-    w = Window.partitionBy(slug).orderBy("_k", "_t").rowsBetween(Window.unboundedPreceding, 0)
-    m = m.withColumn("_used_le", F.sum(1 - F.col("_t")).over(w))
-    return m.filter(F.col("_t") == 1).select(slug, *extra, (F.col("_k") + F.col("_used_le")).alias("version"))
+    ``r``-th new row (0-based) gets ``r + #{i : g_i <= r}``.  Ranks inside a
+    slug and the count of gaps come from one global sort of used and new
+    rows (``ordering.sorted_positions``: range partitioned, so a slug shared
+    by many stories spans many tasks) and per-slug minima; no window is
+    partitioned by slug and no pairs are formed."""
+    extra = [c for c in new.columns if c != slug]
+    # rank of each used version inside its slug -> gap g = version - rank
+    u = sorted_positions(used.select(slug, "version").distinct(), [slug, "version"])
+    u = u.join(u.groupBy(slug).agg(F.min("_pos").alias("_s")), slug) \
+        .select(slug, (F.col("version") - (F.col("_pos") - F.col("_s"))).alias("_k"), F.lit(0).alias("_t"),
+                F.col("version").cast("long").alias("_tb"),        # unique sort key (equal gaps are common)
+                *[F.lit(None).cast(new.schema[c].dataType).alias(c) for c in extra])
+    # rank r of each new row inside its slug (by ``order``)
+    n = sorted_positions(new, [slug, order])
+    n = n.join(n.groupBy(slug).agg(F.min("_pos").alias("_s")), slug) \
+        .select(slug, (F.col("_pos") - F.col("_s")).alias("_k"), F.lit(1).alias("_t"),
+                (F.col("_pos") - F.col("_s")).alias("_tb"), *extra)
+    # merge: used rows sort before new rows of the same key; the number of
+    # used rows up to a new row (inside its slug) is the gap count
+    m = sorted_positions(u.unionByName(n), [slug, "_k", "_t", "_tb"]) \
+        .withColumn("_u", (1 - F.col("_t")).cast("long"))
+    in_part = Window.partitionBy("_pid").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    m = m.withColumn("_cum_local", F.sum("_u").over(in_part))
+    part_used = m.groupBy("_pid").agg(F.sum("_u").alias("_pu"))
+    part_off = part_used.withColumn("_uoff", F.coalesce(F.sum("_pu").over(
+        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_pid", "_uoff")
+    m = m.join(F.broadcast(part_off), "_pid").withColumn("_cum", F.col("_uoff") + F.col("_cum_local"))
+    base = m.groupBy(slug).agg(F.min(F.col("_cum") - F.col("_u")).alias("_b"))
+    m = m.join(base, slug)
+    return m.filter(F.col("_t") == 1).select(slug, *extra,
+                                             (F.col("_k") + F.col("_cum") - F.col("_b")).cast("long").alias("version"))
