@@ -145,11 +145,33 @@ def test_version_numbers(spark):
     from threadsmith.operators.render import version_numbers
     used = spark.createDataFrame([("s1", 0), ("s1", 1), ("s2", 0), ("s2", 2)], "slug string, version long")
     new = spark.createDataFrame([("s1", 10), ("s2", 11), ("s2", 12), ("s2", 13), ("s3", 14)], "slug string, link_no long")
-    got = {r.link_no: r.version for r in version_numbers(new, used).collect()}
-    assert got == {10: 2, 11: 1, 12: 3, 13: 4, 14: 0}
+    for limit in (1_000_000, 0):                  # per-slug windows / range-partitioned sort
+        got = {r.link_no: r.version for r in version_numbers(new, used, max_group=limit).collect()}
+        assert got == {10: 2, 11: 1, 12: 3, 13: 4, 14: 0}, limit
 
 
 def test_cursor_all_posts_mode(spark):
     df = spark.createDataFrame([(1, 1, 0, True), (1, 2, 3, True)], "topic_id long, page_no int, pos int, kept boolean")
     got = [(r.total_pages, r.post_cursor) for r in ST.cursor_advance(df, CurationConfig(all_posts=True)).collect()]
     assert got == [(2, 0)]
+
+
+def test_version_numbers_random(spark):
+    from threadsmith.operators.render import version_numbers
+    rnd = random.Random(9)
+    used_rows, new_rows, exp = [], [], {}
+    link = 0
+    for sl in range(12):
+        slug = f"s{sl}"
+        used = sorted(set(rnd.sample(range(40), rnd.randint(0, 25))) | ({0, 1, 2, 3} if sl % 3 == 0 else set()))
+        used_rows += [(slug, v) for v in used]
+        free = (v for v in range(10_000) if v not in set(used))
+        for _ in range(rnd.randint(0, 15)):
+            exp[link] = next(free)
+            new_rows.append((slug, link))
+            link += 1
+    new = spark.createDataFrame(new_rows, "slug string, link_no long")
+    used = spark.createDataFrame(used_rows, "slug string, version long")
+    for limit in (1_000_000, 0):
+        got = {r.link_no: r.version for r in version_numbers(new, used, max_group=limit).collect()}
+        assert got == exp, limit
