@@ -93,7 +93,8 @@ def run_batch(spark, a) -> dict:
     out.rejects.write.mode("append").parquet(f"{out_dir}/rejects/run_seq={run_seq}")
     out.quarantine.write.mode("append").parquet(f"{out_dir}/quarantine/run_seq={run_seq}")
     out.frontier.write.mode("overwrite").parquet(f"{out_dir}/frontier/run_seq={run_seq}")
-    out.kept_keys.write.mode("append").parquet(f"{out_dir}/kept_keys")
+    if cfg.dedup_across_runs:
+        out.kept_keys.write.mode("append").parquet(f"{out_dir}/kept_keys")
     if cfg.use_state:
         ST.write_state(out.state, f"{out_dir}/state", run_seq)
     release_scratch(spark, mark)       # outputs are committed: drop this run's intermediate tables

@@ -79,7 +79,8 @@ def page_ingest(spark: SparkSession, landing: str, schema: StructType, base: str
         R.render_chunks(kept).withColumn("run_id", F.lit(f"batch-{batch_id}")) \
             .write.mode("overwrite").parquet(f"{base}/stories/{tag}")
         out.metrics.write.mode("overwrite").parquet(f"{base}/metrics/{tag}")     # S14, replay-safe
-        out.kept_keys.write.mode("overwrite").parquet(f"{base}/kept_keys/{tag}")
+        if cfg.dedup_across_runs:
+            out.kept_keys.write.mode("overwrite").parquet(f"{base}/kept_keys/{tag}")
         ST.write_state(out.state, f"{base}/state", batch_id + 1)
         release_scratch(spark, mark)    # the batch's intermediate tables
 
