@@ -12,7 +12,6 @@ descendant, ``>``, ``+``, ``~`` and ``:last-child``, ``:last-of-type``,
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 from html import escape
 from html.parser import HTMLParser
 
@@ -172,9 +171,14 @@ def _compound(text: str):
     return parts
 
 
-@lru_cache(maxsize=256)
+_COMPILED: dict[str, tuple] = {}      # selector cache (a plain dict pickles with the code)
+
+
 def compile_selector(sel: str):
     """'a > b c' -> ((None, a), ('>', b), (' ', c)) (left to right; cached)."""
+    hit = _COMPILED.get(sel)
+    if hit is not None:
+        return hit
     steps, comb = [], None
     # attribute values may contain spaces: protect them first
     protected = re.sub(r"\[[^\]]*\]", lambda m: m.group(0).replace(" ", "\x00"), sel.strip())
@@ -187,7 +191,8 @@ def compile_selector(sel: str):
         elif simple:
             steps.append((comb if steps else None, tuple(_compound(simple.replace("\x00", " ")))))
             comb = None
-    return tuple(steps)
+    _COMPILED[sel] = tuple(steps)
+    return _COMPILED[sel]
 
 
 def _siblings(n: Node):
