@@ -30,10 +30,17 @@ SESSION_DEFAULTS = {
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "threadsmith", extra: dict | None = None) -> SparkSession:
-    """Local/test session.  On a cluster use the cluster's session and only
-    ``apply_defaults``."""
-    master = master or os.environ.get("THREADSMITH_MASTER", "local[8]")
-    b = SparkSession.builder.master(master).appName(app_name)
+    """Session with the defaults the jobs rely on.  The master is the given
+    one, else $THREADSMITH_MASTER, else the configured one (spark-submit),
+    else ``local[8]``."""
+    master = master or os.environ.get("THREADSMITH_MASTER")
+    if master is None:
+        from pyspark import SparkConf
+        # under spark-submit the cluster's master is already configured: keep it
+        master = None if SparkConf().get("spark.master", None) else "local[8]"
+    b = SparkSession.builder.appName(app_name)
+    if master:
+        b = b.master(master)
     for k, v in SESSION_DEFAULTS.items():
         b = b.config(k, v)
     b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
