@@ -8,10 +8,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, line_quality, mixing, token_files, wordpiece
+from . import byte_bpe, jaccard, line_quality, mixing, token_files, wordpiece
 from .common import table
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.write_token_files(table(spark, sf_dir, "documents"),
                                              public_tokenizers.path("word_bpe_49k.json"))
@@ -35,5 +39,5 @@ def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.quality(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op4_mix_sources, op5_wordpiece_counts, op9_byte_bpe,
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_token_files, op4_mix_sources, op5_wordpiece_counts, op9_byte_bpe,
                                    op10_line_quality)}

@@ -10,9 +10,12 @@ place among all ids is base + offset.  Readers map the files into memory.
 A task writes its files under a name of its attempt and renames them, so a
 task that runs twice (lost executor, speculation) leaves one whole pair.
 
-The tokenizer sees every distinct blank-separated chunk of a worker once:
-the normaliser and the pre-tokenizer never join anything across a blank or a
-line feed, so the ids of a text are those of its chunks in order.
+The tokenizer sees every distinct pre-token of a worker once: the normaliser
+and the pre-tokenizer never join anything across a blank or a line feed, so
+the ids of a text are those of its blank-separated chunks in order, and those
+of a chunk are its pre-tokens' (cut by the tokenizer file's own pattern).
+Each pre-token ends with a token that ends a word, so many are encoded as one
+text and told apart by these.
 
 Defined cases: null or empty text has the end id alone; null ids come first
 and stay null; rows with one id are written one after another; an empty table
@@ -21,6 +24,7 @@ gives an empty manifest; further columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 
@@ -34,8 +38,8 @@ from ..session import materialize, scratch_path
 from .common import per_worker, rows_to_batch, shuffle_partitions, text_blocks
 
 BLOCK_CHARS = 4_000_000      # characters tokenized at once
-CACHE_CHUNKS = 400_000       # chunks a worker remembers (then it starts anew)
-JOINED = 512                 # unseen chunks that are encoded as one text
+CACHE_CHUNKS = 300_000       # chunks, and pre-tokens, a worker remembers (then it starts anew)
+JOINED = 512                 # unseen pre-tokens that are encoded as one text
 
 MANIFEST = "part int, path string, n_docs long, n_null long, n_tokens long, width int"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -45,41 +49,92 @@ class ChunkEncoder:
     """Ids (little-endian bytes) of texts by a remembered table of chunks."""
 
     def __init__(self, tokenizer_json: str, width: int):
+        import regex
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_str(tokenizer_json)
         self.tok.no_truncation()
         self.dtype = np.dtype("<u2" if width == 2 else "<u4")
+        spec = json.loads(tokenizer_json)
+        split = [p["pattern"]["Regex"] for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+                 if p["type"] == "Split" and "Regex" in p["pattern"]]
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.cut = regex.compile(split[0]) if split and suffix else None
+        vocab = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        if suffix:
+            self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        self.special = sorted({t["content"][:2] for t in spec.get("added_tokens", [])})
         self.seen: dict[str, bytes] = {"": b""}
-
-    def _learn(self, chunks: list[str]) -> None:
-        for i in range(0, len(chunks), JOINED):
-            part = chunks[i:i + JOINED]
-            for c, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.seen[c] = np.array(e.ids, dtype=self.dtype).tobytes()
-
-    @staticmethod
-    def _chunks(text: str) -> list[str]:
-        try:
-            text.encode("latin-1")
+        self.pre: dict[str, bytes] = {}
+
+    def _special(self, text: str) -> bool:
+        for x in self.special:
+            if x in text:
+                return True
+        return False
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+
+    def _learn(self, chunks: set[str]) -> None:
+        cut, words, new = {}, {}, set()
+        for c in chunks:
+            if self.cut is None or not (c.isascii() or _latin(c)) or self._special(c):
+                self.seen[c] = self._whole(c)
+            elif c.isalpha():  # letters only: one pre-token
+                words[c] = c.lower()
+            else:
+                cut[c] = ps = self.cut.findall(c.lower())
+                new.update(ps)
+        new.update(words.values())
+        new.difference_update(self.pre)
+        todo = list(new)
+        groups = [todo[i:i + JOINED] for i in range(0, len(todo), JOINED)]
+        for part, e in zip(groups, self.tok.encode_batch_fast([" ".join(g) for g in groups],
+                                                              add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype=self.dtype)
+            at = np.flatnonzero(self.ends[ids]) + 1
+            if len(at) == len(part) and (not len(at) or at[-1] == len(ids)):
+                data, size, i = ids.tobytes(), self.dtype.itemsize, 0
+                for p, j in zip(part, (at * size).tolist(), strict=True):
+                    self.pre[p] = data[i:j]
+                    i = j
+            else:
+                self.pre.update((p, self._whole(p)) for p in part)
+        get = self.pre.__getitem__
+        self.seen.update(zip(words, map(get, words.values()), strict=True))
+        for c, ps in cut.items():
+            self.seen[c] = b"".join(map(get, ps))
+
+    def _chunks(self, text: str) -> list[str]:
+        if _latin(text) and not self._special(text):
             text = text.lower()  # the normaliser does the same to these characters
-        except UnicodeEncodeError:
-            pass
         return text.replace("\n", " ").split(" ")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.seen) > CACHE_CHUNKS:
             self.seen = {"": b""}
+        if len(self.pre) > CACHE_CHUNKS:
+            self.pre = {}
         split = [self._chunks(t) if t else [] for t in texts]
         unseen: set[str] = set()
         for c in split:
             unseen.update(c)
         unseen.difference_update(self.seen)
         if unseen:
-            self._learn(list(unseen))
+            self._learn(unseen)
         get = self.seen.__getitem__
         return [b"".join(map(get, c)) for c in split]
 
 
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def _open_fs(path: str):
     from pyarrow import fs
     if "://" not in path and not path.startswith("file:"):
