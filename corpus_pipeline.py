@@ -6,11 +6,28 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from threadsmith.llm import byte_bpe, mixing
+from threadsmith.llm import byte_bpe, jaccard, mixing, suffixes, toxicity
 from threadsmith.llm.common import prepare, table
 from threadsmith.session import scratch_path
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity grammar rejects go."""
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    prepare(spark)
+    return jaccard.one_of_each(docs)
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings that repeat anywhere in what is left go."""
+    prepare(spark)
+    return suffixes.without_repeats(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
     prepare(spark)
@@ -24,7 +41,8 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
                            with_ids=True)
 
 
-STAGES = [("mix_sources", mix_sources), ("encode_tokens", encode_tokens)]
+STAGES = [("toxicity", drop_toxic), ("jaccard_join", drop_near_copies), ("suffix_dedup", drop_repeats),
+          ("mix_sources", mix_sources), ("encode_tokens", encode_tokens)]
 # Learned scores and hash-named shingles can't be stated in SQL: the pipeline
 # is tested against brute force instead.
 ORACLE_SQL = None
