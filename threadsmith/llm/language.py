@@ -30,8 +30,8 @@ from .linear import train_svm
 
 BINS = 4096
 BLOCK_CHARS = 2_000_000
-PER_LANGUAGE = 600
-MAX_SAMPLE = 4000
+PER_LANGUAGE = 400
+MAX_SAMPLE = 2000
 SHORT = 60                   # characters of the short example that a document adds
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -150,7 +150,8 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, max_sample: int
     x = np.zeros((len(langs), BINS), dtype=np.float32)
     for i, (at, n) in enumerate(zip(got.column("at").to_pylist(), got.column("n").to_pylist(), strict=True)):
         x[i, at] = n
-    x = features(x).astype(np.float32)
+    for i in range(0, len(x), 256):
+        x[i:i + 256] = features(x[i:i + 256])
     lang = np.array(langs, dtype=object)
     fam = np.array([family_of(z) for z in langs], dtype=object)
     names = sorted(set(langs))

@@ -35,13 +35,14 @@ from ..session import materialize
 from .common import crc32_of, per_worker, rows_to_batch, text_blocks, unit_hash
 from .linear import train_logistic
 
-SAMPLE = 8000
+SAMPLE = 12_000
 THRESHOLD = 0.7
 BLOCK_CHARS = 2_000_000
 CACHE_WORDS = 300_000
+CHUNK = 200                  # sample documents whose units are counted at once
 STEM_MIN, STEM_MAX = 4, 8    # letters of a learned stem
-MIN_DOCS = 8                 # toxic documents of the sample that a unit needs
-PRECISION = 0.9              # part of the unit's documents that are toxic, smoothed
+MIN_DOCS = 5                 # toxic documents of the sample that a unit needs
+PRECISION = 0.93             # part of the unit's documents that are toxic, smoothed
 LEXICON = 2000               # units kept at most (the strongest)
 
 # Fixed values of the grammar: classes of closed word lists.
@@ -177,10 +178,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple:
     schema = pa.schema([("unit", pa.string()), ("t", pa.int64()), ("c", pa.int64()), ("id", pa.int64())])
 
     def signs(batches):
-        for b in batches:
+        met: set = set()
+        for b in (b.slice(i, CHUNK) for b in batches for i in range(0, b.num_rows, CHUNK)):
             texts, y = b.column(0).to_pylist(), b.column(1).to_pylist()
             n: tuple[Counter, Counter] = (Counter(), Counter())
-            met = set()
             for t, v in zip(texts, y, strict=True):
                 words = set(t.lower().split())
                 mark = (v, min((zlib.crc32(w.encode()) for w in words), default=0))
@@ -196,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple:
     # near copies meet in one task, so they count once
     counted = rows.select("text", "y", F.array_min(F.transform(F.split(F.lower("text"), r"\s+"),
                                                              lambda w: F.crc32(w.cast("binary")))).alias("_m")) \
-        .repartition(8, "_m").select("text", "y").mapInArrow(signs, "unit string, t long, c long, id long")
+        .repartition(32, "_m").select("text", "y").mapInArrow(signs, "unit string, t long, c long, id long")
     sums = materialize(counted.groupBy("unit").agg(F.sum("t").alias("t"), F.sum("c").alias("c")), "toxicity-units")
     bad, good = (sums.where("unit = ''").select("t", "c").first() or (0, 0))
     if not bad or not good:
