@@ -39,7 +39,7 @@ from .components import bitmap, connected_components, in_bitmap
 
 NGRAM = 5
 SHARE = 75                   # per cent of the union that two sets have in common
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 3_000_000
 BAND = 4                     # sizes of a band: 3*4^b up to 3*4^(b+1)
 HOT_COUNT = 32               # a part in so many classes is worth putting off
 HOT_LISTED = 200_000         # hottest parts that are broadcast (an order only)
@@ -118,8 +118,8 @@ def class_id(s: np.ndarray) -> int:
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """Parity of the shingles per bit, as 64-bit words; 2 to 4 bits a shingle."""
-    bits = max(64, 1 << int(2 * len(s) - 1).bit_length())
+    """Parity of the shingles per bit, as 64-bit words; 1 to 2 bits a shingle."""
+    bits = max(64, 1 << int(len(s) - 1).bit_length())
     odd = np.bincount((_mix(s + _M3) & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
@@ -331,48 +331,54 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
         .where(both * 100 >= (F.col("na") + F.col("nb") - both) * SHARE).select("a", "b")
 
 
+def _close_pairs(group: list[tuple], across: bool) -> set[tuple[int, int]]:
+    """Pairs of a group (rows n, cls, comp, block, sketch, its bits) of
+    different components, and of different blocks if ``across``, whose sizes
+    and sketches allow a link.  Rows are ordered by size, so a row meets only
+    those of its size window."""
+    group.sort()
+    out = set()
+    for i, (n, cls, comp, blk, sk, bits) in enumerate(group):
+        for m, cls2, comp2, blk2, sk2, bits2 in group[i + 1:]:
+            if m * SHARE > n * 100:
+                break
+            if comp == comp2 or (across and blk == blk2):
+                continue
+            if bits2 > bits:  # fold the longer sketch, which keeps the parity
+                sk2 = (sk2 & ((1 << bits) - 1)) ^ (sk2 >> bits)
+            if (sk ^ sk2).bit_count() <= most_apart(n, m):
+                out.add((min(cls, cls2), max(cls, cls2)))
+    return out
+
+
 def _pairs_between(batches):
-    """Rows sorted by (part, block pair) -> pairs of classes of different
-    components whose sizes fit."""
+    """Rows sorted by (part, x, y) -> candidate pairs of every group; rows of
+    two blocks are paired across them only."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    held: list[np.ndarray] = []
-
-    def pairs(rows: np.ndarray):
-        # columns: part, x, y, block, cls, comp, n
-        cut = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1
-        out = []
-        for g in np.split(rows, cut):
-            if len(g) < 2:
-                continue
-            i, j = np.triu_indices(len(g), 1)
-            ok = g[i, 5] != g[j, 5]
-            if g[0, 1] != g[0, 2]:
-                ok &= g[i, 3] != g[j, 3]
-            ok &= np.minimum(g[i, 6], g[j, 6]) * 100 >= np.maximum(g[i, 6], g[j, 6]) * SHARE
-            if ok.any():
-                a, b = g[i[ok], 4], g[j[ok], 4]
-                out.append(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1))
-        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), dtype=np.int64)
+    key, group, out = None, [], set()
+
+    def done():
+        if key is None or len(group) < 2:
+            return
+        out.update(_close_pairs(group, key[1] != key[2]))
 
     for b in batches:
-        if not b.num_rows:
-            continue
-        rows = np.stack([c.to_numpy().astype(np.int64) for c in b.columns], axis=1)
-        if held:
-            rows = np.concatenate((*held, rows))
-            held = []
-        cut = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1
-        if not len(cut):
-            held = [rows]
-            continue
-        done, held = rows[:cut[-1]], [rows[cut[-1]:]]
-        p = pairs(done)
-        if len(p):
-            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], schema=schema)
-    if held:
-        p = pairs(np.concatenate(held))
-        if len(p):
-            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], schema=schema)
+        part, x, y, blk, cls, comp, n = (c.to_pylist() for c in b.columns[:7])
+        sk = b.column(7)
+        words, at = sk.flatten().to_numpy(), np.r_[0, np.cumsum(sk.value_lengths().to_numpy())].tolist()
+        for i in range(b.num_rows):
+            k = (part[i], x[i], y[i])
+            if k != key:
+                done()
+                key, group = k, []
+                if len(out) > 10_000:
+                    yield rows_to_batch({"a": [p for p, _ in out], "b": [q for _, q in out]}, schema)
+                    out.clear()
+            v = words[at[i]:at[i + 1]]
+            group.append((n[i], cls[i], comp[i], blk[i], int.from_bytes(v.tobytes(), "little"), 64 * len(v)))
+    done()
+    if out:
+        yield rows_to_batch({"a": [p for p, _ in out], "b": [q for _, q in out]}, schema)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -407,11 +413,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                                       F.count(F.lit(1)).alias("_g")).where("_a <> _b").select("part", "_g")
     blocks = F.ceil(F.col("_g") / PAIR_BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("cls"), F.col("_nb")).cast("int")
-    rows2 = named.join(open_, "part").join(classes.select("cls", "n"), "cls") \
+    rows2 = named.join(open_, "part").join(classes.select("cls", "n", "sk"), "cls") \
         .withColumn("_nb", blocks).withColumn("_mine", mine) \
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))) \
         .select("part", F.least("_mine", "_other").alias("x"), F.greatest("_mine", "_other").alias("y"),
-                F.col("_mine").alias("blk"), "cls", "comp", "n")
+                F.col("_mine").alias("blk"), "cls", "comp", "n", "sk")
     more = rows2.repartition(shuffle_partitions(spark), "part", "x", "y") \
         .sortWithinPartitions("part", "x", "y").mapInArrow(_pairs_between, "a long, b long").distinct()
     links2 = materialize(_verified(_sized(more, classes), docs, classes), "jaccard-links")
