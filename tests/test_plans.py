@@ -42,11 +42,11 @@ def test_no_topic_sized_window(spark):
         for part in _windows(df):
             keys = [k.split("#")[0].strip() for k in part.split(",") if k.strip()]
             assert keys not in (["topic_id"], ["lang"], ["conv_id"]), (name, part)
-    # W6 beyond the size bound: no window partitioned by the slug
+    # No window partitioned by the slug
     from threadsmith.operators.render import version_numbers
     new = spark.createDataFrame([("s", i) for i in range(50)], "slug string, link_no long")
     used = spark.createDataFrame([("s", 0), ("s", 1)], "slug string, version long")
-    for part in _windows(version_numbers(new, used, max_group=10)):
+    for part in _windows(version_numbers(new, used)):
         assert "slug" not in part, part
 
 

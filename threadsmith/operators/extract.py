@@ -119,6 +119,8 @@ def _header(root, dom, prof):
     else:
         try:
             total = int(sym)
+            if not 0 <= total < 1 << 31:
+                raise ValueError(sym)
         except (TypeError, ValueError):
             raise ValueError("bad_pager") from None
     t = _one(root, prof.get("title")) or _one(root, prof.get("page_title"))
@@ -202,14 +204,13 @@ def _extract_page(row, profiles):
         yield _post_row(base, pos, post, dom, prof)
 
 
-def extract(pages: DataFrame, profile_rows=None, spread: bool | None = None) -> DataFrame:
+def extract(pages: DataFrame, profile_rows=None, spread: bool = False) -> DataFrame:
     """``pages(topic_id, page_no, html[, domain | link])`` -> EXTRACTED rows.
 
     One Python pass per page; the profile dictionary (a few dozen strings) is
-    shipped with the function.  The parse is CPU-bound: when the input has
-    fewer partitions than the cluster has cores (``spread=None``), pages are
-    first spread round-robin over ``defaultParallelism`` partitions; large
-    inputs already scan as many partitions and skip that shuffle."""
+    shipped with the function.  The pages are parsed where they are scanned;
+    ``spread`` first deals them round-robin over ``defaultParallelism``
+    partitions (a shuffle of the raw pages, for an input in one small file)."""
     profiles = profile_dict(profile_rows)
     cols = pages.columns
     dom = F.col("domain") if "domain" in cols else domain_of(F.col("link") if "link" in cols else F.col("url"))
@@ -218,9 +219,8 @@ def extract(pages: DataFrame, profile_rows=None, spread: bool | None = None) ->
     src = pages.select(F.col("topic_id").cast("string").alias("topic_id"),
                        F.col("page_no").cast("int").alias("page_no"), dom.alias("domain"),
                        link.alias("link"), tkey.alias("topic_key"), "html")
-    par = pages.sparkSession.sparkContext.defaultParallelism
-    if spread or (spread is None and src.rdd.getNumPartitions() < par):
-        src = src.repartition(par)
+    if spread:
+        src = src.repartition(pages.sparkSession.sparkContext.defaultParallelism)
     arrow_schema = to_arrow_schema(EXTRACTED)
     names = [f.name for f in EXTRACTED.fields]
 

@@ -60,41 +60,7 @@ def story_sizes(blocks: DataFrame, cfg: CurationConfig, key: str = "topic_id") -
                     (F.col("n_bytes") >= cfg.big_story_bytes).alias("is_big"))
 
 
-SLUG_GROUP_LIMIT = 1_000_000   # rows of one slug a single task may rank
-
-
-def version_numbers(new: DataFrame, used: DataFrame, slug: str = "slug", order: str = "link_no",
-                    max_group: int = SLUG_GROUP_LIMIT) -> DataFrame:
-    """Each new story gets the smallest free version N >= 0 of its slug.
-
-    With used versions ``u_0 < u_1 < ...`` and gaps ``g_i = u_i - i``, the
-    ``r``-th new row (0-based) gets ``r + #{i : g_i <= r}``; no pairs are
-    formed.  One aggregate measures the largest slug group first: up to
-    ``max_group`` rows per slug the ranks come from windows partitioned by
-    slug; beyond it from one range-partitioned global sort, so a slug shared
-    by very many stories spans many tasks."""
-    sizes = new.select(slug).unionByName(used.select(slug)).groupBy(slug).count()
-    biggest = sizes.agg(F.max("count")).first()[0] or 0
-    if biggest <= max_group:
-        return _versions_by_window(new, used, slug, order)
-    return _versions_sorted(new, used, slug, order)
-
-
-def _versions_by_window(new: DataFrame, used: DataFrame, slug: str, order: str) -> DataFrame:
-    extra = [c for c in new.columns if c != slug]
-    u = used.select(slug, "version").distinct()
-    u = u.withColumn("_k", (F.col("version") - (F.row_number().over(
-        Window.partitionBy(slug).orderBy("version")) - 1)).cast("long")).select(
-        slug, "_k", F.lit(0).alias("_t"), *[F.lit(None).cast(new.schema[c].dataType).alias(c) for c in extra])
-    n = new.withColumn("_k", (F.row_number().over(Window.partitionBy(slug).orderBy(order)) - 1).cast("long")) \
-        .withColumn("_t", F.lit(1)).select(slug, "_k", "_t", *extra)
-    m = u.unionByName(n)
-    w = Window.partitionBy(slug).orderBy("_k", "_t").rowsBetween(Window.unboundedPreceding, 0)
-    m = m.withColumn("_used_le", F.sum(1 - F.col("_t")).over(w))
-    return m.filter(F.col("_t") == 1).select(slug, *extra, (F.col("_k") + F.col("_used_le")).cast("long").alias("version"))
-
-
-def _versions_sorted(new: DataFrame, used: DataFrame, slug: str, order: str) -> DataFrame:
+def version_numbers(new: DataFrame, used: DataFrame, slug: str = "slug", order: str = "link_no") -> DataFrame:
     """Each new story gets the smallest free version N >= 0 of its slug.
 
     With used versions ``u_0 < u_1 < ...`` and gaps ``g_i = u_i - i``, the

@@ -82,9 +82,36 @@ def clear_state(spark: SparkSession, base: str) -> str:
     return write_state(empty_state(spark), base, v)
 
 
+def one_per_key(state: DataFrame) -> DataFrame:
+    """L2: one state row per topic key (the one read furthest; ties by the
+    other columns) and none without a key."""
+    rest = [c for c in STATE_COLS if c != "topic_key"]
+    order = ["total_pages", "post_cursor", *[c for c in rest if c not in ("total_pages", "post_cursor")]]
+    best = state.filter(F.col("topic_key").isNotNull()).groupBy("topic_key") \
+        .agg(F.max(F.struct(*order)).alias("_b"))
+    return best.select("topic_key", *[F.col("_b")[c].alias(c) for c in rest])
+
+
+def read_through(crawled: DataFrame, start: DataFrame, key: str = "topic_id") -> DataFrame:
+    """(key, read_to): the last page up to which a topic has been read without
+    a gap.  ``crawled(key, page_no)``: pages of this run; ``start(key,
+    start_page)``: the first page that is still to be read.  A page after a
+    gap is not read yet, so nothing between is lost when it comes later."""
+    c = crawled.select(key, "page_no").distinct()
+    after = c.select(key, (F.col("page_no") - 1).alias("page_no"))
+    s = start.select(key, "start_page")
+    ends = c.join(after, [key, "page_no"], "left_anti").join(s, key).filter("page_no >= start_page") \
+        .groupBy(key).agg(F.min("page_no").alias("_end"))
+    first = s.join(c.withColumnRenamed("page_no", "start_page"), [key, "start_page"], "left_semi").select(key)
+    ends = ends.join(first, key, "left_semi")
+    return s.join(ends, key, "left").select(
+        key, F.coalesce("_end", F.col("start_page") - 1).cast("int").alias("read_to"))
+
+
 def upsert_state(old: DataFrame, new: DataFrame) -> DataFrame:
     """Update the row of each topic key present in ``new``, insert the
-    others, keep the rest.  At most one row per key on each side."""
+    others, keep the rest.  Each side is first reduced to one row per key."""
+    old, new = one_per_key(old), one_per_key(new)
     o = old.select(*[F.col(c).alias("o_" + c) for c in STATE_COLS])
     n = new.select(*[F.col(c).alias("n_" + c) for c in STATE_COLS])
     j = o.join(n, o["o_topic_key"] == n["n_topic_key"], "full_outer")

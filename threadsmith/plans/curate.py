@@ -85,7 +85,7 @@ def run(spark: SparkSession, pages: DataFrame, cfg: CurationConfig, state: DataF
     (their version numbers are taken, as are those recorded in the state);
     ``earlier_keys(topic_key, tkey, ikey)``: dedup keys kept by earlier runs
     (used when ``cfg.dedup_across_runs``)."""
-    state = state if state is not None else ST.empty_state(spark)
+    state = ST.one_per_key(state if state is not None else ST.empty_state(spark))
     p = prepare_pages(pages, state, cfg)
     # the raw pages are read once, by the parse; everything after reads its
     # written result (the topic link and key travel with the header row)
@@ -96,6 +96,22 @@ def run(spark: SparkSession, pages: DataFrame, cfg: CurationConfig, state: DataF
     quarantine = quarantine.unionByName(headless.select(
         "topic_id", F.lit(None).cast("int").alias("page_no"), F.lit(None).cast("int").alias("pos"),
         F.lit("header_page_missing").alias("reason")))
+    # pages are taken in order: a page after a gap waits until the gap is filled
+    # (quarantined here, listed by the frontier), so any split of a topic's
+    # pages over runs loses none
+    start = topics.join(state.select("topic_key", F.col("total_pages").alias("_sp")), "topic_key", "left") \
+        .withColumn("start_page", F.when(F.lit(cfg.use_state) & (F.col("domain") != ARCHIVE_HOST),
+                                         F.coalesce("_sp", F.lit(1))).otherwise(F.lit(1)))
+    if cfg.use_state:
+        through = ST.read_through(X.crawled_pages(ext), start)
+        posts = posts.join(through, "topic_id")
+        wait = posts.filter((F.col("page_no") > F.col("read_to")) & (F.col("domain") != ARCHIVE_HOST))
+        quarantine = quarantine.unionByName(wait.select(
+            "topic_id", "page_no", F.lit(None).cast("int").alias("pos"), F.lit("page_gap").alias("reason")).distinct())
+        posts = posts.filter((F.col("page_no") <= F.col("read_to")) | (F.col("domain") == ARCHIVE_HOST)).drop("read_to")
+        quarantine = quarantine.unionByName(topics.filter(F.col("topic_key").isNull()).select(
+            "topic_id", F.lit(None).cast("int").alias("page_no"), F.lit(None).cast("int").alias("pos"),
+            F.lit("topic_key_missing").alias("reason")))
     if cfg.replace_video_frames:
         posts = posts.withColumn("content_html", F.when(F.col("domain") == ARCHIVE_HOST, X.replace_video_frames())
                                  .otherwise(F.col("content_html")))
@@ -149,18 +165,24 @@ def run(spark: SparkSession, pages: DataFrame, cfg: CurationConfig, state: DataF
                        F.when(F.col("st_path").isNotNull() & F.lit(cfg.use_state), "append")
                        .otherwise("create").alias("mode"))
     # new state (A4 + S7)
-    cur = ST.cursor_advance(verdict, cfg)
-    new_state = t.join(cur.select("topic_id", "post_cursor"), "topic_id", "left").filter(
-        F.col("domain") != ARCHIVE_HOST).select(
-        "topic_key", "title", F.col("link").alias("page_link"), "file_path",
-        F.col("total_pages").cast("int"), F.coalesce("post_cursor", F.lit(0)).cast("int").alias("post_cursor"))
+    # the stored page is the last one read without a gap, and the cursor is its
+    if cfg.use_state:
+        none = F.lit(0 if cfg.resume_as_coded else -1)
+        cur = ST.cursor_advance(verdict, cfg).select("topic_id", F.col("total_pages").alias("_cp"), "post_cursor")
+        new_state = t.join(through, "topic_id").join(cur, "topic_id", "left").filter(
+            F.col("domain") != ARCHIVE_HOST).select(
+            "topic_key", "title", F.col("link").alias("page_link"), "file_path",
+            F.col("read_to").alias("total_pages"),
+            F.coalesce(F.when(F.col("_cp") == F.col("read_to"), F.col("post_cursor")), none).cast("int")
+            .alias("post_cursor"))
     full_state = ST.upsert_state(state, new_state) if cfg.use_state else state
     # G1 + U2/U3 + U18: pages from the resume page to the header's count that
-    # the crawl did not deliver (the crawler's to-do list)
-    start = topics.join(state.select("topic_key", F.col("total_pages").alias("_sp")), "topic_key", "left") \
-        .withColumn("start_page", F.when(F.lit(cfg.use_state) & (F.col("domain") != ARCHIVE_HOST),
-                                         F.coalesce("_sp", F.lit(1))).otherwise(F.lit(1)))
+    # the crawl did not deliver, or that wait for one (the crawler's to-do list)
     crawled = X.crawled_pages(ext)
+    if cfg.use_state:
+        crawled = crawled.join(through, "topic_id").join(topics.select("topic_id", "domain"), "topic_id") \
+            .filter((F.col("page_no") <= F.col("read_to")) | (F.col("domain") == ARCHIVE_HOST)) \
+            .select("topic_id", "page_no")
     frontier = ST.frontier(start.select("topic_id", "link", "domain", "start_page", "total_pages")) \
         .join(crawled, ["topic_id", "page_no"], "left_anti") \
         .select("topic_id", "page_no", topic_page_link("link", "page_no", "domain", cfg.page_digit_run).alias("page_link"))

@@ -512,15 +512,16 @@ def big_stories(spark, sf):
     return R.story_sizes(_doc_blocks(spark, sf), DOC_CFG)
 
 
-@query("export_union", """SELECT source AS story_key, 'run' AS origin FROM documents WHERE lang = 'fr' GROUP BY source
-UNION ALL SELECT source AS story_key, 'named' AS origin FROM documents WHERE lang = 'de' GROUP BY source""")
+@query("export_union", """SELECT source AS story_key, 'run' AS origin FROM documents WHERE lang = 'en' GROUP BY source
+UNION ALL SELECT source AS story_key, 'named' AS origin FROM documents WHERE coalesce(lang, '') <> 'en' GROUP BY source""")
 def export_union(spark, sf):
-    """Stories made in this run (French sources) plus stories named by
-    the user (German sources), as a bag."""
+    """Stories made in this run (sources with English documents) plus
+    stories named by the user (sources with any others), as a bag."""
     d = table(spark, sf, "documents")
-    run = d.filter(F.col("lang") == "fr").select(F.col("source").alias("story_key")).distinct() \
+    en = F.coalesce(F.col("lang") == "en", F.lit(False))
+    run = d.filter(en).select(F.col("source").alias("story_key")).distinct() \
         .withColumn("origin", F.lit("run"))
-    named = d.filter(F.col("lang") == "de").select(F.col("source").alias("story_key")).distinct() \
+    named = d.filter(~en).select(F.col("source").alias("story_key")).distinct() \
         .withColumn("origin", F.lit("named"))
     return run.unionByName(named)
 
@@ -536,10 +537,10 @@ def _resume_inputs(spark, sf):
     return posts, topics, state
 
 
-def q_prev_state() -> str:
+def q_prev_state(whole: bool = False) -> str:
     # selection restricted to the pages of the previous run
-    body = q_conv_selected(2).replace(f"p AS ({q_conv_posts(2)})",
-                        f"p AS (SELECT * FROM ({q_conv_posts(2)}) WHERE page_no <= {RESUME_PREV_PAGES})", 1)
+    body = q_conv_selected(2) if whole else q_conv_selected(2).replace(
+        f"p AS ({q_conv_posts(2)})", f"p AS (SELECT * FROM ({q_conv_posts(2)}) WHERE page_no <= {RESUME_PREV_PAGES})", 1)
     return body + """,
 lastp AS (SELECT topic_id, max(page_no) AS st_page FROM sel GROUP BY topic_id),
 st AS (SELECT l.topic_id, CAST(l.st_page AS INTEGER) AS total_pages,
@@ -547,12 +548,13 @@ st AS (SELECT l.topic_id, CAST(l.st_page AS INTEGER) AS total_pages,
        FROM lastp l JOIN sel s USING (topic_id) GROUP BY l.topic_id, l.st_page)"""
 
 
-@query("cursor_advance", f"WITH {q_prev_state()} SELECT topic_id, total_pages, post_cursor FROM st")
+@query("cursor_advance", f"WITH {q_prev_state(whole=True)} SELECT topic_id, total_pages, post_cursor FROM st")
 def cursor_advance_q(spark, sf):
-    """A4 + W5: state after a run that saw pages 1-2 of every topic: last
-    page and the position of the last kept post on it (0 when none)."""
-    _, _, state = _resume_inputs(spark, sf)
-    return state
+    """A4 + W5: state after a run over every page: last page and the position
+    of the last kept post on it (0 when none)."""
+    posts = _conv(spark, sf, RESUME_CFG)
+    topics = SEL.topic_authors(posts, RESUME_CFG)
+    return ST.cursor_advance(SEL.selection_verdicts(posts, topics, RESUME_CFG), RESUME_CFG)
 
 
 @query("resume_filter", f"""WITH {q_prev_state()},
@@ -628,7 +630,7 @@ def _extracted(spark, sf):
     from ..operators import extract as X
     p = table(spark, sf, "pages").select(F.col("page_id").alias("topic_id"), F.lit(1).alias("page_no"),
                                          "url", "html")
-    return X.extract(p, X.TEST_LAYOUT_ROWS)
+    return X.extract(p, X.TEST_LAYOUT_ROWS, spread=True)
 
 
 def _q_unescape(x: str) -> str:

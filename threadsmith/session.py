@@ -31,20 +31,21 @@ SESSION_DEFAULTS = {
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "threadsmith", extra: dict | None = None) -> SparkSession:
     """Session with the defaults the jobs rely on.  The master is the given
-    one, else $THREADSMITH_MASTER, else the configured one (spark-submit),
-    else ``local[8]``."""
+    one, else $THREADSMITH_MASTER, else the submitted one, else ``local[8]``.
+    Under spark-submit the submitted master, shuffle partitions and driver
+    memory stay unless the caller names others."""
     master = master or os.environ.get("THREADSMITH_MASTER")
-    if master is None:
-        from pyspark import SparkConf
-        # under spark-submit the cluster's master is already configured: keep it
-        master = None if SparkConf().get("spark.master", None) else "local[8]"
+    # spark-submit starts Python with a gateway that already holds its settings
+    submitted = "PYSPARK_GATEWAY_PORT" in os.environ
     b = SparkSession.builder.appName(app_name)
-    if master:
-        b = b.master(master)
+    if master or not submitted:
+        b = b.master(master or "local[8]")
     for k, v in SESSION_DEFAULTS.items():
         b = b.config(k, v)
-    b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
-    b = b.config("spark.driver.memory", os.environ.get("THREADSMITH_DRIVER_MEM", "16g"))
+    if shuffle_partitions or not submitted:
+        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
+    if not submitted:
+        b = b.config("spark.driver.memory", os.environ.get("THREADSMITH_DRIVER_MEM", "16g"))
     for k, v in (extra or {}).items():
         b = b.config(k, v)
     spark = b.getOrCreate()
@@ -71,13 +72,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     A cluster names a shared folder there and it is always used; only when
-    it is unset (local runs, tests) a folder of our own is created, once per
-    process."""
+    it is unset a local run (tests) gets a folder of its own, once per
+    process; a run on several machines is refused, as they would not see it."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if d:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(d)
         return d
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not _LOCAL_CKPT:
         _LOCAL_CKPT.append(tempfile.mkdtemp(prefix="threadsmith-ckpt-"))
     d = _LOCAL_CKPT[0]
