@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import per_worker, rows_to_batch, text_blocks
 
-BLOCK_CHARS = 8_000_000      # characters encoded at once
-CACHE_ENTRIES = 400_000      # chunks and pre-tokens a worker remembers
+BLOCK_CHARS = 3_000_000      # characters encoded at once
+CACHE_ENTRIES = 150_000      # chunks and pre-tokens a worker remembers
 # Characters with the Unicode property White_Space (fixed values): the
 # pattern's \s.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
