@@ -11,7 +11,7 @@ the same labelled sample.
 
 The lexicon and the logistic are learned from a bounded sample (``sample``
 labelled documents, chosen by a hash of the id; near copies count once, by
-their smallest word hash).  Every document is scored on its whole text.
+their smallest hash of three words).  Every document is scored on its whole text.
 
 Defined cases: null and empty texts have no clauses and get the score of a
 document without a match; without labelled rows (or without toxic ones) only
@@ -23,7 +23,6 @@ table gives no rows; further columns are not read.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -180,24 +179,24 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple:
     def signs(batches):
         met: set = set()
         for b in (b.slice(i, CHUNK) for b in batches for i in range(0, b.num_rows, CHUNK)):
-            texts, y = b.column(0).to_pylist(), b.column(1).to_pylist()
             n: tuple[Counter, Counter] = (Counter(), Counter())
-            for t, v in zip(texts, y, strict=True):
-                words = set(t.lower().split())
-                mark = (v, min((zlib.crc32(w.encode()) for w in words), default=0))
-                if mark in met:
+            for t, v, mark in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (v, mark) in met:
                     continue
-                met.add(mark)
+                met.add((v, mark))
                 n[int(v == 1)].update(_units(t))
                 n[int(v == 1)][""] += 1
             units = list(n[0].keys() | n[1].keys())
             yield rows_to_batch({"unit": units, "t": [n[1][u] for u in units], "c": [n[0][u] for u in units],
                                  "id": [0] * len(units)}, schema)
 
-    # near copies meet in one task, so they count once
-    counted = rows.select("text", "y", F.array_min(F.transform(F.split(F.lower("text"), r"\s+"),
-                                                             lambda w: F.crc32(w.cast("binary")))).alias("_m")) \
-        .repartition(32, "_m").select("text", "y").mapInArrow(signs, "unit string, t long, c long, id long")
+    # near copies, told by their smallest three-word hash, meet in one task, so
+    # they count once
+    words = F.split(F.lower("text"), r"\s+")
+    least = F.get(F.transform(F.array(words), lambda w: F.array_min(F.transform(w, lambda x, i: F.crc32(F.concat_ws(
+        " ", x, F.get(w, i + 1), F.get(w, i + 2)).cast("binary"))))), F.lit(0))
+    counted = rows.select("text", "y", least.alias("_m")).repartition(32, "_m") \
+        .mapInArrow(signs, "unit string, t long, c long, id long")
     sums = materialize(counted.groupBy("unit").agg(F.sum("t").alias("t"), F.sum("c").alias("c")), "toxicity-units")
     bad, good = (sums.where("unit = ''").select("t", "c").first() or (0, 0))
     if not bad or not good:
