@@ -15,8 +15,10 @@ first shares at least s + 1 of them with the other; at most s can be hotter
 than the coldest of these, so both sets keep that one.
 
 Candidates are not all pairs of a group.  First every member of a part is
-held against the group's first class; linked classes are united; only groups
-whose members still lie in different components give further pairs.
+held against the group's first class; linked classes are united; groups whose
+members still lie in different components then give the pairs with the closest
+sketches that would join these, and only what is still open after that gives
+all its remaining pairs.
 
 Defined cases: a text without words (or null) has no shingles and links to
 nothing; with fewer than five words the sequence is the only shingle;
@@ -331,13 +333,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
         .where(both * 100 >= (F.col("na") + F.col("nb") - both) * SHARE).select("a", "b")
 
 
-def _close_pairs(group: list[tuple], across: bool) -> set[tuple[int, int]]:
+def _close_pairs(group: list[tuple], across: bool, forest: bool) -> set[tuple[int, int]]:
     """Pairs of a group (rows n, cls, comp, block, sketch, its bits) of
     different components, and of different blocks if ``across``, whose sizes
     and sketches allow a link.  Rows are ordered by size, so a row meets only
-    those of its size window."""
+    those of its size window.  ``forest``: only the closest pairs that
+    together join the components (fewer than there are rows)."""
     group.sort()
     out = set()
+    close = []
     for i, (n, cls, comp, blk, sk, bits) in enumerate(group):
         for m, cls2, comp2, blk2, sk2, bits2 in group[i + 1:]:
             if m * SHARE > n * 100:
@@ -346,12 +350,24 @@ def _close_pairs(group: list[tuple], across: bool) -> set[tuple[int, int]]:
                 continue
             if bits2 > bits:  # fold the longer sketch, which keeps the parity
                 sk2 = (sk2 & ((1 << bits) - 1)) ^ (sk2 >> bits)
-            if (sk ^ sk2).bit_count() <= most_apart(n, m):
-                out.add((min(cls, cls2), max(cls, cls2)))
+            if (apart := (sk ^ sk2).bit_count()) <= most_apart(n, m):
+                if forest:
+                    close.append((apart, min(cls, cls2), max(cls, cls2), comp, comp2))
+                else:
+                    out.add((min(cls, cls2), max(cls, cls2)))
+    root: dict[int, int] = {}
+    for _, a, b, x, y in sorted(close):
+        while root.get(x, x) != x:
+            x = root[x]
+        while root.get(y, y) != y:
+            y = root[y]
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.add((a, b))
     return out
 
 
-def _pairs_between(batches):
+def _pairs_between(batches, forest: bool = False):
     """Rows sorted by (part, x, y) -> candidate pairs of every group; rows of
     two blocks are paired across them only."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -360,7 +376,7 @@ def _pairs_between(batches):
     def done():
         if key is None or len(group) < 2:
             return
-        out.update(_close_pairs(group, key[1] != key[2]))
+        out.update(_close_pairs(group, key[1] != key[2], forest))
 
     for b in batches:
         part, x, y, blk, cls, comp, n = (c.to_pylist() for c in b.columns[:7])
@@ -381,6 +397,24 @@ def _pairs_between(batches):
         yield rows_to_batch({"a": [p for p, _ in out], "b": [q for _, q in out]}, schema)
 
 
+def _open_pairs(shared: DataFrame, comp: DataFrame, classes: DataFrame, forest: bool) -> DataFrame:
+    """Candidate pairs inside the groups that hold several components."""
+    n = shuffle_partitions(shared.sparkSession)
+    named = shared.where("cls <> lead").select("part", "cls") \
+        .join(comp.withColumnRenamed("node", "cls"), "cls", "left") \
+        .select("part", "cls", F.coalesce("label", "cls").alias("comp"))
+    open_ = named.groupBy("part").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"),
+                                      F.count(F.lit(1)).alias("_g")).where("_a <> _b").select("part", "_g")
+    rows = named.join(open_, "part").join(classes.select("cls", "n", "sk"), "cls") \
+        .withColumn("_nb", F.ceil(F.col("_g") / PAIR_BLOCK).cast("int")) \
+        .withColumn("_mine", F.pmod(F.xxhash64("cls"), F.col("_nb")).cast("int")) \
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))) \
+        .select("part", F.least("_mine", "_other").alias("x"), F.greatest("_mine", "_other").alias("y"),
+                F.col("_mine").alias("blk"), "cls", "comp", "n", "sk")
+    return rows.repartition(n, "part", "x", "y").sortWithinPartitions("part", "x", "y") \
+        .mapInArrow(lambda b: _pairs_between(b, forest), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, cls, for every row of ``docs``."""
     spark = docs.sparkSession
@@ -405,24 +439,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = materialize(_verified(_sized(star.distinct(), classes), docs, classes), "jaccard-links")
     comp = connected_components(links)
 
-    # groups of three and more whose members are not yet together
-    named = shared.where("cls <> lead").select("part", "cls") \
-        .join(comp.withColumnRenamed("node", "cls"), "cls", "left") \
-        .select("part", "cls", F.coalesce("label", "cls").alias("comp"))
-    open_ = named.groupBy("part").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"),
-                                      F.count(F.lit(1)).alias("_g")).where("_a <> _b").select("part", "_g")
-    blocks = F.ceil(F.col("_g") / PAIR_BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("cls"), F.col("_nb")).cast("int")
-    rows2 = named.join(open_, "part").join(classes.select("cls", "n", "sk"), "cls") \
-        .withColumn("_nb", blocks).withColumn("_mine", mine) \
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))) \
-        .select("part", F.least("_mine", "_other").alias("x"), F.greatest("_mine", "_other").alias("y"),
-                F.col("_mine").alias("blk"), "cls", "comp", "n", "sk")
-    more = rows2.repartition(shuffle_partitions(spark), "part", "x", "y") \
-        .sortWithinPartitions("part", "x", "y").mapInArrow(_pairs_between, "a long, b long").distinct()
-    links2 = materialize(_verified(_sized(more, classes), docs, classes), "jaccard-links")
-    if links2.limit(1).count():
-        comp = connected_components(links.unionByName(links2))
+    # groups of three and more whose members are not yet together: first the
+    # closest pairs that would join them, then every pair that is still open
+    for forest in (True, False):
+        pairs = _open_pairs(shared, comp, classes, forest)
+        found = materialize(_verified(_sized(pairs, classes), docs, classes), "jaccard-links")
+        if found.limit(1).count():
+            links = links.unionByName(found)
+            comp = connected_components(links)
 
     member = classes.select("cls", "rep").join(comp.withColumnRenamed("node", "cls"), "cls", "left") \
         .select("cls", "rep", F.coalesce("label", "cls").alias("label"))
