@@ -18,19 +18,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD
-
 # Fixed values of the rules.
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 SPACES = " \t\n\x0b\f\r"
+GAP = r"[\x20\x09-\x0D]+"       # what lies between words
 # Rules of the lines.
-LINE_END = r"[.!?…:;,\"'”»)\]]$"
+LINE_END = ".!?…:;,\"'”»)]"
 NAV_MARKS = "|›»•>"
 MAX_NAV_MARKS = 3            # at least so many marks, and one per NAV_CHARS characters
 NAV_CHARS = 20
 SYMBOL_SHARE = 10            # one symbol per so many characters fails the line
 UNENDED_WORDS = 6            # a line without end punctuation needs so many words
+# A part of every phrase, in small letters: texts without any are not searched.
+BOILER_PARTS = ("cookie", "javascript", "all rights reserved", "privacy policy", "terms of ", "sign in", "log in",
+                "click here", "subscribe", "lorem ipsum", "copyright ", "share this", "read more")
 BOILERPLATE = (r"(?i)(^|[^a-z])(cookies?|javascript|all rights reserved|privacy policy|terms of (use|service)|"
                r"sign in|log in|click here|subscribe|lorem ipsum|copyright [0-9]{4}|share this|read more)([^a-z]|$)")
 KEEP_SHARE = 50              # per cent of the characters in words that must be left
@@ -41,13 +43,23 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _letters(text: Column) -> Column:
-    """Code points outside ASCII white space."""
-    return F.length(F.translate(text, SPACES, "")).cast("long")
+def _words(text: Column) -> Column:
+    """The words of a text (null: none)."""
+    return F.array_remove(F.split(text, GAP, -1), "")
+
+
+def _letters(words: Column) -> Column:
+    """Code points of all words."""
+    return F.length(F.concat_ws("", words)).cast("long")
 
 
 def _marks(text: Column, marks: str) -> Column:
-    return (F.length(text) - F.length(F.translate(text, marks, ""))).cast("long")
+    return F.regexp_count(text, F.lit(f"[{marks}]")).cast("long")
+
+
+def _filled(line: Column) -> Column:
+    """Whether a line has a word."""
+    return F.trim(line, F.lit(SPACES)) != ""
 
 
 def repeated_words(words: Column) -> Column:
@@ -59,7 +71,7 @@ def repeated_words(words: Column) -> Column:
                          lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
 
     def covered(h: Column) -> Column:
-        pairs = F.array_sort(F.transform(h, lambda v, i: F.struct(v.alias("v"), i.alias("i"))))
+        pairs = F.sort_array(F.transform(h, lambda v, i: F.struct(v.alias("v"), i.alias("i"))))
         same = lambda s: F.filter(s, lambda e, k: F.coalesce(F.get(s, k - 1)["v"] == e["v"], F.lit(False))
                                   | F.coalesce(F.get(s, k + 1)["v"] == e["v"], F.lit(False)))
         spread = lambda f: F.size(F.array_distinct(F.flatten(F.transform(
@@ -69,21 +81,24 @@ def repeated_words(words: Column) -> Column:
     return _let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h)))
 
 
-def line_fails(line: Column) -> Column:
-    """Whether a line (white space trimmed) is to be removed."""
+def line_fails(line: Column, marked: Column, parts: Column) -> Column:
+    """Whether a line (white space trimmed) is to be removed.  ``marked``
+    tells whether its text has any symbol or navigation mark, ``parts`` which
+    of BOILER_PARTS it has."""
     chars = F.length(line)
     nav = _marks(line, NAV_MARKS)
-    return ((nav >= MAX_NAV_MARKS) & (nav * NAV_CHARS >= chars)) \
-        | (_marks(line, SYMBOLS) * SYMBOL_SHARE >= chars) \
-        | line.rlike(BOILERPLATE) \
-        | (~line.rlike(LINE_END) & (F.regexp_count(line, F.lit(WORD)) < UNENDED_WORDS))
+    return (marked & (((nav >= MAX_NAV_MARKS) & (nav * NAV_CHARS >= chars))
+                      | (_marks(line, SYMBOLS) * SYMBOL_SHARE >= chars))) \
+        | (F.exists(parts, lambda p: F.contains(F.lower(line), p)) & line.rlike(BOILERPLATE)) \
+        | (~F.right(line, F.lit(1)).isin(*LINE_END) & (F.size(_words(line)) < UNENDED_WORDS))
 
 
 def clean_lines(text: Column) -> Column:
     """The lines of a text that pass, in order."""
-    lines = F.split(text, "\n", -1)
-    trimmed = F.transform(lines, lambda x: F.trim(x, F.lit(SPACES)))
-    return F.filter(trimmed, lambda x: (F.length(x) > 0) & ~line_fails(x))
+    parts = _let(F.lower(text), lambda low: F.filter(F.array(*map(F.lit, BOILER_PARTS)), lambda p: F.contains(low, p)))
+    told = F.struct(text.rlike(f"[{SYMBOLS}{NAV_MARKS}]").alias("m"), parts.alias("b"))
+    trimmed = F.transform(F.split(text, "\n", -1), lambda x: F.trim(x, F.lit(SPACES)))
+    return _let(told, lambda f: F.filter(trimmed, lambda x: (x != "") & ~line_fails(x, f["m"], f["b"])))
 
 
 def clean(docs: DataFrame) -> DataFrame:
@@ -102,18 +117,18 @@ def quality(docs: DataFrame, extra: list[str] | None = None, text: str | None =
     t = F.coalesce(F.col("text"), F.lit(""))
     cols = [F.col(c) for c in extra]
     d = docs.select("doc_id", *cols, t.alias("_t"))
-    lines = F.filter(F.split(F.col("_t"), "\n", -1), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
+    lines = F.filter(F.split(F.col("_t"), "\n", -1), _filled)
     d = d.select(
         "doc_id", *cols,
-        _letters(F.col("_t")).alias("word_chars"), _marks(F.col("_t"), SYMBOLS).alias("n_symbols"),
+        _marks(F.col("_t"), SYMBOLS).alias("n_symbols"),
         _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        _let(F.regexp_extract_all(F.col("_t"), F.lit(WORD), F.lit(0)),
-             lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).cast("long").alias("r"))).alias("_w"),
+        _let(_words(F.col("_t")), lambda w: F.struct(
+            F.size(w).cast("long").alias("n"), _letters(w).alias("c"), repeated_words(w).cast("long").alias("r"))).alias("_w"),
         _let(clean_lines(F.col("_t")), lambda x: F.struct(
-            F.aggregate(x, F.lit(0).cast("long"), lambda a, e: a + _letters(e)).alias("c"),
+            _letters(_words(F.concat_ws("\n", x))).alias("c"),
             (F.concat_ws("\n", x) if text else F.lit("")).alias("t"))).alias("_l"))
     base = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    d = d.select("doc_id", *cols, F.col("_w.n").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines",
+    d = d.select("doc_id", *cols, F.col("_w.n").alias("n_words"), F.col("_w.c").alias("word_chars"), "n_symbols", "n_dup_lines",
                  F.col("_w.r").alias("n_repeat_words"), F.col("_l.c").alias("kept_chars"),
                  *([F.col("_l.t").alias(text)] if text else []))
     return d.withColumn("base_failed", base) \
