@@ -20,13 +20,15 @@ from pyspark.sql import functions as F
 
 from ..operators.ordering import sorted_positions
 from ..session import materialize
-from .common import WORD, unit_hash
+from .common import unit_hash
 
 SEED = "mix:"
+GAP = r"[\x20\x09-\x0D]+"       # what lies between words
 
 
 def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    words = F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP, -1), "")
+    return F.size(words).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5,
@@ -62,27 +64,28 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (3, 1, 2), share:
 
 def with_copies(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, cap: float = 2.0,
                 seed: str = SEED) -> DataFrame:
-    """``docs`` plus _size, _source_size, _target and _copies (how often the
-    mix takes the document).  The words are counted in one scan; the join
-    side has one row per source."""
-    sized = docs.select("source", word_count(F.col("text")).alias("size"))
-    t = source_targets(sized, weights, share, cap).select(
+    """``docs`` (with their size in _size) plus _source_size, _target and
+    _copies (how often the mix takes the document).  The join side has one row
+    per source."""
+    t = source_targets(docs.select("source", F.col("_size").alias("size")), weights, share, cap).select(
         F.col("source").alias("_src"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
     rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate)
     coin = (unit_hash("doc_id", seed) < rate - whole).cast("long")
     return docs.join(t, docs["source"].eqNullSafe(F.col("_src"))).drop("_src") \
-        .withColumn("_size", word_count(F.col("text"))).withColumn("_copies", (whole + coin).cast("long"))
+        .withColumn("_copies", (whole + coin).cast("long"))
 
 
 def mix_plan(docs: DataFrame, **how) -> DataFrame:
-    """doc_id, size, source_size, target, taken (words taken, repeats counted)."""
-    return with_copies(docs.select("doc_id", "source", "text"), **how).select(
+    """doc_id, size, source_size, target, taken (words taken, repeats counted).
+    The words are counted in one scan, whose narrow rows are kept."""
+    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("_size")), "mix-sizes")
+    return with_copies(sized, **how).select(
         "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
         F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The mixed documents: every row as often as the mix takes it."""
-    return with_copies(docs, **how).where(F.col("_copies") > 0) \
+    return with_copies(docs.withColumn("_size", word_count(F.col("text"))), **how).where(F.col("_copies") > 0) \
         .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
