@@ -46,6 +46,7 @@ BAND = 4                     # sizes of a band: 3*4^b up to 3*4^(b+1)
 HOT_COUNT = 32               # a part in so many classes is worth putting off
 HOT_LISTED = 200_000         # hottest parts that are broadcast (an order only)
 PAIR_BLOCK = 1024            # members of a group that are paired at once
+SKETCH_BITS = 4              # least bits of a sketch a shingle (a power of two)
 
 _U = np.uint64
 _M1, _M2, _M3 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -120,8 +121,9 @@ def class_id(s: np.ndarray) -> int:
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """Parity of the shingles per bit, as 64-bit words; 1 to 2 bits a shingle."""
-    bits = max(64, 1 << int(len(s) - 1).bit_length())
+    """Parity of the shingles per bit, as 64-bit words; ``SKETCH_BITS`` to
+    twice as many bits a shingle (fewer bits lose more of the difference)."""
+    bits = max(64, SKETCH_BITS << int(len(s) - 1).bit_length())
     odd = np.bincount((_mix(s + _M3) & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
