@@ -32,7 +32,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -190,15 +190,23 @@ class Rarity:
 
 
 _SIGN = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()),
-                   ("sk", pa.list_(pa.int64()))])
+                   ("sk", pa.list_(pa.int64())), ("row", pa.int64())])
 
 
 def _signatures():
-    """kind 0: a document (its class, size and sketch); kind 1: a part key
-    (``cls``) that ``n`` classes of the block share."""
+    """kind 0: a document (its class, size, sketch and the name of its row);
+    kind 1: a part key (``cls``) that ``n`` classes of the block share."""
 
     def run(batches):
-        for ids, texts in text_blocks(batches, BLOCK_CHARS):
+        names: list = []
+
+        def seen():
+            for b in batches:
+                names.extend(b.column(2).to_pylist())
+                yield b
+
+        for ids, texts in text_blocks(seen(), BLOCK_CHARS):
+            row, names[:] = names[:len(ids)], names[len(ids):]
             cls, n, sk, parts, met = [], [], [], [], set()
             for s in shingle_sets(texts):
                 c = class_id(s)
@@ -209,12 +217,13 @@ def _signatures():
                     continue
                 met.add(c)
                 parts += [part_keys(s, b, d)[0] for b, d in bands_of(len(s))]
-            yield rows_to_batch({"kind": [0] * len(ids), "doc_id": ids, "n": n, "cls": cls, "sk": sk}, _SIGN)
+            yield rows_to_batch({"kind": [0] * len(ids), "doc_id": ids, "n": n, "cls": cls, "sk": sk,
+                                 "row": row}, _SIGN)
             if parts:
                 k, c = np.unique(np.concatenate(parts), return_counts=True)
                 k, c = k[c > 1].view(np.int64), c[c > 1]
                 yield rows_to_batch({"kind": [1] * len(k), "doc_id": [None] * len(k), "n": c, "cls": k,
-                                     "sk": [None] * len(k)}, _SIGN)
+                                     "sk": [None] * len(k), "row": [None] * len(k)}, _SIGN)
 
     return run
 
@@ -417,12 +426,14 @@ def _open_pairs(shared: DataFrame, comp: DataFrame, classes: DataFrame, forest:
         .mapInArrow(lambda b: _pairs_between(b, forest), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, cls, for every row of ``docs``."""
+def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, n, cls, row) of ``docs`` (doc_id, text, row) and the
+    component (label, rep) of each class with words."""
     spark = docs.sparkSession
     text = docs.select("doc_id", "text")
-    signed = materialize(text.mapInArrow(_signatures(), "kind int, doc_id long, n long, cls long, sk array<long>"),
-                         "jaccard-signatures", ["kind"])
+    signed = materialize(docs.select("doc_id", "text", "row").mapInArrow(
+        _signatures(), "kind int, doc_id long, n long, cls long, sk array<long>, row long"),
+        "jaccard-signatures", ["kind"])
     rows = signed.where("kind = 0")
     classes = materialize(rows.where("n > 0").groupBy("cls").agg(
         F.min("n").alias("n"), F.min("doc_id").alias("rep"), F.first("sk").alias("sk")), "jaccard-classes")
@@ -452,6 +463,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     member = classes.select("cls", "rep").join(comp.withColumnRenamed("node", "cls"), "cls", "left") \
         .select("cls", "rep", F.coalesce("label", "cls").alias("label"))
+    return rows, member
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, cls, for every row of ``docs``."""
+    rows, member = _components(docs.select("doc_id", "text", F.lit(None).cast("long").alias("row")))
     ids = member.groupBy("label").agg(F.min("rep").alias("component_id"))
     named_ids = member.join(ids, "label").select("cls", "component_id")
     out = rows.where("n > 0").join(named_ids, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id",
@@ -461,13 +478,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: the one with the
-    smallest id (null last) and, among rows of that id, the smallest text."""
-    n = near_duplicates(docs)
-    keep = n.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    left = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    again = docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
-    w = Window.partitionBy("doc_id").orderBy(F.asc_nulls_last("text"))
-    twice = left.join(again, same, "left_semi").withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
-    return left.join(again, same, "left_anti").unionByName(twice)
+    """``docs`` with one row of each component: the one with the smallest id
+    (null last) and, among the component's rows of that id, the smallest hash
+    of the row.  Rows of that id in other components don't matter; a text
+    without words is like no other and stays, repeated or not."""
+    cols = docs.columns
+    words = F.coalesce(F.col("text").rlike(r"[^ \x09-\x0D]"), F.lit(False))
+    named = docs.withColumn("_row", F.xxhash64(*cols, *[F.col(c).isNull() for c in cols]))
+    rows, member = _components(named.where(words).select("doc_id", "text", F.col("_row").alias("row")))
+    rows = rows.join(member.select("cls", "label"), "cls").groupBy("label", "doc_id", "row").count()
+    first = rows.groupBy("label").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "count")).alias("f"))
+    keep = materialize(first.select(F.col("f.doc_id").alias("_id"), F.col("f.row").alias("_kept"),
+                                    F.col("f.count").alias("_times")), "jaccard-kept")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_kept"))
+    once = named.where(words).join(keep.where("_times = 1"), same, "left_semi")
+    again = named.where(words).join(keep.where("_times > 1"), same, "left_semi").dropDuplicates(["doc_id", "_row"])
+    return once.unionByName(again).drop("_row").unionByName(docs.where(~words))
