@@ -145,7 +145,8 @@ def bands_of(n: int) -> list[tuple[int, int]]:
     if n < 3:
         return []  # only equal sets link
     b = band_of(n)
-    out = [(b, most_apart(n, min(n * 100 // SHARE, 3 * BAND ** (b + 1) - 1)))]
+    # a larger partner of the next band is met in this one, so d is not cut here
+    out = [(b, most_apart(n, n * 100 // SHARE))]
     low = 3 * BAND ** b - 1
     if b and n * SHARE <= low * 100:
         out.append((b - 1, most_apart(n, low)))
