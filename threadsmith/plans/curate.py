@@ -47,6 +47,7 @@ class RunOutputs:
     touched: DataFrame       # story_key, file_path, mode (create|append)
     frontier: DataFrame      # topic_id, page_no, page_link: pages to crawl that are missing
     kept_keys: DataFrame     # topic_key, tkey, ikey: dedup keys of this run's kept posts
+    read: DataFrame          # topic_id, topic_key, read_to (null: pages of the topic need no order)
 
 
 def prepare_pages(pages: DataFrame, state: DataFrame, cfg: CurationConfig) -> DataFrame:
@@ -78,13 +79,15 @@ class AssetInputs:
 def run(spark: SparkSession, pages: DataFrame, cfg: CurationConfig, state: DataFrame | None = None,
         run_id: str = "run-0", profile_rows=None, image_targets: DataFrame | None = None,
         assets: AssetInputs | None = None, existing_stems: DataFrame | None = None,
-        earlier_keys: DataFrame | None = None) -> RunOutputs:
+        earlier_keys: DataFrame | None = None, taken: DataFrame | None = None) -> RunOutputs:
     """One batch run.  ``pages(topic_id, link, page_no, html[, status])``;
     ``image_targets(page_url, full_src)`` from ``extract.image_targets``;
     ``existing_stems(file_path)``: story files already in the output folder
     (their version numbers are taken, as are those recorded in the state);
     ``earlier_keys(topic_key, tkey, ikey)``: dedup keys kept by earlier runs
-    (used when ``cfg.dedup_across_runs``)."""
+    (used when ``cfg.dedup_across_runs``); ``taken(topic_id, page_no)``: pages
+    that an earlier run has judged and that are here unchanged, for the header
+    or the order of pages only."""
     state = ST.one_per_key(state if state is not None else ST.empty_state(spark))
     p = prepare_pages(pages, state, cfg)
     # the raw pages are read once, by the parse; everything after reads its
@@ -120,6 +123,11 @@ def run(spark: SparkSession, pages: DataFrame, cfg: CurationConfig, state: DataF
         .filter(F.lit(cfg.use_state) & (F.col("domain") != ARCHIVE_HOST)) \
         .select("topic_id", "total_pages", "post_cursor")
     posts = ST.resume_filter(posts, st, cfg) if cfg.use_state else posts
+    same = None     # topics whose resume page is as it was: the cursor stays on it
+    if taken is not None:
+        posts = posts.join(taken, ["topic_id", "page_no"], "left_anti")
+        same = st.join(taken.withColumnRenamed("page_no", "total_pages"), ["topic_id", "total_pages"], "left_semi") \
+            .select("topic_id", F.col("total_pages").alias("_tp"), F.col("post_cursor").alias("_tc"))
     earlier = None
     if cfg.dedup_across_runs and earlier_keys is not None:
         earlier = earlier_keys.join(topics.select("topic_id", "topic_key"), "topic_key") \
@@ -169,11 +177,14 @@ def run(spark: SparkSession, pages: DataFrame, cfg: CurationConfig, state: DataF
     if cfg.use_state:
         none = F.lit(0 if cfg.resume_as_coded else -1)
         cur = ST.cursor_advance(verdict, cfg).select("topic_id", F.col("total_pages").alias("_cp"), "post_cursor")
+        t = t.join(same, "topic_id", "left") if same is not None else \
+            t.withColumn("_tp", F.lit(None).cast("int")).withColumn("_tc", F.lit(None).cast("int"))
         new_state = t.join(through, "topic_id").join(cur, "topic_id", "left").filter(
             F.col("domain") != ARCHIVE_HOST).select(
             "topic_key", "title", F.col("link").alias("page_link"), "file_path",
             F.col("read_to").alias("total_pages"),
-            F.coalesce(F.when(F.col("_cp") == F.col("read_to"), F.col("post_cursor")), none).cast("int")
+            F.coalesce(F.when(F.col("_cp") == F.col("read_to"), F.col("post_cursor")),
+                       F.when(F.col("_tp") == F.col("read_to"), F.col("_tc")), none).cast("int")
             .alias("post_cursor"))
     full_state = ST.upsert_state(state, new_state) if cfg.use_state else state
     # G1 + U2/U3 + U18: pages from the resume page to the header's count that
@@ -190,4 +201,8 @@ def run(spark: SparkSession, pages: DataFrame, cfg: CurationConfig, state: DataF
     stories = chunks.join(active.withColumnRenamed("topic_id", "story_key"), "story_key", "left_semi")
     keys = SEL.kept_keys(verdict).join(topics.select("topic_id", "topic_key"), "topic_id") \
         .select("topic_key", "tkey", "ikey")
-    return RunOutputs(stories, kept, rejects, metrics, full_state, quarantine, touched, frontier, keys)
+    read = topics.select("topic_id", "topic_key", "domain")
+    read = read.join(through, "topic_id", "left") if cfg.use_state else read.withColumn("read_to", F.lit(None).cast("int"))
+    read = read.select("topic_id", "topic_key",
+                       F.when(F.col("domain") != ARCHIVE_HOST, F.col("read_to")).alias("read_to"))
+    return RunOutputs(stories, kept, rejects, metrics, full_state, quarantine, touched, frontier, keys, read)
