@@ -58,8 +58,20 @@ def _parser() -> argparse.ArgumentParser:
     return p
 
 
-def run_batch(spark, a) -> dict:
+def _image_inputs(spark, a) -> dict:
+    """The image tables named by the options; half-given ones are refused."""
     from .operators import extract as X
+    from .plans import curate
+    given = [a.asset_manifest, a.fetch_status, a.snapshots]
+    if a.download_images != any(given) or any(given) != all(given):
+        raise SystemExit("--download-images needs --asset-manifest, --fetch-status and --snapshots, and they need it")
+    if a.image_targets and a.no_resize_images:
+        raise SystemExit("--image-targets has no use with --no-resize-images")
+    return {"image_targets": X.image_targets(spark.read.parquet(a.image_targets)) if a.image_targets else None,
+            "assets": curate.AssetInputs(*map(spark.read.parquet, given)) if a.download_images else None}
+
+
+def run_batch(spark, a) -> dict:
     from .operators import state as ST
     from .plans import curate
     from .sources import stories as SS
@@ -70,18 +82,14 @@ def run_batch(spark, a) -> dict:
     prev = ST.latest_version(spark, f"{out_dir}/state")
     run_seq = (prev or 0) + 1
     state = ST.read_state(spark, f"{out_dir}/state") if cfg.use_state else None
-    targets = X.image_targets(spark.read.parquet(a.image_targets)) if a.image_targets else None
-    assets = None
-    if cfg.download_images and a.asset_manifest and a.fetch_status and a.snapshots:
-        assets = curate.AssetInputs(spark.read.parquet(a.asset_manifest), spark.read.parquet(a.fetch_status),
-                                    spark.read.parquet(a.snapshots))
+    images = _image_inputs(spark, a)
     stems = None
     if ST._fs(spark, f"{out_dir}/touched")[0].exists(ST._fs(spark, f"{out_dir}/touched")[1]):
         stems = spark.read.parquet(f"{out_dir}/touched").select("file_path")
     fs, kk = ST._fs(spark, f"{out_dir}/kept_keys")
     earlier = spark.read.parquet(f"{out_dir}/kept_keys") if fs.exists(kk) else None
     out = curate.run(spark, spark.read.parquet(a.pages), cfg, state=state, run_id=f"run-{run_seq}",
-                     image_targets=targets, assets=assets, existing_stems=stems, earlier_keys=earlier)
+                     **images, existing_stems=stems, earlier_keys=earlier)
     from .operators import render as R
     # kept posts are written once; the story chunks are rendered from them
     out.story_posts.write.mode("overwrite").parquet(f"{out_dir}/story_posts/run_seq={run_seq}")
@@ -115,7 +123,7 @@ def main(argv=None, spark=None) -> int:
     elif a.cmd == "stream":
         from .streaming.ingest import page_ingest
         schema = spark.read.parquet(a.landing).schema
-        page_ingest(spark, a.landing, schema, out_dir, _config(a))
+        page_ingest(spark, a.landing, schema, out_dir, _config(a), **_image_inputs(spark, a))
     elif a.cmd == "export":
         from .sources import stories as SS
         stored = SS.read_story_files(spark, a.html_dir, a.files)

@@ -101,19 +101,22 @@ def _image(src, alt, width, height, hosted, tag):
                     hosted.alias("hosted"), tag.alias("tag"))
 
 
-def fullsize_edits(posts: DataFrame, targets: DataFrame) -> DataFrame:
+def fullsize_edits(posts: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """U16 + J5: hosted images of image posts at full size.  Width/height
     are dropped (a missing width stops before the height: an emoticon); site
     A takes ``alt`` as source when it names a stored file, else the
     full-size source looked up on the image page (left join on ``alt``),
     else keeps its own; site B takes ``alt``; the archive only drops the
-    size."""
+    size.  Without ``targets`` nothing is looked up, the rest holds."""
     key = ["topic_id", "page_no", "pos"]
     e = posts.filter("is_image").select(*key, "domain", F.posexplode("images").alias("i", "img")) \
         .filter(F.col("img.hosted"))
     # one full-size source per image page (deterministic: a found source wins)
-    look = targets.groupBy(F.col("page_url").alias("_alt")).agg(F.max("full_src").alias("full_src"))
-    e = e.join(look, F.col("img.alt") == F.col("_alt"), "left")
+    if targets is None:
+        e = e.withColumn("full_src", F.lit(None).cast("string"))
+    else:
+        look = targets.groupBy(F.col("page_url").alias("_alt")).agg(F.max("full_src").alias("full_src"))
+        e = e.join(look, F.col("img.alt") == F.col("_alt"), "left")
     alt, src = F.col("img.alt"), F.col("img.src")
     src_a = F.when(alt.contains(FULLSIZE_MARKER), alt).otherwise(F.coalesce(F.col("full_src"), src))
     new_src = F.when(F.col("domain") == SITE_A, src_a).when(F.col("domain") == SITE_B, alt).otherwise(src)

@@ -88,6 +88,8 @@ def run(spark: SparkSession, pages: DataFrame, cfg: CurationConfig, state: DataF
     (used when ``cfg.dedup_across_runs``); ``taken(topic_id, page_no)``: pages
     that an earlier run has judged and that are here unchanged, for the header
     or the order of pages only."""
+    if cfg.download_images != (assets is not None):
+        raise ValueError("download_images and the asset inputs go together")
     state = ST.one_per_key(state if state is not None else ST.empty_state(spark))
     p = prepare_pages(pages, state, cfg)
     # the raw pages are read once, by the parse; everything after reads its
@@ -135,9 +137,9 @@ def run(spark: SparkSession, pages: DataFrame, cfg: CurationConfig, state: DataF
     verdict = SEL.selection_verdicts(posts, topics, cfg, earlier)      # narrow, per post
     kept = SEL.story_posts(SEL.attach_verdicts(posts, verdict)) \
         .withColumn("excerpt", excerpt("paragraphs"))              # U12 (the "chapter added" line)
-    if cfg.resize_images and image_targets is not None:          # U16 + J5
+    if cfg.resize_images:                                         # U16 (+ J5 where targets are given)
         kept = A.apply_image_edits(kept, A.fullsize_edits(kept, image_targets))
-    if cfg.download_images and assets is not None:                # A6, J3, J4, U15
+    if cfg.download_images:                                       # A6, J3, J4, U15
         refs = A.image_refs(kept)
         inv = A.inventory(refs)
         fetched = A.resolve_missing(A.missing_assets(inv, assets.manifest), assets.fetch_status, assets.snapshots)

@@ -93,10 +93,12 @@ def _to_hold(pages: DataFrame, read: DataFrame, state: DataFrame) -> DataFrame:
 
 def page_ingest(spark: SparkSession, landing: str, schema: StructType, base: str,
                 cfg: CurationConfig, checkpoint: str | None = None, profile_rows=None,
-                prepare: Callable[[DataFrame], DataFrame] | None = None, glob: str | None = None) -> str:
+                prepare: Callable[[DataFrame], DataFrame] | None = None, glob: str | None = None,
+                image_targets: DataFrame | None = None, assets=None) -> str:
     """Pages landing in ``landing`` -> ``base``/{stories,story_posts,
     metrics,state,quarantine,frontier,held}.  ``prepare`` maps the landing rows to
-    ``topic_id, link, page_no, html[, status]``.  Returns ``base``."""
+    ``topic_id, link, page_no, html[, status]``; ``image_targets`` and ``assets`` as in ``curate.run``.
+    Returns ``base``."""
     from ..plans import curate
     checkpoint = checkpoint or f"{base}/_checkpoint"
 
@@ -109,7 +111,7 @@ def page_ingest(spark: SparkSession, landing: str, schema: StructType, base: str
         new = materialize(pages.drop("page_hash"), "landed")    # the stateful source is read once
         here = materialize(_with_held(spark, new, f"{base}/held", batch_id), "batch-pages")
         out = curate.run(spark, here.drop("taken"), cfg, state=state, run_id=f"batch-{batch_id}",
-                         profile_rows=profile_rows, earlier_keys=earlier,
+                         profile_rows=profile_rows, earlier_keys=earlier, image_targets=image_targets, assets=assets,
                          taken=here.filter("taken").select("topic_id", "page_no").distinct())
         tag = f"batch_id={batch_id}"
         # kept posts are written once; the stories are rendered from them
