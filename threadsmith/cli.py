@@ -126,8 +126,11 @@ def main(argv=None, spark=None) -> int:
         page_ingest(spark, a.landing, schema, out_dir, _config(a), **_image_inputs(spark, a))
     elif a.cmd == "export":
         from .sources import stories as SS
-        stored = SS.read_story_files(spark, a.html_dir, a.files)
+        fs, at = ST._fs(spark, f"{out_dir}/touched")
+        touched = spark.read.parquet(f"{out_dir}/touched") if fs.exists(at) else None
+        stored = SS.documents(spark, a.html_dir, a.files, touched)
         normal, big = SS.split_big(stored)
         normal.write.mode("overwrite").parquet(f"{out_dir}/export/whole")
-        SS.export_parts(big).write.mode("overwrite").parquet(f"{out_dir}/export/parts")
+        SS.export_parts(big).join(big.select("path", "name"), "path") \
+            .write.mode("overwrite").parquet(f"{out_dir}/export/parts")
     return 0

@@ -51,7 +51,9 @@ def read_story_files(spark: SparkSession, folder: str | None = None, named: list
     documents named by the user, as ``(path, html, n_bytes)``."""
     frames = []
     if folder:
-        frames.append(spark.read.option("pathGlobFilter", glob).text(folder, wholetext=True))
+        # no partition discovery: beside story_key= folders it would leave out the folder's own files
+        frames.append(spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
+                      .text(folder, wholetext=True))
     if named:
         frames.append(spark.read.text(named, wholetext=True))
     if not frames:
@@ -64,6 +66,35 @@ def read_story_files(spark: SparkSession, folder: str | None = None, named: list
     return out
 
 
+def read_rendered(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of ``render_files``, ``(story_key, path, html, n_bytes)``."""
+    return spark.read.schema("value string, story_key string").option("pathGlobFilter", "part-*.txt") \
+        .text(folder, wholetext=True).filter(F.col("story_key").isNotNull()) \
+        .select("story_key", F.col("_metadata.file_path").alias("path"), F.col("value").alias("html"),
+                F.col("_metadata.file_size").alias("n_bytes"))
+
+
+def documents(spark: SparkSession, folder: str | None = None, named: list[str] | None = None,
+              touched: DataFrame | None = None) -> DataFrame:
+    """S4 + G2: what an export takes, ``(name, path, html, n_bytes)``: stored
+    ``*.html`` documents by their file name, rendered stories by the name that
+    ``touched(story_key, file_path)`` gives them, else by their key.  A folder
+    without documents is an error."""
+    stored = read_story_files(spark, folder, named) \
+        .withColumn("name", F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.html?$", ""))
+    if folder:
+        rendered = read_rendered(spark, folder)
+        if touched is not None:
+            names = touched.groupBy("story_key").agg(F.min("file_path").alias("name"))
+            rendered = rendered.join(names, "story_key", "left")
+        else:
+            rendered = rendered.withColumn("name", F.lit(None).cast("string"))
+        stored = stored.unionByName(rendered.withColumn("name", F.coalesce("name", "story_key")).drop("story_key"))
+        if stored.limit(1).count() == 0:
+            raise ValueError(f"no story documents in {folder}")
+    return stored.select("name", "path", "html", "n_bytes")
+
+
 def split_big(stored: DataFrame, threshold: int = BIG_STORY_BYTES) -> tuple[DataFrame, DataFrame]:
     """G3 + U19: (normal, big) documents by file size (every document is
     tested; none is skipped)."""
