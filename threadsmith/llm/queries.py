@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, byte_bpe, jaccard, language, line_quality, mixing, suffixes, token_files, toxicity, wordpiece
+from . import ann, byte_bpe, centroids, jaccard, language, line_quality, mixing, suffixes, token_files, toxicity, wordpiece
 from .common import table
 
 
@@ -57,6 +57,11 @@ def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_jaccard_join, op2_token_files, op3_nearest_neighbours, op4_mix_sources, op5_wordpiece_counts, op6_language,
-    op7_toxicity, op8_suffix_dedup, op9_byte_bpe, op10_line_quality)}
+    op7_toxicity, op8_suffix_dedup, op9_byte_bpe, op10_line_quality,
+    op11_centroids)}

@@ -68,4 +68,37 @@ SELECT *, (n_words < 50 OR n_repeat_words * 100 > n_words * 50) AS base_failed,
 FROM q
 """
 
-SQL = {"op4_mix_sources": OP4, "op10_line_quality": OP10}
+
+def _op11(k: int = 8, rounds: int = 10) -> str:
+    """Plain rounds: every distance of every vector to every centroid."""
+    gap = "list_sum(list_transform(list_zip(v.p, c{0}.p), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    parts = [f"""v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id,
+    list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS p
+  FROM embeddings WHERE len(embedding) = 64
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, p) - 1 AS c, p
+  FROM (SELECT sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), 'null')) AS h, p FROM v ORDER BY h, p LIMIT {k}))"""]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (
+  SELECT rid, arg_min(c, (d, c)) AS c, min(d) AS d
+  FROM (SELECT v.rid, c{i}.c, {gap.format(i)} AS d FROM v, c{i}) GROUP BY rid)""")
+        if i < rounds:
+            parts.append(f"""m{i} AS (
+  SELECT c, list(q ORDER BY j) AS p
+  FROM (SELECT c, j, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS q
+        FROM (SELECT c, j, sum(x) AS s, count(*) AS n
+              FROM (SELECT a{i}.c, unnest(v.p) AS x, unnest(range(64)) AS j FROM v JOIN a{i} USING (rid))
+              GROUP BY c, j))
+  GROUP BY c),
+c{i + 1} AS MATERIALIZED (
+  SELECT c{i}.c, coalesce(m{i}.p, c{i}.p) AS p FROM c{i} LEFT JOIN m{i} ON m{i}.c = c{i}.c)""")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT v.vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance,
+  CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(e.p, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN v USING (rid) JOIN c{rounds} e ON e.c = a.c"""
+
+
+SQL = {"op4_mix_sources": OP4, "op10_line_quality": OP10, "op11_centroids": _op11()}
