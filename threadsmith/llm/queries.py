@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, byte_bpe, centroids, jaccard, language, line_quality, mixing, suffixes, token_files, toxicity, wordpiece
+from . import alignment, ann, byte_bpe, centroids, jaccard, language, line_quality, mixing, suffixes, token_files, toxicity, wordpiece
 from .common import table
 
 
@@ -61,7 +61,12 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                           public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_jaccard_join, op2_token_files, op3_nearest_neighbours, op4_mix_sources, op5_wordpiece_counts, op6_language,
     op7_toxicity, op8_suffix_dedup, op9_byte_bpe, op10_line_quality,
-    op11_centroids)}
+    op11_centroids, op13_alignment)}
