@@ -8,7 +8,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, ann, byte_bpe, centroids, jaccard, language, line_quality, mixing, suffixes, token_files, toxicity, wordpiece
+from . import (alignment, ann, byte_bpe, centroids, jaccard, language, line_quality, mixing, quality_model, suffixes,
+               token_files, toxicity, wordpiece)
 from .common import table
 
 
@@ -61,6 +62,10 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.train_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
                            public_tokenizers.path("piece_bpe_32k.model"))
@@ -69,4 +74,4 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_jaccard_join, op2_token_files, op3_nearest_neighbours, op4_mix_sources, op5_wordpiece_counts, op6_language,
     op7_toxicity, op8_suffix_dedup, op9_byte_bpe, op10_line_quality,
-    op11_centroids, op13_alignment)}
+    op11_centroids, op12_quality, op13_alignment)}
