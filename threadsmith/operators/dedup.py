@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..config import CurationConfig
 from ..functions.text import dedup_key
 from ..session import materialize
-from .ordering import ORD_SHIFT, order_key
+from .ordering import order_key, order_parts
 
 K = ["topic_id"]
 
@@ -105,5 +105,5 @@ def verdicts_from_keys(n: DataFrame, cfg: CurationConfig, earlier: DataFrame | N
 
 
 def _unord(df: DataFrame) -> DataFrame:
-    return df.select(*K, F.shiftright("ord", ORD_SHIFT).cast("int").alias("page_no"),
-                     F.col("ord").bitwiseAND((1 << ORD_SHIFT) - 1).cast("int").alias("pos"), "is_dup")
+    page, pos = order_parts("ord")
+    return df.select(*K, page.alias("page_no"), pos.alias("pos"), "is_dup")

@@ -12,12 +12,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PAGE_BLOCK = 1024  # pages per block in the hierarchical prefix sum
-ORD_SHIFT = 20     # order key = page_no << 20 | pos (positions per page < 2**20)
+ORD_SHIFT = 31     # order key = page_no << 31 | pos: every int that isn't negative fits
 
 
 def order_key(page: str = "page_no", pos: str = "pos"):
-    """(page, position) as one sortable ``long`` (hash-aggregatable)."""
-    return F.shiftleft(F.col(page).cast("long"), ORD_SHIFT) + F.col(pos).cast("long")
+    """(page, position) as one sortable ``long`` (hash-aggregatable).  The whole
+    range of both ints is kept; a negative one is an error, as it would sort
+    wrongly, and a null gives null."""
+    p, q = F.col(page).cast("long"), F.col(pos).cast("long")
+    top = (1 << ORD_SHIFT) - 1
+    fits = p.between(0, top) & q.between(0, top)
+    key = F.shiftleft(p, ORD_SHIFT) + q
+    return F.when(fits, key).when(p.isNotNull() & q.isNotNull(), F.raise_error(F.concat(
+        F.lit("page or position out of range: "), p.cast("string"), F.lit(", "), q.cast("string"))).cast("long"))
+
+
+def order_parts(key: str) -> tuple:
+    """The (page, position) columns of an order key."""
+    return (F.shiftright(key, ORD_SHIFT).cast("int"), F.col(key).bitwiseAND((1 << ORD_SHIFT) - 1).cast("int"))
 
 
 def rank_in_topic(df: DataFrame, topic: str = "topic_id", page: str = "page_no",

@@ -5,9 +5,9 @@ The state table has one row per topic key::
     topic_key string, title string, page_link string, file_path string,
     total_pages int, post_cursor int
 
-It is stored as versioned parquet folders (``<base>/version=N``); a run
-reads the latest version and writes the next one, so a table is never
-overwritten while it is read.
+It is stored as a log of changed rows (``keyed_log``): a run reads the latest
+version and writes the rows it changed as the next one, so a table is never
+overwritten while it is read and the bytes written follow the changed topics.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..config import CurationConfig
+from .keyed_log import KeyedLog
 
 STATE_SCHEMA = StructType([
     StructField("topic_key", StringType()),
@@ -41,39 +42,32 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def state_log(spark: SparkSession, base: str) -> KeyedLog:
+    return KeyedLog(spark, base, STATE_SCHEMA, ["topic_key"])
+
+
 def latest_version(spark: SparkSession, base: str, at_most: int | None = None) -> int | None:
-    """Largest committed ``version=N`` folder under ``base`` (a listing, no
-    data is read), optionally not above ``at_most``."""
-    fs, p = _fs(spark, base)
-    if not fs.exists(p):
-        return None
-    best = None
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith("version="):
-            ok = fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))
-            if ok:
-                v = int(name.split("=", 1)[1])
-                if at_most is not None and v > at_most:
-                    continue
-                best = v if best is None or v > best else best
-    return best
+    """Largest committed version under ``base`` (a listing, no data is read),
+    optionally not above ``at_most``."""
+    return state_log(spark, base).latest(at_most)
 
 
 def read_state(spark: SparkSession, base: str, at_most: int | None = None) -> DataFrame:
     """S5 (+S6 when missing): the latest state version (not above
     ``at_most`` when given, so a replayed batch reads what it read first)."""
-    v = latest_version(spark, base, at_most)
-    if v is None:
-        return empty_state(spark)
-    return spark.read.schema(STATE_SCHEMA).parquet(f"{base.rstrip('/')}/version={v}")
+    return state_log(spark, base).read(at_most)
 
 
 def write_state(state: DataFrame, base: str, version: int) -> str:
-    """Write a new state version; readers switch to it once it is complete."""
-    path = f"{base.rstrip('/')}/version={version}"
-    state.select(*STATE_COLS).write.mode("overwrite").parquet(path)
-    return path
+    """Write a whole new state version; readers switch to it once it is
+    complete."""
+    return state_log(state.sparkSession, base).replace(state, version)
+
+
+def write_changes(changed: DataFrame, base: str, version: int) -> bool:
+    """Write the rows that this version inserts or updates (one per key);
+    True if the log was compacted."""
+    return state_log(changed.sparkSession, base).append(changed, version)
 
 
 def clear_state(spark: SparkSession, base: str) -> str:
@@ -108,15 +102,14 @@ def read_through(crawled: DataFrame, start: DataFrame, key: str = "topic_id") ->
         key, F.coalesce("_end", F.col("start_page") - 1).cast("int").alias("read_to"))
 
 
-def upsert_state(old: DataFrame, new: DataFrame) -> DataFrame:
+def upsert_state(old: DataFrame, new: DataFrame, unique: bool = False) -> DataFrame:
     """Update the row of each topic key present in ``new``, insert the
-    others, keep the rest.  Each side is first reduced to one row per key."""
-    old, new = one_per_key(old), one_per_key(new)
-    o = old.select(*[F.col(c).alias("o_" + c) for c in STATE_COLS])
-    n = new.select(*[F.col(c).alias("n_" + c) for c in STATE_COLS])
-    j = o.join(n, o["o_topic_key"] == n["n_topic_key"], "full_outer")
-    upd = F.col("n_topic_key").isNotNull()
-    return j.select(*[F.when(upd, F.col("n_" + c)).otherwise(F.col("o_" + c)).alias(c) for c in STATE_COLS])
+    others, keep the rest.  Sides that aren't known to have one row per key are
+    reduced to one first."""
+    if not unique:
+        old, new = one_per_key(old), one_per_key(new)
+    return old.join(new.select("topic_key"), "topic_key", "left_anti").select(*STATE_COLS) \
+        .unionByName(new.select(*STATE_COLS))
 
 
 def cursor_advance(selected: DataFrame, cfg: CurationConfig, key: str = "topic_id") -> DataFrame:
@@ -149,28 +142,46 @@ def frontier(topics: DataFrame, start: str = "start_page", total: str = "total_p
     return topics.withColumn("page_no", F.explode(seq))
 
 
-def resume_filter(posts: DataFrame, state: DataFrame, cfg: CurationConfig,
-                  key: str = "topic_id") -> DataFrame:
-    """P11 + T2: drop what a previous run already handled.
-
-    ``state`` has ``key, total_pages, post_cursor``.  Pages before the stored
-    last page are not read again; on the resume page positions up to the
-    cursor are skipped.  As coded, a page that never passes the cursor (no
-    position above it and not a full page) carries the skip to the next
-    page; that is computed from per-page maxima, not from a sequential scan.
-    """
-    st = state.select(key, F.col("total_pages").alias("_sp"), F.col("post_cursor").alias("_sc"))
-    p = posts.join(st, key, "left")          # the state is read once
+def pages_after(pages: DataFrame, state: DataFrame, cfg: CurationConfig, key: str = "topic_id") -> DataFrame:
+    """P11 on page rows: ``pages(key, page_no, max_pos)`` -> the pages still to
+    be read with ``after``: positions above it are (-1: the whole page).
+
+    ``state(key, total_pages, post_cursor[, read_to, last_pos])``.  Pages before
+    the stored last page are not read again; on the resume page positions up to
+    the cursor are skipped.  As coded, a page that never passes the cursor (no
+    position above it and not a full page) carries the skip to the next page;
+    that is computed from per-page maxima, not from a sequential scan.
+
+    ``read_to``: the last page that earlier runs have read (a skip ends there,
+    as they have carried it out); ``last_pos``: the last position of the resume
+    page then, for a run that doesn't deliver it."""
+    extra = [c for c in ("read_to", "last_pos") if c in state.columns]
+    st = state.select(key, F.col("total_pages").alias("_sp"), F.col("post_cursor").alias("_sc"),
+                      *[F.col(c).alias("_" + c) for c in extra])
+    p = pages.select(key, "page_no", "max_pos").join(st, key, "left")      # the state is read once
     if cfg.resume_as_coded:
-        pages = p.filter(F.col("_sp").isNotNull()).groupBy(key, "page_no").agg(
-            F.max("pos").alias("_mx"), F.first("_sp").alias("_sp"), F.first("_sc").alias("_sc"))
-        ends = pages.filter((F.col("page_no") >= F.col("_sp"))
-                            & ((F.col("_mx") > F.col("_sc")) | (F.col("_mx") >= cfg.posts_per_page - 1))) \
-            .groupBy(key).agg(F.min("page_no").alias("_end"))
+        known = p.filter(F.col("page_no") >= F.col("_sp")).select(key, "page_no", "max_pos", "_sc")
+        if "last_pos" in extra:
+            known = known.unionByName(st.filter("_last_pos is not null").select(
+                key, F.col("_sp").alias("page_no"), F.col("_last_pos").alias("max_pos"), "_sc"))
+        passes = (F.col("max_pos") > F.col("_sc")) | (F.col("max_pos") >= cfg.posts_per_page - 1)
+        ends = known.filter(passes).groupBy(key).agg(F.min("page_no").alias("_end"))
         p = p.join(ends, key, "left")
-        skip_pages = F.col("page_no") <= F.coalesce(F.col("_end"), F.lit(NO_PAGE))
+        last = F.coalesce(F.col("_end"), F.lit(NO_PAGE))
+        if "read_to" in extra:
+            # beyond the resume page, pages read by earlier runs have ended the skip
+            last = F.when(F.col("_read_to") > F.col("_sp"), F.least(last, F.col("_read_to"))).otherwise(last)
+        skips = F.col("page_no") <= last
     else:
-        skip_pages = F.col("page_no") == F.col("_sp")
-    keep = F.col("_sp").isNull() | ((F.col("page_no") >= F.col("_sp"))
-                                    & ~(skip_pages & (F.col("pos") <= F.col("_sc"))))
-    return p.filter(keep).drop("_sp", "_sc", "_end")
+        skips = F.col("page_no") == F.col("_sp")
+    return p.filter(F.col("_sp").isNull() | (F.col("page_no") >= F.col("_sp"))).select(
+        key, "page_no", F.when(F.col("_sp").isNotNull() & skips, F.col("_sc")).otherwise(F.lit(-1)).cast("int").alias("after"))
+
+
+def resume_filter(posts: DataFrame, state: DataFrame, cfg: CurationConfig,
+                  key: str = "topic_id") -> DataFrame:
+    """P11 + T2: drop what a previous run already handled.  Decided on one
+    row per page (``pages_after``); the posts meet that by (topic, page)."""
+    pages = posts.groupBy(key, "page_no").agg(F.max("pos").alias("max_pos"))
+    return posts.join(pages_after(pages, state, cfg, key), [key, "page_no"]) \
+        .filter(F.col("pos") > F.col("after")).drop("after")
