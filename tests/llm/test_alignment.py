@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 
@@ -79,9 +80,11 @@ def test_groups_text(spark):
 
 
 def test_spans_are_refined_by_bytes():
+    ends = lambda b, e, n: A.byte_ends(np.array(b), np.array(e), np.array(n)).tolist()
     # three tokens share a character of three bytes; then a plain one
-    assert A.byte_ends([0, 1, 1, 1, 4], [1, 4, 4, 4, 5], [1, 1, 1, 1, 1]) == [1, 2, 3, 4, 5]
-    assert A.byte_ends([0, 1, 1, 1, 4], [1, 1, 1, 4, 5], [1, 1, 1, 1, 1]) == [1, 2, 3, 4, 5]
+    assert ends([0, 1, 1, 1, 4], [1, 4, 4, 4, 5], [1, 1, 1, 1, 1]) == [1, 2, 3, 4, 5]
+    assert ends([0, 1, 1, 1, 4], [1, 1, 1, 4, 5], [1, 1, 1, 1, 1]) == [1, 2, 3, 4, 5]
+    assert ends([0], [3], [3]) == [3] and ends([], [], []) == []
     assert A.group([7, 8], [2, 4], [5, 6, 9], [1, 2, 4]) == ("7|5,6;8|9", [(7, 6), (8, 9)])
 
 
@@ -91,6 +94,7 @@ def test_a_small_memory_gives_the_same(monkeypatch):
     one = [(x[0], x[2]) if x else None for x in A.Aligner(js, model).block(texts)]
     monkeypatch.setattr(A, "CACHE_CHUNKS", 5)
     monkeypatch.setattr(A, "LONG_CHUNK", 3)
+    monkeypatch.setattr(A, "JOINED_CHARS", 30)
     small = A.Aligner(js, model)
     assert [(x[0], x[2]) if x else None for t in texts for x in small.block([t])] == one
 

@@ -30,7 +30,6 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +40,8 @@ from ..session import materialize
 from .common import per_worker, prepare, text_blocks
 
 BLOCK_CHARS = 2_000_000      # characters aligned at once
-CACHE_CHUNKS = 300_000       # chunks a worker remembers, and
+JOINED_CHARS = 20_000        # characters of unseen chunks that are encoded as one text
+CACHE_CHUNKS = 600_000       # chunks a worker remembers, and
 CACHE_CHARS = 16_000_000     # their characters
 LONG_CHUNK = 256             # longer chunks are not remembered
 PAIRS_HELD = 400_000         # id pairs a task counts before it gives them out
@@ -62,17 +62,18 @@ def byte_level_alphabet() -> dict[str, int]:
     return out
 
 
-def byte_ends(begin: list[int], end: list[int], size: list[int]) -> list[int]:
+def byte_ends(begin: np.ndarray, end: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Byte offsets at which tokens end.  A coarse end holds where a span is
     not empty and shares nothing with the next; between two such cuts the
     decoded sizes tell."""
-    out, at, last = [], 0, len(size) - 1
-    for i, n in enumerate(size):
-        at += n
-        if i == last or begin[i] < end[i] <= begin[i + 1]:
-            at = end[i]
-        out.append(at)
-    return out
+    sure = np.ones(len(size), dtype=bool)
+    sure[:-1] = (begin[:-1] < end[:-1]) & (end[:-1] <= begin[1:])
+    run = np.cumsum(size)
+    # the cut before each token, and how far the sizes are off there
+    cut = np.maximum.accumulate(np.where(sure, np.arange(1, len(size) + 1), 0))
+    before = np.concatenate([[0], cut[:-1]])
+    off = np.concatenate([[0], end - run])
+    return np.where(sure, end, run + off[before])
 
 
 def group(ids_a: list[int], ends_a: list[int], ids_b: list[int], ends_b: list[int]):
@@ -115,6 +116,9 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.n_b)]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode()
                         for i, p in enumerate(pieces)]
+        self.sizes_a, self.sizes_b = (np.array([len(x) for x in t], dtype=np.int64) for t in (self.bytes_a, self.bytes_b))
+        self.text_of = np.array([f"{i}{c}" for i in range(max(len(self.bytes_a), self.n_b)) for c in (",", "|", ";", "")],
+                                dtype=object)
         self.in_chunks = self._byte_level(tokenizer_json) and self.cuts_at_blanks(pieces)
         # whether B's spans count bytes or characters depends on the library's version
         self.spans_are_bytes = max((p.end for p in self._proto(["é"])[0].pieces), default=2) == 2
@@ -147,34 +151,72 @@ class Aligner:
         except TypeError:  # the older library's name for it
             return self.b.encode(texts, out_type="immutable_proto", num_threads=1)
 
-    def align(self, chunks: list[str]) -> list[tuple[int, int, str, list] | None]:
-        """(tokens of A, of B, groups, pairs) of each chunk, which begins with
-        the blank that B adds by itself; None if the bytes differ."""
-        out = []
-        for c, a, b in zip(chunks, self.a.encode_batch(chunks, add_special_tokens=False),
-                           self._proto([c[1:] for c in chunks]), strict=True):
-            raw = c.encode("utf-8", "surrogatepass")
-            ids_a, spans = a.ids, a.offsets
-            pieces = [(p.id, p.begin, p.end) for p in b.pieces]
-            ids_b = [p[0] for p in pieces]
-            parts_a, parts_b = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b]
-            if b"".join(parts_a) != raw or b"".join(parts_b) != raw:
-                out.append(None)
-                continue
-            at = None
-            if len(raw) != len(c):
-                at = np.r_[0, np.cumsum([len(x.encode()) for x in c])].tolist()
-            begin, end = [s[0] for s in spans], [s[1] for s in spans]
-            if at:
-                begin, end = [at[x] for x in begin], [at[x] for x in end]
-            ends_a = byte_ends(begin, end, list(map(len, parts_a)))
-            begin, end = [p[1] + 1 for p in pieces], [p[2] + 1 for p in pieces]
-            if at and not self.spans_are_bytes:
-                begin, end = [at[x] for x in begin], [at[x] for x in end]
-            begin[0] = 0  # the blank that B added
-            ends_b = byte_ends(begin, end, list(map(len, parts_b)))
-            out.append((len(ids_a), len(ids_b), *group(ids_a, ends_a, ids_b, ends_b)))
-        return out
+    def _encoded(self, text: str):
+        """(raw bytes, ids, byte ends of A, ids, byte ends of B) of a text that
+        begins with the blank that B adds; None if the bytes differ."""
+        raw = text.encode("utf-8", "surrogatepass")
+        e = self.a.encode(text, add_special_tokens=False)
+        pieces = [(p.id, p.begin, p.end) for p in self._proto([text[1:]])[0].pieces]
+        ids_b = [p[0] for p in pieces]
+        if b"".join(map(self.bytes_a.__getitem__, e.ids)) != raw or b"".join(map(self.bytes_b.__getitem__, ids_b)) != raw:
+            return None
+        place = None  # of each character among the bytes
+        if len(raw) != len(text):
+            cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            wide = 1 + (cp > 0x7F).astype(np.int64) + (cp > 0x7FF) + (cp > 0xFFFF)
+            place = np.concatenate([[0], np.cumsum(wide)])
+        span = np.array(e.offsets, dtype=np.int64).reshape(-1, 2)
+        if place is not None:
+            span = place[span]
+        ids_a = np.array(e.ids, dtype=np.int64)
+        ends_a = byte_ends(span[:, 0], span[:, 1], self.sizes_a[ids_a])
+        b = np.array(pieces, dtype=np.int64).reshape(-1, 3)
+        span = b[:, 1:] + 1
+        if place is not None and not self.spans_are_bytes:
+            span = place[span]
+        span[0, 0] = 0  # the blank that B added
+        return raw, ids_a, ends_a, b[:, 0], byte_ends(span[:, 0], span[:, 1], self.sizes_b[b[:, 0]])
+
+    def _joined(self, chunks: list[str]):
+        """(tokens of A, of B, groups, pairs, pairs of each) of chunks that are
+        encoded as one text; None if they can't be told apart so."""
+        got = self._encoded("".join(chunks))
+        if got is None:
+            return None
+        raw, ids_a, ends_a, ids_b, ends_b = got
+        bounds = np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in chunks])
+        if not ((np.diff(ends_a) > 0).all() and (np.diff(ends_b) > 0).all()):
+            return None
+        last_b = np.minimum(np.searchsorted(ends_b, ends_a), len(ends_b) - 1)
+        last_a = np.flatnonzero(ends_b[last_b] == ends_a)
+        last_b, both = last_b[last_a], ends_a[last_a]
+        at = np.minimum(np.searchsorted(both, bounds), len(both) - 1)
+        if not (both[at] == bounds).all():
+            return None
+        sep_a, sep_b = np.zeros(len(ids_a), dtype=np.int64), np.zeros(len(ids_b), dtype=np.int64)
+        sep_a[last_a] = 1
+        sep_b[last_b] = 2
+        sep_b[np.searchsorted(ends_b, bounds)] = 3
+        order = np.argsort(np.concatenate([2 * np.searchsorted(both, ends_a), 2 * np.searchsorted(both, ends_b) + 1]),
+                           kind="stable")
+        words = np.concatenate([self.text_of[ids_a * 4 + sep_a], self.text_of[ids_b * 4 + sep_b]])[order].tolist()
+        count = lambda ends: np.diff(np.searchsorted(ends, bounds, side="right"), prepend=0)
+        n_a, n_b = count(ends_a), count(ends_b)
+        at = np.concatenate([[0], np.cumsum(n_a + n_b)]).tolist()
+        texts = ["".join(words[i:j]) for i, j in zip(at, at[1:])]
+        return n_a, n_b, texts, ids_a[last_a] * self.n_b + ids_b[last_b], count(both)
+
+    def _alone(self, chunk: str):
+        """The same of one chunk (-1 tokens: the bytes differ)."""
+        one = self._joined([chunk])
+        if one is not None:
+            return one
+        got = self._encoded(chunk)
+        if got is None:
+            return [-1], [-1], [""], np.zeros(0, np.int64), [0]
+        _, ids_a, ends_a, ids_b, ends_b = got  # tokens without bytes
+        text, pairs = group(ids_a.tolist(), ends_a.tolist(), ids_b.tolist(), ends_b.tolist())
+        return [len(ids_a)], [len(ids_b)], [text], np.array([x * self.n_b + y for x, y in pairs], dtype=np.int64), [len(pairs)]
 
     def chunks(self, text: str) -> list[str]:
         """``" " + text``, cut before each blank that follows another
@@ -187,16 +229,33 @@ class Aligner:
         return [" " + x for x in _CUT.split(text)]
 
     def learn(self, chunks: list[str]) -> None:
-        found = self.align(chunks)
-        self.index.update(zip(chunks, range(len(self.texts), len(self.texts) + len(chunks)), strict=True))
-        self.chars += sum(map(len, chunks))
-        self.texts += [f[2] if f else "" for f in found]
-        self.numbers = np.concatenate([self.numbers, np.array([f[:2] if f else (-1, -1) for f in found],
-                                                              dtype=np.int64).reshape(-1, 2)])
-        pairs = [f[3] if f else [] for f in found]
-        flat = np.array(list(chain.from_iterable(pairs)), dtype=np.int64).reshape(-1, 2)
-        self.pairs = np.concatenate([self.pairs, flat[:, 0] * self.n_b + flat[:, 1]])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(p) for p in pairs], dtype=np.int64)])
+        """Align chunks: those that end in no white space are joined to texts of
+        some length, as what is true of a text's chunks is true of theirs."""
+        groups: list[list[str]] = []
+        size = JOINED_CHARS
+        for c in chunks:
+            if not self.in_chunks or c[-1].isspace() or c[-1] == MARK or MARK in c:
+                groups.append([c])
+                continue
+            if size >= JOINED_CHARS:
+                joined: list[str] = []
+                groups.append(joined)
+                size = 0
+            joined.append(c)
+            size += len(c)
+        found = []
+        for g in groups:
+            one = self._joined(g) if len(g) > 1 else None
+            found += [one] if one is not None else [self._alone(c) for c in g]
+        order = [c for g in groups for c in g]
+        self.index.update(zip(order, range(len(self.texts), len(self.texts) + len(order)), strict=True))
+        self.chars += sum(map(len, order))
+        for f in found:
+            self.texts += f[2]
+        cat = lambda i: np.concatenate([np.asarray(f[i], dtype=np.int64) for f in found])
+        self.numbers = np.concatenate([self.numbers, np.stack([cat(0), cat(1)], axis=1)])
+        self.pairs = np.concatenate([self.pairs, cat(3)])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(cat(4))])
 
     def block(self, texts: list[str | None]):
         """For each text (n_a, n_b, groups, pairs as an array), or None."""
@@ -219,7 +278,7 @@ class Aligner:
                 yield None
                 continue
             lo, size = self.starts[at], self.starts[at + 1] - self.starts[at]
-            where = np.arange(size.sum()) + np.repeat(lo - np.r_[0, np.cumsum(size)[:-1]], size)
+            where = np.arange(size.sum()) + np.repeat(lo - (np.cumsum(size) - size), size)
             yield int(n_a.sum()), int(n_b.sum()), ";".join(map(self.texts.__getitem__, at.tolist())), self.pairs[where]
         for c in new:  # what is long stays out of the index
             if len(c) > LONG_CHUNK:

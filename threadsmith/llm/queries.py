@@ -45,8 +45,8 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")) \
-        .select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=True) \
+        .select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
