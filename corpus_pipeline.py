@@ -22,10 +22,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return jaccard.one_of_each(docs)
 
 
+# A passage of 50 words is a repeat: about 300 bytes of prose, 240 where words are
+# short.  (The query of this operator has a limit of its own, 400.)
+PASSAGE_BYTES = 240
+
+
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings that repeat anywhere in what is left go."""
+    """Passages that repeat anywhere in what is left go."""
     prepare(spark)
-    return suffixes.without_repeats(docs)
+    return suffixes.without_repeats(docs, length=PASSAGE_BYTES)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
