@@ -1,5 +1,7 @@
 """``export`` of the library's own output, by content."""
 
+import os
+
 import pytest
 
 from tests.test_pipeline import P1, P2, page, pages_df
@@ -11,20 +13,23 @@ def test_export_of_a_run(spark, tmp_path):
     out, src = str(tmp_path / "out"), str(tmp_path / "crawl")
     pages_df(spark, [(1, page(P1, 2)), (2, page(P2, 2))]).write.parquet(src)
     cli.main(["run", "--pages", src, "--out", out], spark=spark)
-    cli.main(["export", "--out", out, "--html-dir", f"{out}/stories"], spark=spark)
-    rows = spark.read.parquet(f"{out}/export/whole").collect()
-    assert [r.name for r in rows] == [r.file_path for r in spark.read.parquet(f"{out}/touched").collect()]
-    html = rows[0].html
+    cli.main(["export", "--out", out], spark=spark)
+    name = spark.read.parquet(f"{out}/touched").first().file_path
+    assert name == "pogo12-mon-histoire-0" and os.listdir(f"{out}/export") == [f"{name}.html"]
+    html = (tmp_path / "out" / "export" / f"{name}.html").read_text()
     assert html.count("<!DOCTYPE html>") == 1 and html.index("Chapitre 1") < html.index("Chapitre 3")
 
 
-def test_export_names_and_big_parts(spark, tmp_path):
+def test_export_of_stored_documents(spark, tmp_path):
     folder = tmp_path / "mixed"
-    (folder / "story_key=007").mkdir(parents=True)
-    (folder / "story_key=007" / "part-0.txt").write_text("<body><div>a</div></body>")
+    folder.mkdir()
     (folder / "stored.html").write_text("<body><div>b</div></body>")
     got = {r.name: r.html for r in SS.documents(spark, str(folder)).collect()}
-    assert got == {"007": "<body><div>a</div></body>", "stored": "<body><div>b</div></body>"}
+    assert got == {"stored": "<body><div>b</div></body>"}
+    cli.main(["export", "--out", str(tmp_path / "o"), "--html-dir", str(folder)], spark=spark)
+    assert (tmp_path / "o" / "export" / "stored.html").read_text() == "<body><div>b</div></body>"
     (tmp_path / "none").mkdir()
     with pytest.raises(ValueError):
         SS.documents(spark, str(tmp_path / "none"))
+    with pytest.raises(ValueError):
+        cli.main(["export", "--out", str(tmp_path / "nothing")], spark=spark)

@@ -12,7 +12,8 @@ from threadsmith.streaming import ingest
 @pytest.mark.parametrize("landings,reasons", [
     ([[1, 3], [1, 2, 3]], {(3, "page_gap")}),
     ([[1], [1, 2]], set()),
-    ([[2], [1]], {(None, "header_page_missing")}),
+    ([[3], [2], [1]], {(3, "header_page_missing"), (2, "header_page_missing")}),
+    ([[2], [1]], {(2, "header_page_missing")}),
 ])
 def test_no_page_is_lost(spark, tmp_path, landings, reasons):
     landing, base = str(tmp_path / "landing"), str(tmp_path / "out")

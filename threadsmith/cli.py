@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import argparse
 
+from pyspark.sql import functions as F
+
 from .config import DEFAULT_IDENTIFIERS, CurationConfig
 
 
@@ -30,7 +32,8 @@ def _parser() -> argparse.ArgumentParser:
     for name in ("run", "stream"):
         s = sub.add_parser(name)
         if name == "run":
-            s.add_argument("--pages", required=True, help="parquet: topic_id, link, page_no, html[, status]")
+            s.add_argument("--pages", required=True, help="parquet: topic_id, link, page_no, html[, status, attempt]")
+            s.add_argument("--run-id", help="name of the run; a run of the same name replaces what it wrote")
         else:
             s.add_argument("--landing", required=True, help="folder where crawled page files land")
         s.add_argument("--out", required=True)
@@ -72,41 +75,60 @@ def _image_inputs(spark, a) -> dict:
 
 
 def run_batch(spark, a) -> dict:
+    from .operators import extract as X
+    from .operators import ledger as L
     from .operators import state as ST
-    from .plans import curate
-    from .sources import stories as SS
+    from .plans import curate, outputs
     from .session import release_scratch, scratch_mark
+    from .sources.stories import StoryStore
     cfg = _config(a)
-    out_dir = a.out.rstrip("/")
+    base = a.out.rstrip("/")
     mark = scratch_mark()
-    prev = ST.latest_version(spark, f"{out_dir}/state")
-    run_seq = (prev or 0) + 1
-    state = ST.read_state(spark, f"{out_dir}/state") if cfg.use_state else None
-    images = _image_inputs(spark, a)
-    stems = None
-    if ST._fs(spark, f"{out_dir}/touched")[0].exists(ST._fs(spark, f"{out_dir}/touched")[1]):
-        stems = spark.read.parquet(f"{out_dir}/touched").select("file_path")
-    fs, kk = ST._fs(spark, f"{out_dir}/kept_keys")
-    earlier = spark.read.parquet(f"{out_dir}/kept_keys") if fs.exists(kk) else None
-    out = curate.run(spark, spark.read.parquet(a.pages), cfg, state=state, run_id=f"run-{run_seq}",
-                     **images, existing_stems=stems, earlier_keys=earlier)
-    from .operators import render as R
-    # kept posts are written once; the story chunks are rendered from them
-    out.story_posts.write.mode("overwrite").parquet(f"{out_dir}/story_posts/run_seq={run_seq}")
-    chunks = R.render_chunks(spark.read.parquet(f"{out_dir}/story_posts/run_seq={run_seq}"))
-    SS.append_chunks(chunks, f"{out_dir}/story_table", run_seq)
-    SS.render_files(spark, f"{out_dir}/story_table", f"{out_dir}/stories", touched=chunks)
-    out.touched.write.mode("append").parquet(f"{out_dir}/touched")
-    SS.write_metrics(out.metrics, f"{out_dir}/metrics")
-    out.rejects.write.mode("append").parquet(f"{out_dir}/rejects/run_seq={run_seq}")
-    out.quarantine.write.mode("append").parquet(f"{out_dir}/quarantine/run_seq={run_seq}")
-    out.frontier.write.mode("overwrite").parquet(f"{out_dir}/frontier/run_seq={run_seq}")
-    if cfg.dedup_across_runs:
-        out.kept_keys.write.mode("append").parquet(f"{out_dir}/kept_keys")
+    pages = spark.read.parquet(a.pages)
+    store = StoryStore(spark, f"{base}/story_table")
+    before = ST.latest_version(spark, f"{base}/state") or 0
+    # with state, a run that was ended before it wrote the state is tried again under its own name
+    run_id = a.run_id or (f"state-{before + 1}" if cfg.use_state else None)
+    seq = store.sequence(run_id)
+    stems = store.commits().filter(F.col("run_seq") != seq).select(F.col("story").alias("file_path"))
+    have = {}
     if cfg.use_state:
-        ST.write_state(out.state, f"{out_dir}/state", run_seq)
+        waiting = f"{base}/waiting/version={before}"
+        have = {"state": ST.read_state(spark, f"{base}/state"), "ledger": L.ledger_log(spark, f"{base}/ledger").read(before),
+                "waiting": spark.read.schema(X.WAITING_SCHEMA).parquet(waiting) if outputs.exists(spark, waiting)
+                else spark.createDataFrame([], X.WAITING_SCHEMA)}
+    earlier = None
+    if cfg.dedup_across_runs:
+        earlier = outputs.first_keys_of(spark, base, curate.prepare_pages(
+            pages, ST.empty_state(spark), cfg.with_(use_state=False)), before)
+    out = curate.run(spark, pages, cfg, run_id=run_id or f"run-{seq}", existing_stems=stems, earlier_keys=earlier,
+                     **_image_inputs(spark, a), **have)
+    done = outputs.write_run(spark, base, out, cfg, before + 1, f"run_seq={seq}", run_id, earlier)
     release_scratch(spark, mark)       # outputs are committed: drop this run's intermediate tables
-    return {"run_seq": run_seq}
+    return {"run_seq": done}
+
+
+def run_export(spark, a) -> dict:
+    """Documents of the run's own stories, and stored ones named by the user."""
+    from .sources import stories as SS
+    base = a.out.rstrip("/")
+    store = SS.StoryStore(spark, f"{base}/story_table")
+    files = []
+    if store.runs():
+        files.append(SS.write_named(SS.whole_documents(store), f"{base}/export"))
+        posts = spark.read.parquet(f"{base}/story_posts").filter(F.col("run_seq").isin(store.runs()))
+        files.append(SS.write_named(SS.big_parts(store, posts, CurationConfig()), f"{base}/export"))
+    if a.html_dir or a.files:
+        normal, big = SS.split_big(SS.documents(spark, a.html_dir, a.files))
+        files.append(SS.write_named(normal, f"{base}/export"))
+        parts = SS.export_parts(big).join(big.select("path", "name"), "path")
+        step = SS.BLOCKS_PER_PART
+        files.append(SS.write_named(parts.select(F.concat(
+            F.col("name"), F.lit("-part-"), (F.col("part_no") * step).cast("string"), F.lit("-to-"),
+            ((F.col("part_no") + 1) * step).cast("string")).alias("name"), "html"), f"{base}/export"))
+    if not files:
+        raise ValueError(f"no stories in {base}")
+    return {"files": sum(f.count() for f in files)}
 
 
 def main(argv=None, spark=None) -> int:
@@ -117,6 +139,11 @@ def main(argv=None, spark=None) -> int:
     from .operators import state as ST
     out_dir = a.out.rstrip("/")
     if a.cmd == "clear":
+        from .operators import dedup as D
+        from .operators import ledger as L
+        at = (ST.latest_version(spark, f"{out_dir}/state") or 0) + 1
+        L.ledger_log(spark, f"{out_dir}/ledger").replace(L.empty_ledger(spark), at)
+        D.first_key_log(spark, f"{out_dir}/first_keys").replace(spark.createDataFrame([], D.FIRST_KEYS), at)
         ST.clear_state(spark, f"{out_dir}/state")
     elif a.cmd == "run":
         run_batch(spark, a)
@@ -125,12 +152,5 @@ def main(argv=None, spark=None) -> int:
         schema = spark.read.parquet(a.landing).schema
         page_ingest(spark, a.landing, schema, out_dir, _config(a), **_image_inputs(spark, a))
     elif a.cmd == "export":
-        from .sources import stories as SS
-        fs, at = ST._fs(spark, f"{out_dir}/touched")
-        touched = spark.read.parquet(f"{out_dir}/touched") if fs.exists(at) else None
-        stored = SS.documents(spark, a.html_dir, a.files, touched)
-        normal, big = SS.split_big(stored)
-        normal.write.mode("overwrite").parquet(f"{out_dir}/export/whole")
-        SS.export_parts(big).join(big.select("path", "name"), "path") \
-            .write.mode("overwrite").parquet(f"{out_dir}/export/parts")
+        run_export(spark, a)
     return 0

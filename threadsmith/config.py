@@ -6,7 +6,7 @@ thresholds of the original tool are the defaults.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 # --- fixed values (must equal the original tool for identical results) -----
 POSTS_PER_PAGE = 20            # positions 0..19 on a forum page
@@ -28,6 +28,7 @@ ARCHIVE_HOST = "web.archive.org"
 SITE_A = "jeuxvideo.com"
 SITE_B = "jvarchive.com"
 FULLSIZE_MARKER = "fichiers"
+ASSET_FOLDER = "risitas-html/images"   # where rewritten image sources point to
 STORY_HEADER = (
     "<!DOCTYPE html>\n<html lang='fr'>\n<head>\n<meta charset='UTF-8'>\n"
     "<meta name='viewport' content='width=device-width, initial-scale=1.0'>\n"
@@ -65,8 +66,7 @@ class CurationConfig:
     big_story_bytes: int = BIG_STORY_BYTES
     page_digit_run: int = PAGE_DIGIT_RUN
     story_tag: str = STORY_TAG
-    asset_folder: str = "risitas-html/images"
-    extra: dict = field(default_factory=dict)
+    asset_folder: str = ASSET_FOLDER
 
     def with_(self, **kw) -> "CurationConfig":
         return replace(self, **kw)

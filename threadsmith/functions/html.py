@@ -34,13 +34,14 @@ IMPLIED_END = {
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
+    __slots__ = ("tag", "attrs", "children", "parent", "places")
 
     def __init__(self, tag, attrs=None, parent=None):
         self.tag = tag
         self.attrs = attrs or {}
         self.children = []
         self.parent = parent
+        self.places = None      # of the children, see ``place``
 
     # -- content (iterative: deep nesting must not hit the recursion limit) --
     def text(self) -> str:
@@ -195,8 +196,21 @@ def compile_selector(sel: str):
     return _COMPILED[sel]
 
 
-def _siblings(n: Node):
-    return n.parent.elements() if n.parent is not None else [n]
+def place(n: Node) -> tuple[int, int, int, int]:
+    """(index among its siblings, their number, index among those of its tag,
+    their number); worked out once per parent."""
+    up = n.parent
+    if up is None:
+        return 0, 1, 0, 1
+    if up.places is None:
+        sib = up.elements()
+        seen: dict[str, int] = {}
+        at = []
+        for c in sib:
+            seen[c.tag] = seen.get(c.tag, -1) + 1
+            at.append(seen[c.tag])
+        up.places = {id(c): (i, len(sib), k, seen[c.tag] + 1) for i, (c, k) in enumerate(zip(sib, at, strict=True))}
+    return up.places[id(n)]
 
 
 def _matches(n: Node, parts) -> bool:
@@ -216,63 +230,64 @@ def _matches(n: Node, parts) -> bool:
                 if have != val:
                     return False
         if pseudo:
-            sib = _siblings(n)
-            same = [s for s in sib if s.tag == n.tag]
-            k = int(arg) if arg else 1
-            if pseudo == "last-child" and sib[-1] is not n:
-                return False
-            if pseudo == "first-child" and sib[0] is not n:
-                return False
-            if pseudo == "last-of-type" and same[-1] is not n:
-                return False
-            if pseudo == "nth-last-child" and (len(sib) < k or sib[-k] is not n):
-                return False
-            if pseudo == "nth-last-of-type" and (len(same) < k or same[-k] is not n):
-                return False
-            if pseudo not in ("last-child", "first-child", "last-of-type", "nth-last-child", "nth-last-of-type"):
+            i, n_all, k, n_same = place(n)
+            ok = {"first-child": i == 0, "last-child": i == n_all - 1, "last-of-type": k == n_same - 1}.get(pseudo)
+            if pseudo == "nth-last-child":
+                ok = n_all - i == int(arg)
+            elif pseudo == "nth-last-of-type":
+                ok = n_same - k == int(arg)
+            if ok is None:
                 raise ValueError(f"unsupported pseudo-class :{pseudo}")
+            if not ok:
+                return False
     return True
 
 
-def _match_from(n: Node, steps, i: int) -> bool:
+def _match_from(n: Node, steps, i: int, memo: dict) -> bool:
     """Does ``n`` match steps[0..i] (step i on ``n`` itself)?  Relations are
-    checked in the whole tree; ``select`` restricts results to a subtree."""
+    checked in the whole tree; ``select`` restricts results to a subtree.
+    ``memo``: of each parent and step, the first child that matches it."""
     comb, parts = steps[i]
     if n.tag == "#root" or not _matches(n, parts):
         return False
     if i == 0:
         return True
+    up = n.parent
     if comb == ">":
-        return n.parent is not None and _match_from(n.parent, steps, i - 1)
+        return up is not None and _match_from(up, steps, i - 1, memo)
     if comb == " ":
-        p = n.parent
-        while p is not None:
-            if _match_from(p, steps, i - 1):
+        while up is not None:
+            if _match_from(up, steps, i - 1, memo):
                 return True
-            p = p.parent
+            up = up.parent
         return False
-    sib = _siblings(n)
-    k = next(j for j, s in enumerate(sib) if s is n)
+    k = place(n)[0]
     if comb == "+":
-        return k > 0 and _match_from(sib[k - 1], steps, i - 1)
+        return k > 0 and _match_from(up.elements()[k - 1], steps, i - 1, memo)
     if comb == "~":
-        return any(_match_from(s, steps, i - 1) for s in sib[:k])
+        if up is None:
+            return False
+        key = (id(up), i)
+        if key not in memo:
+            memo[key] = next((j for j, s in enumerate(up.elements()) if _match_from(s, steps, i - 1, memo)), None)
+        return memo[key] is not None and memo[key] < k
     raise ValueError(comb)
 
 
-def matches(n: Node, steps) -> bool:
+def matches(n: Node, steps, memo: dict | None = None) -> bool:
     """Does element ``n`` match the compiled selector ``steps``?"""
-    return _match_from(n, steps, len(steps) - 1)
+    return _match_from(n, steps, len(steps) - 1, {} if memo is None else memo)
 
 
-def select(root: Node, sel: str | list) -> list[Node]:
+def _found(root: Node, sel: str | list):
     steps = compile_selector(sel) if isinstance(sel, str) else sel
-    return [n for n in root.iter() if _match_from(n, steps, len(steps) - 1)]
+    memo: dict = {}
+    return (n for n in root.iter() if _match_from(n, steps, len(steps) - 1, memo))
+
+
+def select(root: Node, sel: str | list) -> list[Node]:
+    return list(_found(root, sel))
 
 
 def select_one(root: Node, sel: str | list):
-    steps = compile_selector(sel) if isinstance(sel, str) else sel
-    for n in root.iter():
-        if _match_from(n, steps, len(steps) - 1):
-            return n
-    return None
+    return next(_found(root, sel), None)

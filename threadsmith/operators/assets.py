@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import FULLSIZE_MARKER, SITE_A, SITE_B, ARCHIVE_HOST, CurationConfig
 from ..functions.urls import asset_local_path, asset_name, clean_asset_url
+from .skew import HOT_ROWS, lookup
 
 
 def asset_refs(posts: DataFrame, images: str = "images", key: list[str] | None = None) -> DataFrame:
@@ -101,7 +102,7 @@ def _image(src, alt, width, height, hosted, tag):
                     hosted.alias("hosted"), tag.alias("tag"))
 
 
-def fullsize_edits(posts: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+def fullsize_edits(posts: DataFrame, targets: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """U16 + J5: hosted images of image posts at full size.  Width/height
     are dropped (a missing width stops before the height: an emoticon); site
     A takes ``alt`` as source when it names a stored file, else the
@@ -111,12 +112,13 @@ def fullsize_edits(posts: DataFrame, targets: DataFrame | None = None) -> DataFr
     key = ["topic_id", "page_no", "pos"]
     e = posts.filter("is_image").select(*key, "domain", F.posexplode("images").alias("i", "img")) \
         .filter(F.col("img.hosted"))
-    # one full-size source per image page (deterministic: a found source wins)
+    # one full-size source per image page (deterministic: a found source wins);
+    # images of one emoticon, in every post, have one and the same ``alt``
     if targets is None:
         e = e.withColumn("full_src", F.lit(None).cast("string"))
     else:
         look = targets.groupBy(F.col("page_url").alias("_alt")).agg(F.max("full_src").alias("full_src"))
-        e = e.join(look, F.col("img.alt") == F.col("_alt"), "left")
+        e = lookup(e.withColumn("_alt", F.col("img.alt")), look, "_alt", hot_rows).drop("_alt")
     alt, src = F.col("img.alt"), F.col("img.src")
     src_a = F.when(alt.contains(FULLSIZE_MARKER), alt).otherwise(F.coalesce(F.col("full_src"), src))
     new_src = F.when(F.col("domain") == SITE_A, src_a).when(F.col("domain") == SITE_B, alt).otherwise(src)

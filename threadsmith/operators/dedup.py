@@ -21,15 +21,53 @@ Semantics:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..config import CurationConfig
 from ..functions.text import dedup_key
 from ..session import materialize
+from .keyed_log import KeyedLog
 from .ordering import order_key, order_parts
 
 K = ["topic_id"]
+# T4: the first-key index, one row per kept text or image of a topic with the
+# smallest order key that has it; merged per run, in buckets of topics.
+FIRST_KEYS = StructType([StructField("topic_key", StringType()), StructField("kind", StringType()),
+                         StructField("key", StringType()), StructField("ord", LongType())])
+
+
+def first_key_log(spark: SparkSession, base: str) -> KeyedLog:
+    return KeyedLog(spark, base, FIRST_KEYS, ["topic_key", "kind", "key"], bucket_of=["topic_key"])
+
+
+def merged_first_keys(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The rows that a run changes in the index: keys that it has not, and
+    those whose order key becomes smaller."""
+    o = old.select("topic_key", "kind", "key", F.col("ord").alias("_o"))
+    n = new.groupBy("topic_key", "kind", "key").agg(F.min("ord").alias("ord"))
+    return n.join(o, ["topic_key", "kind", "key"], "left").filter(F.col("_o").isNull() | (F.col("ord") < F.col("_o"))) \
+        .select("topic_key", "kind", "key", "ord")
+
+
+def duplicate_sequences(rows: DataFrame, seq: str = "images") -> DataFrame:
+    """W4 on ordered sequences: ``rows(topic_id, page_no, pos, <seq> array)``
+    -> ``topic_id, page_no, pos, is_dup``: an earlier row of the topic has the
+    same sequence, in the same order.
+
+    A sequence is known by a hash of its ordered array, so only hashes are
+    counted; the arrays of those rows whose hash repeats are then compared as
+    they are, so two sequences that share a hash stay apart."""
+    n = materialize(rows.select(*K, order_key().alias("ord"), F.xxhash64(F.col(seq)).alias("h"), F.col(seq).alias("seq")),
+                    "sequences")
+    again = n.groupBy(*K, "h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(*K, "h")
+    shared = n.join(again, [*K, "h"], "left_semi")
+    first = shared.groupBy(*K, "h", "seq").agg(F.min("ord").alias("ord"))
+    dup = shared.select(*K, "ord", "h").join(first.select(*K, "ord", "h"), [*K, "ord", "h"], "left_anti") \
+        .select(*K, "ord").withColumn("is_dup", F.lit(True))
+    out = n.select(*K, "ord").join(dup, [*K, "ord"], "left")
+    return _unord(out.select(*K, "ord", F.coalesce("is_dup", F.lit(False)).alias("is_dup")))
 
 
 def key_columns(cfg: CurationConfig) -> list:
@@ -61,8 +99,8 @@ def verdicts_from_keys(n: DataFrame, cfg: CurationConfig, earlier: DataFrame | N
     separate branches (a table partitioned by the image flag is read only
     where needed); every join key includes the order key.
 
-    ``earlier(topic_id, tkey, ikey)``: keys of posts kept by earlier runs
-    (documented intent, across runs).  They enter the first-of-key pools
+    ``earlier(topic_id, kind, key)``: the first-key index of earlier runs
+    (documented intent, across runs).  Its keys enter the first-of-key pools
     with an order key below every post, so a repeat of them is a duplicate."""
     n = n.select(*K, "ord", "img", "tkey", "ikey")
     imgs = n.filter(F.col("img"))
@@ -70,7 +108,7 @@ def verdicts_from_keys(n: DataFrame, cfg: CurationConfig, earlier: DataFrame | N
     before = F.lit(-1).cast("long")
     ipool = imgs.select(*K, "ord", "ikey")
     if earlier is not None:
-        ipool = ipool.unionByName(earlier.filter(F.col("ikey").isNotNull()).select(*K, before.alias("ord"), "ikey"))
+        ipool = ipool.unionByName(earlier.filter("kind = 'image'").select(*K, before.alias("ord"), F.col("key").alias("ikey")))
     ifirst = _firsts(ipool, "ikey", "img_first")
     img_v = imgs.join(ifirst, K + ["ikey", "ord"], "left") \
         .withColumn("img_first", F.coalesce("img_first", F.lit(False)))
@@ -78,7 +116,7 @@ def verdicts_from_keys(n: DataFrame, cfg: CurationConfig, earlier: DataFrame | N
         kept_imgs = img_v.filter("img_first").select(*K, "ord", "tkey")
         pool = texts.select(*K, "ord", "tkey").unionByName(kept_imgs)
         if earlier is not None:
-            pool = pool.unionByName(earlier.select(*K, before.alias("ord"), "tkey"))
+            pool = pool.unionByName(earlier.filter("kind = 'text'").select(*K, before.alias("ord"), F.col("key").alias("tkey")))
         tfirst = _firsts(pool, "tkey", "t_first")
         text_v = texts.join(tfirst, K + ["tkey", "ord"], "left") \
             .select(*K, "ord", (~F.coalesce("t_first", F.lit(False))).alias("is_dup"))

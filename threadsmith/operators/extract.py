@@ -1,25 +1,28 @@
-"""Crawled pages -> topic headers and posts in one Arrow-batched pass
-(X1-X10, S3).
-
-The parse is the only Python step of the pipeline.  It runs once per page
-inside ``mapInArrow``; everything after it (selection, dedup, rendering,
-state) is built-in Spark.  Filters on ``pages`` (status, resume start page)
-must be applied *before* this job: Catalyst does not push filters through a
-Python map.  Rows that the original tool would crash on go to a quarantine
-kind instead of failing the job.
+"""Crawled pages -> topic headers and posts.
+
+One Arrow-batched Python pass per page only finds things: ``candidates`` gives,
+for each page and post, the texts that the site's selectors match (field, rank,
+text) and the content nodes with their features.  Which candidate counts (the
+author of a deleted account, the pager's fallback, the title, the content of an
+archived post) is decided by expressions over these in ``resolve``.
+
+Filters on ``pages`` (status, pages already read) must be applied *before* the
+parse: Catalyst does not push filters through a Python map.  Rows that the
+original tool would crash on become quarantine rows instead of failing the job.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import (ArrayType, BooleanType, IntegerType, StringType, StructField,
+from pyspark.sql.types import (ArrayType, BooleanType, IntegerType, LongType, StringType, StructField,
                                StructType)
 
 from ..config import ARCHIVE_HOST, DELETED_AUTHOR, SITE_A, UNKNOWN_AUTHOR
 from ..functions import html as H
+from ..functions.text import ws_trim
 from ..functions.urls import domain as domain_of
 from ..sources.profiles import profile_dict
 
@@ -27,33 +30,55 @@ IMAGE = StructType([StructField("src", StringType()), StructField("alt", StringT
                     StructField("width", StringType()), StructField("height", StringType()),
                     StructField("hosted", BooleanType()), StructField("tag", StringType())])
 FRAME = StructType([StructField("span_html", StringType()), StructField("src", StringType())])
-EXTRACTED = StructType([
-    StructField("kind", StringType()),          # page | topic | post | quarantine
+# What a selector found: the text of the first match, null without one.
+FIELD = StructType([StructField("field", StringType()), StructField("rank", IntegerType()),
+                    StructField("text", StringType())])
+# A content node of a post (content_all: nodes that count together).
+CONTENT = StructType([
+    StructField("field", StringType()), StructField("rank", IntegerType()), StructField("html", StringType()),
+    StructField("text", StringType()), StructField("paragraphs", ArrayType(StringType())),
+    StructField("n_hosted", IntegerType()), StructField("n_links", IntegerType()),
+    StructField("has_blockquote", BooleanType()), StructField("images", ArrayType(IMAGE)),
+    StructField("frames", ArrayType(FRAME))])
+_PLACE = [
+    StructField("kind", StringType()),          # page | post | quarantine
     StructField("topic_id", StringType()),
     StructField("page_no", IntegerType()),
     StructField("pos", IntegerType()),
+    StructField("src", LongType()),             # the fetched page it comes from
+    StructField("attempt", LongType()),
+    StructField("n_posts", IntegerType()),      # of a page
     StructField("domain", StringType()),
     StructField("link", StringType()),
     StructField("topic_key", StringType()),
-    StructField("topic_author", StringType()),
-    StructField("total_pages", IntegerType()),
-    StructField("title", StringType()),
-    StructField("post_author", StringType()),
+]
+_POST_SCOPE = [
     StructField("post_text", StringType()),
-    StructField("content_text", StringType()),
-    StructField("content_html", StringType()),
     StructField("post_paragraphs", ArrayType(StringType())),
-    StructField("paragraphs", ArrayType(StringType())),
     StructField("n_hosted", IntegerType()),
-    StructField("content_n_hosted", IntegerType()),
     StructField("n_post_links", IntegerType()),
-    StructField("n_links", IntegerType()),
     StructField("post_has_blockquote", BooleanType()),
-    StructField("content_has_blockquote", BooleanType()),
-    StructField("images", ArrayType(IMAGE)),
-    StructField("frames", ArrayType(FRAME)),
-    StructField("reason", StringType()),
-])
+]
+CANDIDATES = StructType([*_PLACE, StructField("fields", ArrayType(FIELD)), *_POST_SCOPE,
+                         StructField("contents", ArrayType(CONTENT)), StructField("reason", StringType())])
+_FOUND_POST = StructType([StructField("pos", IntegerType()), StructField("fields", ArrayType(FIELD)), *_POST_SCOPE,
+                          StructField("contents", ArrayType(CONTENT))])
+NESTED = StructType([*[f for f in _PLACE if f.name != "pos"], StructField("fields", ArrayType(FIELD)),
+                     StructField("posts", ArrayType(_FOUND_POST)), StructField("reason", StringType())])
+HEADER_FIELDS = ("author", "deleted_author", "total", "title", "page_title")
+POST_COLS = ["topic_id", "page_no", "pos", "src", "domain", "post_author", "post_text", "content_text", "content_html",
+             "post_paragraphs", "paragraphs", "n_hosted", "content_n_hosted", "n_post_links", "n_links",
+             "post_has_blockquote", "content_has_blockquote", "images", "frames"]
+# Parsed posts of pages that wait for another page.
+WAITING_COLS = [c for c in POST_COLS if c != "src"]
+WAITING_SCHEMA = StructType([
+    *[f for f in _PLACE if f.name in ("topic_id", "page_no", "pos", "domain")],
+    *[StructField(c, StringType()) for c in ("post_author", "post_text", "content_text", "content_html")],
+    *[f for f in _POST_SCOPE if f.name != "post_text"],
+    StructField("paragraphs", ArrayType(StringType())), StructField("content_n_hosted", IntegerType()),
+    StructField("n_links", IntegerType()), StructField("content_has_blockquote", BooleanType()),
+    StructField("images", ArrayType(IMAGE)), StructField("frames", ArrayType(FRAME))])
+BATCH_BYTES = 16 << 20      # text of found rows that is held before they are given out
 ARCHIVE_WRAPPER = '<div class="txt-msg text-enrichi-forum">'
 
 # Profile of the driver's generic test pages (article with paragraphs).
@@ -66,6 +91,9 @@ TEST_LAYOUT_ROWS = [
 ]
 
 
+PARSED = ("ok", "gone")     # outcomes that have a page to parse
+
+
 def page_outcome(domain_col, status_col):
     """S3: fetch outcome of a crawled page: ``failed`` (no status, retries
     exhausted), ``not_archived`` (archive 404), ``gone`` (410, still
@@ -76,63 +104,45 @@ def page_outcome(domain_col, status_col):
             .when(s == 410, "gone").otherwise("ok"))
 
 
-class _Wrapper(H.Node):
-    """Archive fallback content: the chosen nodes inside a new div."""
+def page_status(pages: DataFrame) -> DataFrame:
+    """S3 over repeated fetches: ``topic_id, page_no, n_attempts, outcome,
+    attempt`` of each page.  The newest attempt that can be parsed (ok or gone)
+    counts; without one, the newest attempt tells what went wrong.  Attempts
+    (``topic_id, page_no, domain, status, attempt``) with one number are ordered
+    by their outcome.  Partially aggregated, so a page fetched very often costs
+    one row per task."""
+    p = pages.withColumn("_o", page_outcome("domain", "status"))
+    pick = F.struct("attempt", "_o")
+    g = p.groupBy("topic_id", "page_no").agg(
+        F.count(F.lit(1)).alias("n_attempts"), F.max(pick).alias("_any"),
+        F.max(F.when(F.col("_o").isin(*PARSED), pick)).alias("_good"))
+    best = F.coalesce("_good", "_any")
+    return g.select("topic_id", "page_no", "n_attempts", best["_o"].alias("outcome"), best["attempt"].alias("attempt"))
+
+
+# --- candidates: what the selectors find (Python) ------------------------------
+class _Bundle(H.Node):
+    """Nodes that count together as one content."""
 
     def __init__(self, nodes):
-        super().__init__("div", {"class": "txt-msg text-enrichi-forum"})
+        super().__init__("div")
         self.children = list(nodes)
 
 
-def _one(root, sels):
-    for s in sels or []:
-        n = H.select_one(root, s)
-        if n is not None:
-            return n
-    return None
-
-
-def _text(n):
-    return None if n is None else n.text()
-
-
-def _header(root, dom, prof):
-    """X3-X5 from a topic's first page; raises ValueError -> quarantine."""
-    author = None
-    if dom == SITE_A:
-        d = _one(root, prof.get("deleted_author"))
-        if d is None:
-            raise ValueError("missing_deleted_author_node")
-        if d.text().strip() == DELETED_AUTHOR:
-            author = DELETED_AUTHOR
-    if author is None:
-        a = _one(root, prof.get("author"))
-        author = a.text().strip() if a is not None else UNKNOWN_AUTHOR
-        if not author and dom == ARCHIVE_HOST:
-            author = DELETED_AUTHOR
-    totals = prof.get("total") or []
-    sym = _text(H.select_one(root, totals[0])) if totals else None
-    if dom == SITE_A and sym == "»" and len(totals) > 1:
-        sym = _text(H.select_one(root, totals[1]))
-    if not sym and (dom == ARCHIVE_HOST or not totals):
-        total = 1
-    else:
-        try:
-            total = int(sym)
-            if not 0 <= total < 1 << 31:
-                raise ValueError(sym)
-        except (TypeError, ValueError):
-            raise ValueError("bad_pager") from None
-    t = _one(root, prof.get("title")) or _one(root, prof.get("page_title"))
-    title = t.text().strip() if t is not None else None
-    return author, total, title
+def _fields(root, prof, names):
+    out = []
+    for name in names:
+        for rank, sel in enumerate(prof.get(name) or []):
+            n = H.select_one(root, sel)
+            out.append(dict(field=name, rank=rank, text=None if n is None else n.text()))
+    return out
 
 
 def _scope_features(node, hosted_sel):
     """Paragraph texts, blockquote flag, hosted-image count, link count and
     the hosted image nodes of one scope, in a single walk of the subtree."""
     steps = H.compile_selector(hosted_sel) if hosted_sel else None
-    paras, hosted, quote, links = [], [], False, 0
+    paras, hosted, quote, links, memo = [], [], False, 0, {}
     for n in node.iter():
         t = n.tag
         if t == "p":
@@ -141,103 +151,235 @@ def _scope_features(node, hosted_sel):
             quote = True
         elif t == "a":
             links += 1
-        if steps is not None and H.matches(n, steps):
+        if steps is not None and H.matches(n, steps, memo):
             hosted.append(n)
     return paras, quote, len(hosted), links, hosted
 
 
-def _content(post, dom, prof):
-    sels = prof.get("content") or []
-    c = H.select_one(post, sels[0]) if sels else post
-    if dom == ARCHIVE_HOST and (c is None or not H.select(c, "p")):
-        alt = H.select_one(post, sels[1]) if len(sels) > 1 else None
-        if alt is not None and H.select(alt, "p"):
-            return alt
-        nodes = (H.select(post, sels[2]) if len(sels) > 2 else []) or \
-                (H.select(post, sels[3]) if len(sels) > 3 else [])
-        return _Wrapper(nodes) if nodes else None
-    return c
-
-
-def _post_row(base, pos, post, dom, prof):
-    hosted_sel = (prof.get("hosted_image") or [None])[0]
-    a = _one(post, prof.get("author"))
-    if a is None and dom != ARCHIVE_HOST:
-        a = _one(post, prof.get("deleted_author"))
-    c = _content(post, dom, prof)
-    if c is None:
-        return dict(base, kind="quarantine", pos=pos, reason="no_content")
-    pp, pbq, pn, pl, _ = _scope_features(post, hosted_sel)
-    cp, cbq, cn, cl, hosted = _scope_features(c, hosted_sel)
-    hosted_ids = {id(h) for h in hosted}
+def _content(field, rank, node, html, hosted_sel):
+    paras, quote, n_hosted, links, hosted = _scope_features(node, hosted_sel)
+    ids = {id(h) for h in hosted}
     imgs = [dict(src=i.attrs.get("src"), alt=i.attrs.get("alt"), width=i.attrs.get("width"),
-                 height=i.attrs.get("height"), hosted=id(i) in hosted_ids, tag=i.html())
-            for i in H.select(c, "img")]
+                 height=i.attrs.get("height"), hosted=id(i) in ids, tag=i.html()) for i in H.select(node, "img")]
     frames = [dict(span_html=sp.html(), src=fr.attrs.get("src"))
-              for fr, sp in zip(H.select(c, ".embed-youtube > iframe"), H.select(c, ".embed-youtube"))]
-    html = ARCHIVE_WRAPPER + "".join(n.html() for n in c.children if not isinstance(n, str)) + "</div>" \
-        if isinstance(c, _Wrapper) else c.html()
-    return dict(base, kind="post", pos=pos, post_author=a.text().strip() if a is not None else None,
-                post_text=post.text(), content_text=c.text(), content_html=html,
-                post_paragraphs=pp, paragraphs=cp, n_hosted=pn, content_n_hosted=cn,
-                n_post_links=pl, n_links=cl, post_has_blockquote=pbq, content_has_blockquote=cbq,
-                images=imgs, frames=frames)
+              for fr, sp in zip(H.select(node, ".embed-youtube > iframe"), H.select(node, ".embed-youtube"))]
+    return dict(field=field, rank=rank, html=html, text=node.text(), paragraphs=paras, n_hosted=n_hosted,
+                n_links=links, has_blockquote=quote, images=imgs, frames=frames)
+
+
+def _contents(post, prof):
+    """The content nodes of a post, in the order of the profile."""
+    hosted = (prof.get("hosted_image") or [None])[0]
+    sels = prof.get("content")
+    if not sels:
+        return [_content("content", 0, post, post.html(), hosted)]
+    out = []
+    for rank, sel in enumerate(sels):
+        n = H.select_one(post, sel)
+        if n is not None:
+            out.append(_content("content", rank, n, n.html(), hosted))
+    for rank, sel in enumerate(prof.get("content_all") or []):
+        nodes = H.select(post, sel)
+        if nodes:
+            out.append(_content("content_all", rank, _Bundle(nodes), "".join(n.html() for n in nodes), hosted))
+    return out
 
 
-def _extract_page(row, profiles):
+def _found_on_page(row, profiles):
     dom = row["domain"] or ""
-    base = dict(topic_id=row["topic_id"], page_no=row["page_no"], domain=dom)
-    head = dict(base, link=row.get("link"), topic_key=row.get("topic_key"))
+    base = {k: row[k] for k in ("topic_id", "page_no", "src", "attempt")} | {"domain": dom}
     prof = profiles.get(dom) or profiles.get("*")
     if prof is None:
         yield dict(base, kind="quarantine", reason="unsupported_domain")
         return
     root = H.parse(row["html"])
-    yield dict(base, kind="page")                  # this page was crawled and parsed
-    if row["page_no"] == 1:
-        try:
-            author, total, title = _header(root, dom, prof)
-            yield dict(head, kind="topic", topic_author=author, total_pages=total, title=title)
-        except ValueError as e:
-            yield dict(base, kind="quarantine", reason=str(e))
-    for pos, post in enumerate(H.select(root, prof["post"][0])):
-        yield _post_row(base, pos, post, dom, prof)
+    posts = H.select(root, prof["post"][0])
+    first = row["page_no"] == 1
+    yield dict(base, kind="page", link=row["link"], topic_key=row["topic_key"], n_posts=len(posts),
+               fields=_fields(root, prof, HEADER_FIELDS) if first else None)
+    hosted = (prof.get("hosted_image") or [None])[0]
+    for pos, post in enumerate(posts):
+        paras, quote, n_hosted, links, _ = _scope_features(post, hosted)
+        yield dict(base, kind="post", pos=pos, fields=_fields(post, prof, ("author", "deleted_author")),
+                   post_text=post.text(), post_paragraphs=paras, n_hosted=n_hosted, n_post_links=links,
+                   post_has_blockquote=quote, contents=_contents(post, prof))
 
 
-def extract(pages: DataFrame, profile_rows=None, spread: bool = False) -> DataFrame:
-    """``pages(topic_id, page_no, html[, domain | link])`` -> EXTRACTED rows.
+def _weight(r) -> int:
+    return 200 + len(r.get("post_text") or "") + sum(len(c["html"]) + len(c["text"]) for c in r.get("contents") or ())
+
+
+def candidates(pages: DataFrame, profile_rows=None, spread: bool = False, nested: bool = False) -> DataFrame:
+    """``pages(topic_id, page_no, html[, domain | link, attempt])`` ->
+    CANDIDATES rows: one of each page, one of each post; ``nested``: NESTED
+    rows, one of each page with its posts.
 
     One Python pass per page; the profile dictionary (a few dozen strings) is
     shipped with the function.  The pages are parsed where they are scanned;
     ``spread`` first deals them round-robin over ``defaultParallelism``
-    partitions (a shuffle of the raw pages, for an input in one small file)."""
+    partitions (a shuffle of the raw pages, for an input in one small file).
+    Found rows are given out by their size, whatever the size of a batch."""
     profiles = profile_dict(profile_rows)
     cols = pages.columns
     dom = F.col("domain") if "domain" in cols else domain_of(F.col("link") if "link" in cols else F.col("url"))
-    link = F.col("link") if "link" in cols else F.lit(None).cast("string")
-    tkey = F.col("topic_key") if "topic_key" in cols else F.lit(None).cast("string")
+    given = lambda c, t: F.col(c).cast(t) if c in cols else F.lit(None).cast(t)
     src = pages.select(F.col("topic_id").cast("string").alias("topic_id"),
                        F.col("page_no").cast("int").alias("page_no"), dom.alias("domain"),
-                       link.alias("link"), tkey.alias("topic_key"), "html")
+                       given("link", "string").alias("link"), given("topic_key", "string").alias("topic_key"),
+                       given("attempt", "long").alias("attempt"), "html")
     if spread:
         src = src.repartition(pages.sparkSession.sparkContext.defaultParallelism)
-    arrow_schema = to_arrow_schema(EXTRACTED)
-    names = [f.name for f in EXTRACTED.fields]
+    # the row's own number: two fetches of one page, alike or not, are two
+    src = src.withColumn("src", F.lit(0).cast("long") if pages.isStreaming else F.monotonically_increasing_id())
+    schema = NESTED if nested else CANDIDATES
+    arrow_schema = to_arrow_schema(schema)
+    names = [f.name for f in schema.fields]
 
     def run(batches):
+        out, size = [], 0
         for b in batches:
-            out = []
-            for row in b.to_pylist():
+            for i in range(b.num_rows):
+                row = {n: c[i].as_py() for n, c in zip(b.schema.names, b.columns, strict=True)}
                 try:
-                    rows = list(_extract_page(row, profiles))
+                    rows = list(_found_on_page(row, profiles))
                 except Exception as e:  # noqa: BLE001 - one bad page must not fail the job
                     rows = [dict(topic_id=row["topic_id"], page_no=row["page_no"], domain=row["domain"],
-                                 kind="quarantine", reason=f"parse_error: {type(e).__name__}")]
+                                 src=row["src"], kind="quarantine", reason=f"parse_error: {type(e).__name__}")]
+                size += sum(map(_weight, rows)) if nested else 0
+                if nested:
+                    rows = [rows[0] | {"posts": rows[1:]}]
                 for r in rows:
                     out.append({k: r.get(k) for k in names})
+                    size += _weight(r)
+                    if size >= BATCH_BYTES:
+                        yield pa.RecordBatch.from_pylist(out, schema=arrow_schema)
+                        out, size = [], 0
+        if out:
             yield pa.RecordBatch.from_pylist(out, schema=arrow_schema)
 
-    return src.mapInArrow(run, EXTRACTED)
+    return src.mapInArrow(run, schema)
+
+
+# --- rules over the candidates (expressions) ------------------------------------
+# ``fields`` and ``contents`` are the candidate arrays, ``domain`` the site.
+def found_text(fields: Column, field: str, rank: int | None = None) -> Column:
+    """Text of the first candidate of a field that matched anything, by rank."""
+    mine = F.filter(fields, lambda f: (f["field"] == field) & f["text"].isNotNull()
+                    & (F.lit(True) if rank is None else f["rank"] == rank))
+    return F.get(mine, F.lit(0))["text"]
+
+
+def has_selector(fields: Column, field: str, rank: int = 0) -> Column:
+    """Does the site's profile look for this field at all?"""
+    return F.exists(fields, lambda f: (f["field"] == field) & (f["rank"] == rank))
+
+
+def header_author(fields: Column, domain: Column) -> Column:
+    """Site A marks deleted accounts in a node of their own; without an
+    author node the author is unknown, and an empty one on the archive is a
+    deleted account."""
+    named = F.coalesce(ws_trim(found_text(fields, "author")), F.lit(UNKNOWN_AUTHOR))
+    gone = (domain == SITE_A) & (ws_trim(found_text(fields, "deleted_author")) == DELETED_AUTHOR)
+    return F.when(F.coalesce(gone, F.lit(False)) | ((domain == ARCHIVE_HOST) & (named == "")), F.lit(DELETED_AUTHOR)) \
+        .otherwise(named)
+
+
+def pager_text(fields: Column, domain: Column) -> Column:
+    """The pager's symbol; on site A a final arrow stands after the last
+    number, which the second selector finds."""
+    first = found_text(fields, "total", 0)
+    arrow = (domain == SITE_A) & (first == "»") & has_selector(fields, "total", 1)
+    return F.when(F.coalesce(arrow, F.lit(False)), found_text(fields, "total", 1)).otherwise(first)
+
+
+def header_total(fields: Column, domain: Column) -> Column:
+    """The number of pages; 1 where the archive shows no pager or the
+    profile has none; null for a pager that is no number of 31 bits."""
+    sym = pager_text(fields, domain)
+    single = F.coalesce(sym == "", F.lit(True)) & ((domain == ARCHIVE_HOST) | ~has_selector(fields, "total"))
+    number = F.when(ws_trim(sym).rlike(r"^\+?[0-9]{1,18}$"), ws_trim(sym).try_cast("long"))
+    return F.when(single, F.lit(1)).when(number.between(0, (1 << 31) - 1), number).cast("int")
+
+
+def header_title(fields: Column) -> Column:
+    """The title node, else the page's title."""
+    return ws_trim(F.coalesce(found_text(fields, "title"), found_text(fields, "page_title")))
+
+
+def header_fault(fields: Column, domain: Column) -> Column:
+    """Why a header can't be used (null: it can)."""
+    return F.when((domain == SITE_A) & found_text(fields, "deleted_author").isNull(), "missing_deleted_author_node") \
+        .when(header_total(fields, domain).isNull(), "bad_pager")
+
+
+def post_author(fields: Column, domain: Column) -> Column:
+    """The author node, else (not on the archive) the deleted account's."""
+    return ws_trim(F.coalesce(found_text(fields, "author"),
+                              F.when(domain != ARCHIVE_HOST, found_text(fields, "deleted_author"))))
+
+
+def post_content(contents: Column, domain: Column) -> Column:
+    """The content node; on the archive, where it has no paragraph,
+    the next candidate that has one, else the loose paragraphs together."""
+    def c(field, rank):
+        return F.get(F.filter(contents, lambda x: (x["field"] == field) & (x["rank"] == rank)), F.lit(0))
+
+    def with_paragraph(x):
+        return F.when(F.size(x["paragraphs"]) > 0, x)
+
+    return F.when(domain != ARCHIVE_HOST, c("content", 0)).otherwise(F.coalesce(
+        with_paragraph(c("content", 0)), with_paragraph(c("content", 1)), c("content_all", 0), c("content_all", 1)))
+
+
+def _content_columns(c: Column) -> list[Column]:
+    html = F.when(c["field"] == "content_all", F.concat(F.lit(ARCHIVE_WRAPPER), c["html"], F.lit("</div>"))) \
+        .otherwise(c["html"])
+    return [c["text"].alias("content_text"), html.alias("content_html"), c["paragraphs"].alias("paragraphs"),
+            c["n_hosted"].alias("content_n_hosted"), c["n_links"].alias("n_links"),
+            c["has_blockquote"].alias("content_has_blockquote"), c["images"].alias("images"), c["frames"].alias("frames")]
+
+
+def _header_columns(fields: Column, domain: Column, when: Column) -> list[Column]:
+    return [F.when(when, header_author(fields, domain)).alias("topic_author"),
+            F.when(when, header_total(fields, domain)).alias("total_pages"),
+            F.when(when, header_title(fields)).alias("title")]
+
+
+def resolve(found: DataFrame) -> DataFrame:
+    """CANDIDATES -> one flat row per page (with the header if it is a first
+    page) and per post, and ``reason`` where a row can't be used."""
+    f, d = F.col("fields"), F.col("domain")
+    post = F.col("kind") == "post"
+    head = (F.col("kind") == "page") & f.isNotNull()
+    r = found.withColumn("_c", F.when(post, post_content(F.col("contents"), d)))
+    fault = F.coalesce("reason", F.when(head, header_fault(f, d)), F.when(post & F.col("_c").isNull(), F.lit("no_content")))
+    return r.select(*[x.name for x in _PLACE], *[x.name for x in _POST_SCOPE], *_header_columns(f, d, head),
+                    F.when(post, post_author(f, d)).alias("post_author"), *_content_columns(F.col("_c")),
+                    fault.alias("reason"))
+
+
+def page_records(pages: DataFrame, profile_rows=None) -> DataFrame:
+    """The same with one row per page, its posts in an array (``posts``, in
+    order, those without content with ``reason``): for a stream, where a page's
+    rows must stay together."""
+    r = candidates(pages, profile_rows, nested=True)
+    f, d = F.col("fields"), F.col("domain")
+    head = f.isNotNull()
+
+    def post(p):
+        c = post_content(p["contents"], d)
+        return F.struct(p["pos"].alias("pos"), *[p[x.name].alias(x.name) for x in _POST_SCOPE],
+                        post_author(p["fields"], d).alias("post_author"), *_content_columns(c),
+                        F.when(c.isNull(), "no_content").alias("reason"))
+
+    return r.select(*[x.name for x in _PLACE if x.name != "pos"], *_header_columns(f, d, head),
+                    F.transform("posts", post).alias("posts"),
+                    F.coalesce("reason", F.when(head, header_fault(f, d))).alias("reason"))
+
+
+def extract(pages: DataFrame, profile_rows=None, spread: bool = False) -> DataFrame:
+    """Parse pages and apply the rules (see ``candidates`` and ``resolve``)."""
+    return resolve(candidates(pages, profile_rows, spread))
 
 
 def replace_video_frames(content_html="content_html", frames="frames"):
@@ -268,20 +410,29 @@ def image_targets(image_pages: DataFrame, url: str = "url", html: str = "html")
     return image_pages.select(F.col(url).alias("page_url"), full_src(html).alias("full_src"))
 
 
-def crawled_pages(extracted: DataFrame) -> DataFrame:
-    """``(topic_id, page_no)`` of every page the parse received."""
-    return extracted.filter(F.col("kind") == "page").select("topic_id", "page_no")
+def page_rows(extracted: DataFrame) -> DataFrame:
+    """``topic_id, page_no, src, attempt, n_posts, domain, link, topic_key`` of
+    every page that was parsed."""
+    return extracted.filter(F.col("kind") == "page").select(
+        "topic_id", "page_no", "src", "attempt", "n_posts", "domain", "link", "topic_key")
+
+
+def newest_pages(extracted: DataFrame) -> DataFrame:
+    """The page rows that count: of several fetches of one page the newest
+    attempt (without attempts: the one with most posts)."""
+    rest = ["attempt", "n_posts", "src", "domain", "link", "topic_key"]
+    return page_rows(extracted).groupBy("topic_id", "page_no").agg(F.max(F.struct(*rest)).alias("_b")) \
+        .select("topic_id", "page_no", *[F.col("_b")[c].alias(c) for c in rest])
 
 
 def split(extracted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(topics, posts, quarantine) views of one extraction result.  Write the
     result once (``materialize``) when more than one of them is used."""
-    topics = extracted.filter(F.col("kind") == "topic").select(
-        "topic_id", "domain", "link", "topic_key", "topic_author", "total_pages", "title")
-    post_cols = [f.name for f in EXTRACTED.fields if f.name not in ("kind", "topic_author", "total_pages",
-                                                                   "title", "reason", "link", "topic_key")]
-    posts = extracted.filter(F.col("kind") == "post").select(*post_cols)
-    quarantine = extracted.filter(F.col("kind") == "quarantine").select("topic_id", "page_no", "pos", "reason")
+    fine = F.col("reason").isNull()
+    topics = extracted.filter((F.col("kind") == "page") & (F.col("page_no") == 1) & fine).select(
+        "topic_id", "src", "domain", "link", "topic_key", "topic_author", "total_pages", "title")
+    posts = extracted.filter((F.col("kind") == "post") & fine).select(*POST_COLS)
+    quarantine = extracted.filter(~fine).select("topic_id", "page_no", "pos", "reason")
     return topics, posts, quarantine
 
 

@@ -9,11 +9,13 @@ the chunks of each touched story in order into its document.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..config import STORY_FOOTER, STORY_HEADER, CurationConfig
 from ..functions.text import quote_norm
+from .ledger import INTERVAL, islands
 from .ordering import rank_in_topic, sorted_positions
 
 
@@ -63,35 +65,22 @@ def story_sizes(blocks: DataFrame, cfg: CurationConfig, key: str = "topic_id") -
 def version_numbers(new: DataFrame, used: DataFrame, slug: str = "slug", order: str = "link_no") -> DataFrame:
     """Each new story gets the smallest free version N >= 0 of its slug.
 
-    With used versions ``u_0 < u_1 < ...`` and gaps ``g_i = u_i - i``, the
-    ``r``-th new row (0-based) gets ``r + #{i : g_i <= r}``.  Ranks inside a
-    slug and the count of gaps come from one global sort of used and new
-    rows (``ordering.sorted_positions``: range partitioned, so a slug shared
-    by many stories spans many tasks) and per-slug minima; no window is
-    partitioned by slug and no pairs are formed."""
-    extra = [c for c in new.columns if c != slug]
-    # rank of each used version inside its slug -> gap g = version - rank
-    u = sorted_positions(used.select(slug, "version").distinct(), [slug, "version"])
-    u = u.join(u.groupBy(slug).agg(F.min("_pos").alias("_s")), slug) \
-        .select(slug, (F.col("version") - (F.col("_pos") - F.col("_s"))).alias("_k"), F.lit(0).alias("_t"),
-                F.col("version").cast("long").alias("_tb"),        # unique sort key (equal gaps are common)
-                *[F.lit(None).cast(new.schema[c].dataType).alias(c) for c in extra])
-    # rank r of each new row inside its slug (by ``order``)
+    The used versions of a slug are intervals (islands: nearly always one), and
+    the ``r``-th new row of a slug gets ``r`` plus the lengths of the intervals
+    that begin at or before the number so reached.  Ranks come from one global
+    sort of the new rows (``ordering.sorted_positions``: range partitioned, so a
+    slug shared by many stories spans many tasks) and per-slug minima; no window
+    is partitioned by slug and no pairs are formed.  Only slugs with new rows
+    are looked at."""
     n = sorted_positions(new, [slug, order])
-    n = n.join(n.groupBy(slug).agg(F.min("_pos").alias("_s")), slug) \
-        .select(slug, (F.col("_pos") - F.col("_s")).alias("_k"), F.lit(1).alias("_t"),
-                (F.col("_pos") - F.col("_s")).alias("_tb"), *extra)
-    # merge: used rows sort before new rows of the same key; the number of
-    # used rows up to a new row (inside its slug) is the gap count
-    m = sorted_positions(u.unionByName(n), [slug, "_k", "_t", "_tb"]) \
-        .withColumn("_u", (1 - F.col("_t")).cast("long"))
-    in_part = Window.partitionBy("_pid").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
-    m = m.withColumn("_cum_local", F.sum("_u").over(in_part))
-    part_used = m.groupBy("_pid").agg(F.sum("_u").alias("_pu"))
-    part_off = part_used.withColumn("_uoff", F.coalesce(F.sum("_pu").over(
-        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_pid", "_uoff")
-    m = m.join(F.broadcast(part_off), "_pid").withColumn("_cum", F.col("_uoff") + F.col("_cum_local"))
-    base = m.groupBy(slug).agg(F.min(F.col("_cum") - F.col("_u")).alias("_b"))
-    m = m.join(base, slug)
-    return m.filter(F.col("_t") == 1).select(slug, *extra,
-                                             (F.col("_k") + F.col("_cum") - F.col("_b")).cast("long").alias("version"))
+    firsts = n.groupBy(slug).agg(F.min("_pos").alias("_s"))
+    taken = islands(used.join(firsts.select(slug), slug, "left_semi")
+                    .select(slug, F.col("version").cast("int").alias("page_no")), slug)
+    per = firsts.join(taken, slug, "left")
+
+    def step(v, x):
+        return v + F.when(x["lo"] <= v, x["hi"] - x["lo"] + 1).otherwise(0).cast("long")
+
+    rank = (F.col("_pos") - F.col("_s")).cast("long")
+    free = F.aggregate(F.coalesce("pages", F.array().cast(ArrayType(INTERVAL))), rank, step)
+    return n.join(per, slug).select(slug, *[c for c in new.columns if c != slug], free.alias("version"))

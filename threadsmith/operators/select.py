@@ -21,6 +21,7 @@ from ..config import ARCHIVE_HOST, SITE_B, CurationConfig
 from ..functions.text import author_root, has_identifier, is_short, ws_trim
 from ..session import materialize
 from .dedup import verdicts_from_keys
+from .ordering import order_key
 
 REASON_AUTHOR = "author"
 REASON_QUOTE = "quote"
@@ -84,26 +85,35 @@ def image_post(paragraphs, n_hosted, has_blockquote, text, dom, n_links,
         .otherwise(gate & (keyword | last_blank))
 
 
-def classify(posts: DataFrame, topics: DataFrame, cfg: CurationConfig) -> DataFrame:
-    """Narrow per-post verdict inputs: ``topic_id, page_no, pos, is_author,
-    img_post`` (post scope), ``content_img`` (content scope), ``pre_reason``
-    (first rule that rejects the post before the duplicate test) and the
-    dedup keys.  Text columns are reduced to flags/keys in the scan, so the
-    join with the topic table moves narrow rows only."""
+def scope_verdicts(posts: DataFrame, cfg: CurationConfig) -> tuple[Column, Column]:
+    """P7/A8 on both scopes of a post: (image post, image content)."""
     dom = F.col("domain") if "domain" in posts.columns else F.lit("")
-    img = image_post("post_paragraphs", "n_hosted", "post_has_blockquote", "post_text", dom,
-                     "n_post_links", cfg)
+    n_hosted = hosted_count("images") if "images" in posts.columns else F.col("content_n_hosted")
+    return (image_post("post_paragraphs", "n_hosted", "post_has_blockquote", "post_text", dom, "n_post_links", cfg),
+            image_post("paragraphs", n_hosted, "content_has_blockquote", "content_text", dom, "n_links", cfg))
+
+
+def classify(posts: DataFrame, topics: DataFrame, cfg: CurationConfig, take: DataFrame | None = None) -> DataFrame:
+    """Narrow per-post verdict inputs: ``topic_id, page_no, pos[, src],
+    is_author, img_post`` (post scope), ``content_img`` (content scope),
+    ``pre_reason`` (first rule that rejects the post before the duplicate test)
+    and the dedup keys.  Text columns are reduced to flags/keys in the scan, so
+    the joins with the topic table and with ``take(topic_id, page_no, after[,
+    src])``, the pages to read and the position after which, move narrow rows
+    only."""
+    dom = F.col("domain") if "domain" in posts.columns else F.lit("")
+    img, content_img = scope_verdicts(posts, cfg)
     short = is_short("post_text", cfg.min_chars)
     if cfg.identifier_rescues_short:
         short = short & ~has_identifier(F.get("post_paragraphs", 0), cfg.identifiers,
                                         cfg.identifier_window, "post_has_blockquote")
-    n_hosted_content = hosted_count("images") if "images" in posts.columns else F.col("content_n_hosted")
-    content_img = image_post("paragraphs", n_hosted_content, "content_has_blockquote", "content_text",
-                             dom, "n_links", cfg)
-    nar = posts.select("topic_id", "page_no", "pos", "post_author", dom.alias("_dom"),
+    src = [c for c in ("src",) if c in posts.columns]
+    nar = posts.select("topic_id", "page_no", "pos", *src, "post_author", dom.alias("_dom"),
                        img.alias("img_post"), short.alias("_short"), content_img.alias("content_img"),
                        F.coalesce(F.col("content_has_blockquote"), F.lit(False)).alias("_quote"),
                        *key_columns_for(cfg))
+    if take is not None:
+        nar = nar.join(take, ["topic_id", "page_no", *src]).filter(F.col("pos") > F.col("after")).drop("after")
     t = topics.select("topic_id", author_set("topic_author", cfg.extra_authors).alias("authors"))
     p = nar.join(t, "topic_id")
     p = p.withColumn("is_author", author_match("post_author", "authors", cfg.match_author_root))
@@ -112,7 +122,7 @@ def classify(posts: DataFrame, topics: DataFrame, cfg: CurationConfig) -> DataFr
     if not cfg.all_posts:
         reason = reason.when(F.col("_quote"), F.lit(REASON_QUOTE)) \
             .when(F.col("_short") & ~F.col("img_post"), F.lit(REASON_SHORT))
-    return p.select("topic_id", "page_no", "pos", "is_author", "img_post", "content_img",
+    return p.select("topic_id", "page_no", "pos", *src, "is_author", "img_post", "content_img",
                     reason.alias("pre_reason"), "ord", "tkey", "ikey")
 
 
@@ -123,26 +133,27 @@ def key_columns_for(cfg: CurationConfig) -> list:
 
 
 def selection_verdicts(posts: DataFrame, topics: DataFrame, cfg: CurationConfig,
-                       earlier_keys: DataFrame | None = None) -> DataFrame:
-    """Narrow verdict per post: ``topic_id, page_no, pos, is_author,
-    img_post, reject_reason`` (null = kept), ``kept``, ``is_image``.
+                       earlier_keys: DataFrame | None = None, take: DataFrame | None = None) -> DataFrame:
+    """Narrow verdict per post (of the pages in ``take``, if given):
+    ``topic_id, page_no, pos[, src], is_author, img_post, reject_reason`` (null
+    = kept), ``kept``, ``is_image`` and the dedup keys.
 
     The narrow classification is written once (it feeds the dedup and the
     verdict); counters, cursors and reject lists need nothing else."""
     # partitioned by (candidate, image post): the dedup branches read only
     # the candidate partitions, and the image branch only the (rare) images
-    nc = materialize(classify(posts, topics, cfg).withColumn("cand", F.col("pre_reason").isNull()),
+    nc = materialize(classify(posts, topics, cfg, take).withColumn("cand", F.col("pre_reason").isNull()),
                      "classified", partition_by=["cand", "img_post"])
+    place = ["topic_id", "page_no", "pos", *[c for c in ("src",) if c in nc.columns]]
     if cfg.all_posts:
-        verdict = nc.select("topic_id", "page_no", "pos", "is_author", "img_post",
-                            F.col("pre_reason").alias("reject_reason"), F.lit(False).alias("is_image"),
-                            "tkey", "ikey")
+        verdict = nc.select(*place, "is_author", "img_post", F.col("pre_reason").alias("reject_reason"),
+                            F.lit(False).alias("is_image"), "tkey", "ikey")
     else:
         keys = nc.filter(F.col("cand")).select(
             "topic_id", "ord", F.col("img_post").alias("img"), "tkey", "ikey")
         v = verdicts_from_keys(keys, cfg, earlier_keys)
         verdict = nc.join(v, ["topic_id", "page_no", "pos"], "left").select(
-            "topic_id", "page_no", "pos", "is_author", "img_post",
+            *place, "is_author", "img_post",
             F.coalesce(F.col("pre_reason"), F.when(F.col("is_dup"), F.lit(REASON_DUP))).alias("reject_reason"),
             "content_img", "tkey", "ikey")
         verdict = verdict.withColumn("is_image", F.col("reject_reason").isNull() & F.col("content_img")) \
@@ -150,9 +161,14 @@ def selection_verdicts(posts: DataFrame, topics: DataFrame, cfg: CurationConfig,
     return verdict.withColumn("kept", F.col("reject_reason").isNull())
 
 
-def kept_keys(verdict_keys: DataFrame) -> DataFrame:
-    """Dedup keys of the kept posts, to store for later runs."""
-    return verdict_keys.filter("kept").select("topic_id", "tkey", F.when(F.col("img_post"), F.col("ikey")).alias("ikey"))
+def kept_keys(verdict: DataFrame) -> DataFrame:
+    """T4: the dedup keys of the kept posts (``topic_id, kind, key, ord``), each
+    with the smallest order key that has it: the rows that a run adds to the
+    first-key index (``dedup.FIRST_KEYS``)."""
+    k = verdict.filter("kept").select("topic_id", order_key().alias("ord"), "img_post", "tkey", "ikey")
+    text = k.select("topic_id", F.lit("text").alias("kind"), F.col("tkey").alias("key"), "ord")
+    image = k.filter("img_post").select("topic_id", F.lit("image").alias("kind"), F.col("ikey").alias("key"), "ord")
+    return text.unionByName(image).groupBy("topic_id", "kind", "key").agg(F.min("ord").alias("ord"))
 
 
 def attach_verdicts(posts: DataFrame, verdict: DataFrame) -> DataFrame:
@@ -160,7 +176,8 @@ def attach_verdicts(posts: DataFrame, verdict: DataFrame) -> DataFrame:
     by (topic, page) — fine-grained, so a hot topic spreads out — and
     rendering, which groups by (topic, page), reuses that partitioning."""
     page_part = ["topic_id", "page_no"]
-    return posts.repartition(*page_part).join(verdict.repartition(*page_part), ["topic_id", "page_no", "pos"])
+    on = [*page_part, "pos", *[c for c in ("src",) if c in posts.columns and c in verdict.columns]]
+    return posts.repartition(*page_part).join(verdict.repartition(*page_part), on)
 
 
 def select_story_posts(posts: DataFrame, topics: DataFrame, cfg: CurationConfig) -> DataFrame:

@@ -86,22 +86,6 @@ def one_per_key(state: DataFrame) -> DataFrame:
     return best.select("topic_key", *[F.col("_b")[c].alias(c) for c in rest])
 
 
-def read_through(crawled: DataFrame, start: DataFrame, key: str = "topic_id") -> DataFrame:
-    """(key, read_to): the last page up to which a topic has been read without
-    a gap.  ``crawled(key, page_no)``: pages of this run; ``start(key,
-    start_page)``: the first page that is still to be read.  A page after a
-    gap is not read yet, so nothing between is lost when it comes later."""
-    c = crawled.select(key, "page_no").distinct()
-    after = c.select(key, (F.col("page_no") - 1).alias("page_no"))
-    s = start.select(key, "start_page")
-    ends = c.join(after, [key, "page_no"], "left_anti").join(s, key).filter("page_no >= start_page") \
-        .groupBy(key).agg(F.min("page_no").alias("_end"))
-    first = s.join(c.withColumnRenamed("page_no", "start_page"), [key, "start_page"], "left_semi").select(key)
-    ends = ends.join(first, key, "left_semi")
-    return s.join(ends, key, "left").select(
-        key, F.coalesce("_end", F.col("start_page") - 1).cast("int").alias("read_to"))
-
-
 def upsert_state(old: DataFrame, new: DataFrame, unique: bool = False) -> DataFrame:
     """Update the row of each topic key present in ``new``, insert the
     others, keep the rest.  Sides that aren't known to have one row per key are
@@ -161,9 +145,10 @@ def pages_after(pages: DataFrame, state: DataFrame, cfg: CurationConfig, key: st
     p = pages.select(key, "page_no", "max_pos").join(st, key, "left")      # the state is read once
     if cfg.resume_as_coded:
         known = p.filter(F.col("page_no") >= F.col("_sp")).select(key, "page_no", "max_pos", "_sc")
-        if "last_pos" in extra:
-            known = known.unionByName(st.filter("_last_pos is not null").select(
-                key, F.col("_sp").alias("page_no"), F.col("_last_pos").alias("max_pos"), "_sc"))
+        if "last_pos" in extra:     # what the run delivers counts before what is remembered
+            known = known.withColumn("_new", F.lit(True)).unionByName(st.filter("_last_pos is not null").select(
+                key, F.col("_sp").alias("page_no"), F.col("_last_pos").alias("max_pos"), "_sc", F.lit(False).alias("_new")))
+            known = known.groupBy(key, "page_no").agg(F.max_by("max_pos", "_new").alias("max_pos"), F.first("_sc").alias("_sc"))
         passes = (F.col("max_pos") > F.col("_sc")) | (F.col("max_pos") >= cfg.posts_per_page - 1)
         ends = known.filter(passes).groupBy(key).agg(F.min("page_no").alias("_end"))
         p = p.join(ends, key, "left")

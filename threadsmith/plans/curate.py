@@ -1,19 +1,22 @@
 """End-to-end curation run: crawled pages -> stories, state, metrics.
 
 Stage plan:
-  1. filter pages (status, resume start page) before the parse;
+  1. filter pages (status, pages already read) before the parse;
   2. parse once (Python, Arrow batches) and write the result to the shared
      checkpoint folder: the raw pages are read once, lineage is cut, and
      every output reads the written result;
-  3. selection on a narrow classification written once (partitioned by
-     candidate / image post): topic join on narrow rows (AQE picks broadcast
-     or sort-merge from runtime sizes, skew splits on), duplicate verdicts by
-     aggregates + joins keyed by post position;
-  4. the post rows are shuffled once, by (topic, page), to meet their
-     verdicts; rendering groups by (story, page) on that same partitioning;
-  5. state: per-topic aggregates, full outer join with the stored state;
-  6. metrics, rejects, quarantine and the crawl frontier (pages still to
-     fetch) from the narrow tables.
+  3. decide on narrow rows which pages are read now (``read_pages``): one row
+     per topic (header, ledger, state) and one row per page; a page after a gap,
+     or without its topic's header, waits with its parsed posts;
+  4. selection on a narrow classification written once (partitioned by
+     candidate / image post): topic and page joins on narrow rows (AQE picks
+     broadcast or sort-merge from runtime sizes, skew splits on), duplicate
+     verdicts by aggregates + joins keyed by post position;
+  5. the post rows are shuffled once, by (topic, page), to meet the verdicts
+     of those that are kept; rendering groups by (story, page) on that same
+     partitioning;
+  6. state, ledger, waiting pages, first-key index, metrics, rejects,
+     quarantine and the crawl frontier from the narrow tables.
 """
 
 from __future__ import annotations
@@ -31,9 +34,11 @@ from ..functions.urls import topic_key as topic_key_of
 from ..functions.urls import topic_page_link
 from ..operators import assets as A
 from ..operators import extract as X
+from ..operators import ledger as L
 from ..operators import render as R
 from ..operators import select as SEL
 from ..operators import state as ST
+from ..session import materialize
 
 
 @dataclass
@@ -43,28 +48,53 @@ class RunOutputs:
     rejects: DataFrame       # topic_id, page_no, pos, reject_reason
     metrics: DataFrame       # run_date, topic_id, posts_kept, duplicates, ...
     state: DataFrame         # new full state
+    changes: DataFrame       # the state rows that this run inserts or updates
     quarantine: DataFrame    # topic_id, page_no, pos, reason
     touched: DataFrame       # story_key, file_path, mode (create|append)
     frontier: DataFrame      # topic_id, page_no, page_link: pages to crawl that are missing
-    kept_keys: DataFrame     # topic_key, tkey, ikey: dedup keys of this run's kept posts
-    read: DataFrame          # topic_id, topic_key, read_to (null: pages of the topic need no order)
+    kept_keys: DataFrame     # topic_key, kind, key, ord: dedup keys of this run's kept posts
+    ledger: DataFrame        # the ledger rows that this run inserts or updates
+    waiting: DataFrame       # parsed posts of the pages that wait (all of them)
 
 
-def prepare_pages(pages: DataFrame, state: DataFrame, cfg: CurationConfig) -> DataFrame:
+@dataclass
+class Reading:
+    """What a run reads: decided on narrow rows."""
+    topics: DataFrame        # topic_id and header of the topics whose header is known
+    posts: DataFrame         # parsed posts, of this run and of pages that waited
+    take: DataFrame          # topic_id, page_no, src, after: pages to read and the position after which
+    known: DataFrame         # one row per topic: header, ledger, state, start_page, read_to, ordered
+    pages: DataFrame         # one row per page: topic_id, page_no, fate (read | open | gap | headless | done)
+    broken: DataFrame        # topic_id, page_no, pos, reason: what the parse could not use
+    waiting: DataFrame | None
+    ledger: DataFrame | None
+    keeps: bool = True       # the caller keeps the pages that wait
+
+
+def page_filter(p: DataFrame, state: DataFrame, ledger: DataFrame) -> DataFrame:
+    """The page part of P11, before the parse: pages before the stored one are
+    not read again, but for the first (the header) and those that were not full
+    when they were read.  The pages to leave out are found on narrow rows; raw
+    pages meet them by (topic, page), and not at all if there are none."""
+    narrow = p.select("topic_key", "page_no", "domain").filter(
+        (F.col("page_no") != 1) & (F.col("domain") != ARCHIVE_HOST)).distinct()      # P13, per topic
+    st = state.select("topic_key", F.col("total_pages").alias("_sp"))
+    op = ledger.select("topic_key", F.transform("open", lambda x: x["page_no"]).alias("_open"))
+    out = narrow.join(st, "topic_key").filter(F.col("page_no") < F.col("_sp")).join(op, "topic_key", "left") \
+        .filter(~F.coalesce(F.array_contains("_open", F.col("page_no")), F.lit(False))).select("topic_key", "page_no")
+    return p.join(out, ["topic_key", "page_no"], "left_anti")
+
+
+def prepare_pages(pages: DataFrame, state: DataFrame, cfg: CurationConfig, ledger: DataFrame | None = None) -> DataFrame:
     """S3 + U4 + J2 + page part of P11, all before the parse."""
     p = pages
     if "domain" not in p.columns:
         p = p.withColumn("domain", domain_of("link"))
     p = p.withColumn("topic_key", topic_key_of("link", cfg.page_digit_run))
     if "status" in p.columns:
-        p = p.withColumn("outcome", X.page_outcome("domain", "status")) \
-            .filter(F.col("outcome").isin("ok", "gone")).drop("outcome")
+        p = p.filter(X.page_outcome("domain", "status").isin(*X.PARSED))
     if cfg.use_state:
-        st = state.select("topic_key", F.col("total_pages").alias("_sp"))
-        p = p.join(st, "topic_key", "left")
-        use = F.col("domain") != ARCHIVE_HOST       # P13, per topic
-        p = p.filter(F.col("_sp").isNull() | ~use | (F.col("page_no") == 1) | (F.col("page_no") >= F.col("_sp"))) \
-            .drop("_sp")
+        p = page_filter(p, state, ledger if ledger is not None else L.empty_ledger(pages.sparkSession))
     return p
 
 
@@ -76,66 +106,110 @@ class AssetInputs:
     snapshots: DataFrame         # url, archive_url, snapshot_ts, status
 
 
+def read_pages(ext: DataFrame, cfg: CurationConfig, state: DataFrame, ledger: DataFrame | None,
+               waiting: DataFrame | None) -> Reading:
+    """Which pages are read now, from the parse result, the state, the ledger
+    and the pages that wait."""
+    spark = ext.sparkSession
+    keeps = ledger is not None and waiting is not None
+    ledger = ledger if ledger is not None else L.empty_ledger(spark)
+    waiting = waiting if waiting is not None else spark.createDataFrame([], X.WAITING_SCHEMA)
+    topics, posts, broken = X.split(ext)
+    now = materialize(X.newest_pages(ext), "pages")
+    heads = topics.join(now.filter("page_no = 1").select("topic_id", "src"), ["topic_id", "src"], "left_semi") \
+        .select("topic_id", *[F.col(c).alias("_" + c) for c in L.HEADER])
+    seen = now.groupBy("topic_id").agg(F.min("topic_key").alias("topic_key"), F.min("domain").alias("_dom"),
+                                       F.min_by("link", "page_no").alias("_any_link"))
+    led = ledger.drop("topic_id")
+    st = state.select("topic_key", F.col("total_pages").alias("sp"), F.col("post_cursor").alias("sc"),
+                      F.col("file_path").alias("st_path"))
+    ordered = F.lit(cfg.use_state) & F.coalesce(F.col("_dom") != ARCHIVE_HOST, F.lit(True)) & F.col("topic_key").isNotNull()
+    known = seen.join(heads, "topic_id", "left").join(led, "topic_key", "left").join(st, "topic_key", "left") \
+        .withColumn("ordered", ordered).join(L.islands(now).withColumnRenamed("pages", "_now"), "topic_id", "left")
+    fresh = F.col("_topic_author").isNotNull()           # this run read the header
+    old = F.when(F.col("ordered"), F.col("pages"))
+    known = known.select(
+        "topic_id", "topic_key", "ordered", "_any_link", "open",
+        F.coalesce("_domain", "domain", "_dom").alias("domain"),
+        *[F.when(fresh, F.col("_" + c)).otherwise(F.col(c)).alias(c) for c in L.HEADER if c != "domain"],
+        old.alias("old_pages"), L.merged(old, "_now").alias("pages"),
+        *[F.when(F.col("ordered"), F.col(c)).alias(c) for c in ("sp", "sc")], "st_path") \
+        .withColumn("start_page", F.coalesce("sp", F.lit(1))) \
+        .withColumn("has_header", F.col("topic_author").isNotNull())
+    known = materialize(known.withColumn("read_before", L.read_to("old_pages", "start_page"))
+                        .withColumn("read_to", L.read_to("pages", "start_page")), "topics")
+    # pages that waited, unless they came anew
+    back = waiting.join(known.filter("ordered").select("topic_id"), "topic_id", "left_semi") \
+        .join(now.select("topic_id", "page_no"), ["topic_id", "page_no"], "left_anti").withColumn("src", F.lit(-1).cast("long"))
+    posts = posts.unionByName(back.select(*posts.columns))
+    of_pages = now.select("topic_id", "page_no", "src", (F.col("n_posts") - 1).alias("last_pos")).unionByName(
+        back.groupBy("topic_id", "page_no", "src").agg(F.max("pos").alias("last_pos")))
+    fate = F.when(~F.col("has_header"), "headless").when(~F.col("ordered"), "read") \
+        .when(F.col("page_no") > F.col("read_to"), "gap") \
+        .when(F.col("page_no") >= F.col("start_page"), "read") \
+        .when(F.exists(F.coalesce("open", F.array().cast(L.LEDGER_SCHEMA["open"].dataType)),
+                       lambda x: x["page_no"] == F.col("page_no")), "open").otherwise("done")
+    pages = materialize(of_pages.join(known.select("topic_id", "ordered", "has_header", "read_to", "start_page", "open"),
+                                      "topic_id").withColumn("fate", fate)
+                        .select("topic_id", "page_no", "src", "last_pos", "ordered", "fate", "open"), "page-fates")
+    was_open = F.get(F.filter(F.col("open"), lambda x: x["page_no"] == F.col("_p")), F.lit(0))["last_pos"]
+    # the resume page of a topic with a ledger: full unless it is listed as open
+    resume = known.filter("ordered and sp is not null").withColumn("_p", F.col("sp")).select(
+        "topic_id", F.col("sp").alias("total_pages"), F.col("sc").alias("post_cursor"), F.col("read_before").alias("read_to"),
+        F.when(F.col("old_pages").isNotNull(), F.coalesce(was_open, F.lit(cfg.posts_per_page - 1))).alias("last_pos"))
+    after = ST.pages_after(pages.filter("fate = 'read'").withColumnRenamed("last_pos", "max_pos"), resume, cfg)
+    take = pages.filter("fate = 'read'").select("topic_id", "page_no", "src").join(after, ["topic_id", "page_no"]).unionByName(
+        pages.filter("fate = 'open'").withColumn("_p", F.col("page_no")).select(
+            "topic_id", "page_no", "src", was_open.cast("int").alias("after")))
+    held = pages.filter("ordered and fate in ('gap', 'headless')").select("topic_id", "page_no", "src")
+    new_waiting = posts.join(held, ["topic_id", "page_no", "src"], "left_semi").select(*X.WAITING_COLS).unionByName(
+        waiting.join(known.filter("ordered").select("topic_id"), "topic_id", "left_anti").select(*X.WAITING_COLS))
+    # pages that were not full when read, or are listed so: what the ledger needs of them
+    listed = F.exists(F.coalesce("open", F.array().cast(L.LEDGER_SCHEMA["open"].dataType)),
+                      lambda x: x["page_no"] == F.col("page_no"))
+    ragged = pages.filter(F.col("fate").isin("read", "open") & ((F.col("last_pos") < cfg.posts_per_page - 1) | listed)) \
+        .groupBy("topic_id").agg(F.collect_list(F.struct("page_no", "last_pos")).alias("_read"))
+    new_ledger = known.filter("ordered").join(ragged, "topic_id", "left") \
+        .withColumn("open", L.open_pages("open", "_read", cfg.posts_per_page)) \
+        .withColumn("link", F.when(F.col("has_header"), F.col("link"))).select(*L.LEDGER_SCHEMA.fieldNames())
+    return Reading(known.filter("has_header").select("topic_id", "topic_key", *L.HEADER), posts, take, known, pages,
+                   broken, new_waiting, new_ledger, keeps)
+
+
 def run(spark: SparkSession, pages: DataFrame, cfg: CurationConfig, state: DataFrame | None = None,
         run_id: str = "run-0", profile_rows=None, image_targets: DataFrame | None = None,
         assets: AssetInputs | None = None, existing_stems: DataFrame | None = None,
-        earlier_keys: DataFrame | None = None, taken: DataFrame | None = None) -> RunOutputs:
-    """One batch run.  ``pages(topic_id, link, page_no, html[, status])``;
-    ``image_targets(page_url, full_src)`` from ``extract.image_targets``;
-    ``existing_stems(file_path)``: story files already in the output folder
-    (their version numbers are taken, as are those recorded in the state);
-    ``earlier_keys(topic_key, tkey, ikey)``: dedup keys kept by earlier runs
-    (used when ``cfg.dedup_across_runs``); ``taken(topic_id, page_no)``: pages
-    that an earlier run has judged and that are here unchanged, for the header
-    or the order of pages only."""
+        earlier_keys: DataFrame | None = None, ledger: DataFrame | None = None,
+        waiting: DataFrame | None = None) -> RunOutputs:
+    """One batch run.  ``pages(topic_id, link, page_no, html[, status,
+    attempt])``; ``image_targets(page_url, full_src)`` from
+    ``extract.image_targets``; ``existing_stems(file_path)``: story files already
+    in the output folder (their version numbers are taken, as are those recorded
+    in the state); ``earlier_keys``: the first-key index of earlier runs (used
+    when ``cfg.dedup_across_runs``); ``ledger`` and ``waiting``: what earlier
+    runs gave back as such.  With them, a topic's pages may come in any split
+    over runs and each only once; without, the frontier lists the pages that
+    wait, and the header and the resume page are needed in every run."""
     if cfg.download_images != (assets is not None):
         raise ValueError("download_images and the asset inputs go together")
     state = ST.one_per_key(state if state is not None else ST.empty_state(spark))
-    p = prepare_pages(pages, state, cfg)
+    p = prepare_pages(pages, state, cfg, ledger)
     # the raw pages are read once, by the parse; everything after reads its
-    # written result (the topic link and key travel with the header row)
+    # written result
     ext = X.materialize(spark, X.extract(p, profile_rows), "extract")
-    topics, posts, quarantine = X.split(ext)
-    # posts of a topic whose first page (the header) is missing cannot be judged
-    headless = posts.select("topic_id").distinct().join(topics.select("topic_id"), "topic_id", "left_anti")
-    quarantine = quarantine.unionByName(headless.select(
-        "topic_id", F.lit(None).cast("int").alias("page_no"), F.lit(None).cast("int").alias("pos"),
-        F.lit("header_page_missing").alias("reason")))
-    # pages are taken in order: a page after a gap waits until the gap is filled
-    # (quarantined here, listed by the frontier), so any split of a topic's
-    # pages over runs loses none
-    start = topics.join(state.select("topic_key", F.col("total_pages").alias("_sp")), "topic_key", "left") \
-        .withColumn("start_page", F.when(F.lit(cfg.use_state) & (F.col("domain") != ARCHIVE_HOST),
-                                         F.coalesce("_sp", F.lit(1))).otherwise(F.lit(1)))
-    if cfg.use_state:
-        through = ST.read_through(X.crawled_pages(ext), start)
-        posts = posts.join(through, "topic_id")
-        wait = posts.filter((F.col("page_no") > F.col("read_to")) & (F.col("domain") != ARCHIVE_HOST))
-        quarantine = quarantine.unionByName(wait.select(
-            "topic_id", "page_no", F.lit(None).cast("int").alias("pos"), F.lit("page_gap").alias("reason")).distinct())
-        posts = posts.filter((F.col("page_no") <= F.col("read_to")) | (F.col("domain") == ARCHIVE_HOST)).drop("read_to")
-        quarantine = quarantine.unionByName(topics.filter(F.col("topic_key").isNull()).select(
-            "topic_id", F.lit(None).cast("int").alias("page_no"), F.lit(None).cast("int").alias("pos"),
-            F.lit("topic_key_missing").alias("reason")))
+    r = read_pages(ext, cfg, state, ledger, waiting)
+    return finish(r, cfg, state, run_id, image_targets, assets, existing_stems, earlier_keys)
+
+
+def select_and_edit(r: Reading, cfg: CurationConfig, image_targets: DataFrame | None, assets: AssetInputs | None,
+                    earlier: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(verdicts of the posts read, kept posts with their images edited)."""
+    verdict = SEL.selection_verdicts(r.posts, r.topics, cfg, earlier, r.take)      # narrow, per post
+    posts = r.posts
     if cfg.replace_video_frames:
         posts = posts.withColumn("content_html", F.when(F.col("domain") == ARCHIVE_HOST, X.replace_video_frames())
                                  .otherwise(F.col("content_html")))
-    # resume: the post cursor of topics that use state (not the archive)
-    st = state.join(topics.select("topic_id", "topic_key", "domain"), "topic_key") \
-        .filter(F.lit(cfg.use_state) & (F.col("domain") != ARCHIVE_HOST)) \
-        .select("topic_id", "total_pages", "post_cursor")
-    posts = ST.resume_filter(posts, st, cfg) if cfg.use_state else posts
-    same = None     # topics whose resume page is as it was: the cursor stays on it
-    if taken is not None:
-        posts = posts.join(taken, ["topic_id", "page_no"], "left_anti")
-        same = st.join(taken.withColumnRenamed("page_no", "total_pages"), ["topic_id", "total_pages"], "left_semi") \
-            .select("topic_id", F.col("total_pages").alias("_tp"), F.col("post_cursor").alias("_tc"))
-    earlier = None
-    if cfg.dedup_across_runs and earlier_keys is not None:
-        earlier = earlier_keys.join(topics.select("topic_id", "topic_key"), "topic_key") \
-            .select("topic_id", "tkey", "ikey")
-    verdict = SEL.selection_verdicts(posts, topics, cfg, earlier)      # narrow, per post
-    kept = SEL.story_posts(SEL.attach_verdicts(posts, verdict)) \
+    kept = SEL.attach_verdicts(posts, SEL.story_posts(verdict)).drop("src") \
         .withColumn("excerpt", excerpt("paragraphs"))              # U12 (the "chapter added" line)
     if cfg.resize_images:                                         # U16 (+ J5 where targets are given)
         kept = A.apply_image_edits(kept, A.fullsize_edits(kept, image_targets))
@@ -151,15 +225,16 @@ def run(spark: SparkSession, pages: DataFrame, cfg: CurationConfig, state: DataF
             .select("url", F.coalesce("_f", F.when(F.col("_ok"), F.col("file_name"))).alias("file_name")) \
             .filter(F.col("file_name").isNotNull())
         kept = A.apply_image_edits(kept, A.localize_edits(kept, stored, cfg))
-    counters = SEL.topic_counters(verdict, cfg)
-    rejects = verdict.filter(~F.col("kept")).select("topic_id", "page_no", "pos", "reject_reason")
-    # With state on, a topic without new posts keeps story and state
-    active = counters.filter((F.col("posts_kept") > 0) | F.lit(not cfg.use_state)).select("topic_id")
-    chunks = R.render_chunks(kept).withColumn("run_id", F.lit(run_id))
-    # file names (U20 + W6) and append-or-create routing
-    t = topics.join(active, "topic_id").join(
-        state.select("topic_key", F.col("file_path").alias("st_path")), "topic_key", "left")
-    t = t.withColumn("slug", F.concat_ws("-", slugify("topic_author"), slugify("title", title=True, tag=cfg.story_tag)))
+    return verdict, kept
+
+
+def story_names(topics: DataFrame, active: DataFrame, known: DataFrame, state: DataFrame, cfg: CurationConfig,
+                existing_stems: DataFrame | None) -> DataFrame:
+    """U20 + W6 + S11: ``topic_id, topic_key, st_path, file_path`` of the topics
+    with new posts; a story that has a file keeps it."""
+    t = topics.join(active, "topic_id").join(known.select("topic_id", "st_path"), "topic_id") \
+        .withColumn("slug", F.concat_ws("-", slugify("topic_author"), slugify("title", title=True, tag=cfg.story_tag)))
+    t = materialize(t, "active-topics")
     stems = state.select("file_path")
     if existing_stems is not None:
         stems = stems.unionByName(existing_stems.select("file_path"))
@@ -168,43 +243,79 @@ def run(spark: SparkSession, pages: DataFrame, cfg: CurationConfig, state: DataF
         .filter(F.col("slug") != "")
     new_t = t.filter(F.col("st_path").isNull() | F.lit(not cfg.use_state)).select("slug", "topic_id")
     versions = R.version_numbers(new_t, used, order="topic_id")
-    t = t.join(versions.select("topic_id", "version"), "topic_id", "left").withColumn(
+    return t.join(versions.select("topic_id", "version"), "topic_id", "left").withColumn(
         "file_path", F.coalesce(F.when(F.lit(cfg.use_state), F.col("st_path")),
                                 F.concat_ws("-", "slug", F.col("version").cast("string"))))
+
+
+def finish(r: Reading, cfg: CurationConfig, state: DataFrame, run_id: str,
+           image_targets: DataFrame | None = None, assets: AssetInputs | None = None,
+           existing_stems: DataFrame | None = None, earlier_keys: DataFrame | None = None) -> RunOutputs:
+    """Selection, rendering and the tables of a run from what it reads."""
+    earlier = None
+    if cfg.dedup_across_runs and earlier_keys is not None:
+        earlier = earlier_keys.join(r.topics.select("topic_id", "topic_key"), "topic_key").select("topic_id", "kind", "key")
+    verdict, kept = select_and_edit(r, cfg, image_targets, assets, earlier)
+    counters = SEL.topic_counters(verdict, cfg)
+    rejects = verdict.filter(~F.col("kept")).select("topic_id", "page_no", "pos", "reject_reason")
+    # With state on, a topic without new posts keeps story and state
+    active = counters.filter((F.col("posts_kept") > 0) | F.lit(not cfg.use_state)).select("topic_id")
+    t = story_names(r.topics, active, r.known, state, cfg, existing_stems)
     touched = t.select(F.col("topic_id").alias("story_key"), "file_path",
                        F.when(F.col("st_path").isNotNull() & F.lit(cfg.use_state), "append")
                        .otherwise("create").alias("mode"))
-    # new state (A4 + S7)
-    # the stored page is the last one read without a gap, and the cursor is its
-    if cfg.use_state:
-        none = F.lit(0 if cfg.resume_as_coded else -1)
-        cur = ST.cursor_advance(verdict, cfg).select("topic_id", F.col("total_pages").alias("_cp"), "post_cursor")
-        t = t.join(same, "topic_id", "left") if same is not None else \
-            t.withColumn("_tp", F.lit(None).cast("int")).withColumn("_tc", F.lit(None).cast("int"))
-        new_state = t.join(through, "topic_id").join(cur, "topic_id", "left").filter(
-            F.col("domain") != ARCHIVE_HOST).select(
-            "topic_key", "title", F.col("link").alias("page_link"), "file_path",
-            F.col("read_to").alias("total_pages"),
-            F.coalesce(F.when(F.col("_cp") == F.col("read_to"), F.col("post_cursor")),
-                       F.when(F.col("_tp") == F.col("read_to"), F.col("_tc")), none).cast("int")
-            .alias("post_cursor"))
-    full_state = ST.upsert_state(state, new_state) if cfg.use_state else state
-    # G1 + U2/U3 + U18: pages from the resume page to the header's count that
-    # the crawl did not deliver, or that wait for one (the crawler's to-do list)
-    crawled = X.crawled_pages(ext)
+    changes = state_changes(t, r.known, verdict, cfg)
+    stories = R.render_chunks(kept).withColumn("run_id", F.lit(run_id)) \
+        .join(t.select(F.col("topic_id").alias("story_key")), "story_key", "left_semi")
+    keys = SEL.kept_keys(verdict).join(r.topics.select("topic_id", "topic_key"), "topic_id") \
+        .select("topic_key", "kind", "key", "ord")
+    return RunOutputs(
+        stories, kept, rejects, counters.withColumn("run_date", F.current_date()).withColumn("run_id", F.lit(run_id)),
+        ST.upsert_state(state, changes, unique=True) if cfg.use_state else state, changes,
+        quarantined(r, cfg), touched, to_crawl(r, cfg), keys, r.ledger, r.waiting)
+
+
+def state_changes(names: DataFrame, known: DataFrame, verdict: DataFrame, cfg: CurationConfig) -> DataFrame:
+    """A4 + S7: the state rows of the topics with new posts: the page up to
+    which a topic is read, and the position of the last kept post on it (0 as
+    coded, else -1, where it has none)."""
+    none = F.lit(0 if cfg.resume_as_coded else -1)
+    last = verdict.filter("kept").groupBy("topic_id").agg(F.max(F.struct("page_no", "pos")).alias("_l"))
+    j = names.join(known.filter("ordered").select("topic_id", "read_to", "sp", "sc"), "topic_id").join(last, "topic_id", "left")
+    cursor = F.when(F.col("_l.page_no") == F.col("read_to"), F.col("_l.pos")) \
+        .when(F.col("sp") == F.col("read_to"), F.col("sc"))
+    if cfg.resume_as_coded and cfg.all_posts:
+        cursor = F.lit(0)       # as coded, all-posts mode never marks a page as having added a post
+    return j.select("topic_key", "title", F.col("link").alias("page_link"), "file_path",
+                    F.col("read_to").alias("total_pages"), F.coalesce(cursor, none).cast("int").alias("post_cursor")) \
+        .filter(F.lit(cfg.use_state))
+
+
+def quarantined(r: Reading, cfg: CurationConfig) -> DataFrame:
+    """Rows that can't be used, and the pages that wait (with the reason)."""
+    none = F.lit(None).cast("int")
+    wait = r.pages.filter(F.col("fate").isin("gap", "headless")).select(
+        "topic_id", "page_no", none.alias("pos"),
+        F.when(F.col("fate") == "gap", "page_gap").otherwise("header_page_missing").alias("reason")).distinct()
+    out = r.broken.unionByName(wait)
     if cfg.use_state:
-        crawled = crawled.join(through, "topic_id").join(topics.select("topic_id", "domain"), "topic_id") \
-            .filter((F.col("page_no") <= F.col("read_to")) | (F.col("domain") == ARCHIVE_HOST)) \
-            .select("topic_id", "page_no")
-    frontier = ST.frontier(start.select("topic_id", "link", "domain", "start_page", "total_pages")) \
-        .join(crawled, ["topic_id", "page_no"], "left_anti") \
-        .select("topic_id", "page_no", topic_page_link("link", "page_no", "domain", cfg.page_digit_run).alias("page_link"))
-    metrics = counters.withColumn("run_date", F.current_date()).withColumn("run_id", F.lit(run_id))
-    stories = chunks.join(active.withColumnRenamed("topic_id", "story_key"), "story_key", "left_semi")
-    keys = SEL.kept_keys(verdict).join(topics.select("topic_id", "topic_key"), "topic_id") \
-        .select("topic_key", "tkey", "ikey")
-    read = topics.select("topic_id", "topic_key", "domain")
-    read = read.join(through, "topic_id", "left") if cfg.use_state else read.withColumn("read_to", F.lit(None).cast("int"))
-    read = read.select("topic_id", "topic_key",
-                       F.when(F.col("domain") != ARCHIVE_HOST, F.col("read_to")).alias("read_to"))
-    return RunOutputs(stories, kept, rejects, metrics, full_state, quarantine, touched, frontier, keys, read)
+        out = out.unionByName(r.known.filter("topic_key is null").select(
+            "topic_id", none.alias("page_no"), none.alias("pos"), F.lit("topic_key_missing").alias("reason")))
+    return out
+
+
+def to_crawl(r: Reading, cfg: CurationConfig) -> DataFrame:
+    """G1 + U2/U3 + U18: the pages that the crawl has not delivered, from the
+    resume page to the header's count (those that wait, too, if nobody keeps
+    them); a topic without header needs page 1."""
+    none = F.array().cast(L.LEDGER_SCHEMA["pages"].dataType)
+    have = F.col("pages")
+    if not r.keeps:
+        read = F.array(F.struct(F.col("start_page").alias("lo"), F.col("read_to").alias("hi")))
+        have = F.when(F.col("ordered"), F.when(F.col("read_to") >= F.col("start_page"), read).otherwise(none)).otherwise(have)
+    head = r.known.filter("has_header").select("topic_id", "link", "domain", "start_page", "total_pages", have.alias("pages"))
+    head = L.missing_pages(head).select("topic_id", "page_no", "link", "domain")
+    bare = r.known.filter(~F.col("has_header")).select("topic_id", F.lit(1).alias("page_no"),
+                                                       F.col("_any_link").alias("link"), "domain")
+    return head.unionByName(bare).select(
+        "topic_id", "page_no", topic_page_link("link", "page_no", "domain", cfg.page_digit_run).alias("page_link"))

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 # --- fixed values: selectors of the supported sites -------------------------
-# (domain, field, rank, selector); rank orders alternatives of one field.
+# (domain, field, rank, selector); rank orders alternatives of one field;
+# content_all: all nodes together, where content is one node.
 PROFILE_ROWS = [
     ("jeuxvideo.com", "author", 0, ".bloc-header > span"),
     ("jeuxvideo.com", "deleted_author", 0, ".bloc-pseudo-msg"),
@@ -33,8 +34,8 @@ PROFILE_ROWS = [
     ("web.archive.org", "post", 0, ".entry-content"),
     ("web.archive.org", "content", 0, ".entry-content > div.txt-msg.text-enrichi-forum"),
     ("web.archive.org", "content", 1, ".entry-content > div"),
-    ("web.archive.org", "content", 2, ".entry-content >  h2:last-of-type ~ p"),
-    ("web.archive.org", "content", 3, ".entry-content >  p"),
+    ("web.archive.org", "content_all", 0, ".entry-content >  h2:last-of-type ~ p"),
+    ("web.archive.org", "content_all", 1, ".entry-content >  p"),
     ("web.archive.org", "title", 0, ".entry-content > h2"),
     ("web.archive.org", "hosted_image", 0, ".entry-content > div > p > a > img"),
     ("web.archive.org", "page_title", 0, "title"),

@@ -2,24 +2,24 @@
 
 Newly crawled pages land as parquet files in a folder.  A file stream with
 ``trigger(availableNow=True)`` (or a processing-time trigger for a
-long-running job) hands each micro-batch to ``foreachBatch``, which runs the
-batch curation with the stored state and commits:
-
-* outputs into folders named by the batch id, written with overwrite, so a
-  batch replayed after a failure replaces its own partial output (T3);
-* re-delivered rows are dropped by a streaming ``dropDuplicates`` on their
-  key: the seen keys live in the state store (RocksDB, spread over the
-  shuffle partitions) and are committed with each batch, so the cost of a
-  batch does not grow with the history (T3);
-* the state as a new version ``batch_id + 1`` (readers switch to a version
-  only once it has ``_SUCCESS``);
-* the pages that a later batch of the topic still needs (``held``): its
-  header page, its resume page and every page that waits for another one (a
-  page after a gap, or one whose header page has not landed).  They join the
-  next batch that has a page of the topic, so pages may land in any order and
-  need to land only once; ``quarantine`` and ``frontier`` list what waits.
-
-Kept-text dedup restarts every run, as in the original tool (T4).
+long-running job) parses them and hands them to a keyed state in the state store
+(``topics``): one record per topic with its header, the pages it has and those
+that wait.  What it releases goes to ``foreachBatch``, which runs the batch
+selection and commits:
+
+* outputs into folders named by the batch id, written with overwrite, and story
+  chunks under the batch's name, so a batch replayed after a failure replaces
+  its own part (T3);
+* the changed state rows as version ``batch_id + 1``.
+
+A page that comes again is known by the record and not read twice (T3), a page
+after a gap or before its topic's header waits there, parsed, until it can be
+read, and the work of a batch follows its pages and topics: nothing scans what
+earlier batches wrote, but for the buckets of the first-key index that the
+batch's topics lie in and the narrow topic state (for free file names).
+
+Kept-text dedup restarts every batch, as in the original tool, unless
+``cfg.dedup_across_runs`` (T4).
 """
 
 from __future__ import annotations
@@ -31,11 +31,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..config import CurationConfig
-from ..functions.urls import domain as domain_of
-from ..operators import extract as X
-from ..operators import render as R
 from ..operators import state as ST
 from ..session import materialize, release_scratch, scratch_mark, scratch_path
+from . import topics
 
 
 def file_stream(spark: SparkSession, landing: str, schema: StructType, glob: str | None = None,
@@ -62,83 +60,45 @@ def enable_rocksdb(spark: SparkSession) -> None:
                    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def _with_held(spark: SparkSession, new: DataFrame, held: str, batch_id: int) -> DataFrame:
-    """The batch's pages (``taken`` false) and, of the same topics, the pages
-    held by the last batch that had the topic, unless they landed anew."""
-    pages = new.withColumn("taken", F.lit(False))
-    fs, path = ST._fs(spark, held)
-    if not fs.exists(path):
-        return pages
-    log = spark.read.parquet(held).filter(F.col("batch_id") < batch_id) \
-        .join(new.select("topic_id").distinct(), "topic_id", "left_semi")
-    last = log.groupBy("topic_id").agg(F.max("batch_id").alias("batch_id"))
-    log = log.join(last, ["topic_id", "batch_id"], "left_semi") \
-        .join(new.select("topic_id", "page_no").distinct(), ["topic_id", "page_no"], "left_anti")
-    return pages.unionByName(log.drop("batch_id"))
-
-
-def _to_hold(pages: DataFrame, read: DataFrame, state: DataFrame) -> DataFrame:
-    """The pages of a batch that a later one needs, and whether they are
-    ``taken`` (judged): all of a topic without header page; of a topic read in
-    order the first, and those from the page that the state resumes at; else
-    the first."""
-    at = read.join(ST.one_per_key(state).select("topic_key", "total_pages"), "topic_key", "left") \
-        .select("topic_id", F.lit(True).alias("_head"), "read_to", F.coalesce("total_pages", F.lit(1)).alias("_from"))
-    p = pages.drop("taken").join(at, "topic_id", "left")
-    ordered = F.col("read_to").isNotNull()
-    need = F.col("_head").isNull() | (F.col("page_no") == 1) | (ordered & (F.col("page_no") >= F.col("_from")))
-    done = F.col("_head").isNotNull() & (~ordered | (F.col("page_no") <= F.col("read_to")))
-    return p.filter(need).withColumn("taken", done).drop("_head", "read_to", "_from")
-
-
 def page_ingest(spark: SparkSession, landing: str, schema: StructType, base: str,
                 cfg: CurationConfig, checkpoint: str | None = None, profile_rows=None,
                 prepare: Callable[[DataFrame], DataFrame] | None = None, glob: str | None = None,
-                image_targets: DataFrame | None = None, assets=None) -> str:
-    """Pages landing in ``landing`` -> ``base``/{stories,story_posts,
-    metrics,state,quarantine,frontier,held}.  ``prepare`` maps the landing rows to
-    ``topic_id, link, page_no, html[, status]``; ``image_targets`` and ``assets`` as in ``curate.run``.
-    Returns ``base``."""
-    from ..plans import curate
+                image_targets: DataFrame | None = None, assets=None, max_files: int | None = None,
+                every: str | None = None, wait_limit_s: int | None = None):
+    """Pages landing in ``landing`` -> the tables of ``plans.outputs``
+    under ``base``, in folders named by the batch id.  ``prepare`` maps the
+    landing rows to ``topic_id, link, page_no, html[, status]``;
+    ``image_targets`` and ``assets`` as in ``curate.run``.  Everything available
+    is processed, and ``base`` returned; ``every`` (``"30 seconds"``) keeps the
+    query running at that pace instead and returns it, and then ``wait_limit_s``
+    sets timers that report a page which still waits after so many seconds."""
+    from ..plans import curate, outputs
+    if wait_limit_s is not None and every is None:
+        # with timers of processing time a query has always another batch to run
+        raise ValueError("timers need a query that keeps running (every=...)")
     checkpoint = checkpoint or f"{base}/_checkpoint"
 
-    def handle(pages: DataFrame, batch_id: int) -> None:
+    def handle(rows: DataFrame, batch_id: int) -> None:
         mark = scratch_mark()
         state = ST.read_state(spark, f"{base}/state", at_most=batch_id)
+        got = materialize(rows, "released")     # the stateful operator runs once
+        r = topics.reading(got, state, cfg)
         earlier = None
-        if cfg.dedup_across_runs and ST._fs(spark, f"{base}/kept_keys")[0].exists(ST._fs(spark, f"{base}/kept_keys")[1]):
-            earlier = spark.read.parquet(f"{base}/kept_keys").filter(F.col("batch_id") < batch_id)
-        new = materialize(pages.drop("page_hash"), "landed")    # the stateful source is read once
-        here = materialize(_with_held(spark, new, f"{base}/held", batch_id), "batch-pages")
-        out = curate.run(spark, here.drop("taken"), cfg, state=state, run_id=f"batch-{batch_id}",
-                         profile_rows=profile_rows, earlier_keys=earlier, image_targets=image_targets, assets=assets,
-                         taken=here.filter("taken").select("topic_id", "page_no").distinct())
-        tag = f"batch_id={batch_id}"
-        # kept posts are written once; the stories are rendered from them
-        out.story_posts.drop("images").write.mode("overwrite").parquet(f"{base}/story_posts/{tag}")
-        kept = spark.read.parquet(f"{base}/story_posts/{tag}")
-        R.render_chunks(kept).withColumn("run_id", F.lit(f"batch-{batch_id}")) \
-            .write.mode("overwrite").parquet(f"{base}/stories/{tag}")
-        out.metrics.write.mode("overwrite").parquet(f"{base}/metrics/{tag}")     # S14, replay-safe
         if cfg.dedup_across_runs:
-            out.kept_keys.write.mode("overwrite").parquet(f"{base}/kept_keys/{tag}")
-        out.quarantine.write.mode("overwrite").parquet(f"{base}/quarantine/{tag}")
-        out.frontier.write.mode("overwrite").parquet(f"{base}/frontier/{tag}")
-        new_state = materialize(out.state, "new-state")
-        _to_hold(here, out.read, new_state).write.mode("overwrite").parquet(f"{base}/held/{tag}")
-        ST.write_state(new_state, f"{base}/state", batch_id + 1)
+            earlier = outputs.first_keys_of(spark, base, r.known, batch_id)
+        out = curate.finish(r, cfg, state, f"batch-{batch_id}", image_targets, assets, earlier_keys=earlier)
+        outputs.write_run(spark, base, out, cfg, batch_id + 1, f"batch_id={batch_id}", f"batch-{batch_id}", earlier)
         release_scratch(spark, mark)    # the batch's intermediate tables
 
     enable_rocksdb(spark)
-    stream = file_stream(spark, landing, schema, glob)
+    stream = file_stream(spark, landing, schema, glob, max_files)
     if prepare is not None:
         stream = prepare(stream)
-    if "status" in stream.columns:      # a failed fetch must not hide the page that comes later
-        host = F.col("domain") if "domain" in stream.columns else domain_of("link")
-        stream = stream.withColumn("_host", host).filter(X.page_outcome("_host", "status").isin("ok", "gone")).drop("_host")
-    stream = stream.withColumn("page_hash", F.sha2(F.col("html"), 256)) \
-        .dropDuplicates(["topic_id", "page_no", "page_hash"])
-    run_available(stream, handle, checkpoint)
+    rows = topics.released(stream, cfg, profile_rows, wait_limit_s)
+    if every is not None:
+        return rows.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint) \
+            .trigger(processingTime=every).start()
+    run_available(rows, handle, checkpoint)
     return base
 
 
