@@ -9,10 +9,11 @@ which a token of A and one of B end cut both into groups; tokens whose byte
 ranges end together are linked.
 
 A text is encoded in chunks: neither tokenizer joins anything across a
-character that is not white space and a blank after it (A's pattern has a blank
-only at a token's begin, and ``cuts_at_blanks`` looks through B's pieces), so a
-chunk's tokens, groups and links are those it has inside any text, and a worker
-aligns every distinct chunk once.  Other tokenizers are given whole texts.
+character that is not white space and a blank or line feed after it (A's pattern
+has these only at a token's begin, and ``cuts_at_blanks`` looks through B's
+pieces), so a chunk's tokens, groups and links are those it has inside any text,
+and a worker aligns every distinct chunk once.  Other tokenizers are given whole
+texts.
 
 Counts of linked id pairs are added up per task, then by Spark.  Documents meet
 the counts of the most frequent pairs (``LISTED``, a bounded broadcast) in a
@@ -30,6 +31,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,15 +43,16 @@ from .common import per_worker, prepare, text_blocks
 
 BLOCK_CHARS = 2_000_000      # characters aligned at once
 JOINED_CHARS = 20_000        # characters of unseen chunks that are encoded as one text
-CACHE_CHUNKS = 600_000       # chunks a worker remembers, and
+CACHE_CHUNKS = 900_000       # chunks a worker remembers, and
 CACHE_CHARS = 16_000_000     # their characters
 LONG_CHUNK = 256             # longer chunks are not remembered
 PAIRS_HELD = 400_000         # id pairs a task counts before it gives them out
 LISTED = 1 << 19             # most frequent pairs that are broadcast
 
 MARK = "▁"              # B's sign for a blank
-_UNSAFE = re.compile(r"\s |▁")
-_CUT = re.compile(r"(?<=[^\s▁]) (?=.)", re.S)
+_UNSAFE = re.compile(r"\s[ \n]|▁")
+_CUT = re.compile(r"(?<=[^\s▁])(?=[ \n].)", re.S)
+LEAD = " a"                  # goes before a chunk that begins with a line feed, as B adds a blank to every text
 
 
 def byte_level_alphabet() -> dict[str, int]:
@@ -119,7 +122,8 @@ class Aligner:
         self.sizes_a, self.sizes_b = (np.array([len(x) for x in t], dtype=np.int64) for t in (self.bytes_a, self.bytes_b))
         self.text_of = np.array([f"{i}{c}" for i in range(max(len(self.bytes_a), self.n_b)) for c in (",", "|", ";", "")],
                                 dtype=object)
-        self.in_chunks = self._byte_level(tokenizer_json) and self.cuts_at_blanks(pieces)
+        self.in_chunks = self._byte_level(tokenizer_json) and self.cuts_at_blanks(pieces) \
+            and self.sizes_a.min() > 0 and self.sizes_b.min() > 0
         # whether B's spans count bytes or characters depends on the library's version
         self.spans_are_bytes = max((p.end for p in self._proto(["é"])[0].pieces), default=2) == 2
         self.forget()
@@ -142,8 +146,8 @@ class Aligner:
 
     @staticmethod
     def cuts_at_blanks(pieces: list[str]) -> bool:
-        """No piece has a blank after another character."""
-        return not any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces)
+        """No piece has a blank after another character, or a line feed."""
+        return not any(re.search(f"[^{MARK}]{MARK}|\n", p) for p in pieces)
 
     def _proto(self, texts: list[str]) -> list:
         try:
@@ -156,30 +160,33 @@ class Aligner:
         begins with the blank that B adds; None if the bytes differ."""
         raw = text.encode("utf-8", "surrogatepass")
         e = self.a.encode(text, add_special_tokens=False)
-        pieces = [(p.id, p.begin, p.end) for p in self._proto([text[1:]])[0].pieces]
-        ids_b = [p[0] for p in pieces]
-        if b"".join(map(self.bytes_a.__getitem__, e.ids)) != raw or b"".join(map(self.bytes_b.__getitem__, ids_b)) != raw:
+        pieces = self._proto([text[1:]])[0].pieces
+        list_a, list_b = e.ids, [p.id for p in pieces]
+        if b"".join(map(self.bytes_a.__getitem__, list_a)) != raw or b"".join(map(self.bytes_b.__getitem__, list_b)) != raw:
             return None
+        whole = lambda x, n: np.fromiter(x, dtype=np.int64, count=n)
         place = None  # of each character among the bytes
         if len(raw) != len(text):
             cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
             wide = 1 + (cp > 0x7F).astype(np.int64) + (cp > 0x7FF) + (cp > 0xFFFF)
             place = np.concatenate([[0], np.cumsum(wide)])
-        span = np.array(e.offsets, dtype=np.int64).reshape(-1, 2)
+        ids_a, ids_b = whole(list_a, len(list_a)), whole(list_b, len(list_b))
+        span = whole(chain.from_iterable(e.offsets), 2 * len(list_a))
         if place is not None:
             span = place[span]
-        ids_a = np.array(e.ids, dtype=np.int64)
-        ends_a = byte_ends(span[:, 0], span[:, 1], self.sizes_a[ids_a])
-        b = np.array(pieces, dtype=np.int64).reshape(-1, 3)
-        span = b[:, 1:] + 1
+        ends_a = byte_ends(span[0::2], span[1::2], self.sizes_a[ids_a])
+        begin, end = (whole(x, len(list_b)) + 1 for x in ((p.begin for p in pieces), (p.end for p in pieces)))
         if place is not None and not self.spans_are_bytes:
-            span = place[span]
-        span[0, 0] = 0  # the blank that B added
-        return raw, ids_a, ends_a, b[:, 0], byte_ends(span[:, 0], span[:, 1], self.sizes_b[b[:, 0]])
+            begin, end = place[begin], place[end]
+        begin[0] = 0  # the blank that B added
+        return raw, ids_a, ends_a, ids_b, byte_ends(begin, end, self.sizes_b[ids_b])
 
     def _joined(self, chunks: list[str]):
         """(tokens of A, of B, groups, pairs, pairs of each) of chunks that are
         encoded as one text; None if they can't be told apart so."""
+        if chunks[0][0] != " ":
+            got = self._joined([LEAD, *chunks])
+            return got and (got[0][1:], got[1][1:], got[2][1:], got[3][int(got[4][0]):], got[4][1:])
         got = self._encoded("".join(chunks))
         if got is None:
             return None
@@ -211,7 +218,7 @@ class Aligner:
         one = self._joined([chunk])
         if one is not None:
             return one
-        got = self._encoded(chunk)
+        got = self._encoded(chunk) if chunk[0] == " " else None
         if got is None:
             return [-1], [-1], [""], np.zeros(0, np.int64), [0]
         _, ids_a, ends_a, ids_b, ends_b = got  # tokens without bytes
@@ -219,14 +226,16 @@ class Aligner:
         return [len(ids_a)], [len(ids_b)], [text], np.array([x * self.n_b + y for x, y in pairs], dtype=np.int64), [len(pairs)]
 
     def chunks(self, text: str) -> list[str]:
-        """``" " + text``, cut before each blank that follows another
-        character (but not before one that ends the text: B adds nothing to an
-        empty text)."""
+        """``" " + text``, cut before each blank or line feed that follows
+        another character (but not before one that ends the text: B adds
+        nothing to an empty text)."""
         if not self.in_chunks:
             return [" " + text]
-        if text[0] != " " and text[-1] != " " and not _UNSAFE.search(text):
-            return [" " + x for x in text.split(" ")]
-        return [" " + x for x in _CUT.split(text)]
+        if text[0] not in " \n" and text[-1] not in " \n" and not _UNSAFE.search(text):
+            if "\n" not in text:
+                return [" " + x for x in text.split(" ")]
+            return [x if x[0] == "\n" else " " + x for x in text.replace("\n", " \n").split(" ")]
+        return _CUT.split(" " + text)
 
     def learn(self, chunks: list[str]) -> None:
         """Align chunks: those that end in no white space are joined to texts of
