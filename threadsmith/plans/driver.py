@@ -689,41 +689,3 @@ def stream_ingest(spark, sf):
     micro-batch; the result is the latest state per topic."""
     from ..streaming.ingest import event_ingest
     return event_ingest(spark, sf, "events.parquet")
-
-
-# --- the end-to-end pipeline over the raw pages ------------------------------
-PAGES_CFG = CurationConfig(min_chars=200, page_digit_run=1)
-
-
-def _as_crawl(pages):
-    """pages(page_id, url, html) -> crawled pages (one topic per page)."""
-    return pages.select(F.col("page_id").cast("string").alias("topic_id"), F.col("url").alias("link"),
-                        F.lit(1).alias("page_no"), "html")
-
-
-@query("curate_pages")
-def curate_pages(spark, sf):
-    """Batch run over every crawled page: parse, author/quote/short/image
-    rules, ordered dedup, rendering, state and metrics; returns the rendered
-    story chunks (rows-only check: the parse is not SQL)."""
-    from ..operators import extract as X
-    from . import curate
-    out = curate.run(spark, _as_crawl(table(spark, sf, "pages")), PAGES_CFG, run_id="driver",
-                     profile_rows=X.TEST_LAYOUT_ROWS)
-    return out.stories.select("story_key", "chunk_no", "html", "n_posts")
-
-
-@query("stream_pages")
-def stream_pages(spark, sf):
-    """T1-T3 on the pages table: a file stream (availableNow) feeds the batch
-    run through foreachBatch with state-store dedup; returns the kept posts
-    written by the stream (rows-only check)."""
-    from ..operators import extract as X
-    from ..session import scratch_path
-    from ..streaming.ingest import page_ingest
-    schema = table(spark, sf, "pages").schema
-    base = scratch_path(spark, "stream-pages")
-    page_ingest(spark, sf, schema, base, PAGES_CFG, profile_rows=X.TEST_LAYOUT_ROWS,
-                prepare=_as_crawl, glob="pages.parquet")
-    return spark.read.parquet(f"{base}/story_posts").select("topic_id", "page_no", "pos", "post_author",
-                                                            "is_image", "batch_id")
