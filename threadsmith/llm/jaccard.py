@@ -14,11 +14,11 @@ Why s may be dropped: of two sets, the one whose first d + 1 + s parts end
 first shares at least s + 1 of them with the other; at most s can be hotter
 than the coldest of these, so both sets keep that one.
 
-Candidates are not all pairs of a group.  First every member of a part is
-held against the group's first class; linked classes are united; groups whose
-members still lie in different components then give the pairs with the closest
-sketches that would join these, and only what is still open after that gives
-all its remaining pairs.
+Candidates are not all pairs of a group.  First every class is held against
+the smallest of its groups' first classes, then, where it still lies in another
+component, against the others; groups whose members still lie in different
+components then give the pairs with the closest sketches that would join these,
+and only what is still open after that gives all its remaining pairs.
 
 Defined cases: a text without words (or null) has no shingles and links to
 nothing; with fewer than five words the sequence is the only shingle;
@@ -449,9 +449,22 @@ def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         parts.repartition(shuffle_partitions(spark), "part").sortWithinPartitions("part", "cls")
         .mapInArrow(_shared, "part long, cls long, lead long"), "jaccard-shared")
 
-    star = shared.where("cls <> lead").select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b"))
-    links = materialize(_verified(_sized(star.distinct(), classes), docs, classes), "jaccard-links")
+    # a class has a first class in each of its groups, and in a group of near
+    # copies nearly all of these link: the smallest one is tried first, the
+    # others only where they still lie in another component
+    star = shared.where("cls <> lead").select(F.col("cls").alias("a"), F.col("lead").alias("b")).distinct()
+    star = materialize(_sized(star, classes), "jaccard-star")
+    first = star.groupBy("a").agg(F.min("b").alias("b"))
+    links = materialize(_verified(star.join(first, ["a", "b"], "left_semi"), docs, classes), "jaccard-links")
     comp = connected_components(links)
+    rest = star.join(first, ["a", "b"], "left_anti")
+    for end in ("a", "b"):
+        rest = rest.join(comp.select(F.col("node").alias(end), F.col("label").alias(f"_{end}")), end, "left")
+    apart = F.coalesce("_a", "a") != F.coalesce("_b", "b")
+    found = materialize(_verified(rest.where(apart).select("a", "b", "na", "nb"), docs, classes), "jaccard-links")
+    if found.limit(1).count():
+        links = links.unionByName(found)
+        comp = connected_components(links)
 
     # groups of three and more whose members are not yet together: first the
     # closest pairs that would join them, then every pair that is still open
