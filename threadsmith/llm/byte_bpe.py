@@ -241,9 +241,11 @@ def broadcast_vocabulary(spark: SparkSession, ranks_path: str):
     return spark.sparkContext.broadcast({"value": merge_table(read_ranks(ranks_path))})
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False,
+           block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked, ids
-    (binary, little-endian 32-bit): every text encoded, the ids decoded."""
+    (binary, little-endian 32-bit): every text encoded, the ids decoded.
+    ``block_chars``: characters of the texts that a task holds at once."""
     bc = broadcast_vocabulary(docs.sparkSession, ranks_path)
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()),
               ("decoded_sha256", pa.string())] + ([("ids", pa.binary())] if with_ids else [])
@@ -253,7 +255,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = Fals
         import regex
         bpe = per_worker(bc, ByteBpe)
         pat = regex.compile(pattern)
-        for ids, texts in text_blocks(batches, BLOCK_CHARS):
+        for ids, texts in text_blocks(batches, block_chars):
             out = bpe.encode(texts, pat)
             cols = {"doc_id": ids, "n_tokens": [len(x) // 4 for x in out],
                     "ids_sha256": [hashlib.sha256(x).hexdigest() for x in out],
