@@ -40,16 +40,17 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of what the corpus has become, with the ids."""
+    """Token counts and digests of what the corpus has become, with the ids
+    (in small blocks: the ids of a block are held beside its texts)."""
     prepare(spark)
     return byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN,
-                           with_ids=True)
+                           with_ids=True, block_chars=1_000_000)
 
 
 STAGES = [("toxicity", drop_toxic), ("jaccard_join", drop_near_copies), ("suffix_dedup", drop_repeats),
           ("mix_sources", mix_sources), ("encode_tokens", encode_tokens)]
-# Learned scores and hash-named shingles can't be stated in SQL: the pipeline
-# is tested against brute force instead.
+# Learned scores and hash-named shingles can't be stated in SQL: tests/llm/
+# test_pipeline.py holds run() against plain Python instead.
 ORACLE_SQL = None
 
 
