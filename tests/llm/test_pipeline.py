@@ -89,7 +89,7 @@ def test_run_equals_plain_python(spark, tmp_path):
     text = lambda n: " ".join(rnd.choices(vocab, k=n))
     passage, base = text(60), text(150)
     texts = [None, "", " \n", "one", base, base + " " + text(4), base, text(80) + " " + passage + " " + text(30),
-             passage + " " + text(90), text(40), text(200) + "\n" + passage, "you will see I kill you kill you now kill you",
+             passage + " " + text(90), text(40), text(200) + "\n" + passage, "I will kill you. " * 30,
              *[text(rnd.randint(1, 120)) for _ in range(25)], passage]
     rows = [(i, t, "en", [None, "s0", "s1", "s2"][i % 4], len(t or "")) for i, t in enumerate(texts)]
     rows.append((None, text(50), "en", "s1", 1))

@@ -498,7 +498,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     without words is like no other and stays, repeated or not."""
     cols = docs.columns
     words = F.coalesce(F.col("text").rlike(r"[^ \x09-\x0D]"), F.lit(False))
-    named = docs.withColumn("_row", F.xxhash64(*cols, *[F.col(c).isNull() for c in cols]))
+    # the row travels as a whole, so its columns may have any names
+    named = docs.select("doc_id", "text", F.struct(*cols).alias("_doc"),
+                        F.xxhash64(*cols, *[F.col(c).isNull() for c in cols]).alias("_row"))
     rows, member = _components(named.where(words).select("doc_id", "text", F.col("_row").alias("row")))
     rows = rows.join(member.select("cls", "label"), "cls").groupBy("label", "doc_id", "row").count()
     first = rows.groupBy("label").agg(
@@ -508,4 +510,4 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_kept"))
     once = named.where(words).join(keep.where("_times = 1"), same, "left_semi")
     again = named.where(words).join(keep.where("_times > 1"), same, "left_semi").dropDuplicates(["doc_id", "_row"])
-    return once.unionByName(again).drop("_row").unionByName(docs.where(~words))
+    return once.unionByName(again).select("_doc.*").unionByName(docs.where(~words))
