@@ -36,6 +36,12 @@ def remove_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def plain_names(docs: DataFrame) -> DataFrame:
+    """``docs`` with its columns but ``doc_id`` and ``text`` named by their
+    place, so that none has a name that an operator uses inside."""
+    return docs.toDF(*[c if c in ("doc_id", "text") else f"_c{i}" for i, c in enumerate(docs.columns)])
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import per_worker, rows_to_batch, shuffle_partitions, text_blocks
+from .common import per_worker, plain_names, rows_to_batch, shuffle_partitions, text_blocks
 from .components import bitmap, connected_components, in_bitmap
 
 NGRAM = 5
@@ -483,11 +483,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     (null last) and, among the component's rows of that id, the smallest hash
     of the row.  Rows of that id in other components don't matter; a text
     without words is like no other and stays, repeated or not."""
+    given, docs = docs.columns, plain_names(docs)
     cols = docs.columns
     words = F.coalesce(F.col("text").rlike(r"[^ \x09-\x0D]"), F.lit(False))
-    # the row travels as a whole, so its columns may have any names
-    named = docs.select("doc_id", "text", F.struct(*cols).alias("_doc"),
-                        F.xxhash64(*cols, *[F.col(c).isNull() for c in cols]).alias("_row"))
+    named = docs.withColumn("_row", F.xxhash64(*cols, *[F.col(c).isNull() for c in cols]))
     rows, member = _components(named.where(words).select("doc_id", "text", F.col("_row").alias("row")))
     rows = rows.join(member.select("cls", "label"), "cls").groupBy("label", "doc_id", "row").count()
     first = rows.groupBy("label").agg(
@@ -497,4 +496,4 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_kept"))
     once = named.where(words).join(keep.where("_times = 1"), same, "left_semi")
     again = named.where(words).join(keep.where("_times > 1"), same, "left_semi").dropDuplicates(["doc_id", "_row"])
-    return once.unionByName(again).select("_doc.*").unionByName(docs.where(~words))
+    return once.unionByName(again).drop("_row").unionByName(docs.where(~words)).toDF(*given)

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import per_worker, rows_to_batch, shuffle_partitions
+from .common import per_worker, plain_names, rows_to_batch, shuffle_partitions
 from .components import bitmap, in_bitmap
 
 LENGTH = 400                 # bytes of a string that must not repeat
@@ -355,7 +355,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False, length: int = LENGT
 def without_repeats(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with the repeated strings taken out of ``text``; a document
     of which nothing is left goes."""
-    # the row travels as a whole, so its columns may have any names
-    r = remove_repeats(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_doc")), keep_text=True, **how)
+    plain = plain_names(docs)
+    r = remove_repeats(plain, keep_text=True, **how)
     return r.where("n_removed = 0 or n_removed < n_bytes") \
-        .select(*[F.col("kept_text").alias(c) if c == "text" else F.col("_doc")[c].alias(c) for c in docs.columns])
+        .select(*[F.col("kept_text").alias(c) if c == "text" else F.col(c) for c in plain.columns]).toDF(*docs.columns)
