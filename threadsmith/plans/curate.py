@@ -204,7 +204,8 @@ def run(spark: SparkSession, pages: DataFrame, cfg: CurationConfig, state: DataF
 def select_and_edit(r: Reading, cfg: CurationConfig, image_targets: DataFrame | None, assets: AssetInputs | None,
                     earlier: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """(verdicts of the posts read, kept posts with their images edited)."""
-    verdict = SEL.selection_verdicts(r.posts, r.topics, cfg, earlier, r.take)      # narrow, per post
+    # narrow, per post; written once, as every table of the run follows from it
+    verdict = materialize(SEL.selection_verdicts(r.posts, r.topics, cfg, earlier, r.take), "verdicts")
     posts = r.posts
     if cfg.replace_video_frames:
         posts = posts.withColumn("content_html", F.when(F.col("domain") == ARCHIVE_HOST, X.replace_video_frames())
@@ -243,9 +244,9 @@ def story_names(topics: DataFrame, active: DataFrame, known: DataFrame, state: D
         .filter(F.col("slug") != "")
     new_t = t.filter(F.col("st_path").isNull() | F.lit(not cfg.use_state)).select("slug", "topic_id")
     versions = R.version_numbers(new_t, used, order="topic_id")
-    return t.join(versions.select("topic_id", "version"), "topic_id", "left").withColumn(
+    return materialize(t.join(versions.select("topic_id", "version"), "topic_id", "left").withColumn(
         "file_path", F.coalesce(F.when(F.lit(cfg.use_state), F.col("st_path")),
-                                F.concat_ws("-", "slug", F.col("version").cast("string"))))
+                                F.concat_ws("-", "slug", F.col("version").cast("string")))), "story-names")
 
 
 def finish(r: Reading, cfg: CurationConfig, state: DataFrame, run_id: str,

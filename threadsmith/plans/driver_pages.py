@@ -403,18 +403,20 @@ def curate_pages(spark, sf):
 
 @query("stream_pages", _Q_CURATED)
 def stream_pages(spark, sf):
-    """T1-T3 on every crawled page: the pages of a topic land in several files,
-    out of order and some again, one file per micro-batch; a keyed state holds
-    what can't be read yet.  The posts that the stream keeps are those of one
-    batch run."""
+    """T1-T3 on every crawled page: the pages of a topic land in several
+    landings, out of order and some again, one landing per micro-batch; a keyed
+    state holds what can't be read yet.  The posts that the stream keeps are those
+    of one batch run.  A landing has a file per core, so a batch is written, read
+    and parsed by all cores."""
     from ..streaming.ingest import page_ingest
     p = forum.topic_pages(table(spark, sf, "pages"))
     base = scratch_path(spark, "stream-pages")
-    # the file a page lands in: later pages of a topic often land before earlier ones
+    files = spark.sparkContext.defaultParallelism
+    # the landing of a page: later pages of a topic often land before earlier ones
     at = F.pmod(F.col("page_id") * 7 + F.floor(F.col("page_id") / 5), F.lit(forum.LANDINGS))
     for i in range(forum.LANDINGS):
         again = F.pmod(F.col("page_id"), F.lit(6)) == i
-        p.filter((at == i) | (again & (at < i))).drop("page_id").coalesce(1).write.parquet(f"{base}/landing/f{i}")
+        p.filter((at == i) | (again & (at < i))).drop("page_id").repartition(files).write.parquet(f"{base}/landing/f{i}")
     schema = p.drop("page_id").schema
-    page_ingest(spark, f"{base}/landing/*", schema, f"{base}/out", PAGES_CFG, max_files=1)
+    page_ingest(spark, f"{base}/landing/*", schema, f"{base}/out", PAGES_CFG, max_files=files)
     return _kept(spark.read.parquet(f"{base}/out/story_posts"))

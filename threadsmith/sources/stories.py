@@ -131,7 +131,9 @@ def write_segments(store: StoryStore, out_dir: str, run_seq: int, parts: int | N
     they are."""
     spark, out_dir = store.spark, out_dir.rstrip("/")
     c = store.chunks([run_seq]).select("story", "chunk_no", "html")
-    by = c.repartitionByRange(parts, "story", "chunk_no") if parts else c.repartitionByRange("story", "chunk_no")
+    # a number of its own: by bytes alone, thousands of small stories (a file each) would fall to one task
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by = c.repartitionByRange(parts, "story", "chunk_no")
     at = f"{out_dir}/segments/run_seq={run_seq}"
     by.sortWithinPartitions("story", "chunk_no").select("story", F.col("html").alias("value")) \
         .write.mode("overwrite").option("lineSep", "\n").partitionBy("story").text(at)
