@@ -78,7 +78,8 @@ WAITING_SCHEMA = StructType([
     StructField("paragraphs", ArrayType(StringType())), StructField("content_n_hosted", IntegerType()),
     StructField("n_links", IntegerType()), StructField("content_has_blockquote", BooleanType()),
     StructField("images", ArrayType(IMAGE)), StructField("frames", ArrayType(FRAME))])
-BATCH_BYTES = 16 << 20      # text of found rows that is held before they are given out
+BATCH_BYTES = 2 << 20       # found rows that are held before they are given out (about, see ``_weight``)
+PAGE_ROWS = 100             # pages that come to a Python worker at once
 ARCHIVE_WRAPPER = '<div class="txt-msg text-enrichi-forum">'
 
 # Profile of the driver's generic test pages (article with paragraphs).
@@ -193,20 +194,31 @@ def _found_on_page(row, profiles):
         yield dict(base, kind="quarantine", reason="unsupported_domain")
         return
     root = H.parse(row["html"])
-    posts = H.select(root, prof["post"][0])
-    first = row["page_no"] == 1
-    yield dict(base, kind="page", link=row["link"], topic_key=row["topic_key"], n_posts=len(posts),
-               fields=_fields(root, prof, HEADER_FIELDS) if first else None)
-    hosted = (prof.get("hosted_image") or [None])[0]
-    for pos, post in enumerate(posts):
-        paras, quote, n_hosted, links, _ = _scope_features(post, hosted)
-        yield dict(base, kind="post", pos=pos, fields=_fields(post, prof, ("author", "deleted_author")),
-                   post_text=post.text(), post_paragraphs=paras, n_hosted=n_hosted, n_post_links=links,
-                   post_has_blockquote=quote, contents=_contents(post, prof))
-
-
-def _weight(r) -> int:
-    return 200 + len(r.get("post_text") or "") + sum(len(c["html"]) + len(c["text"]) for c in r.get("contents") or ())
+    try:
+        posts = H.select(root, prof["post"][0])
+        first = row["page_no"] == 1
+        yield dict(base, kind="page", link=row["link"], topic_key=row["topic_key"], n_posts=len(posts),
+                   fields=_fields(root, prof, HEADER_FIELDS) if first else None)
+        hosted = (prof.get("hosted_image") or [None])[0]
+        for pos, post in enumerate(posts):
+            paras, quote, n_hosted, links, _ = _scope_features(post, hosted)
+            yield dict(base, kind="post", pos=pos, fields=_fields(post, prof, ("author", "deleted_author")),
+                       post_text=post.text(), post_paragraphs=paras, n_hosted=n_hosted, n_post_links=links,
+                       post_has_blockquote=quote, contents=_contents(post, prof))
+    finally:
+        H.unlink(root)
+
+
+def _weight(v) -> int:
+    """Bytes, about, that a found row holds in Python: a fixed part of every
+    object and the characters of every text."""
+    if isinstance(v, str):
+        return 60 + len(v)
+    if isinstance(v, dict):
+        return 300 + sum(map(_weight, v.values()))
+    if isinstance(v, list):
+        return 60 + sum(map(_weight, v))
+    return 8
 
 
 def candidates(pages: DataFrame, profile_rows=None, spread: bool = False, nested: bool = False) -> DataFrame:
@@ -218,8 +230,12 @@ def candidates(pages: DataFrame, profile_rows=None, spread: bool = False, nested
     shipped with the function.  The pages are parsed where they are scanned;
     ``spread`` first deals them round-robin over ``defaultParallelism``
     partitions (a shuffle of the raw pages, for an input in one small file).
-    Found rows are given out by their size, whatever the size of a batch."""
+    Pages come to a worker ``PAGE_ROWS`` at a time and found rows are given out
+    by their size, so a worker holds the same however many pages a task has."""
     profiles = profile_dict(profile_rows)
+    conf, rows_key = pages.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(rows_key)) <= PAGE_ROWS:
+        conf.set(rows_key, str(PAGE_ROWS))
     cols = pages.columns
     dom = F.col("domain") if "domain" in cols else domain_of(F.col("link") if "link" in cols else F.col("url"))
     given = lambda c, t: F.col(c).cast(t) if c in cols else F.lit(None).cast(t)
@@ -245,7 +261,6 @@ def candidates(pages: DataFrame, profile_rows=None, spread: bool = False, nested
                 except Exception as e:  # noqa: BLE001 - one bad page must not fail the job
                     rows = [dict(topic_id=row["topic_id"], page_no=row["page_no"], domain=row["domain"],
                                  src=row["src"], kind="quarantine", reason=f"parse_error: {type(e).__name__}")]
-                size += sum(map(_weight, rows)) if nested else 0
                 if nested:
                     rows = [rows[0] | {"posts": rows[1:]}]
                 for r in rows:
