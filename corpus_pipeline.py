@@ -41,10 +41,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what the corpus has become, with the ids
-    (in small blocks: the ids of a block are held beside its texts)."""
+    (in small blocks and with a small memory of chunks: the ids of a block are
+    held beside its texts, in workers that have served four stages)."""
     prepare(spark)
     return byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN,
-                           with_ids=True, block_chars=1_000_000)
+                           with_ids=True, block_chars=1_000_000, cache_entries=40_000)
 
 
 STAGES = [("toxicity", drop_toxic), ("jaccard_join", drop_near_copies), ("suffix_dedup", drop_repeats),

@@ -104,7 +104,8 @@ def merge_table(ranks: dict[bytes, int]) -> dict:
 
 
 class ByteBpe:
-    def __init__(self, m: dict):
+    def __init__(self, m: dict, cache_entries: int = CACHE_ENTRIES):
+        self.cache_entries = cache_entries
         self.keys, self.to, self.byte_ids, self.early = m["keys"], m["to"], m["bytes"], m["early"]
         self.tokens: dict[bytes, int] = m["tokens"]
         self.n = max(self.tokens.values()) + 1
@@ -213,7 +214,7 @@ class ByteBpe:
 
     def encode(self, texts: list[str | None], pattern) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        if len(self.chunks) + len(self.pre) > 2 * CACHE_ENTRIES:
+        if len(self.chunks) + len(self.pre) > 2 * self.cache_entries:
             self.chunks, self.pre = {}, {}
         split = [CHUNK.findall(t) if t else [] for t in texts]
         unseen: set[str] = set()
@@ -242,10 +243,11 @@ def broadcast_vocabulary(spark: SparkSession, ranks_path: str):
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False,
-           block_chars: int = BLOCK_CHARS) -> DataFrame:
+           block_chars: int = BLOCK_CHARS, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked, ids
     (binary, little-endian 32-bit): every text encoded, the ids decoded.
-    ``block_chars``: characters of the texts that a task holds at once."""
+    ``block_chars``: characters of the texts that a task holds at once;
+    ``cache_entries``: chunks and pre-tokens that a worker remembers."""
     bc = broadcast_vocabulary(docs.sparkSession, ranks_path)
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()),
               ("decoded_sha256", pa.string())] + ([("ids", pa.binary())] if with_ids else [])
@@ -253,7 +255,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = Fals
 
     def run(batches):
         import regex
-        bpe = per_worker(bc, ByteBpe)
+        bpe = per_worker(bc, lambda m: ByteBpe(m, cache_entries))
         pat = regex.compile(pattern)
         for ids, texts in text_blocks(batches, block_chars):
             out = bpe.encode(texts, pat)
