@@ -17,8 +17,13 @@ than the coldest of these, so both sets keep that one.
 Candidates are not all pairs of a group.  First every member of a part is
 held against the group's first class; linked classes are united; groups whose
 members still lie in different components then give the pairs with the closest
-sketches that would join these, and only what is still open after that gives
-all its remaining pairs.
+sketches that would join these; their other close pairs follow where they still
+join components: kept from that pass if they are no more than ``LISTED_PAIRS`` a
+row of the group, found anew if they are.
+
+Long sketches travel folded to a quarter of their bits (a folded one's distance
+can't exceed the symmetric difference either); the whole ones are only asked
+for the pairs that pass.
 
 Defined cases: a text without words (or null) has no shingles and links to
 nothing; with fewer than five words the sequence is the only shingle;
@@ -47,6 +52,8 @@ HOT_COUNT = 32               # a part in so many classes is worth putting off
 HOT_LISTED = 200_000         # hottest parts that are broadcast (an order only)
 PAIR_BLOCK = 1024            # members of a group that are paired at once
 SKETCH_BITS = 4              # least bits of a sketch a shingle (a power of two)
+LISTED_PAIRS = 8             # further close pairs a row of a group that are kept (about the bytes of a sketch)
+WHOLE_WORDS = 4              # 64-bit words of a sketch that isn't folded to travel
 
 _U = np.uint64
 _M1, _M2, _M3 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -299,13 +306,27 @@ def _hamming(a: Column, b: Column) -> Column:
     return F.aggregate(bits, F.lit(0), lambda x, y: x + y)
 
 
-def _sized(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose sizes and sketches allow a link."""
-    one = lambda c: classes.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("sk").alias(f"s{c}"))
+def _folded(classes: DataFrame) -> DataFrame:
+    """``classes`` with ``short``: the sketch of a quarter of the bits, by
+    folding it twice; of no more than ``WHOLE_WORDS`` words it stays (short
+    ones tell little apart)."""
+
+    def once(c: str) -> Column:
+        x = F.col(c)
+        half = (F.size(x) / 2).cast("int")
+        return F.when(F.size(x) <= WHOLE_WORDS, x).otherwise(
+            F.zip_with(F.slice(x, 1, half), F.slice(x, half + 1, half), lambda u, v: u.bitwiseXOR(v)))
+
+    return classes.withColumn("_half", once("sk")).withColumn("short", once("_half")).drop("_half")
+
+
+def _sized(pairs: DataFrame, classes: DataFrame, sk: str) -> DataFrame:
+    """Pairs (a, b) whose sizes and sketches ``sk`` allow a link."""
+    one = lambda c: classes.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col(sk).alias(f"s{c}"))
     fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * SHARE)
     apart = F.floor((F.col("na") + F.col("nb")) * (100 - SHARE) / (100 + SHARE))
     return pairs.join(one("a"), "a").join(one("b"), "b").where(fits) \
-        .where(_hamming(F.col("sa"), F.col("sb")) <= apart).select("a", "b", "na", "nb")
+        .where(_hamming(F.col("sa"), F.col("sb")) <= apart).select("a", "b")
 
 
 def _set_rows(bc):
@@ -337,20 +358,21 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
     bc = docs.sparkSession.sparkContext.broadcast({"value": bitmap(ids, "k")})
     sets = docs.select("doc_id", "text", key.alias("k")) \
         .mapInArrow(_set_rows(bc), "cls long, grams array<long>")
-    sets = materialize(sets.join(ask, "cls", "left_semi"), "jaccard-sets").dropDuplicates(["cls"])
+    sets = materialize(sets.join(ask, "cls", "left_semi").dropDuplicates(["cls"]), "jaccard-sets")
     right = sets.select(F.col("cls").alias("b"), F.col("grams").alias("gb"))
     left = sets.select(F.col("cls").alias("a"), F.col("grams").alias("ga"))
     both = F.size(F.array_intersect("ga", "gb"))
     return pairs.join(right, "b").join(left, "a") \
-        .where(both * 100 >= (F.col("na") + F.col("nb") - both) * SHARE).select("a", "b")
+        .where(both * 100 >= (F.size("ga") + F.size("gb") - both) * SHARE).select("a", "b")
 
 
-def _close_pairs(group: list[tuple], across: bool, forest: bool) -> set[tuple[int, int]]:
+def _close_pairs(group: list[tuple], across: bool, forest: bool) -> tuple[set[tuple[int, int]], set[tuple[int, int]]]:
     """Pairs of a group (rows n, cls, comp, block, sketch, its bits) of
     different components, and of different blocks if ``across``, whose sizes
     and sketches allow a link.  Rows are ordered by size, so a row meets only
     those of its size window.  ``forest``: only the closest pairs that
-    together join the components (fewer than there are rows)."""
+    together join the components (fewer than there are rows), and then the
+    others."""
     group.sort()
     out = set()
     close = []
@@ -376,19 +398,30 @@ def _close_pairs(group: list[tuple], across: bool, forest: bool) -> set[tuple[in
         if x != y:
             root[max(x, y)] = min(x, y)
             out.add((a, b))
-    return out
+    return out, {(a, b) for _, a, b, _, _ in close} - out
+
+
+_FOUND = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 
 
 def _pairs_between(batches, forest: bool = False):
-    """Rows sorted by (part, x, y) -> candidate pairs of every group; rows of
-    two blocks are paired across them only."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """Rows sorted by (part, x, y) -> candidate pairs of every group (kind 0);
+    rows of two blocks are paired across them only.  ``forest``: the others are
+    of kind 2, or kind 1 names the part if they are too many."""
     key, group, out = None, [], set()
 
     def done():
         if key is None or len(group) < 2:
             return
-        out.update(_close_pairs(group, key[1] != key[2], forest))
+        pairs, more = _close_pairs(group, key[1] != key[2], forest)
+        out.update((0, a, b) for a, b in pairs)
+        if len(more) <= LISTED_PAIRS * len(group):
+            out.update((2, a, b) for a, b in more)
+        else:
+            out.add((1, key[0], None))
+
+    def rows():
+        return rows_to_batch(dict(zip(("kind", "a", "b"), zip(*out, strict=True), strict=True)), _FOUND)
 
     for b in batches:
         part, x, y, blk, cls, comp, n = (c.to_pylist() for c in b.columns[:7])
@@ -400,31 +433,46 @@ def _pairs_between(batches, forest: bool = False):
                 done()
                 key, group = k, []
                 if len(out) > 10_000:
-                    yield rows_to_batch({"a": [p for p, _ in out], "b": [q for _, q in out]}, schema)
+                    yield rows()
                     out.clear()
             v = words[at[i]:at[i + 1]]
             group.append((n[i], cls[i], comp[i], blk[i], int.from_bytes(v.tobytes(), "little"), 64 * len(v)))
     done()
     if out:
-        yield rows_to_batch({"a": [p for p, _ in out], "b": [q for _, q in out]}, schema)
+        yield rows()
 
 
-def _open_pairs(shared: DataFrame, comp: DataFrame, classes: DataFrame, forest: bool) -> DataFrame:
-    """Candidate pairs inside the groups that hold several components."""
+def _open_pairs(shared: DataFrame, comp: DataFrame, classes: DataFrame, sk: str, forest: bool) -> DataFrame:
+    """Candidate pairs, by the sketches ``sk``, inside the groups that hold
+    several components (see ``_pairs_between``)."""
     n = shuffle_partitions(shared.sparkSession)
     named = shared.where("cls <> lead").select("part", "cls") \
         .join(comp.withColumnRenamed("node", "cls"), "cls", "left") \
         .select("part", "cls", F.coalesce("label", "cls").alias("comp"))
     open_ = named.groupBy("part").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"),
                                       F.count(F.lit(1)).alias("_g")).where("_a <> _b").select("part", "_g")
-    rows = named.join(open_, "part").join(classes.select("cls", "n", "sk"), "cls") \
+    rows = named.join(open_, "part").join(classes.select("cls", "n", F.col(sk).alias("sk")), "cls") \
         .withColumn("_nb", F.ceil(F.col("_g") / PAIR_BLOCK).cast("int")) \
         .withColumn("_mine", F.pmod(F.xxhash64("cls"), F.col("_nb")).cast("int")) \
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))) \
         .select("part", F.least("_mine", "_other").alias("x"), F.greatest("_mine", "_other").alias("y"),
                 F.col("_mine").alias("blk"), "cls", "comp", "n", "sk")
     return rows.repartition(n, "part", "x", "y").sortWithinPartitions("part", "x", "y") \
-        .mapInArrow(lambda b: _pairs_between(b, forest), "a long, b long").distinct()
+        .mapInArrow(lambda b: _pairs_between(b, forest), "kind int, a long, b long").distinct()
+
+
+def _joined(comp: DataFrame, found: DataFrame) -> DataFrame:
+    """Components with the found links, too: only the labels that these join
+    are gone through."""
+    found = materialize(found, "jaccard-links")
+    if not found.limit(1).count():
+        return comp
+    for c in ("a", "b"):
+        found = found.join(comp.select(F.col("node").alias(c), F.col("label").alias(f"_{c}")), c, "left")
+    to = connected_components(found.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")))
+    moved = comp.join(to.select(F.col("node").alias("label"), F.col("label").alias("_to")), "label", "left") \
+        .select("node", F.coalesce("_to", "label").alias("label"))
+    return materialize(moved.unionByName(to.join(comp, "node", "left_anti")), "labels")
 
 
 def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -436,8 +484,8 @@ def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         _signatures(), "kind int, doc_id long, n long, cls long, sk array<long>, row long"),
         "jaccard-signatures", ["kind"])
     rows = signed.where("kind = 0")
-    classes = materialize(rows.where("n > 0").groupBy("cls").agg(
-        F.min("n").alias("n"), F.min("doc_id").alias("rep"), F.first("sk").alias("sk")), "jaccard-classes")
+    classes = materialize(_folded(rows.where("n > 0").groupBy("cls").agg(
+        F.min("n").alias("n"), F.min("doc_id").alias("rep"), F.first("sk").alias("sk"))), "jaccard-classes")
     hot = signed.where("kind = 1").groupBy("cls").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_COUNT) \
         .orderBy(F.desc("n"), "cls").limit(HOT_LISTED).toPandas()
     keys = hot["cls"].to_numpy(np.int64).view(np.uint64) if len(hot) else np.zeros(0, np.uint64)
@@ -450,17 +498,22 @@ def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .mapInArrow(_shared, "part long, cls long, lead long"), "jaccard-shared")
 
     star = shared.where("cls <> lead").select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b"))
-    links = materialize(_verified(_sized(star.distinct(), classes), docs, classes), "jaccard-links")
+    near = materialize(_sized(star.distinct(), classes, "short"), "jaccard-near")
+    links = materialize(_verified(_sized(near, classes, "sk"), docs, classes), "jaccard-links")
     comp = connected_components(links)
 
     # groups of three and more whose members are not yet together: first the
     # closest pairs that would join them, then every pair that is still open
-    for forest in (True, False):
-        pairs = _open_pairs(shared, comp, classes, forest)
-        found = materialize(_verified(_sized(pairs, classes), docs, classes), "jaccard-links")
-        if found.limit(1).count():
-            links = links.unionByName(found)
-            comp = connected_components(links)
+    found = materialize(_open_pairs(shared, comp, classes, "short", True), "jaccard-near", ["kind"])
+    first, others = (found.where(f"kind = {k}").select("a", "b") for k in (0, 2))
+    comp = _joined(comp, _verified(_sized(first, classes, "sk"), docs, classes))
+    for c in ("a", "b"):
+        others = others.join(comp.select(F.col("node").alias(c), F.col("label").alias(f"_{c}")), c, "left")
+    others = others.where("coalesce(_a, a) <> coalesce(_b, b)").select("a", "b").join(first, ["a", "b"], "left_anti")
+    others = materialize(others, "jaccard-near")
+    many = shared.join(found.where("kind = 1").select(F.col("a").alias("part")), "part", "left_semi")
+    pairs = _sized(others, classes, "sk").unionByName(_open_pairs(many, comp, classes, "sk", False).select("a", "b"))
+    comp = _joined(comp, _verified(pairs.distinct(), docs, classes))
 
     member = classes.select("cls", "rep").join(comp.withColumnRenamed("node", "cls"), "cls", "left") \
         .select("cls", "rep", F.coalesce("label", "cls").alias("label"))
