@@ -62,7 +62,7 @@ class Reading:
     """What a run reads: decided on narrow rows."""
     topics: DataFrame        # topic_id and header of the topics whose header is known
     posts: DataFrame         # parsed posts, of this run and of pages that waited
-    take: DataFrame          # topic_id, page_no, src, after: pages to read and the position after which
+    take: DataFrame | None   # topic_id, page_no, src, after: pages to read and the position after which (None: all posts)
     known: DataFrame         # one row per topic: header, ledger, state, start_page, read_to, ordered
     pages: DataFrame         # one row per page: topic_id, page_no, fate (read | open | gap | headless | done)
     broken: DataFrame        # topic_id, page_no, pos, reason: what the parse could not use

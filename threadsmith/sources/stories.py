@@ -125,31 +125,117 @@ def stories_of(store: StoryStore) -> DataFrame:
         F.sum("n_chunks").alias("n_chunks"), F.sum("n_posts").alias("n_posts"))
 
 
+SEGMENT = "story string, part long, path string, n_bytes long"
+
+
 def write_segments(store: StoryStore, out_dir: str, run_seq: int, parts: int | None = None) -> DataFrame:
     """The document segments of one run's chunks, and their manifest
     (``story, run_seq, part, path, n_bytes``).  Other runs' segments stay as
-    they are."""
+    they are.
+
+    A run has a file per story and task, so nothing here costs more per file than
+    the file: the tasks write them and say what they wrote, which is the manifest;
+    no file is committed by the driver, listed or opened again."""
     spark, out_dir = store.spark, out_dir.rstrip("/")
     c = store.chunks([run_seq]).select("story", "chunk_no", "html")
     # a number of its own: by bytes alone, thousands of small stories (a file each) would fall to one task
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    by = c.repartitionByRange(parts, "story", "chunk_no")
+    by = c.repartitionByRange(parts, "story", "chunk_no").sortWithinPartitions("story", "chunk_no")
     at = f"{out_dir}/segments/run_seq={run_seq}"
-    by.sortWithinPartitions("story", "chunk_no").select("story", F.col("html").alias("value")) \
-        .write.mode("overwrite").option("lineSep", "\n").partitionBy("story").text(at)
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*") \
-        .load(at).select("path", F.col("length").alias("n_bytes"))        # no content is read
-    m = listed.select(F.url_decode(F.regexp_extract("path", r"/story=([^/]+)/", 1)).alias("story"),
-                      F.regexp_extract("path", r"/part-(\d+)", 1).cast("long").alias("part"), "path", "n_bytes")
+    fs, p = _path(spark, at)
+    root = fs.makeQualified(p).toString()       # tasks see the folder that Spark means
+    if _arrow_opens(root):
+        fs.delete(p, True)      # a run that is tried again replaces its own
+        fs.mkdirs(p)
+        m = by.select("story", "html").mapInArrow(_segment_writer(root), SEGMENT)
+    else:
+        m = _segments_by_spark(by, at)
     m.write.mode("overwrite").parquet(f"{out_dir}/manifest/run_seq={run_seq}")
     return manifest(spark, out_dir)
 
 
+def _arrow_uri(root: str) -> str:
+    return root if "://" in root else root.replace("file:", "file://", 1)
+
+
+def _arrow_opens(root: str) -> bool:
+    """Can tasks write below ``root`` with pyarrow (else only Spark can)?"""
+    from pyarrow import fs as pafs
+    try:
+        pafs.FileSystem.from_uri(_arrow_uri(root))
+    except (pa.ArrowException, OSError, ImportError):
+        return False
+    return True
+
+
+def _folder(story: str | None) -> str:
+    """``story=`` with the characters escaped that Spark escapes in the name of a
+    partition's folder."""
+    if not story:
+        return "story=__HIVE_DEFAULT_PARTITION__"
+    return "story=" + "".join(f"%{ord(x):02X}" if ord(x) < 32 or x in "\"#%'*/:=?\\\x7f{[]^" else x for x in story)
+
+
+def _segment_writer(root: str):
+    """Rows ``story, html`` in order -> a file per story, SEGMENT rows.  A file is
+    written under a name of the attempt and renamed, so a task that runs twice
+    leaves one whole file."""
+    schema = pa.schema([("story", pa.string()), ("part", pa.int64()), ("path", pa.string()), ("n_bytes", pa.int64())])
+
+    def run(batches):
+        from pyarrow import fs as pafs
+        out, base = pafs.FileSystem.from_uri(_arrow_uri(root))
+        part, mine = TaskContext.get().partitionId(), f".attempt-{TaskContext.get().taskAttemptId()}"
+        name = f"part-{part:05d}.txt"
+        story, file, size, rows = None, None, 0, []
+
+        def close() -> None:
+            file.close()
+            at = f"{base}/{_folder(story)}"
+            try:
+                out.move(f"{at}/{mine}", f"{at}/{name}")
+            except OSError:     # some stores keep the file of an earlier attempt
+                out.delete_file(f"{at}/{name}")
+                out.move(f"{at}/{mine}", f"{at}/{name}")
+            rows.append((story, part, f"{root}/{_folder(story)}/{name}", size))
+
+        for b in batches:
+            for s, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if file is None or s != story:
+                    if file is not None:
+                        close()
+                    story, size = s, 0
+                    out.create_dir(f"{base}/{_folder(s)}")
+                    file = out.open_output_stream(f"{base}/{_folder(s)}/{mine}")
+                data = ((html or "") + "\n").encode()
+                file.write(data)
+                size += len(data)
+            if rows:
+                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema)
+                rows.clear()
+        if file is not None:
+            close()
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema)
+
+    return run
+
+
+def _segments_by_spark(by: DataFrame, at: str) -> DataFrame:
+    """The same by Spark's writer, for a store that only Spark can write; its files
+    are found by a listing (no content is read)."""
+    by.select("story", F.col("html").alias("value")) \
+        .write.mode("overwrite").option("lineSep", "\n").partitionBy("story").text(at)
+    listed = by.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true") \
+        .option("pathGlobFilter", "part-*").load(at).select("path", F.col("length").alias("n_bytes"))
+    return listed.select(F.url_decode(F.regexp_extract("path", r"/story=([^/]+)/", 1)).alias("story"),
+                         F.regexp_extract("path", r"/part-(\d+)", 1).cast("long").alias("part"), "path", "n_bytes")
+
+
 def manifest(spark: SparkSession, out_dir: str) -> DataFrame:
     """``story, run_seq, part, path, n_bytes, at``: the segments of every
     document in order, with their byte offset in it (header first)."""
     base = f"{out_dir.rstrip('/')}/manifest"
-    m = _read_runs(spark, base, _runs(spark, base), "story string, part long, path string, n_bytes long")
+    m = _read_runs(spark, base, _runs(spark, base), SEGMENT)
     # a story has one row per run and task that wrote it
     before = Window.partitionBy("story").orderBy("run_seq", "part").rowsBetween(Window.unboundedPreceding, -1)
     return m.withColumn("at", F.coalesce(F.sum("n_bytes").over(before), F.lit(0)) + F.lit(HEADER_BYTES))
@@ -189,8 +275,7 @@ def write_named(docs: DataFrame, out_dir: str, suffix: str = ".html") -> DataFra
 
     def run(batches):
         from pyarrow import fs as pafs
-        uri = root if "://" in root else root.replace("file:", "file://", 1)
-        out, base = pafs.FileSystem.from_uri(uri)
+        out, base = pafs.FileSystem.from_uri(_arrow_uri(root))
         mine = f".attempt-{TaskContext.get().taskAttemptId()}-"
         for b in batches:
             rows = []

@@ -55,9 +55,11 @@ def run_available(stream: DataFrame, handler: Callable[[DataFrame, int], None],
 
 def enable_rocksdb(spark: SparkSession) -> None:
     """Keep streaming state in RocksDB (on local disk of each executor,
-    checkpointed to the shared folder) instead of the JVM heap."""
+    checkpointed to the shared folder) instead of the JVM heap.  A batch commits
+    the changes of its keys; whole snapshots follow in the background."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass",
                    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
 def page_ingest(spark: SparkSession, landing: str, schema: StructType, base: str,

@@ -24,6 +24,7 @@ from ..functions.urls import domain as domain_of
 from ..functions.urls import topic_key as topic_key_of
 from ..operators import extract as X
 from ..operators import ledger as L
+from ..session import materialize
 
 _HEADER = "domain string, link string, topic_key string, topic_author string, total_pages int, title string"
 RECORD = _HEADER + ", pages string, open string, read_to int"
@@ -75,7 +76,7 @@ class Record:
         self.pages = Pages(s.get("pages") or "")
         self.open = {int(p): int(v) for p, v in (x.split(":") for x in (s.get("open") or "").split(",") if x)}
         self.read_to = s.get("read_to") or 0
-        self.per_page, self.use_state = per_page, ordered_host
+        self.per_page, self.use_state, self.known = per_page, ordered_host, stored is not None
 
     @property
     def ready(self) -> bool:
@@ -123,12 +124,16 @@ class TopicState(StatefulProcessor):
         self.record = handle.getValueState("record", RECORD)
         self.waiting = handle.getMapState("waiting", "page_no int", WAITING)
 
+    # every call of a state variable is a message to the JVM, so a topic reads its
+    # record and the numbers of its waiting pages once, and writes its record once
     def _load(self) -> Record:
-        stored = None
-        if self.record.exists():
-            stored = dict(zip([f.split()[0] for f in RECORD.split(", ")], self.record.get(), strict=True))
+        got = self.record.get()
+        stored = None if got is None else dict(zip([f.split()[0] for f in RECORD.split(", ")], got, strict=True))
         return Record(stored, self.per_page, self.use_state)
 
+    def _waits(self) -> set[int]:
+        return {k[0] for k in self.waiting.keys()}
+
     @staticmethod
     def _row(kind: str, topic: str, page_no: int | None = None, after: int | None = None, reason: str | None = None,
              record: dict | None = None, payload: str | None = None) -> Row:
@@ -136,8 +141,13 @@ class TopicState(StatefulProcessor):
         return Row(kind=kind, topic_id=topic, page_no=page_no, after=after, reason=reason,
                    **{f.split()[0]: r.get(f.split()[0]) for f in RECORD.split(", ")}, payload=payload)
 
+    def _read(self, topic: str, rec: Record, page_no: int, after: int, payload: str) -> Row:
+        return self._row("read", topic, page_no, after, record={"domain": rec.head["domain"]}, payload=payload)
+
     def handleInputRows(self, key, rows, timerValues):
         topic, rec, new, found = key[0], self._load(), set(), False
+        # the record of a topic that is new says so: nothing of it can wait
+        waits = self._waits() if rec.known else set()
         for row in rows:
             page = row.asDict()
             if page["reason"] is not None:
@@ -152,24 +162,24 @@ class TopicState(StatefulProcessor):
             if rec.may_read(n):
                 after = rec.read(n, page["last_pos"])
                 if after is not None:
-                    yield self._row("read", topic, n, after, payload=page["payload"])
+                    yield self._read(topic, rec, n, after, page["payload"])
             elif n not in rec.pages:
                 self.waiting.updateValue((n,), (page["last_pos"], page["payload"]))
                 new.add(n)
+                waits.add(n)
         if not found:
             return
-        released = set()
-        if rec.ready and self.waiting.exists():
-            for n in sorted(k[0] for k in self.waiting.keys()):
+        if rec.ready:
+            for n in sorted(waits):
                 if not rec.may_read(n):
                     break
                 last_pos, payload = self.waiting.getValue((n,))
                 after = rec.read(n, last_pos)
                 self.waiting.removeKey((n,))
-                released.add(n)
+                waits.discard(n)
                 if after is not None:
-                    yield self._row("read", topic, n, after, payload=payload)
-        still = sorted(new - released)
+                    yield self._read(topic, rec, n, after, payload)
+        still = sorted(new & waits)
         for n in still:
             yield self._row("wait", topic, n, reason="page_gap" if rec.ready else "header_page_missing")
         if still and self.wait_limit_s is not None and not list(self.handle.listTimers()):
@@ -177,15 +187,14 @@ class TopicState(StatefulProcessor):
         kept = rec.stored()
         self.record.update(tuple(kept[f.split()[0]] for f in RECORD.split(", ")))
         held = Pages(kept["pages"])
-        if self.waiting.exists():
-            for k in self.waiting.keys():
-                held.add(k[0])
+        for n in waits:
+            held.add(n)
         # the pages that wait are there, too: nobody needs to fetch them
         yield self._row("topic", topic, record=kept | {"pages": str(held)})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         rec = self._load()
-        late = sorted(k[0] for k in self.waiting.keys()) if self.waiting.exists() else []
+        late = sorted(self._waits())
         for n in late:
             yield self._row("late", key[0], n, reason="page_gap_late" if rec.ready else "header_page_late")
         if late:
@@ -223,11 +232,14 @@ def _intervals(text: str):
 
 
 def reading(got: DataFrame, state: DataFrame, cfg: CurationConfig):
-    """What a batch reads, for ``curate.finish``."""
+    """What a batch reads, for ``curate.finish``.  The payloads are read once, into
+    the columns of posts, and every table of the batch follows from those and from
+    the topics, each written once."""
     from ..plans.curate import Reading
-    posts = got.filter("kind = 'read'").select(
-        "topic_id", "page_no", F.explode(F.from_json("payload", ArrayType(_POST))).alias("p")) \
-        .select("topic_id", "page_no", "p.*")
+    from ..plans.outputs import together
+    every = got.filter("kind = 'read'").select(
+        "topic_id", "page_no", "after", "domain", F.explode(F.from_json("payload", ArrayType(_POST))).alias("p")) \
+        .select("topic_id", "page_no", "after", "domain", "p.*")
     t = got.filter("kind = 'topic'").select(
         "topic_id", *[F.col(c) for c in ("topic_key", *L.HEADER)], "read_to", F.col("pages").alias("_pages"))
     st = state.select("topic_key", F.col("total_pages").alias("sp"), F.col("post_cursor").alias("sc"),
@@ -237,12 +249,12 @@ def reading(got: DataFrame, state: DataFrame, cfg: CurationConfig):
         (F.lit(cfg.use_state) & (F.col("domain") != ARCHIVE_HOST) & F.col("topic_key").isNotNull()).alias("ordered"),
         F.col("topic_author").isNotNull().alias("has_header"), F.col("link").alias("_any_link"),
         F.lit(1).alias("start_page"), _intervals("_pages").alias("pages"))
+    every, known = together([lambda: materialize(every, "posts"), lambda: materialize(known, "topics")])
     broken = got.filter("kind in ('broken', 'late')").select("topic_id", "page_no", F.lit(None).cast("int").alias("pos"), "reason")
-    broken = broken.unionByName(posts.filter("reason is not null").select("topic_id", "page_no", "pos", "reason"))
+    broken = broken.unionByName(every.filter("reason is not null").select("topic_id", "page_no", "pos", "reason"))
     topics = known.filter("has_header").select("topic_id", "topic_key", *L.HEADER)
-    posts = posts.filter("reason is null").join(topics.select("topic_id", "domain"), "topic_id") \
-        .withColumn("src", F.lit(0).cast("long"))
-    take = got.filter("kind = 'read'").select("topic_id", "page_no", F.lit(0).cast(LongType()).alias("src"), "after")
+    # a page says itself after which post it is new: it may come twice in a batch, the second time with more
+    posts = every.filter("reason is null and pos > after").withColumn("src", F.lit(0).cast(LongType()))
     pages = got.filter("kind = 'wait'").select(
         "topic_id", "page_no", F.when(F.col("reason") == "page_gap", "gap").otherwise("headless").alias("fate"))
-    return Reading(topics, posts.select(*X.POST_COLS), take, known, pages, broken, None, None)
+    return Reading(topics, posts.select(*X.POST_COLS), None, known, pages, broken, None, None)
