@@ -21,8 +21,10 @@ Stage plan:
 
 from __future__ import annotations
 
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,19 +44,30 @@ from ..session import materialize
 
 
 @dataclass
-class RunOutputs:
+class Named:
+    """The tables that need the names of the run's stories."""
     stories: DataFrame       # story_key, run_id, chunk_no, html, n_posts
+    state: DataFrame         # new full state
+    changes: DataFrame       # the state rows that this run inserts or updates
+    touched: DataFrame       # story_key, file_path, mode (create|append)
+
+
+@dataclass
+class RunOutputs:
     story_posts: DataFrame   # kept posts
     rejects: DataFrame       # topic_id, page_no, pos, reject_reason
     metrics: DataFrame       # run_date, topic_id, posts_kept, duplicates, ...
-    state: DataFrame         # new full state
-    changes: DataFrame       # the state rows that this run inserts or updates
     quarantine: DataFrame    # topic_id, page_no, pos, reason
-    touched: DataFrame       # story_key, file_path, mode (create|append)
     frontier: DataFrame      # topic_id, page_no, page_link: pages to crawl that are missing
     kept_keys: DataFrame     # topic_key, kind, key, ord: dedup keys of this run's kept posts
     ledger: DataFrame        # the ledger rows that this run inserts or updates
     waiting: DataFrame       # parsed posts of the pages that wait (all of them)
+    named: Future            # a Named, see ``finish``
+
+    stories = property(lambda self: self.named.result().stories)
+    state = property(lambda self: self.named.result().state)
+    changes = property(lambda self: self.named.result().changes)
+    touched = property(lambda self: self.named.result().touched)
 
 
 @dataclass
@@ -251,8 +264,11 @@ def story_names(topics: DataFrame, active: DataFrame, known: DataFrame, state: D
 
 def finish(r: Reading, cfg: CurationConfig, state: DataFrame, run_id: str,
            image_targets: DataFrame | None = None, assets: AssetInputs | None = None,
-           existing_stems: DataFrame | None = None, earlier_keys: DataFrame | None = None) -> RunOutputs:
-    """Selection, rendering and the tables of a run from what it reads."""
+           existing_stems: DataFrame | None = None, earlier_keys: DataFrame | None = None,
+           wait: bool = True) -> RunOutputs:
+    """Selection, rendering and the tables of a run from what it reads.  The
+    stories are named by a thread of their own; without ``wait`` a caller that
+    writes all tables can begin with those that need no names."""
     earlier = None
     if cfg.dedup_across_runs and earlier_keys is not None:
         earlier = earlier_keys.join(r.topics.select("topic_id", "topic_key"), "topic_key").select("topic_id", "kind", "key")
@@ -261,19 +277,27 @@ def finish(r: Reading, cfg: CurationConfig, state: DataFrame, run_id: str,
     rejects = verdict.filter(~F.col("kept")).select("topic_id", "page_no", "pos", "reject_reason")
     # With state on, a topic without new posts keeps story and state
     active = counters.filter((F.col("posts_kept") > 0) | F.lit(not cfg.use_state)).select("topic_id")
-    t = story_names(r.topics, active, r.known, state, cfg, existing_stems)
-    touched = t.select(F.col("topic_id").alias("story_key"), "file_path",
-                       F.when(F.col("st_path").isNotNull() & F.lit(cfg.use_state), "append")
-                       .otherwise("create").alias("mode"))
-    changes = state_changes(t, r.known, verdict, cfg)
-    stories = R.render_chunks(kept).withColumn("run_id", F.lit(run_id)) \
-        .join(t.select(F.col("topic_id").alias("story_key")), "story_key", "left_semi")
+
+    def names() -> Named:
+        t = story_names(r.topics, active, r.known, state, cfg, existing_stems)
+        touched = t.select(F.col("topic_id").alias("story_key"), "file_path",
+                           F.when(F.col("st_path").isNotNull() & F.lit(cfg.use_state), "append")
+                           .otherwise("create").alias("mode"))
+        changes = state_changes(t, r.known, verdict, cfg)
+        stories = R.render_chunks(kept).withColumn("run_id", F.lit(run_id)) \
+            .join(t.select(F.col("topic_id").alias("story_key")), "story_key", "left_semi")
+        return Named(stories, ST.upsert_state(state, changes, unique=True) if cfg.use_state else state, changes, touched)
+
+    with_names = ThreadPoolExecutor(max_workers=1)
+    named = with_names.submit(inheritable_thread_target(names))
+    with_names.shutdown(wait=wait)
+    if wait:
+        named.result()
     keys = SEL.kept_keys(verdict).join(r.topics.select("topic_id", "topic_key"), "topic_id") \
         .select("topic_key", "kind", "key", "ord")
     return RunOutputs(
-        stories, kept, rejects, counters.withColumn("run_date", F.current_date()).withColumn("run_id", F.lit(run_id)),
-        ST.upsert_state(state, changes, unique=True) if cfg.use_state else state, changes,
-        quarantined(r, cfg), touched, to_crawl(r, cfg), keys, r.ledger, r.waiting)
+        kept, rejects, counters.withColumn("run_date", F.current_date()).withColumn("run_id", F.lit(run_id)),
+        quarantined(r, cfg), to_crawl(r, cfg), keys, r.ledger, r.waiting, named)
 
 
 def state_changes(names: DataFrame, known: DataFrame, verdict: DataFrame, cfg: CurationConfig) -> DataFrame:

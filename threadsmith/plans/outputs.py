@@ -71,9 +71,9 @@ def write_run(spark: SparkSession, base: str, out: RunOutputs, cfg: CurationConf
     def waiting() -> None:
         out.waiting.write.mode("overwrite").parquet(f"{base}/waiting/version={version}")
 
-    jobs = [stories, *[partial(put, df, name) for df, name in (
+    # the longest first; the stories wait for their names meanwhile
+    jobs = [stories, *([first_keys] if cfg.dedup_across_runs else []), *[partial(put, df, name) for df, name in (
         (out.metrics, "metrics"), (out.rejects, "rejects"), (out.quarantine, "quarantine"), (out.frontier, "frontier"))]]
-    jobs += [first_keys] if cfg.dedup_across_runs else []
     jobs += [ledger] if cfg.use_state and out.ledger is not None else []
     jobs += [waiting] if cfg.use_state and out.waiting is not None else []
     seq = together(jobs)[0]

@@ -88,7 +88,8 @@ def page_ingest(spark: SparkSession, landing: str, schema: StructType, base: str
         earlier = None
         if cfg.dedup_across_runs:
             earlier = outputs.first_keys_of(spark, base, r.known, batch_id)
-        out = curate.finish(r, cfg, state, f"batch-{batch_id}", image_targets, assets, earlier_keys=earlier)
+        out = curate.finish(r, cfg, state, f"batch-{batch_id}", image_targets, assets, earlier_keys=earlier,
+                            wait=False)
         outputs.write_run(spark, base, out, cfg, batch_id + 1, f"batch_id={batch_id}", f"batch-{batch_id}", earlier)
         release_scratch(spark, mark)    # the batch's intermediate tables
 
