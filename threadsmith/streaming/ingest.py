@@ -32,7 +32,7 @@ from pyspark.sql.types import StructType
 
 from ..config import CurationConfig
 from ..operators import state as ST
-from ..session import materialize, release_scratch, scratch_mark, scratch_path
+from ..session import materialize, release_scratch, release_shuffles, scratch_mark, scratch_path
 from . import topics
 
 
@@ -83,7 +83,7 @@ def page_ingest(spark: SparkSession, landing: str, schema: StructType, base: str
     def handle(rows: DataFrame, batch_id: int) -> None:
         mark = scratch_mark()
         state = ST.read_state(spark, f"{base}/state", at_most=batch_id)
-        got = materialize(rows, "released")     # the stateful operator runs once
+        got = materialize(rows, "released", codec="zstd")     # the stateful operator runs once
         r = topics.reading(got, state, cfg)
         earlier = None
         if cfg.dedup_across_runs:
@@ -92,6 +92,7 @@ def page_ingest(spark: SparkSession, landing: str, schema: StructType, base: str
                             wait=False)
         outputs.write_run(spark, base, out, cfg, batch_id + 1, f"batch_id={batch_id}", f"batch-{batch_id}", earlier)
         release_scratch(spark, mark)    # the batch's intermediate tables
+        release_shuffles(spark)
 
     enable_rocksdb(spark)
     stream = file_stream(spark, landing, schema, glob, max_files)

@@ -249,7 +249,7 @@ def reading(got: DataFrame, state: DataFrame, cfg: CurationConfig):
         (F.lit(cfg.use_state) & (F.col("domain") != ARCHIVE_HOST) & F.col("topic_key").isNotNull()).alias("ordered"),
         F.col("topic_author").isNotNull().alias("has_header"), F.col("link").alias("_any_link"),
         F.lit(1).alias("start_page"), _intervals("_pages").alias("pages"))
-    every, known = together([lambda: materialize(every, "posts"), lambda: materialize(known, "topics")])
+    every, known = together([lambda: materialize(every, "posts", codec="zstd"), lambda: materialize(known, "topics")])
     broken = got.filter("kind in ('broken', 'late')").select("topic_id", "page_no", F.lit(None).cast("int").alias("pos"), "reason")
     broken = broken.unionByName(every.filter("reason is not null").select("topic_id", "page_no", "pos", "reason"))
     topics = known.filter("has_header").select("topic_id", "topic_key", *L.HEADER)
